@@ -125,3 +125,63 @@ MAX_OUTPUT_LINES = 10000
 MAX_CHANGES = 100
 DEFAULT_TAIL = 50
 CONTEXT_LINES = 5
+
+# ---- FIXED VALUES: language plug-in error patterns, first match wins per line ----
+# (pattern, type, severity, file_regex, line_regex, column_regex); '' = not extracted
+LANGUAGE_PATTERNS = {
+    "javascript": [
+        (r"SyntaxError: .+", "syntax", "error", r"at (.+):(\d+):(\d+)", r"at .+:(\d+):\d+", r"at .+:\d+:(\d+)"),
+        (r"TypeError: .+", "runtime", "error", r"at (.+):(\d+):(\d+)", r"at .+:(\d+):\d+", r"at .+:\d+:(\d+)"),
+        (r"ReferenceError: .+", "runtime", "error", r"at (.+):(\d+):(\d+)", r"at .+:(\d+):\d+", r"at .+:\d+:(\d+)"),
+        (r"Module not found: .+", "build", "error", r"in (.+)", "", ""),
+        (r"Failed to compile", "build", "error", "", "", ""),
+        (r"warning .+", "lint", "warning", r"(.+):\d+:\d+", r".+:(\d+):\d+", r".+:\d+:(\d+)"),
+    ],
+    "typescript": [
+        (r"error TS\d+: .+", "syntax", "error", r"(.+)\(\d+,\d+\):", r".+\((\d+),\d+\):", r".+\(\d+,(\d+)\):"),
+        (r"\(\d+,\d+\): error TS\d+: .+", "type", "error", r"(.+)\(\d+,\d+\):", r".+\((\d+),\d+\):", r".+\(\d+,(\d+)\):"),
+        (r"Cannot find module .+", "import", "error", r"in (.+)", "", ""),
+        (r"Property .+ does not exist on type .+", "type", "error", "", "", ""),
+        (r"Argument of type .+ is not assignable to parameter of type .+", "type", "error", "", "", ""),
+        (r"warning TS\d+: .+", "lint", "warning", r"(.+)\(\d+,\d+\):", r".+\((\d+),\d+\):", r".+\(\d+,(\d+)\):"),
+    ],
+    "python": [
+        (r"SyntaxError: .+", "syntax", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"IndentationError: .+", "syntax", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"NameError: .+", "runtime", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"TypeError: .+", "runtime", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"AttributeError: .+", "runtime", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"ImportError: .+", "import", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"ModuleNotFoundError: .+", "import", "error", r'File "(.+)", line (\d+)', r"line (\d+)", ""),
+        (r"FAILED .+ - .+", "test", "error", "", "", ""),
+        (r"ERROR .+ - .+", "test", "error", "", "", ""),
+    ],
+    "go": [
+        (r"(.+\.go):(\d+):(\d+): (.+)", "compile", "error", r"(.+\.go):(\d+):(\d+):", r".+\.go:(\d+):\d+:", r".+\.go:\d+:(\d+):"),
+        (r"panic: .+", "runtime", "error", "", "", ""),
+        (r"cannot find package .+", "import", "error", "", "", ""),
+        (r"undefined: .+", "compile", "error", "", "", ""),
+    ],
+    "java": [
+        (r"(.+\.java):(\d+): error: (.+)", "compile", "error", r"(.+\.java):(\d+):", r".+\.java:(\d+):", ""),
+    ],
+    "csharp": [
+        (r"(.+\.cs)\((\d+),(\d+)\): error (.+): (.+)", "compile", "error", r"(.+\.cs)\((\d+),(\d+)\):", r".+\.cs\((\d+),\d+\):", ""),
+    ],
+    "rust": [
+        (r"error\[E\d+\]: (.+)", "compile", "error", "", "", ""),
+        (r"warning: (.+)", "lint", "warning", "", "", ""),
+    ],
+    "php": [
+        (r"Parse error: (.+) in (.+) on line (\d+)", "syntax", "error", "", "", ""),
+    ],
+    "ruby": [
+        (r"(.+\.rb):(\d+): (.+)", "syntax", "error", "", "", ""),
+    ],
+}
+
+# captured tool -> language whose plug-in parses its output
+TOOL_LANGUAGE = {
+    "tsc": "typescript", "go": "go", "gotest": "go", "flake8": "python", "mypy": "python",
+    "pytest": "python", "javac": "java", "jest": "javascript",
+}
