@@ -214,10 +214,32 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name in _closure(VIEWS):
-        spark.sql(VIEWS[name][0]).createOrReplaceTempView(name)
+        builder = SPARK_BUILDERS.get(name)
+        df = builder(spark) if builder else spark.sql(VIEWS[name][0])
+        df.createOrReplaceTempView(name)
     spark.conf.set("codelens.registered", key)
 
 
+def _snapshots_df(spark: SparkSession):
+    """``snapshots`` with the id numbered by the bucketed dense index instead of a
+    global ``row_number()`` window (which would run in one task); same rows as the SQL text."""
+    from pyspark.sql import functions as F
+
+    from codelens.functions.windows import dense_index
+
+    n = dense_index(spark.table("orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_totalprice"),
+                    [], "o_orderkey", out="id")
+    return n.select(
+        F.col("id").alias("snapshot_id"),
+        F.when(F.col("id") % 97 == 1, F.lit(None)).otherwise(F.floor((F.col("id") + 1) / 3).cast("bigint"))
+        .alias("parent_id"),
+        F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 20).alias("project_id"),
+        F.floor("o_totalprice").cast("bigint").alias("size"))
+
+
+SPARK_BUILDERS = {"snapshots": _snapshots_df}
+
+
 def duckdb_with(views, ctes: list[tuple[str, str]] = (), recursive: bool = False) -> str:
     """``WITH`` prefix for DuckDB: the fixture views (with their inputs) then extra CTEs."""
     parts = []

@@ -1 +1,187 @@
-"""Queries (filled in below)."""
+"""Snapshot queries: version forest, listings, diffs, checksums."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codelens.operators import process as P
+from codelens.operators import snapshots as S
+from codelens.plans import duck
+from codelens.plans.fixtures import duckdb_with
+from codelens.plans.registry import Views, query
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+D_WALK = [
+    ("nodes", """SELECT s.snapshot_id, CASE WHEN p.snapshot_id IS NULL THEN NULL ELSE s.parent_id END AS parent_id
+FROM snapshots s LEFT JOIN snapshots p ON s.parent_id = p.snapshot_id"""),
+    ("walk", """SELECT snapshot_id, [snapshot_id] AS path FROM nodes WHERE parent_id IS NULL
+UNION ALL
+SELECT n.snapshot_id, list_append(w.path, n.snapshot_id) FROM nodes n JOIN walk w ON n.parent_id = w.snapshot_id"""),
+    ("kids", """SELECT n.snapshot_id, CAST(count(c.snapshot_id) AS BIGINT) AS children
+FROM nodes n LEFT JOIN nodes c ON c.parent_id = n.snapshot_id GROUP BY n.snapshot_id"""),
+]
+
+
+def d_forest(body: str) -> str:
+    return duckdb_with(["snapshots"], D_WALK, recursive=True) + body
+
+
+def _snap(spark, sf_dir):
+    return Views(spark, sf_dir)("snapshots")
+
+
+def _lineage(spark, sf_dir):
+    return S.lineage(_snap(spark, sf_dir))
+
+
+@query("join_lineage", d_forest("""
+SELECT snapshot_id, CAST(len(path) AS BIGINT) AS depth, path[1] AS root_id, array_to_string(path, '>') AS path FROM walk"""))
+def join_lineage(spark, sf_dir):
+    lin = _lineage(spark, sf_dir)
+    return lin.select("snapshot_id", "depth", "root_id",
+                      F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("join_descendants", d_forest("""
+SELECT a.ancestor_id, w.snapshot_id AS descendant_id, CAST(len(w.path) - a.pos AS BIGINT) AS levels_below
+FROM walk w, LATERAL (SELECT unnest(w.path) AS ancestor_id, generate_subscripts(w.path, 1) AS pos) a
+WHERE a.ancestor_id <> w.snapshot_id"""))
+def join_descendants(spark, sf_dir):
+    return S.descendants(_lineage(spark, sf_dir)).select("ancestor_id", "descendant_id", "levels_below")
+
+
+@query("agg_branches", d_forest("""
+SELECT snapshot_id, children, children > 1 AS is_branch_point, children = 0 AS is_leaf FROM kids"""))
+def agg_branches(spark, sf_dir):
+    return S.branches(_snap(spark, sf_dir))
+
+
+@query("agg_version_stats", d_forest("""
+SELECT CAST(count(*) AS BIGINT) AS total_snapshots, CAST(count_if(len(w.path) = 1) AS BIGINT) AS root_snapshots,
+  CAST(count_if(k.children > 1) AS BIGINT) AS branch_points, CAST(max(len(w.path)) AS BIGINT) AS max_depth,
+  round(avg(len(w.path)), 6) AS average_depth
+FROM walk w JOIN kids k USING (snapshot_id)"""))
+def agg_version_stats(spark, sf_dir):
+    snaps = _snap(spark, sf_dir)
+    lin = S.lineage(snaps)
+    return (S.version_stats(lin.select("snapshot_id", "depth"), S.branches(snaps))
+            .withColumn("average_depth", F.round("average_depth", 6)))
+
+
+@query("agg_snapshot_stats", duckdb_with(["snapshots"]) + """
+SELECT project_id, CAST(count(*) AS BIGINT) AS total,
+  CAST(count_if(created_at > (SELECT max(created_at) FROM snapshots) - INTERVAL 7 DAYS) AS BIGINT) AS last_7_days,
+  CAST(sum(size) AS BIGINT) AS total_size FROM snapshots GROUP BY project_id""")
+def agg_snapshot_stats(spark, sf_dir):
+    snaps = _snap(spark, sf_dir)
+    return S.recent_stats(snaps, snaps.select(F.max("created_at")).scalar())
+
+
+@query("srt_timeline", duckdb_with(["snapshots"]) + f"""
+SELECT project_id, snapshot_id, {duck.ts_text('created_at')} AS created_at, CAST(r AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, snapshot_id DESC) AS r FROM snapshots) s
+WHERE r <= 5""")
+def srt_timeline(spark, sf_dir):
+    t = P.top_k(_snap(spark, sf_dir), ["project_id"], [F.col("created_at").desc(), F.col("snapshot_id").desc()], 5)
+    return t.select("project_id", "snapshot_id", F.date_format("created_at", TS_FMT).alias("created_at"), "rank")
+
+
+def snapshot_versions(spark, sf_dir):
+    """SNP_FORK over the forest: version = depth, tags = v<version> .. v2 then 'initial', parent in related."""
+    lin = _lineage(spark, sf_dir)
+    snaps = _snap(spark, sf_dir)
+    tags = F.concat(F.transform(F.sequence(F.col("depth"), F.lit(2).cast("bigint"), F.lit(-1).cast("bigint")),
+                                lambda v: F.concat(F.lit("v"), v.cast("string"))),
+                    F.array(F.lit("initial")))
+    tags = F.when(F.col("depth") >= 2, tags).otherwise(F.array(F.lit("initial")))
+    return (snaps.join(lin.select("snapshot_id", "depth"), "snapshot_id")
+            .withColumn("version", F.col("depth")).withColumn("tags", tags))
+
+
+@query("snp_fork", d_forest("""
+SELECT w.snapshot_id, CAST(n.parent_id AS VARCHAR) AS parent_id, CAST(len(w.path) AS BIGINT) AS version,
+  array_to_string(list_concat(CASE WHEN len(w.path) >= 2 THEN list_transform(range(len(w.path), 1, -1), lambda v: 'v' || CAST(v AS VARCHAR))
+    ELSE [] END, ['initial']), ',') AS tags,
+  CASE WHEN n.parent_id IS NULL THEN '' ELSE CAST(n.parent_id AS VARCHAR) END AS related
+FROM walk w JOIN nodes n USING (snapshot_id)"""))
+def snp_fork(spark, sf_dir):
+    v = snapshot_versions(spark, sf_dir)
+    edges = S.forest_edges(_snap(spark, sf_dir)).select(F.col("node").alias("snapshot_id"), F.col("parent").alias("pid"))
+    return (v.join(edges, "snapshot_id")
+            .select("snapshot_id", F.col("pid").cast("string").alias("parent_id"), "version", F.array_join("tags", ",").alias("tags"),
+                    F.coalesce(F.col("pid").cast("string"), F.lit("")).alias("related")))
+
+
+@query("srt_snapshot_list", d_forest(f"""
+SELECT s.snapshot_id, {duck.ts_text('s.created_at')} AS created_at, CAST(len(w.path) AS BIGINT) AS version, s.size,
+  array_to_string(list_slice(list_concat(CASE WHEN len(w.path) >= 2 THEN list_transform(range(len(w.path), 1, -1), lambda v: 'v' || CAST(v AS VARCHAR))
+    ELSE [] END, ['initial']), 1, 3), ',') ||
+  CASE WHEN len(w.path) > 3 THEN ' +' || CAST(len(w.path) - 3 AS VARCHAR) || ' more' ELSE '' END AS tags_shown
+FROM snapshots s JOIN walk w USING (snapshot_id)"""))
+def srt_snapshot_list(spark, sf_dir):
+    v = snapshot_versions(spark, sf_dir)
+    shown = F.concat(F.array_join(F.slice("tags", 1, 3), ","),
+                     F.when(F.size("tags") > 3, F.concat(F.lit(" +"), (F.size("tags") - 3).cast("string"), F.lit(" more")))
+                     .otherwise(F.lit("")))
+    return v.select("snapshot_id", F.date_format("created_at", TS_FMT).alias("created_at"), "version", "size",
+                    shown.alias("tags_shown"))
+
+
+D_JSON = ("""'{"snapshot_id":' || CAST(snapshot_id AS VARCHAR) || ',"parent_id":' || coalesce(CAST(parent_id AS VARCHAR), 'null')
+  || ',"created_at":"' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '","project_id":' || CAST(project_id AS VARCHAR)
+  || ',"size":' || CAST(size AS VARCHAR) || '}'""")
+
+
+def snapshot_json(df):
+    """Stable JSON text of a snapshot row (field order fixed, no metadata fields)."""
+    return F.concat(F.lit('{"snapshot_id":'), F.col("snapshot_id").cast("string"),
+                    F.lit(',"parent_id":'), F.coalesce(F.col("parent_id").cast("string"), F.lit("null")),
+                    F.lit(',"created_at":"'), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"),
+                    F.lit('","project_id":'), F.col("project_id").cast("string"),
+                    F.lit(',"size":'), F.col("size").cast("string"), F.lit("}"))
+
+
+@query("snp_checksum", duckdb_with(["snapshots"]) + f"""
+SELECT snapshot_id, CAST(strlen(j) AS BIGINT) AS json_bytes, sha256(j) AS checksum FROM (SELECT snapshot_id, {D_JSON} AS j FROM snapshots) s""")
+def snp_checksum(spark, sf_dir):
+    """SNP_CHECKSUM: size and SHA-256 of the snapshot JSON (content only, so it is reproducible)."""
+    s = _snap(spark, sf_dir).withColumn("j", snapshot_json(None))
+    return s.select("snapshot_id", F.octet_length("j").cast("bigint").alias("json_bytes"),
+                    F.sha2("j", 256).alias("checksum"))
+
+
+@query("join_snapshot_diff", duckdb_with(["snapshots", "snapshot_files"], D_WALK[:1], recursive=False) + """
+, c AS (SELECT n.snapshot_id AS child, n.parent_id AS parent, f.path, f.line_count FROM nodes n JOIN snapshot_files f ON f.snapshot_id = n.snapshot_id WHERE n.parent_id IS NOT NULL),
+p AS (SELECT n.snapshot_id AS child, n.parent_id AS parent, f.path, f.line_count FROM nodes n JOIN snapshot_files f ON f.snapshot_id = n.parent_id),
+j AS (SELECT coalesce(c.child, p.child) AS child, coalesce(c.parent, p.parent) AS parent, c.line_count AS cl, p.line_count AS pl
+      FROM c FULL OUTER JOIN p ON c.child = p.child AND c.path = p.path)
+SELECT child AS snapshot_id, parent AS parent_id, CAST(count_if(pl IS NULL) AS BIGINT) AS files_added,
+  CAST(count_if(cl IS NULL) AS BIGINT) AS files_removed, CAST(count_if(cl IS NOT NULL AND pl IS NOT NULL AND cl <> pl) AS BIGINT) AS files_modified,
+  CAST(sum(abs(coalesce(cl, 0) - coalesce(pl, 0))) AS BIGINT) AS lines_changed
+FROM j GROUP BY child, parent""")
+def join_snapshot_diff(spark, sf_dir):
+    """JOIN_SNAPSHOT_DIFF: files added / removed / modified and lines changed from parent to child."""
+    edges = S.forest_edges(_snap(spark, sf_dir)).where(F.col("parent").isNotNull())
+    files = Views(spark, sf_dir)("snapshot_files")
+    c = edges.join(files, edges["node"] == files["snapshot_id"]).select(
+        F.col("node").alias("child"), F.col("parent"), "path", F.col("line_count").alias("cl"))
+    p = edges.join(files, edges["parent"] == files["snapshot_id"]).select(
+        F.col("node").alias("child"), F.col("parent"), "path", F.col("line_count").alias("pl"))
+    j = c.join(p, ["child", "parent", "path"], "full_outer")
+    return j.groupBy(F.col("child").alias("snapshot_id"), F.col("parent").alias("parent_id")).agg(
+        F.count_if(F.col("pl").isNull()).cast("bigint").alias("files_added"),
+        F.count_if(F.col("cl").isNull()).cast("bigint").alias("files_removed"),
+        F.count_if(F.col("cl").isNotNull() & F.col("pl").isNotNull() & (F.col("cl") != F.col("pl")))
+        .cast("bigint").alias("files_modified"),
+        F.sum(F.abs(F.coalesce("cl", F.lit(0)) - F.coalesce("pl", F.lit(0)))).cast("bigint").alias("lines_changed"))
+
+
+@query("prj_format_size", duckdb_with(["snapshots"]) + """
+SELECT snapshot_id, size, CASE WHEN size = 0 THEN '0 Bytes' ELSE
+  regexp_replace(printf('%.1f', round(size / pow(1024, least(floor(log(size) / log(1024)), 3)), 1)), '\\.0$', '') || ' ' ||
+  ['Bytes', 'KB', 'MB', 'GB'][CAST(least(floor(log(size) / log(1024)), 3) AS INT) + 1] END AS size_text
+FROM snapshots""")
+def prj_format_size(spark, sf_dir):
+    s = _snap(spark, sf_dir)
+    return s.select("snapshot_id", "size", S.format_size(F.col("size")).alias("size_text"))
