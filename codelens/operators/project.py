@@ -197,8 +197,9 @@ def primary_language(langs: DataFrame) -> DataFrame:
 
 def todo_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of code files (13 extensions, no pruning) with project and path."""
-    code = files.where(file_ext(F.col("rel_path")).isin(C.CODE_EXTS)).select("file_id", "project_id", "rel_path")
-    return lines.join(code, "file_id")
+    from codelens.operators.rules import attach
+    code = files.where(file_ext(F.col("rel_path")).isin(C.CODE_EXTS))
+    return attach(lines, code, cols=("project_id", "rel_path"))
 
 
 def search(files: DataFrame, todos: DataFrame, errors: DataFrame, q: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
+from codelens.functions.joins import broadcast_if_small
 from codelens.functions.text import extract, file_ext, map_lookup, rlike, trim_ws
 from codelens.functions.windows import ffill
 
@@ -37,8 +38,14 @@ def code_files(files: DataFrame) -> DataFrame:
 
 
 def attach(lines: DataFrame, files: DataFrame, cols=("project_id", "rel_path", "language")) -> DataFrame:
-    """Lines of the given files, carrying file attributes."""
-    return lines.join(files.select("file_id", *cols), "file_id")
+    """Lines of the given files, carrying file attributes.
+
+    The per-file side (no content, one row per file) is broadcast when a
+    bounded count proves it small; otherwise both sides shuffle on file_id
+    and AQE splits a skewed (huge) file's partition.
+    """
+    meta = broadcast_if_small(files.select("file_id", *cols))
+    return lines.join(meta, "file_id")
 
 
 # ---------------------------------------------------------------- security

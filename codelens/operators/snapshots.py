@@ -33,6 +33,8 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
         ensure_checkpoint_dir(spark)
     cur = forest_edges(snapshots, node, parent).select(
         "node", F.col("parent").alias("jump"), F.array(F.col("node")).alias("seg"))
+    if checkpoint:
+        cur = cur.checkpoint()  # the input is read once, not once per round
     done = cur.where(F.col("jump").isNull())
     active = cur.where(F.col("jump").isNotNull())
     for _ in range(MAX_ROUNDS):
@@ -44,10 +46,9 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
                 .select("node", F.col("_uj").alias("jump"), F.concat("_us", "seg").alias("seg")))
         if checkpoint:
             step = step.checkpoint()
+        # ``done`` is a union of checkpointed rounds: its plan stays short
         done = done.unionByName(step.where(F.col("jump").isNull()))
         active = step.where(F.col("jump").isNotNull())
-        if checkpoint:
-            done = done.checkpoint()
     return done.select(F.col("node").alias(node), F.col("seg").alias("path"),
                        F.size("seg").cast("bigint").alias("depth"), F.col("seg")[0].alias("root_id"))
 

@@ -206,13 +206,19 @@ def _closure(names) -> list[str]:
     return out
 
 
+# tables whose rows carry per-row work (text to explode, many rows to scan with regexes)
+SPREAD_TABLES = {"documents", "events", "orders", "lineitem", "pages", "conversations"}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register the driver tables and every fixture view as temp views."""
     key = f"codelens.registered::{sf_dir}"
     if spark.conf.get("codelens.registered", "") == key and spark.catalog.tableExists("file_lines"):
         return
+    from codelens.sources.tables import read_table
+
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        read_table(spark, f"{sf_dir}/{t}.parquet", spread_small_splits=t in SPREAD_TABLES).createOrReplaceTempView(t)
     for name in _closure(VIEWS):
         builder = SPARK_BUILDERS.get(name)
         df = builder(spark) if builder else spark.sql(VIEWS[name][0])
