@@ -26,13 +26,13 @@ def _bucket(pos: str, width: int) -> Column:
 
 
 def dense_index(df: DataFrame, keys: list[str], pos: str, out: str = "idx",
-                width: int = DEFAULT_WIDTH) -> DataFrame:
-    """1-based row number of each row within ``keys`` ordered by ``pos``."""
+                width: int = DEFAULT_WIDTH, tiebreak: tuple[str, ...] = ()) -> DataFrame:
+    """1-based row number of each row within ``keys`` ordered by ``pos`` (then ``tiebreak``)."""
     b = df.withColumn("_b", _bucket(pos, width))
     counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(pos)
+    inside = Window.partitionBy(*keys, "_b").orderBy(pos, *tiebreak)
     return (b.join(offsets, [*keys, "_b"])
             .withColumn(out, (F.col("_off") + F.row_number().over(inside)).cast("bigint"))
             .drop("_b", "_off"))
