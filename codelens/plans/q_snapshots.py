@@ -185,3 +185,21 @@ FROM snapshots""")
 def prj_format_size(spark, sf_dir):
     s = _snap(spark, sf_dir)
     return s.select("snapshot_id", "size", S.format_size(F.col("size")).alias("size_text"))
+
+
+@query("snk_export_json", duckdb_with(["snapshots", "snapshot_files"]) + f"""
+SELECT s.snapshot_id, substr({D_JSON}, 1, length({D_JSON}) - 1) ||
+  CASE WHEN f.n IS NULL THEN '' ELSE ',"project_state":{{"files":' || CAST(f.n AS VARCHAR) || ',"lines":' || CAST(f.l AS VARCHAR) || '}}' END
+  || '}}' AS json
+FROM snapshots s LEFT JOIN (SELECT snapshot_id, count(*) AS n, sum(line_count) AS l FROM snapshot_files GROUP BY snapshot_id) f
+USING (snapshot_id)""")
+def snk_export_json(spark, sf_dir):
+    """SNK_EXPORT_JSON: snapshot JSON with the optional project_state object (present when it has files)."""
+    from codelens.sinks.snapshots import snapshot_json as sj
+    files = Views(spark, sf_dir)("snapshot_files").groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("line_count").alias("l"))
+    s = _snap(spark, sf_dir).join(files, "snapshot_id", "left")
+    state = F.concat(F.lit('{"files":'), F.col("n").cast("string"), F.lit(',"lines":'), F.col("l").cast("string"), F.lit("}"))
+    base = sj()
+    with_state = sj([("project_state", state)])
+    return s.select("snapshot_id", F.when(F.col("n").isNull(), base).otherwise(with_state).alias("json"))
