@@ -58,7 +58,7 @@ def read_logs(spark: SparkSession, root: str, globs=LOG_GLOBS) -> DataFrame:
     existing = [p for p in paths if _glob.glob(p)] if root.startswith("/") else paths
     if not existing:
         return spark.createDataFrame([], "file string, line_no int, line string")
-    whole = (spark.read.option("wholetext", "true").text(existing)
+    whole = (spark.read.text(existing, wholetext=True)
              .select(F.col("_metadata.file_path").alias("file"), "value")
              .dropDuplicates(["file"]))
     return (whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
@@ -67,7 +67,7 @@ def read_logs(spark: SparkSession, root: str, globs=LOG_GLOBS) -> DataFrame:
 
 def read_tool_output(spark: SparkSession, folder: str) -> DataFrame:
     """SRC_TOOL_OUTPUT: captured stdout+stderr files, one row per line, with the file as the run."""
-    whole = spark.read.option("wholetext", "true").text(folder).select(
+    whole = spark.read.text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("run"), "value")
     return (whole.select("run", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
             .select("run", (F.col("pos") + 1).alias("seq"), "line"))

@@ -84,9 +84,11 @@ def _changes_fn(ttl_ms: int | None):
             return
         last = int(state.get[0]) if state.exists else None  # microseconds
         out = []
+        seen_ms = 0
         for pdf in pdfs:
             pdf = pdf.sort_values("seq")
             us = (pd.to_datetime(pdf["mtime"]).astype("int64") // 1000).tolist()
+            seen_ms = max(seen_ms, int(pd.to_datetime(pdf["observed_at"]).astype("int64").max() // 1_000_000))
             for row, m in zip(pdf.itertuples(index=False), us):
                 if last is None:
                     out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
@@ -95,17 +97,26 @@ def _changes_fn(ttl_ms: int | None):
                 last = m
         state.update((last,))
         if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+            # event-time TTL: the path's state is dropped once the watermark passes last sight + ttl
+            state.setTimeoutTimestamp(seen_ms + ttl_ms)
         if out:
             yield pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
 
     return fn
 
 
-def change_stream(observations: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """STR_CHANGES over a streaming frame of (seq, path, observed_at, mtime)."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return (observations.select("seq", "path", "observed_at", "mtime").groupBy("path")
+def change_stream(observations: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000,
+                  watermark: str = "10 minutes") -> DataFrame:
+    """STR_CHANGES over a streaming frame of (seq, path, observed_at, mtime).
+
+    State per path is the last mtime; with ``ttl_ms`` it expires on event time
+    (watermark on ``observed_at``), so a stream over ever-new paths keeps bounded state.
+    """
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    obs = observations.withColumn("event_time", F.col("observed_at").cast("timestamp"))
+    if ttl_ms:
+        obs = obs.withWatermark("event_time", watermark)
+    return (obs.select("seq", "path", "observed_at", "mtime", "event_time").groupBy("path")
             .applyInPandasWithState(_changes_fn(ttl_ms), CHANGE_OUT, "last_mtime_us long", "append", timeout))
 
 
