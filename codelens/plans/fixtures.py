@@ -195,7 +195,7 @@ def _closure(names) -> list[str]:
     out: list[str] = []
 
     def visit(n: str) -> None:
-        if n in out:
+        if n in out or n in TABLES:  # driver tables are views already
             return
         for d in VIEWS[n][2]:
             visit(d)
