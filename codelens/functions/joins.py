@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 # a side is broadcast only when it has at most this many rows (checked, not assumed)
 BROADCAST_MAX_ROWS = 200_000
 
+# proofs already made in this process: (session id, plan hash, bound) -> small?
+_CHECKED: dict[tuple[int, int, int], bool] = {}
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a bounded count proves it small; else leave it to a shuffle join.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` before ``count``).
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Bounded proof that ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows).
+
+    The answer is kept for the session and the same analysed plan; call
+    ``forget_size_checks()`` after the inputs of a session change.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKED[key]
+
+
+def forget_size_checks() -> None:
+    _CHECKED.clear()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a bounded count proves it small; else leave it to a shuffle join."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def fixed_dim(spark, rows: list[tuple], schema: str) -> DataFrame:

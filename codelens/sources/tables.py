@@ -11,13 +11,16 @@ scale -- are left untouched, so no shuffle is added there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash of the whole row: deterministic on recompute and needs no local sort
+        # (round-robin repartitioning sorts every input partition first)
+        return df.repartition(target, *[F.col(c) for c in df.columns])
     return df
 
 
