@@ -164,6 +164,15 @@ SELECT c_custkey AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'eslint' ELSE 'tsli
 FROM customer
 """)
 
+# pylint / ruff JSON reports in their public formats, one in five not JSON
+_view("python_lint_json", """
+SELECT c_custkey AS run_id, CASE WHEN c_custkey % 2 = 0 THEN 'pylint' ELSE 'ruff' END AS tool,
+  CASE WHEN c_custkey % 5 = 0 THEN 'NameError: name x is not defined'
+  WHEN c_custkey % 2 = 0 THEN concat('[{"type":"error","module":"m', cast(c_custkey AS string), '","obj":"","line":', cast(c_nationkey + 1 AS string), ',"column":0,"path":"app/f', cast(c_custkey AS string), '.py","symbol":"undefined-variable","message":"Undefined variable x","message-id":"E0602"}]')
+  ELSE concat('[{"code":"F401","message":"os imported but unused","filename":"app/f', cast(c_custkey AS string), '.py","location":{"row":', cast(c_nationkey AS string), ',"column":1}}]') END AS output
+FROM customer
+""")
+
 _view("traceback_lines", """
 SELECT cast(floor(o_orderkey / 4) AS bigint) AS run_id, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'Traceback (most recent call last):'
   WHEN 1 THEN concat('  File "app/f', cast(o_custkey % 50 AS string), '.py", line ', cast(o_custkey AS string)) WHEN 2 THEN '    x = (1'

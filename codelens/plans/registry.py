@@ -50,6 +50,6 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     # importing the modules fills REGISTRY
     from codelens.plans import (  # noqa: F401
         q_analysis, q_diagnostics, q_deps, q_snapshots, q_streams, q_project, q_investigation, q_suggest,
-        q_topology, q_overview, q_misc,
+        q_topology, q_overview, q_misc, q_extra,
     )
     return REGISTRY
