@@ -130,13 +130,19 @@ def directories(files: DataFrame) -> DataFrame:
 
 
 def structure(files: DataFrame) -> DataFrame:
-    """AGG_STRUCTURE: files and size in structure scope; sorted main and config file lists."""
+    """AGG_STRUCTURE: files and size in structure scope; main and config file counts and first paths.
+
+    The full main/config lists are rows (``prj_main_file`` / ``prj_config_file``), not a
+    per-project array, so no project's file list is gathered into one row.
+    """
     f = with_file_attrs(files).where(structure_scope(F.col("rel_path")))
     return f.groupBy("project_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("total_files"),
         F.sum("size").cast("bigint").alias("total_size"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("is_main"), F.col("rel_path")))), ",").alias("main_files"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("is_config"), F.col("rel_path")))), ",").alias("config_files"),
+        F.count_if("is_main").cast("bigint").alias("main_files"),
+        F.count_if("is_config").cast("bigint").alias("config_files"),
+        F.min(F.when(F.col("is_main"), F.col("rel_path"))).alias("first_main_file"),
+        F.min(F.when(F.col("is_config"), F.col("rel_path"))).alias("first_config_file"),
     )
 
 

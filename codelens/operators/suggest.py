@@ -158,8 +158,9 @@ def error_overlap(lines: DataFrame, errors: DataFrame, first_n: int = 3) -> Data
     """
     from codelens.operators.process import top_k
     first = top_k(errors, ["project_id"], [F.col("seq")], first_n)
-    words = (first.select("project_id", F.explode(F.split(F.lower("message"), " ")).alias("word"))
-             .where(F.length("word") > 3).distinct())
+    from codelens.functions.joins import broadcast_if_small
+    words = broadcast_if_small(first.select("project_id", F.explode(F.split(F.lower("message"), " ")).alias("word"))
+                               .where(F.length("word") > 3).distinct())
     return (lines.select("file_id", "project_id", F.lower("line").alias("_l"))
             .join(words, "project_id").where(F.col("_l").contains(F.col("word")))
             .select("file_id", "project_id").distinct()

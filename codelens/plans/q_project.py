@@ -119,8 +119,10 @@ def prj_file_get(spark, sf_dir):
 
 @query("agg_structure", d_files(f"""
 SELECT project_id, CAST(count(*) AS BIGINT) AS total_files, CAST(sum(strlen(content)) AS BIGINT) AS total_size,
-  coalesce(array_to_string(list_sort(list(rel_path) FILTER (WHERE {D_NAME} IN ({sql_list(C.MAIN_FILES)}))), ','), '') AS main_files,
-  coalesce(array_to_string(list_sort(list(rel_path) FILTER (WHERE {D_NAME} IN ({sql_list(C.CONFIG_FILES)}))), ','), '') AS config_files
+  CAST(count_if({D_NAME} IN ({sql_list(C.MAIN_FILES)})) AS BIGINT) AS main_files,
+  CAST(count_if({D_NAME} IN ({sql_list(C.CONFIG_FILES)})) AS BIGINT) AS config_files,
+  min(rel_path) FILTER (WHERE {D_NAME} IN ({sql_list(C.MAIN_FILES)})) AS first_main_file,
+  min(rel_path) FILTER (WHERE {D_NAME} IN ({sql_list(C.CONFIG_FILES)})) AS first_config_file
 FROM files WHERE {D_STRUCT} GROUP BY project_id"""))
 def agg_structure(spark, sf_dir):
     return PR.structure(_files(spark, sf_dir))

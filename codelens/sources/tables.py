@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition on ``key`` (default: the first column, the table's id) when there are too few splits.
+
+    Hashing one id column keeps the repartition deterministic on recompute
+    without the local sort round-robin needs, and lets Catalyst still prune the
+    other columns below it (the scan reads only what the query uses).
+    """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        # hash of the whole row: deterministic on recompute and needs no local sort
-        # (round-robin repartitioning sorts every input partition first)
-        return df.repartition(target, *[F.col(c) for c in df.columns])
+        return df.repartition(target, F.col(key or df.columns[0]))
     return df
 
 
