@@ -61,7 +61,7 @@ def prj_relative_time(spark, sf_dir):
     """PRJ_RELATIVE_TIME: age against a fixed ``as_of`` (the newest snapshot): 5m / 3h / 2d ago, else the date."""
     s = Views(spark, sf_dir)("snapshots")
     as_of = s.select(F.max("created_at")).scalar()
-    ms = (F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")))
+    ms = F.timestamp_diff("MILLISECOND", F.col("created_at"), as_of)
     m, h, d = F.floor(ms / 60000), F.floor(ms / 3600000), F.floor(ms / 86400000)
     age = (F.when(m < 60, F.concat(m.cast("string"), F.lit("m ago"))).when(h < 24, F.concat(h.cast("string"), F.lit("h ago")))
            .when(d < 7, F.concat(d.cast("string"), F.lit("d ago"))).otherwise(F.date_format("created_at", "yyyy-MM-dd")))
