@@ -3,12 +3,15 @@
 Lineage uses pointer doubling: each node keeps a jump pointer and the path
 segment below it; one join per round doubles the covered depth, so a forest
 of depth D needs about log2(D) rounds (a root-down walk needs D). Each round
-is checkpointed to the session's shared checkpoint folder, which cuts the
-plan and makes a lost executor recompute one round, not all of them.
+is written as a table into the session's shared checkpoint folder
+(``spark.checkpoint.dir``) and read back, which cuts the plan and makes a lost
+executor recompute one round, not all of them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,26 +32,36 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
             checkpoint: bool = True) -> DataFrame:
     """JOIN_LINEAGE: per node its root-to-node path (array of ids), depth and root."""
     spark = snapshots.sparkSession
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-    cur = forest_edges(snapshots, node, parent).select(
-        "node", F.col("parent").alias("jump"), F.array(F.col("node")).alias("seg"))
-    if checkpoint:
-        cur = cur.checkpoint()  # the input is read once, not once per round
-    done = cur.where(F.col("jump").isNull())
-    active = cur.where(F.col("jump").isNotNull())
-    for _ in range(MAX_ROUNDS):
-        if active.isEmpty():
+    base = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid.uuid4().hex}" if checkpoint else None
+
+    def materialize(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, bool]:
+        """Write a round once (partitioned into finished / still-active rows) in the shared
+        checkpoint folder and read it back: one job, a short plan for the next round, a lost
+        executor recomputes one round only. Whether active rows remain is read from the
+        partition folders (a listing), not from another job."""
+        df = df.withColumn("_d", F.col("jump").isNull().cast("int"))  # 1 = path finished
+        if base is None:
+            act = df.where(F.col("_d") == 0).drop("_d")
+            return df.where(F.col("_d") == 1).drop("_d"), act, not act.isEmpty()
+        path = f"{base}/{name}"
+        df.write.mode("overwrite").partitionBy("_d").parquet(path)
+        back = spark.read.parquet(path)
+        more = any("_d=0" in f for f in back.inputFiles())
+        return (back.where(F.col("_d") == 1).drop("_d"),
+                back.where(F.col("_d") == 0).drop("_d") if more else None, more)
+
+    done, active, more = materialize(forest_edges(snapshots, node, parent).select(
+        "node", F.col("parent").alias("jump"), F.array(F.col("node")).alias("seg")), "r0")
+    for k in range(1, MAX_ROUNDS + 1):
+        if not more:
             break
         table = done.unionByName(active).select(F.col("node").alias("_u"), F.col("jump").alias("_uj"),
                                                 F.col("seg").alias("_us"))
         step = (active.join(table, F.col("jump") == F.col("_u"))
                 .select("node", F.col("_uj").alias("jump"), F.concat("_us", "seg").alias("seg")))
-        if checkpoint:
-            step = step.checkpoint()
-        # ``done`` is a union of checkpointed rounds: its plan stays short
-        done = done.unionByName(step.where(F.col("jump").isNull()))
-        active = step.where(F.col("jump").isNotNull())
+        finished, active, more = materialize(step, f"r{k}")
+        # ``done`` is a union of written rounds: its plan stays short
+        done = done.unionByName(finished)
     return done.select(F.col("node").alias(node), F.col("seg").alias("path"),
                        F.size("seg").cast("bigint").alias("depth"), F.col("seg")[0].alias("root_id"))
 
