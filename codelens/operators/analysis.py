@@ -41,14 +41,14 @@ def file_issue_counts(files: DataFrame, lines: DataFrame) -> DataFrame:
         F.count_if("string_concatenation").alias("string_concats"),
     )
     go_lines = al.where(is_go).select("file_id", "line_no", "line")
-    empty_err = R.empty_error_blocks(go_lines).groupBy("file_id").agg(F.count(F.lit(1)).alias("empty_error_blocks"))
-    nested = R.nested_loops(al.select("file_id", "line_no", "line")).groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("nested_loops"))
+    hits = R.neighbour_hits(al.select("file_id", "line_no", "line", "language"), is_go=is_go)
+    neighbours = hits.groupBy("file_id").agg(
+        F.count_if(F.col("rule") == "empty_error_handling").alias("empty_error_blocks"),
+        F.count_if(F.col("rule") == "nested_loops").alias("nested_loops"))
     complex_fn = (R.cyclomatic(go_lines).where(F.col("complexity") > C.COMPLEXITY_LIMIT)
                   .groupBy("file_id").agg(F.count(F.lit(1)).alias("complex_functions")))
     out = (af.join(counts, "file_id", "left")
-           .join(empty_err, "file_id", "left")
-           .join(nested, "file_id", "left")
+           .join(neighbours, "file_id", "left")
            .join(complex_fn, "file_id", "left"))
     num = ["lines", "long_lines", "todo_comments", "panic_usages", "debug_prints", "security_issues",
            "string_concats", "empty_error_blocks", "nested_loops", "complex_functions"]

@@ -104,6 +104,34 @@ def nested_loops(lines: DataFrame, lookahead: int = C.NESTED_LOOP_LOOKAHEAD) ->
     return loops.join(targets, ["file_id", "line_no"], "left_semi")
 
 
+def neighbour_hits(lines: DataFrame, is_go: Column | None = None,
+                   lookahead: int = C.NESTED_LOOP_LOOKAHEAD) -> DataFrame:
+    """Both neighbour rules with one semi-join: (file_id, line_no, rule) for nested loops and
+    (Go only) empty ``if err != nil {`` blocks.
+
+    Anchor lines (``for `` lines; ``if err`` lines) meet the positions named by candidate lines
+    (a ``for `` line names the 9 lines before it; a ``}`` line the line before it) on the unique
+    key (file_id, line_no, rule).
+    """
+    ln = F.col("line")
+    go = is_go if is_go is not None else F.lit(True)
+    has_for = ln.contains("for ")
+    anchors = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.explode(F.filter(F.array(
+        F.when(has_for, F.lit("nested_loops")),
+        F.when(go & ln.contains("if err != nil {"), F.lit("empty_error_handling"))), lambda x: x.isNotNull())).alias("rule"))
+    pos = F.col("line_no").cast("bigint")
+    near = F.sequence(pos - lookahead, pos - 1)
+    cands = lines.where(has_for | (go & (trim_ws(ln) == F.lit("}")))).select(
+        "file_id", F.explode(F.concat(
+            F.when(has_for, F.transform(near, lambda p: F.struct(p.alias("line_no"), F.lit("nested_loops").alias("rule"))))
+            .otherwise(F.array().cast("array<struct<line_no:bigint,rule:string>>")),
+            F.when(go & (trim_ws(ln) == F.lit("}")),
+                   F.array(F.struct((pos - 1).alias("line_no"), F.lit("empty_error_handling").alias("rule"))))
+            .otherwise(F.array().cast("array<struct<line_no:bigint,rule:string>>")))).alias("c"))
+    cands = cands.select("file_id", F.col("c.line_no").alias("line_no"), F.col("c.rule").alias("rule"))
+    return anchors.join(cands, ["file_id", "line_no", "rule"], "left_semi")
+
+
 def string_concat(line: Column) -> Column:
     return line.contains("+=") & line.contains('"')
 

@@ -177,7 +177,7 @@ SUG_CTES = _cte_upto("scores") + [
     ("secf", "SELECT al.file_id, al.line_no, unnest(" + D_SEC_ARRAY + ") AS description FROM al"),
     ("sugg", """
 SELECT file_id, CAST(line_no AS BIGINT) AS line, 'security' AS type, 'Security Vulnerability Detected' AS title,
-  printf('Line %d: %s', line_no, description) AS description, 0.8 AS confidence, 'critical' AS impact, 'security' AS category FROM secf
+  printf('Line %d: %s', line_no, description) AS description, CAST(0.8 AS DOUBLE) AS confidence, 'critical' AS impact, 'security' AS category FROM secf
 UNION ALL
 SELECT file_id, CAST(line_no AS BIGINT), 'optimization', 'Performance Optimization Opportunity', printf('Line %d: %s', line_no, 'nested_loops'),
   0.7, 'medium', 'performance' FROM flags WHERE nested_loop

@@ -48,7 +48,7 @@ UNION ALL SELECT project_id, 'deps-' || language, 'dependencies', printf('%s Dep
   CAST(least(28, 18 + 2 * dependencies) AS BIGINT), '#4caf50' FROM depg WHERE dependencies > 5""")
 GRAPH_LANG = d_case(PR.GRAPH_LANGUAGES, r"lower(regexp_extract(file, '(\.[^./]*)$', 1))", "unknown")
 D_LINKS = ("links", f"""
-SELECT project_id, 'project' AS source, 'lang-' || language AS target, 'hierarchy' AS link_type, 1.0 AS strength FROM langs
+SELECT project_id, 'project' AS source, 'lang-' || language AS target, 'hierarchy' AS link_type, CAST(1.0 AS DOUBLE) AS strength FROM langs
 UNION ALL SELECT project_id, 'lang-' || language, 'service-' || service_id, 'association', 0.8 FROM svc
 UNION ALL SELECT project_id, 'lang-' || {GRAPH_LANG}, 'error-' || file, 'error', 0.6 FROM errf
 UNION ALL SELECT project_id, 'lang-' || language, 'deps-' || language, 'dependency', 0.7 FROM depg WHERE dependencies > 5""")
