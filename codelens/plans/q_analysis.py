@@ -48,7 +48,7 @@ SELECT file_id, line_no, line, language,
   contains(line, 'for ') AND coalesce(max(CAST(contains(line, 'for ') AS INT)) OVER (
       PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING), 0) = 1 AS nested_loop,
   language = 'go' AND contains(line, 'if err != nil {{') AND
-      lead({D_TRIM.format(x='line')}) OVER (PARTITION BY file_id ORDER BY line_no) = '}}' AS empty_error
+      coalesce(lead({D_TRIM.format(x='line')}) OVER (PARTITION BY file_id ORDER BY line_no) = '}}', false) AS empty_error
 FROM al"""),
     ("gm", r"""
 SELECT file_id, line_no, line,

@@ -183,7 +183,7 @@ def _d_md() -> str:
     for i, (kind, title) in enumerate(SECTIONS, start=1):
         detail = "' (' || coalesce(status, '') || ')'"
         if kind == "hypothesis":
-            detail += " || ' confidence ' || printf('%.2f', coalesce(confidence, 0.0))"
+            detail += " || ' confidence ' || printf('%.2f', round(coalesce(confidence, 0.0), 2))"
         parts.append(f"SELECT DISTINCT snapshot_id, {i}, 0, '{title}' FROM st WHERE kind = '{kind}'")
         parts.append(f"SELECT snapshot_id, {i}, 1, '- ' || {_d_icon(kind)} || ' ' || entity_id || {detail} FROM st WHERE kind = '{kind}'")
     return "\nUNION ALL\n".join(parts)

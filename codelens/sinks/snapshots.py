@@ -83,7 +83,9 @@ def markdown_lines(events: DataFrame) -> DataFrame:
         k = st.where(F.col("kind") == kind)
         detail = F.concat(F.lit(" ("), F.coalesce(F.col("status"), F.lit("")), F.lit(")"))
         if kind == "hypothesis":
-            detail = F.concat(detail, F.lit(" confidence "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))))
+            # round half up first, then print two decimals (the same text on every engine)
+            detail = F.concat(detail, F.lit(" confidence "),
+                              F.format_string("%.2f", F.round(F.coalesce("confidence", F.lit(0.0)), 2)))
         entry = k.select("snapshot_id", F.lit(i).alias("section"),
                          F.lit(1).alias("ord"),
                          F.concat(F.lit("- "), _icon(kind), F.lit(" "), F.col("entity_id"), detail).alias("line"))
