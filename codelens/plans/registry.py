@@ -21,11 +21,43 @@ def query(name: str, sql: str | None):
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query id {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, nullsafe_count_if(sql) if sql else sql)
         return fn
     return deco
 
 
+def nullsafe_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` over only NULL inputs is NULL where Spark's is 0:
+    wrap every call as ``coalesce(count_if(...), 0)`` (string literals are skipped)."""
+    out, i, n = [], 0, len(sql)
+    key = "count_if("
+    while i < n:
+        if sql.startswith(key, i) and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")):
+            j, depth, in_str = i + len(key), 1, False
+            while j < n and depth:
+                c = sql[j]
+                if in_str:
+                    if c == "'":
+                        if j + 1 < n and sql[j + 1] == "'":
+                            j += 1
+                        else:
+                            in_str = False
+                elif c == "'":
+                    in_str = True
+                elif c == "(":
+                    depth += 1
+                elif c == ")":
+                    depth -= 1
+                j += 1
+            inner = nullsafe_count_if(sql[i + len(key): j - 1])
+            out.append(f"coalesce(count_if({inner}), 0)")
+            i = j
+        else:
+            out.append(sql[i])
+            i += 1
+    return "".join(out)
+
+
 class Views:
     """Accessor for the registered driver tables and fixture views."""
 
