@@ -170,8 +170,26 @@ def detected_languages(files: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).cast("bigint").alias("files"),
                   F.sum(split_lines).cast("bigint").alias("lines"),
                   F.count_if("_main").cast("bigint").alias("main_files")))
+    by_cfg = config_languages(f)
     tests = has_tests(files)
-    return by_ext.join(tests, "project_id", "left").withColumn("has_linting", F.lit(False))
+    return (by_ext.join(by_cfg, ["project_id", "language"], "full_outer")
+            .select("project_id", "language",
+                    *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("files", "lines", "main_files", "config_files")],
+                    F.coalesce("has_linting", F.lit(False)).alias("has_linting"))
+            .join(tests, "project_id", "left"))
+
+
+def config_languages(files: DataFrame) -> DataFrame:
+    """JOIN_CONFIG_LANG + JOIN_LINT_SETUP per (project, language): config files found by base name,
+    and linting when a lint tool name of the language is inside one of those config paths."""
+    cfg_map = {c.lower(): k for k, _, _, cfgs, _ in LANGUAGES for c in cfgs}
+    tools = F.create_map(*[x for k, _, _, _, t in LANGUAGES for x in (F.lit(k), F.array(*[F.lit(s.lower()) for s in t]))])
+    path = F.lower(F.col("rel_path"))
+    c = (files.withColumn("language", map_lookup(cfg_map, F.lower(basename(F.col("rel_path")))))
+         .where(F.col("language").isNotNull())
+         .withColumn("_lint", F.exists(F.try_element_at(tools, F.col("language")), lambda t: path.contains(t))))
+    return c.groupBy("project_id", "language").agg(F.count(F.lit(1)).cast("bigint").alias("config_files"),
+                                                   F.max("_lint").alias("has_linting"))
 
 
 def has_tests(files: DataFrame) -> DataFrame:

@@ -28,6 +28,14 @@ JOIN (VALUES (0,'src'),(1,'tests'),(2,'docs'),(3,'node_modules/pkg'),(4,'lib'),(
   ON doc_id % 7 = dk
 JOIN (VALUES (0,'.go'),(1,'.py'),(2,'.js'),(3,'.ts'),(4,'.java'),(5,'.cpp'),(6,'.cs'),(7,'.php'),(8,'.rb'),(9,'.rs'),(10,'.md')) AS e(ek, ext)
   ON doc_id % 11 = ek
+UNION ALL
+SELECT -1 - s_suppkey AS file_id, concat('src', cast(s_suppkey % 20 AS string)) AS project_id, cfg AS rel_path, cdir AS dir,
+       cext AS ext, CASE WHEN cfg = 'package.json' THEN concat('{"name":"svc', cast(s_suppkey AS string), '"}') ELSE '' END AS content
+FROM supplier
+JOIN (VALUES (0,'package.json','','.json'),(1,'go.mod','','.mod'),(2,'.eslintrc.json','','.json'),(3,'tsconfig.json','','.json'),
+             (4,'requirements.txt','','.txt'),(5,'Cargo.toml','','.toml'),(6,'tools/flake8/setup.cfg','tools/flake8','.cfg'))
+  AS c(ck, cfg, cdir, cext)
+  ON s_suppkey % 7 = ck
 """)
 
 # One template line per rule the scanners must hit.

@@ -142,13 +142,24 @@ D_TESTS = ("tests", f"""SELECT project_id, bool_or(len(list_filter(string_split(
   lambda s: {' OR '.join(f"contains(s, {sql_str(p)})" for p in PR.TEST_PATTERNS)})) > 0) AS has_tests FROM files GROUP BY project_id""")
 D_MAINCASE = "CASE language " + " ".join(
     f"WHEN {sql_str(k)} THEN {D_NAME} IN ({sql_list([m.lower() for m in v])})" for k, v in PR.LANGUAGE_MAIN_FILES.items()) + " END"
-D_LANGS = ("langs", f"""SELECT project_id, language, CAST(count(*) AS BIGINT) AS files, CAST(sum({D_SPLIT}) AS BIGINT) AS lines,
-  CAST(count_if({D_MAINCASE}) AS BIGINT) AS main_files
-FROM (SELECT *, {D_LANGMAP} AS language FROM files WHERE {D_LANGSCOPE}) f WHERE language IS NOT NULL GROUP BY project_id, language""")
+D_CFGMAP = d_case({c.lower(): k for k, _, _, cfgs, _ in PR.LANGUAGES for c in cfgs}, D_NAME, None)
+D_TOOLS = "CASE language " + " ".join(
+    f"WHEN {sql_str(k)} THEN [{sql_list([t.lower() for t in tools])}]" for k, _, _, _, tools in PR.LANGUAGES) + " END"
+D_LANGS = ("langs", f"""
+WITH le AS (SELECT project_id, language, count(*) AS files, sum({D_SPLIT}) AS lines, count_if({D_MAINCASE}) AS main_files
+  FROM (SELECT *, {D_LANGMAP} AS language FROM files WHERE {D_LANGSCOPE}) f WHERE language IS NOT NULL GROUP BY project_id, language),
+lc AS (SELECT project_id, language, count(*) AS config_files,
+    bool_or(len(list_filter({D_TOOLS}, lambda t: contains(lower(rel_path), t))) > 0) AS has_linting
+  FROM (SELECT *, {D_CFGMAP} AS language FROM files WHERE {D_LANGSCOPE}) g WHERE language IS NOT NULL GROUP BY project_id, language)
+SELECT coalesce(le.project_id, lc.project_id) AS project_id, coalesce(le.language, lc.language) AS language,
+  CAST(coalesce(le.files, 0) AS BIGINT) AS files, CAST(coalesce(le.lines, 0) AS BIGINT) AS lines,
+  CAST(coalesce(le.main_files, 0) AS BIGINT) AS main_files, CAST(coalesce(lc.config_files, 0) AS BIGINT) AS config_files,
+  coalesce(lc.has_linting, false) AS has_linting
+FROM le FULL OUTER JOIN lc ON le.project_id = lc.project_id AND le.language = lc.language""")
 
 
 @query("agg_languages", d_files("""
-SELECT l.*, t.has_tests, false AS has_linting FROM langs l LEFT JOIN tests t USING (project_id)""", [D_TESTS, D_LANGS]))
+SELECT l.*, t.has_tests FROM langs l LEFT JOIN tests t USING (project_id)""", [D_TESTS, D_LANGS]))
 def agg_languages(spark, sf_dir):
     return PR.detected_languages(_files(spark, sf_dir))
 
