@@ -13,7 +13,7 @@ from codelens.plans.q_diagnostics import win_context, win_last_error
 from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
 from codelens.plans.q_project import D_EXT, D_NAME
 from codelens.plans.q_streams import win_changes
-from codelens.plans.registry import REGISTRY, Views, query, sql_list, sql_str
+from codelens.plans.registry import REGISTRY, Views, query, sql_list
 
 
 def _files(spark, sf_dir):

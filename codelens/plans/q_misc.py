@@ -9,14 +9,13 @@ from codelens.functions import catalogs as C
 from codelens.functions.text import basename, file_ext, trim_ws
 from codelens.operators import deps as DP
 from codelens.operators import diagnostics as D
-from codelens.operators import ops as O
 from codelens.operators import process as P
 from codelens.operators import project as PR
 from codelens.operators.rules import attach, todos
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
 from codelens.plans.q_deps import D_ALL, D_PKG, all_dependencies
-from codelens.plans.q_diagnostics import D_CLASSIFIED, FLAKE8, MYPY, TOOL_LANG_CASE
+from codelens.plans.q_diagnostics import FLAKE8, MYPY, TOOL_LANG_CASE
 from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
 from codelens.plans.q_project import D_DIRS, D_EXT, D_PLUGSCOPE, D_TODOS, d_case
 from codelens.plans.registry import Views, query, sql_list, sql_str

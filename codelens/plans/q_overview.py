@@ -11,7 +11,6 @@ from codelens.operators import ops as O
 from codelens.operators import overview as OV
 from codelens.operators import process as P
 from codelens.operators import project as PR
-from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
 from codelens.plans.q_deps import D_NPM, D_PKG
 from codelens.plans.q_diagnostics import D_ACTIVE, D_CLASSIFIED, active_errors
