@@ -93,6 +93,27 @@ def plugin_scope(path: Column) -> Column:
     return ~F.exists(dirs_of(path), lambda s: s.isin(PLUGIN_SKIP_DIRS))
 
 
+# ---- FIXED VALUES: extra path substrings the Python and JavaScript plug-ins drop ----
+PYTHON_DROP = ["venv", "__pycache__", ".env", "site-packages"]
+JS_DROP = ["node_modules", "dist", "build"]
+
+
+def python_plugin_scope(path: Column) -> Column:
+    """Python plug-in: plug-in scope, minus paths containing venv / __pycache__ / .env / site-packages."""
+    out = plugin_scope(path)
+    for s in PYTHON_DROP:
+        out = out & ~path.contains(s)
+    return out
+
+
+def js_plugin_scope(path: Column) -> Column:
+    """JavaScript plug-in: plug-in scope, minus paths containing node_modules / dist / build."""
+    out = plugin_scope(path)
+    for s in JS_DROP:
+        out = out & ~path.contains(s)
+    return out
+
+
 def with_file_attrs(files: DataFrame) -> DataFrame:
     """Extension, base name, core language, code / analyzable / main / config flags, size."""
     p = F.col("rel_path")

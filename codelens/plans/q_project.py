@@ -45,12 +45,20 @@ def d_files(body: str, ctes=()) -> str:
     return duckdb_with(["files"], list(ctes)) + body
 
 
+D_PYSCOPE = "(" + D_PLUGSCOPE + "".join(f" AND NOT contains(rel_path, {sql_str(s)})" for s in PR.PYTHON_DROP) + ")"
+D_JSSCOPE = "(" + D_PLUGSCOPE + "".join(f" AND NOT contains(rel_path, {sql_str(s)})" for s in PR.JS_DROP) + ")"
+
+
 @query("src_scope", d_files(f"""
-SELECT file_id, rel_path, {D_STRUCT} AS in_structure, {D_LANGSCOPE} AS in_languages, {D_PLUGSCOPE} AS in_plugin FROM files"""))
+SELECT file_id, rel_path, {D_STRUCT} AS in_structure, {D_LANGSCOPE} AS in_languages, {D_PLUGSCOPE} AS in_plugin,
+  {D_PYSCOPE} AS in_python_plugin, {D_JSSCOPE} AS in_js_plugin FROM files"""))
 def src_scope(spark, sf_dir):
+    """SRC_SCOPE: the five ignore rules as predicates on path elements (one column per scope)."""
     p = F.col("rel_path")
     return _files(spark, sf_dir).select("file_id", "rel_path", PR.structure_scope(p).alias("in_structure"),
-                                        PR.language_scope(p).alias("in_languages"), PR.plugin_scope(p).alias("in_plugin"))
+                                        PR.language_scope(p).alias("in_languages"), PR.plugin_scope(p).alias("in_plugin"),
+                                        PR.python_plugin_scope(p).alias("in_python_plugin"),
+                                        PR.js_plugin_scope(p).alias("in_js_plugin"))
 
 
 @query("src_ext_list", d_files(f"""
