@@ -47,7 +47,10 @@ def explode_lines(files: DataFrame) -> DataFrame:
         .select("file_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+# FIXED VALUES: log globs (non-recursive) of the core watcher and of the Python and JavaScript plug-ins
 LOG_GLOBS = ["*.log", "logs/*.log", "log/*.log"]
+PY_LOG_GLOBS = LOG_GLOBS + ["django.log", "app.log", "error.log"]
+JS_LOG_GLOBS = LOG_GLOBS + [".next/*.log", "npm-debug.log*", "yarn-debug.log*", "yarn-error.log*"]
 
 
 def read_logs(spark: SparkSession, root: str, globs=LOG_GLOBS) -> DataFrame:

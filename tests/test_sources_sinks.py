@@ -49,6 +49,13 @@ def test_read_logs_globs(spark, scratch):
     files = {os.path.basename(r.file) for r in df.select("file").distinct().collect()}
     assert files == {"app.log", "x.log"}
     assert df.where(F.col("line") == "Error: boom").select("line_no").first()[0] == 2
+    # overlapping globs (*.log and app.log) still give each file once
+    py = SF.read_logs(spark, root, SF.PY_LOG_GLOBS)
+    assert py.where(F.col("line") == "Error: boom").count() == 1
+    with open(os.path.join(root, "npm-debug.log.1"), "w") as fh:
+        fh.write("npm ERR! code 1\n")
+    js = SF.read_logs(spark, root, SF.JS_LOG_GLOBS)
+    assert js.where(F.col("line") == "npm ERR! code 1").count() == 1
 
 
 def test_snapshot_store_roundtrip(spark, scratch):
