@@ -4,6 +4,9 @@ Plan: ``file_lines`` -> one projection of line flags -> ``groupBy(file_id)``
 (partial aggregation) -> file scores -> ``groupBy(project_id)``. The neighbour
 rules and Go function complexity are separate narrow frames of hits, reduced
 to per-file counts and joined on ``file_id``.
+
+FIXED VALUES: score weights, band limits and the recommendation texts in this
+module are the source tool's values, kept verbatim.
 """
 
 from __future__ import annotations

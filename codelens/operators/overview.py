@@ -3,6 +3,9 @@
 ``project_state`` joins small per-project aggregates (one row per project
 each) on ``project_id``; the advice operators are ``filter(array(when ...))``
 projections of that state, exploded with their position.
+
+FIXED VALUES: every advice text and threshold in this module is the source
+tool's text and threshold, kept verbatim.
 """
 
 from __future__ import annotations

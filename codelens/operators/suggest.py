@@ -1,8 +1,11 @@
 """Code-block suggestion engine over whole files (file-level and line-level checks).
 
-Line checks are columns of one projection over ``file_lines``; file checks
-are substring counts on the file content (no explode). Scores are per-file
-aggregates joined on ``file_id``.
+Line checks are columns of one projection over ``file_lines``; whole-file
+checks are aggregates of line facts (``file_facts``), so no file text is
+rebuilt. Scores are per-file aggregates joined on ``file_id``.
+
+FIXED VALUES: the checked substrings, thresholds and issue texts in this
+module are the source tool's values, kept verbatim.
 """
 
 from __future__ import annotations
