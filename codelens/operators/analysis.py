@@ -133,9 +133,9 @@ def security_report(scores: DataFrame) -> DataFrame:
     crit, med, low = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     risk = F.least(F.lit(100), crit * 10 + F.col("high") * 7 + med * 4 + low)
     advice = F.filter(F.array(
-        F.when(crit > 0, F.lit("Address critical security issues immediately")),
-        F.when(F.col("high") > 0, F.lit("Fix high-priority security vulnerabilities")),
-        F.when(med + low > 10, F.lit("Consider implementing automated security scanning")),
+        F.when(crit > 0, F.lit("🚨 Address critical security issues immediately")),
+        F.when(F.col("high") > 0, F.lit("🔒 Fix high-priority security vulnerabilities")),
+        F.when(med + low > 10, F.lit("🛡️ Consider implementing automated security scanning")),
     ), lambda x: x.isNotNull())
     return base.select("project_id", F.col("high").alias("total_issues"), crit.alias("critical"),
                        "high", med.alias("medium"), low.alias("low"),
@@ -164,18 +164,18 @@ def project_recommendations(summary: DataFrame) -> DataFrame:
     s = summary
     recs = F.array(
         F.when(F.col("total_security_issues") > 0,
-               F.format_string("Address %d security issues immediately - these pose serious risks",
+               F.format_string("🔒 Address %d security issues immediately - these pose serious risks",
                                F.col("total_security_issues"))),
         F.when(F.col("average_complexity") > 50,
-               F.lit("Consider refactoring high-complexity functions to improve maintainability")),
+               F.lit("🔧 Consider refactoring high-complexity functions to improve maintainability")),
         F.when(F.col("technical_debt_hours") > 40,
-               F.format_string("Allocate %d hours to address technical debt", F.col("technical_debt_hours"))),
+               F.format_string("⏰ Allocate %d hours to address technical debt", F.col("technical_debt_hours"))),
         F.when(F.col("total_performance_issues") > 10,
-               F.lit("Performance optimization opportunities identified - consider prioritizing high-impact improvements")),
+               F.lit("⚡ Performance optimization opportunities identified - consider prioritizing high-impact improvements")),
         F.when(F.col("overall_score") > 80,
-               F.lit("Code quality is excellent! Consider implementing automated quality gates"))
+               F.lit("✅ Code quality is excellent! Consider implementing automated quality gates"))
         .when(F.col("overall_score") < 60,
-              F.lit("Code quality needs improvement - focus on addressing critical issues first")),
+              F.lit("⚠️ Code quality needs improvement - focus on addressing critical issues first")),
     )
     return s.select("project_id", F.posexplode(F.filter(recs, lambda x: x.isNotNull())).alias("pos", "recommendation"))
 

@@ -294,7 +294,7 @@ def agg_lang_quality(spark, sf_dir):
 SELECT project_id, CAST(sum(security_issues) AS BIGINT) AS total_issues, CAST(0 AS BIGINT) AS critical,
   CAST(sum(security_issues) AS BIGINT) AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low,
   CAST(least(100, sum(security_issues) * 7) AS BIGINT) AS risk_score,
-  CASE WHEN sum(security_issues) > 0 THEN 'Fix high-priority security vulnerabilities' ELSE '' END AS recommendations
+  CASE WHEN sum(security_issues) > 0 THEN '🔒 Fix high-priority security vulnerabilities' ELSE '' END AS recommendations
 FROM scores GROUP BY project_id"""))
 def agg_security(spark, sf_dir):
     return A.security_report(_scores(spark, sf_dir))
@@ -314,12 +314,12 @@ def agg_performance(spark, sf_dir):
 SELECT project_id, CAST(pos - 1 AS BIGINT) AS pos, recommendation FROM (
   SELECT project_id, unnest(recs) AS recommendation, generate_subscripts(recs, 1) AS pos FROM (
     SELECT project_id, list_filter([
-      CASE WHEN total_security_issues > 0 THEN printf('Address %d security issues immediately - these pose serious risks', total_security_issues) END,
-      CASE WHEN average_complexity > 50 THEN 'Consider refactoring high-complexity functions to improve maintainability' END,
-      CASE WHEN technical_debt_hours > 40 THEN printf('Allocate %d hours to address technical debt', technical_debt_hours) END,
-      CASE WHEN total_performance_issues > 10 THEN 'Performance optimization opportunities identified - consider prioritizing high-impact improvements' END,
-      CASE WHEN overall_score > 80 THEN 'Code quality is excellent! Consider implementing automated quality gates'
-           WHEN overall_score < 60 THEN 'Code quality needs improvement - focus on addressing critical issues first' END
+      CASE WHEN total_security_issues > 0 THEN printf('🔒 Address %d security issues immediately - these pose serious risks', total_security_issues) END,
+      CASE WHEN average_complexity > 50 THEN '🔧 Consider refactoring high-complexity functions to improve maintainability' END,
+      CASE WHEN technical_debt_hours > 40 THEN printf('⏰ Allocate %d hours to address technical debt', technical_debt_hours) END,
+      CASE WHEN total_performance_issues > 10 THEN '⚡ Performance optimization opportunities identified - consider prioritizing high-impact improvements' END,
+      CASE WHEN overall_score > 80 THEN '✅ Code quality is excellent! Consider implementing automated quality gates'
+           WHEN overall_score < 60 THEN '⚠️ Code quality needs improvement - focus on addressing critical issues first' END
     ], lambda x: x IS NOT NULL) AS recs FROM summary) s) t"""))
 def rec_project(spark, sf_dir):
     return (A.project_recommendations(_summary(spark, sf_dir))
