@@ -170,8 +170,10 @@ def error_overlap(lines: DataFrame, errors: DataFrame, first_n: int = 3) -> Data
             .withColumn("insight", F.lit("This code may relate to active error - verify carefully")))
 
 
-def analyzer_suggestions(findings_sec: DataFrame, findings_perf: DataFrame, smells_per_file: DataFrame) -> DataFrame:
-    """RUL_SUGGESTIONS: security (0.8, critical), performance (0.7, its severity), > 5 smells (0.9, medium)."""
+def analyzer_suggestions(findings_sec: DataFrame, findings_perf: DataFrame, smells_per_file: DataFrame,
+                         functions: DataFrame | None = None) -> DataFrame:
+    """RUL_SUGGESTIONS: security (0.8, critical), performance (0.7, its severity), > 5 smells (0.9, medium),
+    Go functions of complexity > 10 (0.9, high)."""
     sec = findings_sec.select("file_id", F.col("line_no").cast("bigint").alias("line"), F.lit("security").alias("type"),
                               F.lit("Security Vulnerability Detected").alias("title"),
                               F.format_string("Line %d: %s", "line_no", "description").alias("description"),
@@ -187,7 +189,16 @@ def analyzer_suggestions(findings_sec: DataFrame, findings_perf: DataFrame, smel
                     F.lit("Code Quality Improvement Needed").alias("title"),
                     F.format_string("File has %d code quality issues that should be addressed", "code_smells").alias("description"),
                     F.lit(0.9).alias("confidence"), F.lit("medium").alias("impact"), F.lit("maintainability").alias("category")))
-    return sec.unionByName(perf).unionByName(qual)
+    out = sec.unionByName(perf).unionByName(qual)
+    if functions is not None:
+        cx = (functions.where(F.col("complexity") > C.COMPLEXITY_LIMIT)
+              .select("file_id", F.col("func_line").cast("bigint").alias("line"), F.lit("refactoring").alias("type"),
+                      F.concat(F.lit("High Complexity in "), F.coalesce("func_name", F.lit("anonymous"))).alias("title"),
+                      F.format_string("Function has cyclomatic complexity of %d (recommended: <10)", "complexity")
+                      .alias("description"),
+                      F.lit(0.9).alias("confidence"), F.lit("high").alias("impact"), F.lit("maintainability").alias("category")))
+        out = out.unionByName(cx)
+    return out
 
 
 def parse_limit(text: Column, default: int = 50) -> Column:

@@ -187,7 +187,11 @@ SELECT file_id, CAST(line_no AS BIGINT), 'optimization', 'Performance Optimizati
 UNION ALL
 SELECT file_id, CAST(0 AS BIGINT), 'refactoring', 'Code Quality Improvement Needed',
   printf('File has %d code quality issues that should be addressed', code_smells), 0.9, 'medium', 'maintainability'
-FROM scores WHERE code_smells > 5"""),
+FROM scores WHERE code_smells > 5
+UNION ALL
+SELECT file_id, CAST(func_line AS BIGINT), 'refactoring', 'High Complexity in ' || coalesce(func_name, 'anonymous'),
+  printf('Function has cyclomatic complexity of %d (recommended: <10)', complexity), 0.9, 'high', 'maintainability'
+FROM cyc WHERE complexity > 10"""),
 ]
 
 
@@ -200,7 +204,8 @@ def suggestions(spark, sf_dir):
     concat = (al.where(R.string_concat(F.col("line"))).select("file_id", "line_no")
               .withColumn("issue", F.lit("string_concatenation")).withColumn("severity", F.lit("low")))
     scores = A.file_scores(A.file_issue_counts(files, lines))
-    return SG.analyzer_suggestions(sec, nested.unionByName(concat), scores)
+    cyc = R.cyclomatic(al.where(F.col("language") == "go").select("file_id", "line_no", "line"))
+    return SG.analyzer_suggestions(sec, nested.unionByName(concat), scores, cyc)
 
 
 @query("rul_suggestions", duckdb_with(["files", "file_lines"], SUG_CTES) + "SELECT * FROM sugg")
