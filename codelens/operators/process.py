@@ -22,14 +22,16 @@ def with_context(lines: DataFrame, keys=("pid", "source"), pos: str = "seq", n:
     keys = list(keys)
     indexed = dense_index(lines, keys, pos, out="_i")
     errs = classify_process_lines(indexed) if errors is None else errors
-    wanted = errs.select(*keys, F.col(pos).alias("_err"),
+    carried = [pos, "severity", "error_type", "message"]
+    # each error names the positions of its context lines; the error's own columns ride along,
+    # so one join and one (bounded, <= n rows) group give the result
+    wanted = errs.select(*keys, *carried,
                          F.explode(F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("_i") - (n - 1)),
                                               F.col("_i"))).alias("_i"))
-    ctx = (wanted.join(indexed.select(*keys, "_i", F.col("line").alias("_ctx")), [*keys, "_i"])
-           .groupBy("_err").agg(F.sort_array(F.collect_list(F.struct("_i", "_ctx"))).alias("_c")))
-    return (errs.join(ctx, errs[pos] == ctx["_err"])
+    ctx = wanted.join(indexed.select(*keys, "_i", F.col("line").alias("_ctx")), [*keys, "_i"])
+    return (ctx.groupBy(*keys, *carried).agg(F.sort_array(F.collect_list(F.struct("_i", "_ctx"))).alias("_c"))
             .withColumn("context", F.transform("_c", lambda x: x["_ctx"]))
-            .drop("_c", "_err", "_i"))
+            .drop("_c"))
 
 
 def tail(lines: DataFrame, keys=("pid",), pos: str = "seq", n: int = C.DEFAULT_TAIL) -> DataFrame:
