@@ -50,15 +50,18 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
         return (back.where(F.col("_d") == 1).drop("_d"),
                 back.where(F.col("_d") == 0).drop("_d") if more else None, more)
 
-    done, active, more = materialize(forest_edges(snapshots, node, parent).select(
-        "node", F.col("parent").alias("jump"), F.array(F.col("node")).alias("seg")), "r0")
+    done, active, more = materialize(snapshots.select(
+        F.col(node).alias("node"), F.col(parent).alias("jump"), F.array(F.col(node)).alias("seg")), "r0")
     for k in range(1, MAX_ROUNDS + 1):
         if not more:
             break
         table = done.unionByName(active).select(F.col("node").alias("_u"), F.col("jump").alias("_uj"),
                                                 F.col("seg").alias("_us"))
-        step = (active.join(table, F.col("jump") == F.col("_u"))
-                .select("node", F.col("_uj").alias("jump"), F.concat("_us", "seg").alias("seg")))
+        # left join: a jump to an unknown node (a missing parent; only possible in the first
+        # round) ends the path where it is
+        step = (active.join(table, F.col("jump") == F.col("_u"), "left")
+                .select("node", F.when(F.col("_u").isNotNull(), F.col("_uj")).alias("jump"),
+                        F.when(F.col("_u").isNotNull(), F.concat("_us", "seg")).otherwise(F.col("seg")).alias("seg")))
         finished, active, more = materialize(step, f"r{k}")
         # ``done`` is a union of written rounds: its plan stays short
         done = done.unionByName(finished)
