@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: only in tests and local runs
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive a lost executor on a cluster
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        # unset in a local run (tests, bench): a scratch folder
         conf_dir = _scratch("codelens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
