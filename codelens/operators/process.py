@@ -63,7 +63,8 @@ def latest_errors(errors: DataFrame, since_minutes: int = 5, ts: str = "ts", key
     """
     last = latest_per_key(errors, [key])
     ref = as_of if as_of is not None else errors.select(F.max(ts)).scalar()
-    return last.where(F.col(ts) >= ref - F.expr(f"INTERVAL {int(since_minutes)} MINUTES"))
+    # strictly after the cut-off, as the source tool compares
+    return last.where(F.col(ts) > ref - F.expr(f"INTERVAL {int(since_minutes)} MINUTES"))
 
 
 def parse_duration_minutes(text: Column, default_minutes: int = 5) -> Column:

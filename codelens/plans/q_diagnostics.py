@@ -381,7 +381,7 @@ def win_retain(spark, sf_dir):
 @query("win_last_error", duckdb_with(["log_lines"]) + f"""
 SELECT pid, seq, severity, error_type, line AS message, {duck.ts_text('ts')} AS ts FROM (
   SELECT *, row_number() OVER (PARTITION BY pid ORDER BY seq DESC) AS r FROM ({D_CLASSIFIED}) c) s
-WHERE r = 1 AND ts >= (SELECT max(ts) FROM log_lines) - INTERVAL 1440 MINUTES""")
+WHERE r = 1 AND ts > (SELECT max(ts) FROM log_lines) - INTERVAL 1440 MINUTES""")
 def win_last_error(spark, sf_dir):
     lines = _log(spark, sf_dir)
     errs = D.classify_process_lines(lines).select("pid", "seq", "severity", "error_type", "message", "ts")
