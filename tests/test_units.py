@@ -21,6 +21,30 @@ def test_dense_index_small_buckets_equals_row_number(spark):
         assert [got[(k, p)] for p in ps] == list(range(1, len(ps) + 1))
 
 
+def test_dense_index_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 5000)), min_size=1, max_size=300,
+                    unique_by=lambda t: t), st.sampled_from([1, 3, 64, 1 << 16]))
+    def check(rows, width):
+        df = spark.createDataFrame(rows, "k string, p long")
+        got = {(r.k, r.p): r.idx for r in dense_index(df, ["k"], "p", width=width).collect()}
+        for k in {k for k, _ in rows}:
+            ps = sorted(p for kk, p in rows if kk == k)
+            assert [got[(k, p)] for p in ps] == list(range(1, len(ps) + 1))
+
+    check()
+
+
+def test_nullsafe_count_if_rewrite():
+    from codelens.plans.registry import nullsafe_count_if
+    sql = "SELECT count_if(contains(x, 'a)(')) + count_if(y = 'it''s'), my_count_if(z) FROM t"
+    assert nullsafe_count_if(sql) == ("SELECT coalesce(count_if(contains(x, 'a)(')), 0) + "
+                                      "coalesce(count_if(y = 'it''s'), 0), my_count_if(z) FROM t")
+
+
 def test_ffill_matches_python(spark):
     rng = random.Random(7)
     rows = [(f, n, rng.choice([None, None, None, n * 10])) for f in range(3) for n in range(1, 400)]
