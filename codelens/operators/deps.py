@@ -141,15 +141,24 @@ def requirements_dependencies(lines: DataFrame) -> DataFrame:
             .drop("_t"))
 
 
+def section_headers(lines: DataFrame, keys=(), pos: str = "line_no") -> DataFrame:
+    """Each line with its trimmed text ``_t`` and the last ``[...]`` header strictly before it (``_sec``)."""
+    marked = (lines.withColumn("_t", trim_ws(F.col("line")))
+              .withColumn("_h", F.when(F.col("_t").startswith("["), F.col("_t"))))
+    return ffill(marked, list(keys), pos, "_h", "_sec", inclusive=False)
+
+
 def section_dependencies(lines: DataFrame, headers: list[str], source: str, keys=(), pos: str = "line_no") -> DataFrame:
-    """DEP_PYPROJECT / DEP_PIPFILE: ``k = v`` lines inside the given TOML sections."""
+    """DEP_PYPROJECT / DEP_PIPFILE: ``k = v`` lines inside the given TOML sections.
+
+    A line is inside a section when the last ``[...]`` line before it is one of
+    ``headers``; that header is forward-filled once, so parsing several
+    section kinds of one file shares the same (reused) plan.
+    """
     keys = list(keys)
-    t = trim_ws(F.col("line"))
-    marked = lines.withColumn("_t", t).withColumn(
-        "_m", F.when(F.col("_t").isin(headers), 1).when(F.col("_t").startswith("["), 0))
-    filled = ffill(marked, keys, pos, "_m", "_in", inclusive=False)
+    filled = section_headers(lines, keys, pos)
     parts = F.split(F.col("_t"), "=")
-    keep = (F.col("_in") == 1) & ~F.col("_t").startswith("[") & F.col("_t").contains("=")
+    keep = F.col("_sec").isin(headers) & ~F.col("_t").startswith("[") & F.col("_t").contains("=")
     return (filled.where(keep)
             .select(*keys, pos, trim_ws(F.element_at(parts, 1)).alias("name"),
                     F.btrim(trim_ws(F.element_at(parts, 2)), F.lit("\"'")).alias("version"),
