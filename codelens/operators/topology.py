@@ -73,7 +73,8 @@ def generic_port_services(languages: DataFrame, ports: DataFrame) -> DataFrame:
     lp = ports.select(F.col("port").cast("bigint").alias("port")).distinct()
     cand = languages.select("project_id", "language",
                             F.explode(F.try_element_at(dim, F.col("language"))).alias("port"))
-    return cand.join(F.broadcast(lp), "port").select("project_id", "language", "port",
+    from codelens.functions.joins import broadcast_if_small
+    return cand.join(broadcast_if_small(lp), "port").select("project_id", "language", "port",
                                                       F.concat(F.col("language"), F.lit("-"), F.col("port").cast("string")).alias("service_id"))
 
 
