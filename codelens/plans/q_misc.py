@@ -71,8 +71,14 @@ def prj_relative_time(spark, sf_dir):
 SELECT project_id, health_score, CASE WHEN health_score >= 80 THEN 'healthy' WHEN health_score >= 50 THEN 'warning'
   ELSE 'error' END AS band FROM st""")
 def prj_health_band(spark, sf_dir):
-    s = project_state(spark, sf_dir)
-    return s.select("project_id", "health_score", D.health_band(F.col("health_score")).alias("band"))
+    """PRJ_HEALTH_BAND: health per project and its band, reading only what health needs."""
+    from codelens.plans.q_diagnostics import active_errors
+    from codelens.plans.q_project import project_key
+    files = Views(spark, sf_dir)("files")
+    projects = files.where(PR.structure_scope(F.col("rel_path"))).select("project_id").distinct()
+    errs = active_errors(spark, sf_dir).withColumn("project_id", project_key(F.col("project_id")))
+    h = D.health(errs, projects)
+    return h.select("project_id", F.col("score").alias("health_score"), D.health_band(F.col("score")).alias("band"))
 
 
 @query("prj_dep_language", duckdb_with(["manifest_json", "gomod_lines", "requirement_lines", "pyproject_lines"], [D_PKG]) + f"""
