@@ -38,6 +38,20 @@ def dense_index(df: DataFrame, keys: list[str], pos: str, out: str = "idx",
             .drop("_b", "_off"))
 
 
+def prefix_sum(df: DataFrame, keys: list[str], pos: str, value: str, out: str,
+               inclusive: bool = True, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Running sum of ``value`` within ``keys`` ordered by ``pos`` (bucketed like ``dense_index``)."""
+    b = df.withColumn("_b", _bucket(pos, width))
+    sums = b.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    end = 0 if inclusive else -1
+    inside = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
+    return (b.join(offsets, [*keys, "_b"])
+            .withColumn(out, (F.col("_off") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("bigint"))
+            .drop("_b", "_off"))
+
+
 def stream_sizes(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
     """Rows per key (partial aggregation, safe for a hot key)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias(out))

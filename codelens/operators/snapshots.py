@@ -77,6 +77,32 @@ def descendants(lineage_df: DataFrame, node: str = "snapshot_id") -> DataFrame:
                     (F.col("depth") - F.col("_pos") - 1).cast("bigint").alias("levels_below"), "path"))
 
 
+def with_preorder(desc: DataFrame, lineage_df: DataFrame, snapshots: DataFrame,
+                  node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
+    """Pre-order position of each descendant under its ancestor (children by id), without a window per ancestor.
+
+    size(v) = 1 + descendants of v; offset(v) = 1 + sizes of v's smaller siblings (bucketed
+    prefix sum per parent); cum(v) = offsets summed along v's path below the root; and the
+    position of d under a is cum(d) - cum(a). A root with a third of all nodes below it
+    is never one window partition.
+    """
+    from codelens.functions.windows import prefix_sum
+    edges = forest_edges(snapshots, node, parent)
+    counts = desc.groupBy(F.col("ancestor_id").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (edges.join(counts, "node", "left")
+             .select("node", "parent", (F.coalesce("_n", F.lit(0)) + 1).cast("bigint").alias("_size")))
+    kids = sizes.where(F.col("parent").isNotNull())
+    offs = (prefix_sum(kids, ["parent"], "node", "_size", "_before", inclusive=False)
+            .select("node", (F.col("_before") + 1).alias("_off")))
+    steps = lineage_df.select(F.col(node).alias("_v"), F.posexplode("path").alias("_p", "node")).where(F.col("_p") > 0)
+    cum = steps.join(offs, "node").groupBy("_v").agg(F.sum("_off").cast("bigint").alias("_cum"))
+    roots = lineage_df.select(F.col(node).alias("_v")).join(cum, "_v", "left").fillna(0, ["_cum"])
+    a = roots.select(F.col("_v").alias("ancestor_id"), F.col("_cum").alias("_ca"))
+    d = roots.select(F.col("_v").alias("descendant_id"), F.col("_cum").alias("_cd"))
+    return (desc.join(a, "ancestor_id").join(d, "descendant_id")
+            .withColumn("preorder", (F.col("_cd") - F.col("_ca")).cast("bigint")).drop("_ca", "_cd"))
+
+
 def branches(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
     """AGG_BRANCHES: child count per node, branch point (> 1 child) and leaf flags."""
     edges = forest_edges(snapshots, node, parent)

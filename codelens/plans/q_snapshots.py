@@ -44,11 +44,17 @@ def join_lineage(spark, sf_dir):
 
 
 @query("join_descendants", d_forest("""
-SELECT a.ancestor_id, w.snapshot_id AS descendant_id, CAST(len(w.path) - a.pos AS BIGINT) AS levels_below
-FROM walk w, LATERAL (SELECT unnest(w.path) AS ancestor_id, generate_subscripts(w.path, 1) AS pos) a
-WHERE a.ancestor_id <> w.snapshot_id"""))
+SELECT ancestor_id, descendant_id, levels_below,
+  CAST(row_number() OVER (PARTITION BY ancestor_id ORDER BY path) AS BIGINT) AS preorder FROM (
+  SELECT a.ancestor_id, w.snapshot_id AS descendant_id, CAST(len(w.path) - a.pos AS BIGINT) AS levels_below, w.path
+  FROM walk w, LATERAL (SELECT unnest(w.path) AS ancestor_id, generate_subscripts(w.path, 1) AS pos) a
+  WHERE a.ancestor_id <> w.snapshot_id) x"""))
 def join_descendants(spark, sf_dir):
-    return S.descendants(_lineage(spark, sf_dir)).select("ancestor_id", "descendant_id", "levels_below")
+    """JOIN_DESCENDANTS: every (ancestor, descendant) pair with depth below and pre-order position (children by id)."""
+    snaps = _snap(spark, sf_dir)
+    lin = S.lineage(snaps)
+    return (S.with_preorder(S.descendants(lin), lin, snaps)
+            .select("ancestor_id", "descendant_id", "levels_below", "preorder"))
 
 
 @query("agg_branches", d_forest("""

@@ -38,6 +38,20 @@ def test_dense_index_property(spark):
     check()
 
 
+def test_prefix_sum_small_buckets(spark):
+    from codelens.functions.windows import prefix_sum
+    rng = random.Random(11)
+    rows = [(k, p, rng.randint(1, 9)) for k in ("a", "b") for p in rng.sample(range(2000), 150)]
+    df = spark.createDataFrame(rows, "k string, p long, v long")
+    for inclusive in (True, False):
+        got = {(r.k, r.p): r.s for r in prefix_sum(df, ["k"], "p", "v", "s", inclusive=inclusive, width=7).collect()}
+        for k in ("a", "b"):
+            run = 0
+            for _, p, v in sorted(r for r in rows if r[0] == k):
+                assert got[(k, p)] == (run + v if inclusive else run)
+                run += v
+
+
 def test_nullsafe_count_if_rewrite():
     from codelens.plans.registry import nullsafe_count_if
     sql = "SELECT count_if(contains(x, 'a)(')) + count_if(y = 'it''s'), my_count_if(z) FROM t"
