@@ -18,6 +18,7 @@ from codelens.plans.q_deps import D_ALL, D_PKG, all_dependencies
 from codelens.plans.q_diagnostics import FLAKE8, MYPY, TOOL_LANG_CASE
 from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
 from codelens.plans.q_project import D_DIRS, D_EXT, D_PLUGSCOPE, D_TODOS, d_case
+from codelens.plans.q_streams import D_CHANGES
 from codelens.plans.registry import Views, query, sql_list, sql_str
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -160,13 +161,17 @@ def join_lint_setup(spark, sf_dir):
 
 # ------------------------------------------------------------ SRT_TOP_LISTS, SET_UNION
 
-@query("srt_top_lists", duckdb_with(["files", "file_lines", "ps_lines"], [D_TODOS]) + """
+@query("srt_top_lists", duckdb_with(["files", "file_lines", "ps_lines", "file_observations"], [D_TODOS, D_CHANGES]) + """
 SELECT 'todos' AS list, project_id, CAST(r AS BIGINT) AS rank, rel_path || ':' || CAST(line_no AS VARCHAR) AS item FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rel_path, line_no) AS r FROM todos) t WHERE r <= 10
 UNION ALL
-SELECT 'processes', 'all', CAST(r AS BIGINT), line FROM (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM ps_lines) p WHERE r <= 8""")
+SELECT 'processes', 'all', CAST(r AS BIGINT), line FROM (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM ps_lines) p WHERE r <= 8
+UNION ALL
+SELECT 'changes', 'all', CAST(r AS BIGINT), path || ' ' || change_type FROM (
+  SELECT *, row_number() OVER (ORDER BY seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) c WHERE r <= 10""")
 def srt_top_lists(spark, sf_dir):
-    """SRT_TOP_LISTS: first 10 todos per project and the first 8 process lines (the cut is the feature)."""
+    """SRT_TOP_LISTS: first 10 todos per project, the first 8 process lines, the newest 10 changes
+    (the cut is the feature; each is a partial top-k before any shuffle)."""
     v = Views(spark, sf_dir)
     t = todos(PR.todo_lines(v("files"), v("file_lines")))
     tt = P.top_k(t, ["project_id"], [F.col("rel_path"), F.col("line_no")], 10).select(
@@ -174,7 +179,10 @@ def srt_top_lists(spark, sf_dir):
         F.concat(F.col("rel_path"), F.lit(":"), F.col("line_no").cast("string")).alias("item"))
     pp = P.top_k(v("ps_lines"), [], [F.col("seq")], 8).select(
         F.lit("processes").alias("list"), F.lit("all").alias("project_id"), "rank", F.col("line").alias("item"))
-    return tt.unionByName(pp)
+    ch = P.top_k(P.file_changes(v("file_observations")), [], [F.col("seq").desc()], 10).select(
+        F.lit("changes").alias("list"), F.lit("all").alias("project_id"), "rank",
+        F.concat_ws(" ", "path", "change_type").alias("item"))
+    return tt.unionByName(pp).unionByName(ch)
 
 
 @query("set_union", duckdb_with(["tool_output"]) + f"""
