@@ -52,6 +52,31 @@ def test_change_stream_matches_batch(spark, scratch):
     assert {(r.seq, r.change_type) for r in batch} == {(r["seq"], r["change_type"]) for r in rows}
 
 
+def test_change_state_expires_on_event_time(spark, scratch):
+    """A path not seen for longer than the TTL loses its state: seen again, it is 'created' again."""
+    import datetime as dt
+
+    import pandas as pd
+    t0 = dt.datetime(2024, 1, 1)
+    batches = [
+        [(1, "a.go", t0, t0)],
+        [(2, "b.go", t0 + dt.timedelta(days=3), t0)],            # moves the watermark past a.go's TTL
+        [(3, "b.go", t0 + dt.timedelta(days=3, minutes=1), t0)],  # one more batch so the timeout fires
+        [(4, "a.go", t0 + dt.timedelta(days=3, minutes=2), t0)],  # same mtime as before
+    ]
+    src = os.path.join(scratch, "ttl-src")
+    os.makedirs(src)
+    for i, rows in enumerate(batches):
+        pd.DataFrame(rows, columns=["seq", "path", "observed_at", "mtime"]).to_parquet(
+            os.path.join(src, f"part-{i:03d}.parquet"), index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(os.path.join(src, f"part-{i:03d}.parquet"), (1_000_000 + i, 1_000_000 + i))
+    schema = "seq long, path string, observed_at timestamp_ntz, mtime timestamp_ntz"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = _run(spark, W.change_stream(stream, ttl_ms=24 * 3600 * 1000))
+    got = sorted((r["seq"], r["path"], r["change_type"]) for r in rows)
+    assert got == [(1, "a.go", "created"), (2, "b.go", "created"), (4, "a.go", "created")]
+
+
 def test_process_state_and_counters(spark, scratch):
     register(spark, SF_SMALL)
     lines = spark.table("log_lines").select("seq", "pid", "source", "ts", "line")
