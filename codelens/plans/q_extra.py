@@ -127,6 +127,22 @@ def _twin(name: str, of: str, doc: str):
 
 
 _twin("str_errors", "win_context", "STR_ERRORS batch twin: equals the stream's output (see codelens.streaming.watchers).")
-_twin("str_latest", "win_last_error", "STR_LATEST batch twin: newest error per process within the window.")
+LATEST_SINCE = "24h"  # request text; unparsable text falls back to 5 minutes
+
+
+def str_latest(spark, sf_dir):
+    """STR_LATEST batch twin: newest error per process newer than ``as_of - since`` (since parsed from text)."""
+    from codelens.operators import process as P
+    lines = Views(spark, sf_dir)("log_lines")
+    errs = D.classify_process_lines(lines).select("pid", "seq", "severity", "error_type", "message", "ts")
+    last = P.latest_per_key(errs, ["pid"])
+    minutes = P.parse_duration_minutes(F.lit(LATEST_SINCE))
+    cutoff = lines.select(F.max("ts")).scalar() - F.make_dt_interval(secs=minutes * 60)
+    return (last.where(F.col("ts") > cutoff)
+            .select("pid", "seq", "severity", "error_type", "message",
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")))
+
+
+REGISTRY["str_latest"] = (str_latest, REGISTRY["win_last_error"][1])  # same rows as the 1440-minute window
 _twin("str_changes", "win_changes", "STR_CHANGES batch twin: created / modified per path.")
 assert win_context and win_last_error and win_changes

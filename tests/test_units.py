@@ -52,6 +52,12 @@ def test_prefix_sum_small_buckets(spark):
                 run += v
 
 
+def test_parse_duration_minutes(spark):
+    df = spark.createDataFrame([("90s",), ("5m",), ("2h",), ("soon",), ("",)], "t string")
+    got = [r.m for r in df.select(P.parse_duration_minutes(F.col("t")).alias("m")).collect()]
+    assert got == [1.5, 5.0, 120.0, 5.0, 5.0]
+
+
 def test_nullsafe_count_if_rewrite():
     from codelens.plans.registry import nullsafe_count_if
     sql = "SELECT count_if(contains(x, 'a)(')) + count_if(y = 'it''s'), my_count_if(z) FROM t"
