@@ -34,3 +34,4 @@ for name, (fn, sql) in sorted(load_all().items()):
         bad += 1
         print(f"ERR   {name:28s} {type(e).__name__}: {str(e)[:800]}")
 print("failures:", bad)
+sys.exit(1 if bad else 0)
