@@ -30,6 +30,14 @@ def test_query_matches_oracle(spark, con, name):
     assert r.ok, r.detail
 
 
+def test_registry_contract():
+    import __spark_entry__ as e
+    q, o = e.queries(), e.oracle_sql()
+    assert set(q) == set(o) and len(q) == len(REG)
+    assert all(isinstance(s, str) and s.strip() for s in o.values())
+    assert all(name == name.lower() and not name.startswith("op") for name in q)
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
