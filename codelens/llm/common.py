@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,34 @@ def ascii_lower(col: Column) -> Column:
 def parts_for(rows: int, per_part: int, at_least: int = 1) -> int:
     """How many partitions or buckets hold ``rows`` at about ``per_part`` rows each."""
     return max(at_least, -(-rows // per_part))
+
+
+def add_columns(df: DataFrame, inputs: Sequence[str], compute: Callable[..., list[pa.Array]], fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """``df`` and further columns made from Arrow arrays of ``inputs``, batch by batch.
+
+    All columns pass through by place, so their names may be anything; a new
+    field replaces a column of the same name.
+    """
+    at = [df.columns.index(c) for c in inputs]
+    kept = [i for i, c in enumerate(df.columns) if c not in {n for n, _ in fields}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(*[batch.column(i) for i in at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in kept] + list(made), names=[f"c{i}" for i in kept] + [f"n{i}" for i in range(len(made))])
+
+    types = [f"c{i} {df.schema[i].dataType.simpleString()}" for i in kept] + [f"n{i} {kind}" for i, (_, kind) in enumerate(fields)]
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, ", ".join(types))
+    return out.toDF(*[df.columns[i] for i in kept], *[n for n, _ in fields])
+
+
+def keep_where(df: DataFrame, decide: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``decide`` keeps, with the columns of ``df``.
+
+    ``decide`` sees the columns under names of their own (k0, k1, ...) and the
+    text as ``text``, so no column of the input can clash with what it adds.
+    """
+    names = [f"k{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names).withColumn("text", text_or_empty(names[df.columns.index(text)]))
+    return decide(plain).select(*names).toDF(*df.columns)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from codelens.llm import exact_dedup, sharding, url_filter
+from codelens.llm import decontam, exact_dedup, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.OP3_SQL),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.OP4_SQL),
+    "op5_quality": (quality.op5_quality, None),
+    "op6_simhash": (simhash.op6_simhash, None),
+    "op7_decontamination": (decontam.op7_decontamination, decontam.OP7_SQL),
     "op9_sharding": (sharding.op9_sharding, None),
 }
