@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codelens.llm import decontam, exact_dedup, quality, sharding, simhash, url_filter
+from codelens.llm import chat, decontam, exact_dedup, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.OP3_SQL),
@@ -11,4 +11,5 @@ QUERIES = {
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_decontamination": (decontam.op7_decontamination, decontam.OP7_SQL),
     "op9_sharding": (sharding.op9_sharding, None),
+    "op10_chat": (chat.op10_chat, chat.OP10_SQL),
 }
