@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codelens.llm import chat, decontam, exact_dedup, packing, quality, sharding, simhash, url_filter
+from codelens.llm import chat, decontam, exact_dedup, html_extract, packing, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_packing": (packing.op1_packing, None),
+    "op2_html_extract": (html_extract.op2_html_extract, None),
     "op3_url_filter": (url_filter.op3_url_filter, url_filter.OP3_SQL),
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.OP4_SQL),
     "op5_quality": (quality.op5_quality, None),
