@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codelens.llm import chat, decontam, exact_dedup, html_extract, packing, quality, sharding, simhash, url_filter
+from codelens.llm import chat, decontam, exact_dedup, html_extract, packing, quality, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_packing": (packing.op1_packing, None),
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": (quality.op5_quality, None),
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_decontamination": (decontam.op7_decontamination, decontam.OP7_SQL),
+    "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, suffix_dedup.OP8_SQL),
     "op9_sharding": (sharding.op9_sharding, None),
     "op10_chat": (chat.op10_chat, chat.OP10_SQL),
 }
