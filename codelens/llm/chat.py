@@ -12,7 +12,7 @@ and trailers are copied into one preallocated buffer that becomes the Arrow
 column. The loss mask is a list of code point ranges: the texts of the masked
 role, without headers and trailers.
 
-A conversation is one output row; one of more than PART_BYTES goes on in
+A conversation is one output row; one of more than ``part_bytes`` goes on in
 further rows (part 1, 2, ...), so a conversation of any length streams through
 bounded memory. ``read_back`` parses the rows again, also as a stream.
 
@@ -102,7 +102,7 @@ def assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, offsets, head_chars, chars
 
 
-def _format(masked: str):
+def _format(masked: str, part_bytes: int):
     def rows(t: pa.Table, part: int) -> tuple[pa.RecordBatch, object, int]:
         """Whole conversations (the first may be a later part) as output rows; also the last conversation and its part."""
         conv = t.column("conv").combine_chunks()
@@ -143,7 +143,7 @@ def _format(masked: str):
             last = len(conv) - 1
             while last and conv[last - 1] == conv[-1]:
                 last -= 1
-            if t.slice(last).nbytes > PART_BYTES:
+            if t.slice(last).nbytes > part_bytes:
                 last = len(conv)  # too long to hold back: this much of it goes out as a part
             if last:
                 out, at, following = emit(t.slice(0, last))
@@ -155,12 +155,12 @@ def _format(masked: str):
     return run
 
 
-def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", masked: str = MASKED) -> DataFrame:
+def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", masked: str = MASKED, part_bytes: int = PART_BYTES) -> DataFrame:
     """(conv, part, n_turns, formatted, loss): the formatted conversations and the code point ranges of the loss mask."""
     kind = turns.schema[conv].dataType.simpleString()
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    out = dealt.mapInArrow(_format(masked), f"conv {kind}, part int, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
+    out = dealt.mapInArrow(_format(masked, part_bytes), f"conv {kind}, part int, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
     return out.withColumnRenamed("conv", conv)
 
 

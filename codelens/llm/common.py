@@ -59,12 +59,13 @@ def add_columns(df: DataFrame, inputs: Sequence[str], compute: Callable[..., lis
     return out.toDF(*[df.columns[i] for i in kept], *[n for n, _ in fields])
 
 
-def keep_where(df: DataFrame, decide: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+def keep_where(df: DataFrame, decide: Callable[[DataFrame, str, str], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that ``decide`` keeps, with the columns of ``df``.
 
-    ``decide`` sees the columns under names of their own (k0, k1, ...) and the
-    text as ``text``, so no column of the input can clash with what it adds.
+    ``decide(rows, key, text)`` sees the columns as k0, k1, ... and gets the
+    names that the key and the text have there, so no column of the input can
+    clash with what it adds.
     """
     names = [f"k{i}" for i in range(len(df.columns))]
-    plain = df.toDF(*names).withColumn("text", text_or_empty(names[df.columns.index(text)]))
-    return decide(plain).select(*names).toDF(*df.columns)
+    kept = decide(df.toDF(*names), names[df.columns.index(key)], names[df.columns.index(text)])
+    return kept.select(*names).toDF(*df.columns)

@@ -228,9 +228,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that hold no item window, with the input's columns."""
-    return keep_where(docs, lambda rows: contamination(rows, items).filter(F.size("spans") == 0), text)
+    return keep_where(docs, lambda rows, _, body: contamination(rows, items, body).filter(F.size("spans") == 0), key, text)
 
 
 OP7_SQL = r"""

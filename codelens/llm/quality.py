@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     # an id may repeat in the documents, so the rows are bounded once more
     first = rows.select("label", "text").orderBy(F.xxhash64("_id"), "_id", "text").limit(sample)
     got = first.coalesce(1).mapInArrow(_train, "weights binary").collect()
-    return np.frombuffer(got[0][0], np.float32)
+    return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def _scorer(weights: np.ndarray):
@@ -152,6 +152,6 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that the classifier accepts, with the input's columns."""
-    return keep_where(docs, lambda rows: score(rows, weights).filter(F.col("score") >= THRESHOLD), text)
+    return keep_where(docs, lambda rows, _, body: score(rows, weights, body).filter(F.col("score") >= THRESHOLD), key, text)

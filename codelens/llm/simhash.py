@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm.common import add_columns, cut, table, text_or_empty
+from codelens.llm.common import add_columns, cut, keep_where, table, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Distinct fingerprints of one key that one task compares; more go to the second round in blocks of half as many.
@@ -301,11 +301,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest key; the input's columns."""
-    found = near_duplicates(docs, key, text)
-    firsts = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    rows = docs.join(firsts, F.col(key).eqNullSafe(F.col("_first")), "left_semi")
-    return rows.dropDuplicates([key])
+    """One row of each component, that of the smallest key, with the input's columns; rows that share this key count as one document."""
+    def decide(rows: DataFrame, key: str, text: str) -> DataFrame:
+        found = near_duplicates(rows, key, text)
+        firsts = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("first")).distinct()
+        return rows.join(firsts, F.col(key).eqNullSafe(F.col("first")), "left_semi").dropDuplicates([key])
+
+    return keep_where(docs, decide, key, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

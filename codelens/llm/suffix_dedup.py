@@ -310,70 +310,78 @@ def _paired(rank: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     return rank * np.int64(len(rank) + 1) + rank[np.minimum(place + step, len(rank) - 1)]
 
 
-def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _later_windows(array_bytes: int):
     """Spans of open segments that an earlier document holds."""
-    for _, held in _by_key(batches):
-        parts = []
-        for (blob,) in held:
-            gram, doc, start, n = unpack(blob, _OPEN)
-            parts.append((gram, doc, start, n, np.frombuffer(blob, np.uint8, offset=8 + len(gram) * 22)))
-        gram, doc, start, n, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts, held
-        n = n.astype(np.int64)
-        begin = np.cumsum(n) - n
-        order = np.lexsort([start, doc, gram])
-        gram, doc, start, n, begin = gram[order], doc[order], start[order].astype(np.int64), n[order], begin[order]
-        # arrays of about ARRAY_BYTES, the segments of a gram together
-        edges = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        total = np.cumsum(n)[np.append(edges[1:], len(gram)) - 1]
-        edges = edges[np.concatenate([[True], total[1:] // ARRAY_BYTES != total[:-1] // ARRAY_BYTES])]
-        for a, b in zip(edges, np.append(edges[1:], len(gram)), strict=True):
-            order = np.argsort(doc[a:b], kind="stable") + a
-            size = n[order]
-            at = np.repeat(begin[order] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            buf, ends = text[at], np.cumsum(size)
-            hit = np.flatnonzero(long_previous(buf, ends, doc[order]))
-            if not len(hit):
-                continue
-            of = np.searchsorted(ends, hit, "right")
-            new = np.ones(len(hit), bool)
-            new[1:] = (hit[1:] != hit[:-1] + 1) | (of[1:] != of[:-1])
-            head = np.flatnonzero(new)
-            last = hit[np.append(head[1:], len(hit)) - 1]
-            lo = hit[head]
-            seg = order[of[head]]
-            yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(doc[seg]), "start": pa.array(start[seg] + lo - (ends - size)[of[head]]), "n": pa.array((last - lo + WIDTH).astype(np.int32)),
-                "check": pa.array(span_hashes(buf, lo, last + WIDTH).astype("<u4").view(np.int32))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_key(batches):
+            parts = []
+            for (blob,) in held:
+                gram, doc, start, n = unpack(blob, _OPEN)
+                parts.append((gram, doc, start, n, np.frombuffer(blob, np.uint8, offset=8 + len(gram) * 22)))
+            gram, doc, start, n, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts, held
+            n = n.astype(np.int64)
+            begin = np.cumsum(n) - n
+            order = np.lexsort([start, doc, gram])
+            gram, doc, start, n, begin = gram[order], doc[order], start[order].astype(np.int64), n[order], begin[order]
+            # arrays of about array_bytes, the segments of a gram together
+            edges = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            total = np.cumsum(n)[np.append(edges[1:], len(gram)) - 1]
+            edges = edges[np.concatenate([[True], total[1:] // array_bytes != total[:-1] // array_bytes])]
+            for a, b in zip(edges, np.append(edges[1:], len(gram)), strict=True):
+                order = np.argsort(doc[a:b], kind="stable") + a
+                size = n[order]
+                at = np.repeat(begin[order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                buf, ends = text[at], np.cumsum(size)
+                hit = np.flatnonzero(long_previous(buf, ends, doc[order]))
+                if not len(hit):
+                    continue
+                of = np.searchsorted(ends, hit, "right")
+                new = np.ones(len(hit), bool)
+                new[1:] = (hit[1:] != hit[:-1] + 1) | (of[1:] != of[:-1])
+                head = np.flatnonzero(new)
+                last = hit[np.append(head[1:], len(hit)) - 1]
+                lo = hit[head]
+                seg = order[of[head]]
+                yield pa.RecordBatch.from_pydict({
+                    "doc": pa.array(doc[seg]), "start": pa.array(start[seg] + lo - (ends - size)[of[head]]), "n": pa.array((last - lo + WIDTH).astype(np.int32)),
+                    "check": pa.array(span_hashes(buf, lo, last + WIDTH).astype("<u4").view(np.int32))})
+    return run
+
+
+def _without(buf: np.ndarray, cell: pa.ListScalar) -> tuple[int, int, int, bytes]:
+    """(bytes, removed bytes, removed runs, what stays) of one text and its spans."""
+    if not cell.is_valid or not len(cell):
+        return len(buf), 0, 0, buf.tobytes()
+    start, n, check = _spans(cell, "start", "n", "check")
+    ok = _confirmed(buf, start, n.astype(np.int64), check)
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, start[ok], 1)
+    np.add.at(edge, (start + n)[ok], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    runs = gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()
+    return len(buf), int(gone.sum()), int(runs), buf[~gone].tobytes()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    rows, held = [], 0
     for batch in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for packed, cell in zip(batch.column(1), batch.column(2), strict=True):
-            buf = _plain(packed)
-            runs = removed = 0
-            raw = buf
-            if cell.is_valid and len(cell):
-                start, n, check = _spans(cell, "start", "n", "check")
-                ok = _confirmed(buf, start, n.astype(np.int64), check)
-                edge = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(edge, start[ok], 1)
-                np.add.at(edge, (start + n)[ok], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed = int(gone.sum())
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                raw = buf[~gone]
-            n_bytes.append(len(buf))
-            n_removed.append(removed)
-            n_spans.append(runs)
-            kept.append(raw.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-            names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        for doc, packed, cell in zip(*batch.columns, strict=True):
+            rows.append((doc.as_py(), *_without(_plain(packed), cell)))
+            held += rows[-1][1]
+            if held > 8_000_000:
+                yield made(rows)
+                rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay, in order."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), text_or_empty(text).alias("text"))
@@ -390,7 +398,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = rows.mapInArrow(_compressed, "doc long, packed binary").repartition(buckets, "doc")  # one exchange, used twice
     cells = found.filter("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "check", "gram")).alias("spans"))
     opened = texts.join(cells.hint("shuffle_merge"), "doc").select("doc", "packed", "spans").mapInArrow(_cut_out(buckets), "bucket int, rows binary")
-    later = opened.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_later_windows, "doc long, start long, n int, check int")
+    later = opened.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_later_windows(array_bytes), "doc long, start long, n int, check int")
     spans = found.filter("gram is null").drop("gram").union(later)
     cells = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "check")).alias("spans"))
     joined = texts.join(cells.hint("shuffle_merge"), "doc", "left").select("doc", "packed", "spans")
