@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelens.llm.common import cut, table, text_or_empty
+from codelens.llm.common import cut, keep_where, table, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 BREAK_AFTER = "[adglmnry.,;:!?]"
@@ -31,17 +31,23 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def chunk_hashes(text: Column) -> Column:
-    return F.transform(chunks(text), lambda c: F.xxhash64(c))
+    return F.transform(chunks(text), chunk_hash)
+
+
+def distinct_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, chunk) of the distinct chunks: each content moves once."""
+    pieces = docs.select(F.explode(chunks(text_or_empty(text))).alias("chunk")).select(chunk_hash(F.col("chunk")).alias("h"), "chunk")
+    return pieces.groupBy("h", "chunk").agg(F.lit(1).alias("one")).select("h", "chunk")
 
 
 def colliding_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Hashes that stand for more than one chunk content: (h, chunk, rank), normally empty."""
-    pieces = docs.select(F.explode(chunks(text_or_empty(text))).alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk")
-    distinct = pieces.groupBy("h", "chunk").agg(F.lit(1).alias("one"))
-    several = distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
-    return distinct.join(several, "h", "left_semi").select("h", "chunk", rank.alias("rank"))
+    """Hashes that stand for more than one chunk content; normally none."""
+    return distinct_chunks(docs, text).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
 
 
 def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,12 +57,13 @@ def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     collisions = cut(colliding_hashes(docs, text))
     if collisions.isEmpty():
         return rows
-    # another 64-bit hash collision in the corpus: append (place, rank) of the chunks whose rank is above 0
-    later = collisions.filter("rank > 0")
+    # a collision of 64-bit hashes in the corpus: append (place, rank) of the chunks whose rank is above 0
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
+    later = distinct_chunks(docs, text).join(collisions, "h", "left_semi").withColumn("rank", rank).filter("rank > 0")
     found = (
         docs.select(F.col(key), F.sha2(body.cast("binary"), 256).alias("text_sha256"), F.posexplode(chunks(body)).alias("pos", "chunk"))
-        .withColumn("h", F.xxhash64("chunk")).join(later, ["h", "chunk"])
-        .groupBy(key, "text_sha256").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").cast("long"), F.col("rank").cast("long")))).alias("_ranks"))
+        .withColumn("h", chunk_hash(F.col("chunk"))).join(later, ["h", "chunk"])
+        .groupBy(key, "text_sha256").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank")))).alias("_ranks"))
     )
     same = [F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")), F.col("r.text_sha256") == F.col("f.text_sha256")]
     flat = F.flatten(F.transform(F.coalesce("_ranks", F.array().cast("array<struct<pos:bigint,rank:bigint>>")), lambda x: F.array(x["pos"], x["rank"])))
@@ -74,11 +81,13 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the input's columns; one row where doc_id and text repeat."""
-    kept = verdicts(docs, key, text).filter("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(text_or_empty(text).cast("binary"), 256)
-    rows = docs.withColumn("_sha256", sha).join(
-        kept.distinct(), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates([key, "_sha256"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def decide(rows: DataFrame, key: str, text: str) -> DataFrame:
+        kept = verdicts(rows, key, text).filter("kept").select(F.col(key).alias("key"), F.col("text_sha256").alias("sha")).distinct()
+        hashed = rows.withColumn("sha256", F.sha2(text_or_empty(text).cast("binary"), 256))
+        same = F.col(key).eqNullSafe(F.col("key")) & (F.col("sha256") == F.col("sha"))
+        return hashed.join(kept, same, "left_semi").dropDuplicates([key, "sha256"])
+
+    return keep_where(docs, decide, key, text)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
