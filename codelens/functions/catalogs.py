@@ -183,5 +183,5 @@ LANGUAGE_PATTERNS = {
 # captured tool -> language whose plug-in parses its output
 TOOL_LANGUAGE = {
     "tsc": "typescript", "go": "go", "gotest": "go", "flake8": "python", "mypy": "python",
-    "pytest": "python", "javac": "java", "jest": "javascript",
+    "pytest": "python", "unittest": "python", "javac": "java", "jest": "javascript",
 }

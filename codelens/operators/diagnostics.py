@@ -9,6 +9,9 @@ which Spark reduces map-side first.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,20 +244,47 @@ def error_type(ln: Column) -> Column:
     return etype
 
 
+def _checked(patterns: pd.Series) -> pd.DataFrame:
+    """The JVM form of each user pattern, or why it is none (checked by an equivalent parser, outside the line path)."""
+    out = []
+    for p in patterns:
+        try:
+            re.compile(p)
+            # possessive and recursive forms that only one of the two engines knows are not RE2 either
+            out.append((java_regex(p), None) if not re.search(r"\(\?[<P!=]|\\[1-9]|[*+?}]\+", p) else (None, "not supported"))
+        except (re.error, TypeError) as e:
+            out.append((None, str(e)))
+    return pd.DataFrame(out, columns=["regex", "error"])
+
+
+def check_patterns(user_patterns: DataFrame) -> DataFrame:
+    """(pid, pattern, regex, error): each distinct user pattern compiled once; a bad one has an error and no regex."""
+    distinct = user_patterns.select("pattern").distinct()
+    check = F.pandas_udf(_checked, "regex string, error string")
+    checked = distinct.withColumn("_c", check("pattern")).select("pattern", "_c.regex", "_c.error")
+    return user_patterns.join(checked, "pattern").select("pid", "pattern", "regex", "error")
+
+
+def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
+    """(pid, pattern, error) of the user patterns that cannot be used."""
+    return check_patterns(user_patterns).where("error IS NOT NULL").select("pid", "pattern", "error")
+
+
 def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame) -> DataFrame:
-    """UDX_PATTERNS: per-process user patterns added to the defaults (broadcast pattern table).
+    """UDX_PATTERNS: per-process user patterns (pid, pattern) added to the defaults.
 
-    ``user_patterns`` (pid, pattern) is small by construction (patterns per
-    process request); its size is checked before it is broadcast.
+    The patterns of a process come together as one array, so each line is
+    joined and tested once: it is a hit by the default patterns or by any of
+    its process's own. Patterns that are no valid regex are left out, as
+    ``rejected_patterns`` tells.
     """
     ln = F.col("line")
     default_hit = ln.rlike(java_regex(any_of(C.PROCESS_ERROR_PATTERNS)))
-    from codelens.functions.joins import broadcast_if_small
-    up = broadcast_if_small(user_patterns.select("pid", F.concat(F.lit("(?d)"), F.col("pattern")).alias("_p")))
-    custom = (lines.join(up, "pid").where(F.expr("line rlike _p"))
-              .select(*lines.columns).dropDuplicates(["seq"]))
-    default = lines.where(default_hit)
-    hits = default.unionByName(custom).dropDuplicates(["seq"])
+    own = (check_patterns(user_patterns).where("error IS NULL")
+           .groupBy("pid").agg(F.collect_set("regex").alias("_patterns")))
+    tested = lines.join(own, "pid", "left")
+    custom = F.exists(F.coalesce("_patterns", F.array().cast("array<string>")), lambda p: F.rlike(ln, p))
+    hits = tested.where(default_hit | custom).drop("_patterns")
     return (hits.withColumn("severity", error_severity(ln)).withColumn("error_type", error_type(ln))
             .withColumn("message", ln))
 

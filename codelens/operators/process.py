@@ -67,13 +67,21 @@ def latest_errors(errors: DataFrame, since_minutes: int = 5, ts: str = "ts", key
     return last.where(F.col(ts) > ref - F.expr(f"INTERVAL {int(since_minutes)} MINUTES"))
 
 
+_DURATION_PART = r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)(ns|us|\u00b5s|\u03bcs|ms|s|m|h)"
+# minutes in one unit of a duration
+_UNIT_MINUTES = {"ns": 1 / 6e10, "us": 1 / 6e7, "\u00b5s": 1 / 6e7, "\u03bcs": 1 / 6e7, "ms": 1 / 6e4, "s": 1 / 60, "m": 1.0, "h": 60.0}
+
+
 def parse_duration_minutes(text: Column, default_minutes: int = 5) -> Column:
-    """Duration text like '90s', '5m', '2h' -> minutes (bad text -> default), for STR_LATEST."""
-    m = F.regexp_extract(text, r"^([0-9]+)(s|m|h)$", 1)
-    u = F.regexp_extract(text, r"^([0-9]+)(s|m|h)$", 2)
-    v = m.cast("double")
-    minutes = F.when(u == "s", v / 60).when(u == "m", v).when(u == "h", v * 60)
-    return F.coalesce(minutes, F.lit(float(default_minutes)))
+    """Duration text (signed sums of decimals with a unit: '90s', '1h30m', '1.5h', '-2m', '0') -> minutes; bad text -> default."""
+    valid = text.rlike(rf"^[+-]?(?:0|(?:{_DURATION_PART})+)$")
+    amounts = F.regexp_extract_all(text, F.lit(_DURATION_PART), F.lit(1))
+    units = F.regexp_extract_all(text, F.lit(_DURATION_PART), F.lit(2))
+    scale = F.create_map(*[F.lit(x) for kv in _UNIT_MINUTES.items() for x in kv])
+    terms = F.zip_with(amounts, units, lambda a, u: a.cast("double") * F.try_element_at(scale, u))
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+    signed = F.when(text.startswith("-"), -total).otherwise(total)
+    return F.when(valid, signed).otherwise(F.lit(float(default_minutes)))
 
 
 def file_changes(observations: DataFrame, key: str = "path", pos: str = "seq") -> DataFrame:
@@ -102,9 +110,15 @@ def top_k(df: DataFrame, keys, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def change_project(path: Column) -> Column:
+    """The workspace that an observed path belongs to: its first element."""
+    return F.split_part(path, F.lit("/"), F.lit(1))
+
+
 def recent_changes(changes: DataFrame, as_of: Column | None = None, keep: int = C.MAX_CHANGES,
-                   minutes: int = 10, ts: str = "observed_at", keys=()) -> DataFrame:
-    """STR_RECENT (batch): newest ``keep`` changes first, then those within ``minutes`` of ``as_of``."""
+                   minutes: int = 10, ts: str = "observed_at", keys=("project",)) -> DataFrame:
+    """STR_RECENT (batch): of each workspace the newest ``keep`` changes, then those within ``minutes`` of ``as_of``."""
+    changes = changes if "project" in changes.columns else changes.withColumn("project", change_project(F.col("path")))
     capped = top_k(changes, keys, [F.col(ts).desc(), F.col("seq").desc()], keep)
     ref = as_of if as_of is not None else changes.select(F.max(ts)).scalar()
     return capped.where(F.col(ts) > ref - F.expr(f"INTERVAL {int(minutes)} MINUTES"))

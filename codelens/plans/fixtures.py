@@ -33,9 +33,10 @@ SELECT -1 - s_suppkey AS file_id, concat('src', cast(s_suppkey % 20 AS string))
        cext AS ext, CASE WHEN cfg = 'package.json' THEN concat('{"name":"svc', cast(s_suppkey AS string), '"}') ELSE '' END AS content
 FROM supplier
 JOIN (VALUES (0,'package.json','','.json'),(1,'go.mod','','.mod'),(2,'.eslintrc.json','','.json'),(3,'tsconfig.json','','.json'),
-             (4,'requirements.txt','','.txt'),(5,'Cargo.toml','','.toml'),(6,'tools/flake8/setup.cfg','tools/flake8','.cfg'))
+             (4,'requirements.txt','','.txt'),(5,'Cargo.toml','','.toml'),(6,'tools/flake8/setup.cfg','tools/flake8','.cfg'),
+             (7,'yarn.lock','','.lock'),(8,'pnpm-lock.yaml','','.yaml'),(9,'bun.lockb','','.lockb'))
   AS c(ck, cfg, cdir, cext)
-  ON s_suppkey % 7 = ck
+  ON s_suppkey % 10 = ck
 """)
 
 # One template line per rule the scanners must hit.
@@ -49,15 +50,23 @@ SELECT slot, tpl FROM (VALUES
  (19,'NOTE HACK both words'),(20,'[tool.poetry.dependencies]'),(21,'case 1:')) AS t(slot, tpl)
 """)
 
+# every line of the document, then template lines after them: up to 30, and 520 in one document of 97
 _view("file_lines", """
-SELECT l.doc_id AS file_id, l.line_no, coalesce(t.tpl, l.raw) AS line
-FROM (SELECT doc_id, pos + 1 AS line_no, raw FROM documents LATERAL VIEW posexplode(split(text, chr(10))) x AS pos, raw) l
-LEFT JOIN line_templates t ON (l.doc_id * 7 + l.line_no * 13) % 40 = t.slot
+SELECT doc_id AS file_id, pos + 1 AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, chr(10))) x AS pos, line
+UNION ALL
+SELECT a.doc_id, a.n_lines + a.j + 1, t.tpl
+FROM (SELECT doc_id, size(split(text, chr(10))) AS n_lines, j FROM documents
+      LATERAL VIEW explode(CASE WHEN doc_id % 97 = 5 THEN sequence(0, 519) WHEN doc_id % 31 = 0 THEN array()
+                           ELSE sequence(0, cast(doc_id % 31 AS int) - 1) END) y AS j) a
+JOIN line_templates t ON (a.doc_id * 5 + a.j * a.j) % 22 = t.slot
 """, """
-SELECT l.doc_id AS file_id, l.line_no, coalesce(t.tpl, l.raw) AS line
-FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS raw
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) l
-LEFT JOIN line_templates t ON (l.doc_id * 7 + l.line_no * 13) % 40 = t.slot
+SELECT doc_id AS file_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line
+FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)
+UNION ALL
+SELECT a.doc_id, a.n_lines + a.j + 1, t.tpl
+FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines,
+             unnest(range(0, CASE WHEN doc_id % 97 = 5 THEN 520 ELSE doc_id % 31 END)) AS j FROM documents) a
+JOIN line_templates t ON (a.doc_id * 5 + a.j * a.j) % 22 = t.slot
 """, deps=("line_templates",))
 
 _view("log_lines", """
@@ -88,11 +97,12 @@ SELECT o_orderkey AS seq, o_custkey % 20 AS project_id, tool, CASE tool
   WHEN 'flake8' THEN concat('./f', cast(o_custkey % 100 AS string), '.py:', cast(o_custkey AS string), ':', cast(o_orderkey % 80 AS string), ': E501 line too long')
   WHEN 'mypy'   THEN concat('f', cast(o_custkey % 100 AS string), '.py:', cast(o_custkey AS string), ': note: see docs')
   WHEN 'javac'  THEN concat('A', cast(o_custkey % 100 AS string), '.java:', cast(o_custkey AS string), ': error: cannot find symbol')
+  WHEN 'unittest' THEN CASE WHEN o_custkey % 4 = 0 THEN 'FAILED (errors=1)' ELSE 'OK' END
   WHEN 'gotest' THEN concat(CASE WHEN o_custkey % 3 = 0 THEN '--- FAIL: Test' ELSE '--- PASS: Test' END, cast(o_custkey AS string))
   WHEN 'jest'   THEN concat('Tests: ', cast(o_custkey % 5 AS string), ' failed, ', cast(o_orderkey % 50 AS string), ' passed, ', cast(o_custkey % 5 + o_orderkey % 50 AS string), ' total')
   ELSE concat('==== ', cast(o_custkey % 5 AS string), ' failed, ', cast(o_orderkey % 50 AS string), ' passed in 0.1s ====') END AS line
-FROM orders JOIN (VALUES (0,'tsc'),(1,'go'),(2,'flake8'),(3,'mypy'),(4,'javac'),(5,'gotest'),(6,'jest'),(7,'pytest')) AS t(k, tool)
-  ON o_orderkey % 8 = k
+FROM orders JOIN (VALUES (0,'tsc'),(1,'go'),(2,'flake8'),(3,'mypy'),(4,'javac'),(5,'gotest'),(6,'jest'),(7,'pytest'),(8,'unittest')) AS t(k, tool)
+  ON o_orderkey % 9 = k
 """)
 
 _view("manifest_json", """
@@ -113,7 +123,7 @@ FROM part JOIN (VALUES (0,'M '),(1,' M'),(2,'MM'),(3,'??'),(4,'A '),(5,'D ')) AS
 """)
 
 _view("ps_lines", """
-SELECT c_custkey AS seq, concat('root ', cast(c_custkey AS string), ' 0.0 0.1 1 1 ? S 10:00 0:00 ', cmd) AS line
+SELECT c_custkey AS seq, concat('src', cast(c_custkey % 20 AS string)) AS project_id, concat('root ', cast(c_custkey AS string), ' 0.0 0.1 1 1 ? S 10:00 0:00 ', cmd) AS line
 FROM customer JOIN (VALUES (0,'node server.js'),(1,'go run main.go'),(2,'python app.py'),(3,'nginx -g daemon'),(4,'/work/proj/run')) AS c(k, cmd) ON c_custkey % 5 = k
 """)
 
@@ -183,7 +193,8 @@ FROM customer
 
 _view("traceback_lines", """
 SELECT cast(floor(o_orderkey / 4) AS bigint) AS run_id, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'Traceback (most recent call last):'
-  WHEN 1 THEN concat('  File "app/f', cast(o_custkey % 50 AS string), '.py", line ', cast(o_custkey AS string)) WHEN 2 THEN '    x = (1'
+  WHEN 1 THEN concat('  File "app/f', cast(o_custkey % 50 AS string), '.py", line ', cast(o_custkey AS string))
+  WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN '    x = (1' ELSE concat('    at Module._compile (node:internal/modules:', cast(o_custkey % 90 AS string), ':', cast(o_custkey % 7 AS string), ')') END
   ELSE CASE WHEN o_custkey % 3 = 0 THEN 'IndentationError: unexpected indent' WHEN o_custkey % 3 = 1 THEN 'SyntaxError: invalid syntax' ELSE 'ValueError: no' END END AS line
 FROM orders
 """)

@@ -260,13 +260,21 @@ FROM tool_output WHERE tool = 'flake8' AND {duck.matches('line', FLAKE8)}
 UNION ALL
 SELECT seq, project_id, 'mypy', {duck.extract('line', MYPY, 1)}, {duck.to_int(duck.extract('line', MYPY, 2))}, 0,
   'type', {duck.extract('line', MYPY, 4)}, ''
-FROM tool_output WHERE tool = 'mypy' AND {duck.matches('line', MYPY)}"""))
+FROM tool_output WHERE tool = 'mypy' AND {duck.matches('line', MYPY)}
+""" + "".join(f"""UNION ALL
+SELECT seq, project_id, {duck.first_match_select(lang, severity=False)} FROM tool_output
+WHERE tool IN ({tools}) AND {duck.first_match_fields(lang)['hit']}
+""" for lang, tools in (("go", "'go', 'gotest'"), ("java", "'javac'"), ("javascript", "'jest'"), ("python", "'pytest', 'unittest'")))))
 def err_all(spark, sf_dir):
     """Active errors plus the plug-in errors of every language's captured output (duplicates kept)."""
     t = _tool(spark, sf_dir)
     plug = (_errs(D.tsc_errors(t.where(F.col("tool") == "tsc")))
             .unionByName(_errs(D.flake8_errors(t.where(F.col("tool") == "flake8"))))
             .unionByName(_errs(D.mypy_errors(t.where(F.col("tool") == "mypy")))))
+    # tools without a parser of their own: the pattern scan of their language
+    rest = t.where(F.col("tool").isin("go", "gotest", "javac", "jest", "pytest", "unittest"))
+    by_tool = F.create_map(*[F.lit(x) for kv in C.TOOL_LANGUAGE.items() for x in kv])
+    plug = plug.unionByName(_errs(D.pattern_scan_by_language(rest.withColumn("language", F.try_element_at(by_tool, F.col("tool"))))))
     return active_errors(spark, sf_dir).unionByName(plug)
 
 
@@ -392,11 +400,14 @@ def win_last_error(spark, sf_dir):
 
 @query("udx_patterns", duckdb_with(["log_lines"]) + f"""
 SELECT seq, pid, source, {duck.severity_expr()} AS severity, {duck.error_type_expr()} AS error_type, line AS message
-FROM log_lines WHERE {duck.process_gate()} OR (pid % 2 = 0 AND regexp_matches(line, 'heartbeat|cache warm'))""")
+FROM log_lines WHERE {duck.process_gate()} OR (pid IN (SELECT c_custkey FROM customer)
+  AND (pid % 2 = 0 AND regexp_matches(line, 'heartbeat|cache warm') OR pid % 3 = 0 AND regexp_matches(line, 'GET[ ]/index')))""")
 def udx_patterns(spark, sf_dir):
-    """Per-process user patterns: even pids add 'heartbeat|cache warm' to the default gate."""
+    """Per-process user patterns: customers' processes add one to three patterns to the default gate (one of them no valid regex)."""
     lines = _log(spark, sf_dir)
-    user = (lines.select("pid").distinct().where(F.col("pid") % 2 == 0)
-            .withColumn("pattern", F.lit("heartbeat|cache warm")))
+    pid = F.col("c_custkey")
+    user = Views(spark, sf_dir)("customer").select(pid.alias("pid"), F.explode(F.filter(F.array(
+        F.when(pid % 2 == 0, "heartbeat|cache warm"), F.when(pid % 3 == 0, r"GET\s/index"), F.when(pid % 5 == 0, "broken(")),
+        lambda p: p.isNotNull())).alias("pattern"))
     return (D.classify_with_user_patterns(lines, user)
             .select("seq", "pid", "source", "severity", "error_type", "message"))

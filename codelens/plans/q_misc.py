@@ -165,22 +165,25 @@ def join_lint_setup(spark, sf_dir):
 SELECT 'todos' AS list, project_id, CAST(r AS BIGINT) AS rank, rel_path || ':' || CAST(line_no AS VARCHAR) AS item FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rel_path, line_no) AS r FROM todos) t WHERE r <= 10
 UNION ALL
-SELECT 'processes', 'all', CAST(r AS BIGINT), line FROM (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM ps_lines) p WHERE r <= 8
+SELECT 'processes', project_id, CAST(r AS BIGINT), line FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq) AS r FROM ps_lines) p WHERE r <= 8
 UNION ALL
-SELECT 'changes', 'all', CAST(r AS BIGINT), path || ' ' || change_type FROM (
-  SELECT *, row_number() OVER (ORDER BY seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) c WHERE r <= 10""")
+SELECT 'changes', split_part(path, '/', 1), CAST(r AS BIGINT), path || ' ' || change_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY seq DESC) AS r
+  FROM changes WHERE change_type IS NOT NULL) c WHERE r <= 10""")
 def srt_top_lists(spark, sf_dir):
-    """SRT_TOP_LISTS: first 10 todos per project, the first 8 process lines, the newest 10 changes
+    """SRT_TOP_LISTS: per project the first 10 todos, the first 8 process lines, the newest 10 changes
     (the cut is the feature; each is a partial top-k before any shuffle)."""
     v = Views(spark, sf_dir)
     t = todos(PR.todo_lines(v("files"), v("file_lines")))
     tt = P.top_k(t, ["project_id"], [F.col("rel_path"), F.col("line_no")], 10).select(
         F.lit("todos").alias("list"), "project_id", "rank",
         F.concat(F.col("rel_path"), F.lit(":"), F.col("line_no").cast("string")).alias("item"))
-    pp = P.top_k(v("ps_lines"), [], [F.col("seq")], 8).select(
-        F.lit("processes").alias("list"), F.lit("all").alias("project_id"), "rank", F.col("line").alias("item"))
-    ch = P.top_k(P.file_changes(v("file_observations")), [], [F.col("seq").desc()], 10).select(
-        F.lit("changes").alias("list"), F.lit("all").alias("project_id"), "rank",
+    pp = P.top_k(v("ps_lines"), ["project_id"], [F.col("seq")], 8).select(
+        F.lit("processes").alias("list"), "project_id", "rank", F.col("line").alias("item"))
+    changes = P.file_changes(v("file_observations")).withColumn("project_id", P.change_project(F.col("path")))
+    ch = P.top_k(changes, ["project_id"], [F.col("seq").desc()], 10).select(
+        F.lit("changes").alias("list"), "project_id", "rank",
         F.concat_ws(" ", "path", "change_type").alias("item"))
     return tt.unionByName(pp).unionByName(ch)
 

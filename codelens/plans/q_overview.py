@@ -124,7 +124,8 @@ def agg_overview(spark, sf_dir):
 SELECT st.project_id, CAST(coalesce(rc.n, 0) AS BIGINT) AS recent_changes, 'unknown' AS branch, st.modified_files,
   st.error_count AS error_activity FROM st LEFT JOIN (
   SELECT 'src' || regexp_extract(path, '^proj([0-9]+)/', 1) AS project_id, count(*) AS n FROM (
-    SELECT *, row_number() OVER (ORDER BY observed_at DESC, seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) c
+    SELECT *, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY observed_at DESC, seq DESC) AS r
+    FROM changes WHERE change_type IS NOT NULL) c
   WHERE r <= 100 AND observed_at > (SELECT max(observed_at) FROM changes WHERE change_type IS NOT NULL) - INTERVAL 10 MINUTES
   GROUP BY 1) rc USING (project_id)""", extra_views=["file_observations"], extra=[D_CHANGES]))
 def agg_recent_activity(spark, sf_dir):

@@ -27,10 +27,10 @@ def win_changes(spark, sf_dir):
 
 @query("str_recent", duckdb_with(["file_observations"], [D_CHANGES]) + f"""
 SELECT seq, path, change_type, {duck.ts_text('observed_at')} AS observed_at, CAST(r AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (ORDER BY observed_at DESC, seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) s
+  SELECT *, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY observed_at DESC, seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) s
 WHERE r <= 100 AND observed_at > (SELECT max(observed_at) FROM changes WHERE change_type IS NOT NULL) - INTERVAL 10 MINUTES""")
 def str_recent(spark, sf_dir):
-    """STR_RECENT (batch): the newest 100 changes, then those of the last 10 minutes before the newest change."""
+    """STR_RECENT (batch): each workspace's newest 100 changes, then those of the last 10 minutes before the newest change."""
     ch = P.file_changes(Views(spark, sf_dir)("file_observations"))
     r = P.recent_changes(ch, as_of=ch.select(F.max("observed_at")).scalar())
     return r.select("seq", "path", "change_type", F.date_format("observed_at", TS_FMT).alias("observed_at"), "rank")
@@ -38,11 +38,12 @@ def str_recent(spark, sf_dir):
 
 @query("win_retain_changes", duckdb_with(["file_observations"], [D_CHANGES]) + """
 SELECT seq, path, change_type, CAST(r AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (ORDER BY seq DESC) AS r FROM changes WHERE change_type IS NOT NULL) s WHERE r <= 100""")
+  SELECT *, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY seq DESC) AS r FROM changes
+  WHERE change_type IS NOT NULL) s WHERE r <= 100""")
 def win_retain_changes(spark, sf_dir):
-    """WIN_RETAIN for changes: the last 100 changes kept (distributed top-k)."""
-    ch = P.file_changes(Views(spark, sf_dir)("file_observations"))
-    return P.top_k(ch, [], [F.col("seq").desc()], C.MAX_CHANGES).select("seq", "path", "change_type", "rank")
+    """WIN_RETAIN for changes: the last 100 changes of each workspace are kept (partial top-k)."""
+    ch = P.file_changes(Views(spark, sf_dir)("file_observations")).withColumn("project", P.change_project(F.col("path")))
+    return P.top_k(ch, ["project"], [F.col("seq").desc()], C.MAX_CHANGES).select("seq", "path", "change_type", "rank")
 
 
 D_GIT = ("git", """SELECT seq, project_id, substr(line, 4) AS file,

@@ -215,13 +215,15 @@ def rul_suggestions(spark, sf_dir):
 
 @query("flt_suggestions", duckdb_with(["files", "file_lines"], SUG_CTES) + f"""
 SELECT * EXCLUDE (r), CAST(r AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (ORDER BY file_id, line, description) AS r FROM sugg WHERE category = {sql_str(SUGGESTION_CATEGORY)}) s
+  SELECT f.project_id, g.*, row_number() OVER (PARTITION BY f.project_id ORDER BY g.file_id, line, description) AS r
+  FROM sugg g JOIN (SELECT file_id, project_id FROM files) f ON g.file_id = f.file_id WHERE category = {sql_str(SUGGESTION_CATEGORY)}) s
 WHERE r <= (CASE WHEN TRY_CAST({sql_str(SUGGESTION_LIMIT)} AS BIGINT) BETWEEN 1 AND 1000
   THEN TRY_CAST({sql_str(SUGGESTION_LIMIT)} AS BIGINT) ELSE 50 END)""")
 def flt_suggestions(spark, sf_dir):
-    """FLT_SUGGESTIONS: one category, first N (N parsed: 1..1000, else 50) -- the limit is the feature."""
+    """FLT_SUGGESTIONS: of each project one category, first N (N parsed: 1..1000, else 50) -- the limit is the feature."""
     from codelens.operators.process import top_k
     s = suggestions(spark, sf_dir).where(F.col("category") == SUGGESTION_CATEGORY)
     v = int(SUGGESTION_LIMIT) if SUGGESTION_LIMIT.isdigit() else 0
     n = v if 1 <= v <= 1000 else 50
-    return top_k(s, [], [F.col("file_id"), F.col("line"), F.col("description")], n)
+    projects = Views(spark, sf_dir)("files").select("file_id", "project_id")
+    return top_k(s.join(projects, "file_id"), ["project_id"], [F.col("file_id"), F.col("line"), F.col("description")], n)
