@@ -2,16 +2,20 @@
 
 * ``error_stream``      STR_ERRORS: classify each process line (JVM expressions) and attach the last
                         5 lines of its (pid, source) stream; keyed state holds only the last 4 lines.
-* ``change_stream``     STR_CHANGES: created / modified per path; keyed state holds the last mtime,
-                        with a processing-time timeout so paths not seen for ``ttl`` are dropped.
-* ``latest_errors``     STR_LATEST: newest error per process (built-in streaming aggregation).
+* ``change_stream``     STR_CHANGES: created / modified per path; keyed state holds the last mtime.
+* ``latest_errors``     STR_LATEST: newest error per process.
 * ``process_state``     STR_PROCESS_STATE: status, last error and bounded tail per process.
-* ``counters``          STR_COUNTERS: running counters (built-in streaming aggregation).
-* ``retain_recent``     STR_RECENT: a ``foreachBatch`` sink keeping the newest changes in a table.
+* ``counters``          STR_COUNTERS: running counters per process.
+* ``retain_recent``     STR_RECENT: a ``foreachBatch`` sink keeping each workspace's newest changes in a table.
 * ``fan_out``           SNK_ERROR_FANOUT: ``foreachBatch`` writing each error as JSON for every subscriber.
 
-The per-key Python (``applyInPandasWithState``) only slices small lists: the
-classification, parsing and regexes run in the JVM before the state step.
+All keyed state expires on event time (a watermark on the lines' own clock):
+a process or path not seen for the time to live loses its state, so a stream
+over ever-new keys keeps bounded state. A key's rows of a micro-batch may come
+in several Arrow chunks; they are put in order together before the state step,
+so results do not depend on chunk sizes (their memory is bounded by what a
+trigger reads). The per-key Python (``applyInPandasWithState``) only slices
+small lists: classification, parsing and regexes run in the JVM before it.
 Spark backpressure replaces the source tool's drop-on-full channel: no error
 is dropped.
 """
@@ -21,13 +25,17 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from codelens.functions import catalogs as C
 from codelens.functions.text import any_of, java_regex
 from codelens.operators.diagnostics import error_severity, error_type
+from codelens.operators.process import change_project, top_k
+
+DAY_MS = 24 * 3600 * 1000
+WATERMARK = "10 minutes"
 
 ERROR_OUT = ("seq long, pid long, source string, severity string, error_type string, message string, "
              "context string, context_lines long")
@@ -40,152 +48,177 @@ def classify_columns(lines: DataFrame, custom_patterns=()) -> DataFrame:
             .withColumn("severity", error_severity(ln)).withColumn("error_type", error_type(ln)))
 
 
+def _ordered(pdfs) -> pd.DataFrame:
+    """All rows of a key in the micro-batch, by ``seq``."""
+    return pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
+
+
+def _latest_ms(pdf: pd.DataFrame) -> int:
+    return int(pd.to_datetime(pdf["event_time"]).astype("datetime64[ms]").astype("int64").max())
+
+
+def _keyed(df: DataFrame, ts: str, keys: list[str], fn, out: str, state: str, mode: str, ttl_ms: int | None, watermark: str) -> DataFrame:
+    """``fn(key, rows, old state) -> (new state, output rows)`` for each key, its state dropped ``ttl_ms`` after its last row."""
+    def step(key, pdfs, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        pdf = _ordered(pdfs)
+        new, rows = fn(key, pdf, held.get if held.exists else None)
+        held.update(new)
+        if ttl_ms:
+            held.setTimeoutTimestamp(max(_latest_ms(pdf), held.getCurrentWatermarkMs()) + ttl_ms)
+        if rows is not None and len(rows):
+            yield rows
+
+    df = df.withColumn("event_time", F.col(ts).cast("timestamp"))
+    if ttl_ms:
+        df = df.withWatermark("event_time", watermark)
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return df.groupBy(*keys).applyInPandasWithState(step, out, state, mode, timeout)
+
+
 def _context_fn(n: int):
     keep = n - 1
 
-    def fn(key, pdfs, state):
-        tail = json.loads(state.get[0]) if state.exists else []
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("seq")
-            lines = tail + pdf["line"].tolist()
-            off = len(tail)
-            errs = pdf.reset_index(drop=True)
-            idx = errs.index[errs["is_error"]]
-            if len(idx):
-                e = errs.loc[idx, ["seq", "pid", "source", "severity", "error_type", "line"]].copy()
-                ctx = [lines[max(0, off + i - keep): off + i + 1] for i in idx]
-                e["context"] = ["\n".join(c) for c in ctx]
-                e["context_lines"] = [len(c) for c in ctx]
-                out.append(e.rename(columns={"line": "message"}))
-            tail = lines[-keep:] if keep else []
-        state.update((json.dumps(tail),))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+    def fn(key, pdf, state):
+        tail = json.loads(state[0]) if state else []
+        lines = tail + pdf["line"].tolist()
+        off = len(tail)
+        idx = pdf.index[pdf["is_error"]]
+        e = pdf.loc[idx, ["seq", "pid", "source", "severity", "error_type", "line"]].copy()
+        context = [lines[max(0, off + i - keep): off + i + 1] for i in idx]
+        e["context"] = ["\n".join(c) for c in context]
+        e["context_lines"] = [len(c) for c in context]
+        return (json.dumps(lines[-keep:] if keep else []),), e.rename(columns={"line": "message"})
 
     return fn
 
 
-def error_stream(lines: DataFrame, n: int = C.CONTEXT_LINES, custom_patterns=()) -> DataFrame:
-    """STR_ERRORS over a streaming frame of (seq, pid, source, line)."""
-    c = classify_columns(lines, custom_patterns).select("seq", "pid", "source", "line", "is_error", "severity",
+def error_stream(lines: DataFrame, n: int = C.CONTEXT_LINES, custom_patterns=(), ttl_ms: int | None = DAY_MS,
+                 watermark: str = WATERMARK) -> DataFrame:
+    """STR_ERRORS over a streaming frame of (seq, pid, source, ts, line)."""
+    c = classify_columns(lines, custom_patterns).select("seq", "pid", "source", "ts", "line", "is_error", "severity",
                                                         "error_type")
-    return c.groupBy("pid", "source").applyInPandasWithState(
-        _context_fn(n), ERROR_OUT, "tail string", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(c, "ts", ["pid", "source"], _context_fn(n), ERROR_OUT, "tail string", "append", ttl_ms, watermark)
 
 
 CHANGE_OUT = "seq long, path string, change_type string, mtime timestamp_ntz, observed_at timestamp_ntz"
 
 
-def _changes_fn(ttl_ms: int | None):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = int(state.get[0]) if state.exists else None  # microseconds
-        out = []
-        seen_ms = 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values("seq")
-            us = (pd.to_datetime(pdf["mtime"]).astype("int64") // 1000).tolist()
-            seen_ms = max(seen_ms, int(pd.to_datetime(pdf["observed_at"]).astype("int64").max() // 1_000_000))
-            for row, m in zip(pdf.itertuples(index=False), us):
-                if last is None:
-                    out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
-                elif m > last:
-                    out.append((row.seq, row.path, "modified", row.mtime, row.observed_at))
-                last = m
-        state.update((last,))
-        if ttl_ms:
-            # event-time TTL: the path's state is dropped once the watermark passes last sight + ttl
-            state.setTimeoutTimestamp(seen_ms + ttl_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
+def _changes(key, pdf, state):
+    last = int(state[0]) if state else None  # microseconds
+    out = []
+    us = pd.to_datetime(pdf["mtime"]).astype("datetime64[us]").astype("int64").tolist()
+    for row, m in zip(pdf.itertuples(index=False), us, strict=True):
+        if last is None:
+            out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
+        elif m > last:
+            out.append((row.seq, row.path, "modified", row.mtime, row.observed_at))
+        last = m
+    return (last,), pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
 
-    return fn
 
+def change_stream(observations: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+    """STR_CHANGES over a streaming frame of (seq, path, observed_at, mtime); state per path: the last mtime."""
+    obs = observations.select("seq", "path", "observed_at", "mtime")
+    return _keyed(obs, "observed_at", ["path"], _changes, CHANGE_OUT, "last_mtime_us long", "append", ttl_ms, watermark)
 
-def change_stream(observations: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000,
-                  watermark: str = "10 minutes") -> DataFrame:
-    """STR_CHANGES over a streaming frame of (seq, path, observed_at, mtime).
 
-    State per path is the last mtime; with ``ttl_ms`` it expires on event time
-    (watermark on ``observed_at``), so a stream over ever-new paths keeps bounded state.
-    """
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    obs = observations.withColumn("event_time", F.col("observed_at").cast("timestamp"))
-    if ttl_ms:
-        obs = obs.withWatermark("event_time", watermark)
-    return (obs.select("seq", "path", "observed_at", "mtime", "event_time").groupBy("path")
-            .applyInPandasWithState(_changes_fn(ttl_ms), CHANGE_OUT, "last_mtime_us long", "append", timeout))
+LATEST_OUT = "pid long, seq long, ts timestamp, severity string, error_type string, message string"
+
+
+def _latest(key, pdf, state):
+    seq = int(state[0]) if state else -1
+    errors = pdf[pdf["is_error"] & (pdf["seq"] > seq)]
+    if not len(errors):
+        return (seq,), None
+    last = errors.iloc[-1]
+    out = pd.DataFrame([(key[0], last["seq"], last["event_time"], last["severity"], last["error_type"], last["line"])],
+                       columns=["pid", "seq", "ts", "severity", "error_type", "message"])
+    return (int(last["seq"]),), out
 
 
-def latest_errors(lines: DataFrame) -> DataFrame:
-    """STR_LATEST: newest error per process (update mode). Filter by a duration at read time."""
-    e = classify_columns(lines).where("is_error")
-    return e.groupBy("pid").agg(F.max_by(F.struct("seq", "ts", "severity", "error_type", "line"), "seq").alias("last"))
+def latest_errors(lines: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+    """STR_LATEST: newest error per process, given out when it changes (update mode). Filter by a duration at read time."""
+    c = classify_columns(lines).select("seq", "pid", "ts", "line", "is_error", "severity", "error_type")
+    return _keyed(c, "ts", ["pid"], _latest, LATEST_OUT, "seq long", "update", ttl_ms, watermark)
 
 
 PROCESS_OUT = "pid long, lines long, errors long, last_error string, last_seq long, tail string"
 
 
 def _process_fn(tail_n: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            n_lines, n_err, last_error, last_seq, tail = state.get
-            tail = json.loads(tail)
-        else:
-            n_lines, n_err, last_error, last_seq, tail = 0, 0, None, -1, []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("seq")
-            n_lines += len(pdf)
-            errs = pdf[pdf["is_error"]]
-            n_err += len(errs)
-            if len(errs):
-                last_error = errs["line"].iloc[-1]
-            last_seq = max(last_seq, int(pdf["seq"].iloc[-1]))
-            tail = (tail + pdf["line"].tolist())[-tail_n:]
-        state.update((n_lines, n_err, last_error, last_seq, json.dumps(tail)))
-        yield pd.DataFrame([(key[0], n_lines, n_err, last_error, last_seq, "\n".join(tail))],
+    def fn(key, pdf, state):
+        n_lines, n_err, last_error, last_seq, tail = state if state else (0, 0, None, -1, "[]")
+        errors = pdf[pdf["is_error"]]
+        n_lines, n_err = n_lines + len(pdf), n_err + len(errors)
+        if len(errors):
+            last_error = errors["line"].iloc[-1]
+        last_seq = max(last_seq, int(pdf["seq"].iloc[-1]))
+        tail = (json.loads(tail) + pdf["line"].tolist())[-tail_n:]
+        out = pd.DataFrame([(key[0], n_lines, n_err, last_error, last_seq, "\n".join(tail))],
                            columns=["pid", "lines", "errors", "last_error", "last_seq", "tail"])
+        return (n_lines, n_err, last_error, last_seq, json.dumps(tail)), out
 
     return fn
 
 
-def process_state(lines: DataFrame, tail_n: int = C.DEFAULT_TAIL) -> DataFrame:
+def process_state(lines: DataFrame, tail_n: int = C.MAX_OUTPUT_LINES, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
     """STR_PROCESS_STATE: per process counts, last error and the last ``tail_n`` lines (update mode)."""
-    c = classify_columns(lines).select("seq", "pid", "line", "is_error")
-    return c.groupBy("pid").applyInPandasWithState(
-        _process_fn(tail_n), PROCESS_OUT,
-        "lines long, errors long, last_error string, last_seq long, tail string", "update",
-        GroupStateTimeout.NoTimeout)
+    c = classify_columns(lines).select("seq", "pid", "ts", "line", "is_error")
+    return _keyed(c, "ts", ["pid"], _process_fn(tail_n), PROCESS_OUT,
+                  "lines long, errors long, last_error string, last_seq long, tail string", "update", ttl_ms, watermark)
+
+
+def _count(key, pdf, state):
+    lines, errors = state if state else (0, 0)
+    lines, errors = lines + len(pdf), errors + int(pdf["is_error"].sum())
+    return (lines, errors), pd.DataFrame([(key[0], lines, errors)], columns=["pid", "lines", "errors"])
+
+
+def counters(lines: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+    """STR_COUNTERS: running error and line counters per process (update mode)."""
+    c = classify_columns(lines).select("seq", "pid", "ts", "is_error")
+    return _keyed(c, "ts", ["pid"], _count, "pid long, lines long, errors long", "lines long, errors long", "update", ttl_ms, watermark)
+
+
+def _versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """Complete versions in the folder, through Hadoop's file system (any store that Spark reads)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName()[1:]) for p in done)
 
 
-def counters(lines: DataFrame) -> DataFrame:
-    """STR_COUNTERS: running error and line counters per process (complete or update mode)."""
-    c = classify_columns(lines)
-    return c.groupBy("pid").agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_error").alias("errors"))
+def read_recent(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The newest complete version that ``retain_recent`` wrote."""
+    return spark.read.parquet(f"{table_dir}/v{_versions(spark, table_dir)[-1]}")
 
 
 def retain_recent(table_dir: str, keep: int = C.MAX_CHANGES):
-    """STR_RECENT sink: after every micro-batch the newest ``keep`` changes are written as version ``epoch``.
+    """STR_RECENT sink: after every micro-batch each workspace's newest ``keep`` changes, as version ``epoch``.
 
-    Readers take the newest version and apply the 10-minute filter; the
-    retained set is bounded by ``keep`` rows, so nothing unbounded is kept.
+    A version is the last one before its epoch plus the batch, so an epoch that
+    is replayed gives the same version again; readers take the newest complete
+    version and apply the 10-minute filter. Versions before the previous one
+    are removed.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = None
-        try:
-            prev = spark.read.parquet(f"{table_dir}/latest")
-        except Exception:  # first batch: no table yet
-            prev = None
-        rows = batch.select("seq", "path", "change_type", "observed_at")
-        if prev is not None:
-            rows = rows.unionByName(prev)
-        top = rows.orderBy(F.col("observed_at").desc(), F.col("seq").desc()).limit(keep)
+        earlier = [v for v in _versions(spark, table_dir) if v < epoch]
+        rows = batch.select("seq", "path", "change_type", "observed_at", change_project(F.col("path")).alias("project"))
+        if earlier:
+            rows = rows.unionByName(spark.read.parquet(f"{table_dir}/v{earlier[-1]}"))
+        top = top_k(rows, ["project"], [F.col("observed_at").desc(), F.col("seq").desc()], keep).drop("rank")
         top.write.mode("overwrite").parquet(f"{table_dir}/v{epoch}")
-        spark.read.parquet(f"{table_dir}/v{epoch}").write.mode("overwrite").parquet(f"{table_dir}/latest")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for v in earlier[:-1]:
+            old = path(f"{table_dir}/v{v}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 

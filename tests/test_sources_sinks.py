@@ -25,14 +25,17 @@ def _write_tree(spark, root, limit_dirs=None):
 def test_read_tree_and_lines(spark, scratch):
     root = os.path.join(scratch, "tree")
     rows = _write_tree(spark, root)
+    extra = {".env": "A=1", "__tests__/t.js": "x()", "a/__init__.py": "", "a/_x.py": "y", ".github/workflows/deep/ci.yml": "on: push"}
+    for name, text in extra.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(text)
     tree = SF.read_tree(spark, root, project_id="p")
     got = {r.rel_path: r.content for r in tree.select("rel_path", "content").collect()}
-    # Spark's file listing hides names starting with '.' or '_' (documented limitation)
-    # and the binaryFile reader yields no row for a zero-length file
-    visible = [r for r in rows if not any(p.startswith((".", "_")) for p in r.rel_path.split("/")) and r.content]
     # projects share root config names in this single tree: the last write of a path wins
-    on_disk = {r.rel_path: r.content for r in visible}
-    assert got == on_disk
+    on_disk = {**{r.rel_path: r.content for r in rows}, **extra}
+    assert got == on_disk and tree.count() == len(on_disk)
+    assert all(r.size == len(on_disk[r.rel_path].encode()) for r in tree.select("rel_path", "size").collect())
     lines = SF.explode_lines(tree)
     want = sum(len(c.split("\n")) for c in on_disk.values())
     assert lines.count() == want

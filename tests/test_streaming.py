@@ -4,7 +4,9 @@ import os
 import uuid
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from codelens.operators import process as P
 from codelens.plans.fixtures import register
 from codelens.session import ensure_checkpoint_dir
 from codelens.streaming import watchers as W
@@ -98,12 +100,59 @@ def test_latest_errors_stream(spark, scratch):
     rows = _run(spark, W.latest_errors(_stage(spark, "le", lines, 3, scratch)), mode="update")
     last = {}
     for r in rows:
-        s = r["last"]["seq"]
-        last[r["pid"]] = max(last.get(r["pid"], -1), s)
+        last[r["pid"]] = max(last.get(r["pid"], -1), r["seq"])
     classified = W.classify_columns(lines).where("is_error").groupBy("pid").max("seq").collect()
     assert last == {r["pid"]: r["max(seq)"] for r in classified}
 
 
+def test_counters_stream(spark, scratch):
+    register(spark, SF_SMALL)
+    lines = spark.table("log_lines").select("seq", "pid", "source", "ts", "line")
+    rows = _run(spark, W.counters(_stage(spark, "ct", lines, 3, scratch)), mode="update")
+    got = {}
+    for r in rows:
+        got[r["pid"]] = max(got.get(r["pid"], (0, 0)), (r["lines"], r["errors"]))
+    want = W.classify_columns(lines).groupBy("pid").agg({"seq": "count", "is_error": "count_if"}).collect()
+    assert got == {r["pid"]: (r["count(seq)"], r["count_if(is_error)"]) for r in want}
+
+
+def test_streams_do_not_depend_on_chunks(spark, scratch):
+    """Shuffled lines of few processes, four rows an Arrow chunk: context, tail and changes as in order."""
+    register(spark, SF_SMALL)
+    lines = spark.table("log_lines").select("seq", (F.col("pid") % 2).alias("pid"), "source", "ts", "line")
+    shuffled = lines.orderBy(F.xxhash64("seq"))
+    obs = spark.table("file_observations").withColumn("path", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/a.go")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        src = os.path.join(scratch, "shuffled")
+        shuffled.write.parquet(src)
+        rows = _run(spark, W.error_stream(spark.readStream.schema(lines.schema).parquet(src)))
+        osrc = os.path.join(scratch, "obs")
+        obs.orderBy(F.xxhash64("seq")).write.parquet(osrc)
+        changes = _run(spark, W.change_stream(spark.readStream.schema(obs.schema).parquet(osrc)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {(r.seq, "\n".join(r.context)) for r in P.with_context(lines).collect()}
+    assert want and {(r["seq"], r["context"]) for r in rows} == want
+    assert {(r["seq"], r["change_type"]) for r in changes} == {(r.seq, r.change_type) for r in P.file_changes(obs).collect()}
+
+
+def test_process_state_expires(spark, scratch):
+    import datetime as dt
+
+    import pandas as pd
+    t0 = dt.datetime(2024, 1, 1)
+    src = os.path.join(scratch, "ttl")
+    os.makedirs(src)
+    for i, (seq, pid, days) in enumerate([(1, 1, 0), (2, 2, 3), (3, 2, 3.01), (4, 1, 3.02)]):
+        pd.DataFrame([(seq, pid, "stdout", t0 + dt.timedelta(days=days), "Error: x")], columns=["seq", "pid", "source", "ts", "line"]).to_parquet(
+            os.path.join(src, f"part-{i}.parquet"), index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(os.path.join(src, f"part-{i}.parquet"), (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema("seq long, pid long, source string, ts timestamp_ntz, line string").option("maxFilesPerTrigger", 1).parquet(src)
+    rows = _run(spark, W.counters(stream), mode="update")
+    assert sorted((r["pid"], r["lines"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (2, 2)]
+
+
 def test_fan_out_and_retain(spark, scratch):
     register(spark, SF_SMALL)
     obs = spark.table("file_observations")
@@ -118,7 +167,16 @@ def test_fan_out_and_retain(spark, scratch):
     assert published == load_all()["win_changes"][0](spark, SF_SMALL).count()  # every change published once
     keep_dir = os.path.join(scratch, "recent")
     ckpt2 = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    q2 = (W.change_stream(_stage(spark, "fo2", obs, 2, scratch)).writeStream.option("checkpointLocation", ckpt2)
-          .foreachBatch(W.retain_recent(keep_dir, keep=10)).trigger(availableNow=True).start())
+    q2 = (W.change_stream(_stage(spark, "fo2", obs, 4, scratch)).writeStream.option("checkpointLocation", ckpt2)
+          .foreachBatch(W.retain_recent(keep_dir, keep=3)).trigger(availableNow=True).start())
     q2.awaitTermination()
-    assert spark.read.parquet(f"{keep_dir}/latest").count() == 10
+    ch = P.file_changes(obs).withColumn("project", P.change_project(F.col("path")))
+    want = {(r.project, r.seq) for r in P.top_k(ch, ["project"], [F.col("observed_at").desc(), F.col("seq").desc()], 3).collect()}
+    got = W.read_recent(spark, keep_dir).collect()
+    assert {(r.project, r.seq) for r in got} == want and len(got) == len(want)
+    # a replayed epoch gives the same version again
+    versions = sorted(int(v[1:]) for v in os.listdir(keep_dir) if v.startswith("v"))
+    assert len(versions) == 2
+    W.retain_recent(keep_dir, keep=3)(ch.limit(0), versions[-1] + 1)
+    W.retain_recent(keep_dir, keep=3)(ch.limit(0), versions[-1] + 1)
+    assert {(r.project, r.seq) for r in W.read_recent(spark, keep_dir).collect()} == want

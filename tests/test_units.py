@@ -56,6 +56,29 @@ def test_parse_duration_minutes(spark):
     df = spark.createDataFrame([("90s",), ("5m",), ("2h",), ("soon",), ("",)], "t string")
     got = [r.m for r in df.select(P.parse_duration_minutes(F.col("t")).alias("m")).collect()]
     assert got == [1.5, 5.0, 120.0, 5.0, 5.0]
+    more = [("1h30m", 90.0), ("1.5h", 90.0), ("500ms", 1 / 120), ("-2m", -2.0), ("+.5m", 0.5), ("0", 0.0), ("1h 30m", 5.0), ("5", 5.0), (None, 5.0), ("2.h", 120.0), ("3us", 5e-8)]
+    df = spark.createDataFrame([(t,) for t, _ in more], "t string")
+    got = [r.m for r in df.select(P.parse_duration_minutes(F.col("t")).alias("m")).collect()]
+    assert all(abs(a - b) < 1e-12 for a, (_, b) in zip(got, more, strict=True)), got
+
+
+def test_user_patterns(spark):
+    """Two processes' lines with one seq both stay; a pattern that is no regex is reported, not fatal."""
+    from codelens.operators import diagnostics as D
+    lines = spark.createDataFrame([(1, 1, "heartbeat"), (1, 2, "heartbeat"), (2, 1, "panic: x"), (3, 3, "quiet")], "seq long, pid long, line string")
+    own = spark.createDataFrame([(1, "heart"), (1, "beat$"), (2, "HEART"), (2, "(?i)HEART"), (3, "broken("), (3, "a++")], "pid long, pattern string")
+    got = sorted((r.seq, r.pid) for r in D.classify_with_user_patterns(lines, own).collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]
+    assert sorted(r.pattern for r in D.rejected_patterns(own).collect()) == ["a++", "broken("]
+
+
+def test_recent_changes_keep_each_workspace(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, f"p{i % 3}/f.go", t0 + dt.timedelta(seconds=i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "seq long, path string, observed_at timestamp")
+    got = P.recent_changes(df, keep=100, minutes=60).groupBy("project").count().collect()
+    assert {(r["project"], r["count"]) for r in got} == {("p0", 100), ("p1", 100), ("p2", 100)}
 
 
 def test_nullsafe_count_if_rewrite():
