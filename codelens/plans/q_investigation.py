@@ -162,53 +162,3 @@ def flt_link_perms(spark, sf_dir):
     return p.select("link_id", F.col("permissions")["read"].alias("can_read"),
                     F.col("permissions")["download"].alias("can_download"),
                     F.col("permissions")["fork"].alias("can_fork"), F.array_join(granted, ",").alias("fields"))
-
-
-# ------------------------------------------------------------ exports
-
-def _d_icon(kind: str) -> str:
-    from codelens.sinks.snapshots import ICONS
-    _, m, default = ICONS[kind]
-    whens = " ".join(f"WHEN status = '{k}' THEN '{v}'" for k, v in m.items())
-    return f"CASE {whens} ELSE '{default}' END"
-
-
-def _d_md() -> str:
-    from codelens.sinks.snapshots import SECTIONS
-    parts = ["""SELECT snapshot_id, 0 AS section, o.ord, o.line FROM (
-  SELECT snapshot_id, count(*) AS n, min(created_at) AS c, max(updated_at) AS u FROM st GROUP BY snapshot_id) h,
-  LATERAL (SELECT unnest([0, 1, 2, 3]) AS ord, unnest(['# Investigation Snapshot: ' || CAST(h.snapshot_id AS VARCHAR),
-    '**Created:** ' || strftime(h.c, '%Y-%m-%d %H:%M:%S'), '**Updated:** ' || strftime(h.u, '%Y-%m-%d %H:%M:%S'),
-    '**Entries:** ' || CAST(h.n AS VARCHAR)]) AS line) o"""]
-    for i, (kind, title) in enumerate(SECTIONS, start=1):
-        detail = "' (' || coalesce(status, '') || ')'"
-        if kind == "hypothesis":
-            detail += " || ' confidence ' || printf('%.2f', round(coalesce(confidence, 0.0), 2))"
-        parts.append(f"SELECT DISTINCT snapshot_id, {i}, 0, '{title}' FROM st WHERE kind = '{kind}'")
-        parts.append(f"SELECT snapshot_id, {i}, 1, '- ' || {_d_icon(kind)} || ' ' || entity_id || {detail} FROM st WHERE kind = '{kind}'")
-    return "\nUNION ALL\n".join(parts)
-
-
-D_ST = ("st", """SELECT s.*, c.confidence FROM state s LEFT JOIN (
-  SELECT entity_id, arg_max(confidence, seq) FILTER (WHERE confidence BETWEEN 0 AND 1) AS confidence
-  FROM investigation_events WHERE kind = 'hypothesis' GROUP BY entity_id) c USING (entity_id)""")
-D_MD = ("md", _d_md())
-
-
-@query("snk_export_md", d_inv("SELECT snapshot_id, CAST(section AS BIGINT) AS section, CAST(ord AS BIGINT) AS ord, line FROM md",
-                              [D_ST, D_MD]))
-def snk_export_md(spark, sf_dir):
-    from codelens.sinks.snapshots import markdown_lines
-    md = markdown_lines(_ev(spark, sf_dir))
-    return md.select("snapshot_id", F.col("section").cast("bigint"), F.col("ord").cast("bigint"), "line")
-
-
-@query("snk_export_html", d_inv("""
-SELECT snapshot_id, -1 AS section, 0 AS ord, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Snapshot</title></head><body><pre>' AS line
-FROM (SELECT DISTINCT snapshot_id FROM md) a
-UNION ALL SELECT snapshot_id, section, ord, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') FROM md
-UNION ALL SELECT snapshot_id, 99, 0, '</pre></body></html>' FROM (SELECT DISTINCT snapshot_id FROM md) b""", [D_ST, D_MD]))
-def snk_export_html(spark, sf_dir):
-    from codelens.sinks.snapshots import html_lines, markdown_lines
-    h = html_lines(markdown_lines(_ev(spark, sf_dir)))
-    return h.select("snapshot_id", F.col("section").cast("int"), F.col("ord").cast("int"), "line")

@@ -9,6 +9,8 @@ from codelens.operators import snapshots as S
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
 from codelens.plans.registry import Views, query
+from codelens.sinks import snapshots as SK
+from codelens.sources.files import SNAPSHOT_SCHEMA
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -134,27 +136,231 @@ def srt_snapshot_list(spark, sf_dir):
                     shown.alias("tags_shown"))
 
 
-D_JSON = ("""'{"snapshot_id":' || CAST(snapshot_id AS VARCHAR) || ',"parent_id":' || coalesce(CAST(parent_id AS VARCHAR), 'null')
-  || ',"created_at":"' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '","project_id":' || CAST(project_id AS VARCHAR)
-  || ',"size":' || CAST(size AS VARCHAR) || '}'""")
-
-
-def snapshot_json(df):
-    """Stable JSON text of a snapshot row (field order fixed, no metadata fields)."""
-    return F.concat(F.lit('{"snapshot_id":'), F.col("snapshot_id").cast("string"),
-                    F.lit(',"parent_id":'), F.coalesce(F.col("parent_id").cast("string"), F.lit("null")),
-                    F.lit(',"created_at":"'), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"),
-                    F.lit('","project_id":'), F.col("project_id").cast("string"),
-                    F.lit(',"size":'), F.col("size").cast("string"), F.lit("}"))
+# ------------------------------------------------------------ whole snapshots
+
+def _upto(key, n: int):
+    """0 .. (key mod n) - 1 as an array (empty for 0)."""
+    return F.when(key % n > 0, F.sequence(F.lit(0), (key % n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _pick(values: list[str], key):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def snapshot_docs(spark, sf_dir):
+    """Every snapshot as a whole stored row (see ``sources.files.SNAPSHOT_SCHEMA``), derived from the snapshots view."""
+    s, none = F.col("snapshot_id"), F.lit(None)
+    at = F.col("created_at").cast("timestamp")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    questions = F.transform(_upto(s, 4), lambda k: F.struct(
+        text("q", k), text('Why does "step ', k, '" fail <', s, "> & how?"), _pick(["high", "medium", "low"], k), _pick(["open", "investigating", "answered"], s + k), at, none,
+        F.when((s + k) % 3 == 2, text("see run ", k)).otherwise(""), _pick(["human", "ai"], k)))
+    hypotheses = F.transform(_upto(s + 1, 3), lambda k: F.struct(
+        text("h", k), text("cause ", k, " of ", s), (s % 100) / 100.0, F.transform(_upto(s + k, 3), lambda e: text("log\t", e)),
+        _pick(["active", "confirmed", "refuted"], s + k), at, none))
+    findings = F.transform(_upto(s + 2, 3), lambda k: F.struct(
+        text("f", k), text("fact ", k), text("seen in ", s), _pick(["high", "low"], k), _pick(["bug", "performance"], s + k),
+        F.array(F.struct(F.lit("log"), F.lit("app.log"), text("line ", k), at)), at, (s + k) % 2 == 0))
+    blockers = F.transform(_upto(s + 3, 4), lambda k: F.struct(
+        text("b", k), text("missing ", k), text("needs \\", s), _pick(["critical", "low"], s), _pick(["technical", "knowledge"], k), _pick(["open", "investigating", "resolved"], s + k), at, none,
+        F.when((s + k) % 3 == 2, F.lit("granted")).otherwise("")))
+    investigation = F.struct(
+        text("errors of ", F.col("project_id")), F.slice(F.array(F.lit("find the cause"), F.lit("fix it")), 1, (s % 3).cast("int")),
+        _pick(["discovery", "analysis"], s), questions, hypotheses, findings, F.slice(F.array(F.lit("bisect"), F.lit("add a test")), 1, ((s + 1) % 3).cast("int")), blockers)
+    recommendations = F.transform(_upto(s, 6), lambda k: F.struct(text("r", k), F.lit("action"), text("try ", k), F.lit("d"), F.lit(0.5), F.lit("high"), F.lit("pending"), at, none, none))
+    decisions = F.transform(_upto(s, 3), lambda k: F.struct(text("d", k), text("go ", k), F.lit("r"), F.lit("low"), F.lit("direction"), at, F.lit("")))
+    collaboration = F.struct(text("session_", F.col("project_id")), (s % 40).cast("int"), at, recommendations, decisions, none, none,
+                             F.create_map(F.lit("read"), (s % 7).cast("int"), F.lit("search"), (s % 3).cast("int")))
+    metadata = F.struct(F.array(F.lit("initial")), text("/work/p", F.col("project_id")), none, F.lit("main"), none, none, none,
+                        F.when(F.col("parent_id").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("parent_id").cast("string"))),
+                        F.array(F.lit("json"), F.lit("markdown")))
+    state = F.when(s % 5 > 0, F.struct((s % 101).cast("int"), s % 500, s % 9, s % 4))
+    values = {
+        "id": s.cast("string"), "name": text('Case "', s, '" <', F.col("project_id"), ">"), "description": text("project ", F.col("project_id"), "\nsecond line"),
+        "created_at": at, "updated_at": at + F.make_dt_interval(hours=(s % 50).cast("int")), "version": (s % 5 + 1).cast("int"),
+        "parent_snapshot_id": F.col("parent_id").cast("string"), "project_state": state, "investigation": investigation,
+        "collaboration": collaboration, "metadata": metadata}
+    kinds = spark.createDataFrame([], SNAPSHOT_SCHEMA).schema
+    return _snap(spark, sf_dir).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in kinds])
+
+
+# the same rows written by hand for the oracle: lists of structs, without the fields that are empty
+D_DOCS = ("docs", r"""SELECT *, CAST(snapshot_id AS VARCHAR) AS id, snapshot_id AS s, CAST(snapshot_id AS VARCHAR) AS t, CAST(project_id AS VARCHAR) AS p,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS made, strftime(created_at, '%Y-%m-%d %H:%M') AS minute,
+  strftime(created_at + to_hours(snapshot_id % 50), '%Y-%m-%d %H:%M:%S') AS updated, snapshot_id % 5 + 1 AS version FROM snapshots""")
+D_PARTS = ("parts", r"""SELECT *, 'Case "' || t || '" <' || p || '>' AS name, 'project ' || p || chr(10) || 'second line' AS description,
+  list_slice(['find the cause', 'fix it'], 1, s % 3) AS goals, list_slice(['bisect', 'add a test'], 1, (s + 1) % 3) AS next_steps,
+  list_transform(range(0, s % 4), lambda k: {'id': 'q' || k, 'question': 'Why does "step ' || k || '" fail <' || t || '> & how?',
+    'priority': ['high', 'medium', 'low'][k % 3 + 1], 'status': ['open', 'investigating', 'answered'][(s + k) % 3 + 1], 'created_at': made,
+    'answer': CASE WHEN (s + k) % 3 = 2 THEN 'see run ' || k ELSE '' END, 'source': ['human', 'ai'][k % 2 + 1]}) AS questions,
+  list_transform(range(0, (s + 1) % 3), lambda k: {'id': 'h' || k, 'statement': 'cause ' || k || ' of ' || t, 'confidence': CAST((s % 100) / 100.0 AS DOUBLE),
+    'evidence': list_transform(range(0, (s + k) % 3), lambda e: 'log' || chr(9) || e), 'status': ['active', 'confirmed', 'refuted'][(s + k) % 3 + 1], 'created_at': made}) AS hypotheses,
+  list_transform(range(0, (s + 2) % 3), lambda k: {'id': 'f' || k, 'title': 'fact ' || k, 'description': 'seen in ' || t, 'impact': ['high', 'low'][k % 2 + 1],
+    'category': ['bug', 'performance'][(s + k) % 2 + 1], 'evidence': [{'type': 'log', 'source': 'app.log', 'content': 'line ' || k, 'timestamp': made}],
+    'created_at': made, 'verified': (s + k) % 2 = 0}) AS findings,
+  list_transform(range(0, (s + 3) % 4), lambda k: {'id': 'b' || k, 'title': 'missing ' || k, 'description': 'needs \' || t, 'severity': ['critical', 'low'][s % 2 + 1],
+    'type': ['technical', 'knowledge'][k % 2 + 1], 'status': ['open', 'investigating', 'resolved'][(s + k) % 3 + 1], 'created_at': made,
+    'resolution': CASE WHEN (s + k) % 3 = 2 THEN 'granted' ELSE '' END}) AS blockers,
+  list_transform(range(0, s % 6), lambda k: {'id': 'r' || k, 'type': 'action', 'title': 'try ' || k, 'description': 'd', 'confidence': CAST(0.5 AS DOUBLE), 'priority': 'high', 'status': 'pending', 'created_at': made}) AS recommendations,
+  list_transform(range(0, s % 3), lambda k: {'id': 'd' || k, 'decision': 'go ' || k, 'rationale': 'r', 'impact': 'low', 'category': 'direction', 'created_at': made, 'outcome': ''}) AS decisions,
+  CASE WHEN parent_id IS NULL THEN CAST([] AS VARCHAR[]) ELSE [CAST(parent_id AS VARCHAR)] END AS related FROM docs""")
+D_BODY = ("bodies", r"""SELECT *,
+  to_json({'focus': 'errors of ' || p, 'goals': goals, 'current_phase': ['discovery', 'analysis'][s % 2 + 1], 'questions': questions, 'hypotheses': hypotheses, 'findings': findings, 'next_steps': next_steps, 'blockers': blockers}) AS investigation,
+  to_json({'session_id': 'session_' || p, 'interaction_count': s % 40, 'last_interaction': made, 'ai_recommendations': recommendations, 'human_decisions': decisions, 'tool_usage': {'read': s % 7, 'search': s % 3}}) AS collaboration,
+  CASE WHEN s % 5 > 0 THEN to_json({'health_score': s % 101, 'total_files': s % 500, 'active_errors': s % 9, 'languages': s % 4}) END AS state,
+  '{"tags":["initial"],"project_path":' || to_json('/work/p' || p) || ',"git_branch":"main"' AS meta_head,
+  ',"related_snapshots":' || to_json(related) || ',"export_formats":["json","markdown"]}' AS meta_tail FROM parts""")
+D_CONTENT = ("contents", r"""SELECT *, '{"id":' || to_json(id) || ',"name":' || to_json(name) || ',"description":' || to_json(description) || ',"created_at":' || to_json(made) ||
+  ',"version":' || version || CASE WHEN parent_id IS NULL THEN '' ELSE ',"parent_snapshot_id":' || to_json(CAST(parent_id AS VARCHAR)) END ||
+  coalesce(',"project_state":' || state, '') || ',"investigation":' || investigation || ',"collaboration":' || collaboration || ',"metadata":' || meta_head || meta_tail || '}' AS content FROM bodies""")
+D_WHOLE = [D_DOCS, D_PARTS, D_BODY, D_CONTENT]
+
+
+@query("snp_checksum", duckdb_with(["snapshots"], D_WHOLE) + """
+SELECT id AS snapshot_id, CAST(strlen(content) AS BIGINT) AS json_bytes, sha256(content) AS checksum FROM contents""")
+def snp_checksum(spark, sf_dir):
+    """SNP_CHECKSUM: size and SHA-256 of each whole snapshot's JSON (content only, so it is reproducible)."""
+    saved = SK.with_metadata(snapshot_docs(spark, sf_dir))
+    return saved.select(F.col("id").alias("snapshot_id"), F.col("metadata.size").alias("json_bytes"), F.col("metadata.checksum").alias("checksum"))
 
 
-@query("snp_checksum", duckdb_with(["snapshots"]) + f"""
-SELECT snapshot_id, CAST(strlen(j) AS BIGINT) AS json_bytes, sha256(j) AS checksum FROM (SELECT snapshot_id, {D_JSON} AS j FROM snapshots) s""")
-def snp_checksum(spark, sf_dir):
-    """SNP_CHECKSUM: size and SHA-256 of the snapshot JSON (content only, so it is reproducible)."""
-    s = _snap(spark, sf_dir).withColumn("j", snapshot_json(None))
-    return s.select("snapshot_id", F.octet_length("j").cast("bigint").alias("json_bytes"),
-                    F.sha2("j", 256).alias("checksum"))
+@query("snk_export_json", duckdb_with(["snapshots"], D_WHOLE) + """
+SELECT id AS snapshot_id, '{"snapshot_id":' || to_json(id) || ',"name":' || to_json(name) || ',"description":' || to_json(description) || ',"created_at":' || to_json(made) ||
+  ',"updated_at":' || to_json(updated) || ',"version":' || version || ',"investigation":' || investigation || ',"metadata":' || meta_head ||
+  ',"size":' || strlen(content) || ',"checksum":' || to_json(sha256(content)) || meta_tail || coalesce(',"project_state":' || state, '') || ',"collaboration":' || collaboration || '}' AS json
+FROM contents""")
+def snk_export_json(spark, sf_dir):
+    """SNK_EXPORT_JSON: each snapshot as one JSON document, with its saved size and checksum."""
+    docs = snapshot_docs(spark, sf_dir)
+    return SK.export_json(SK.with_metadata(docs, F.col("updated_at"))).withColumnRenamed("id", "snapshot_id")
+
+
+D_MD = ("md", r"""SELECT id, name, '# Investigation Snapshot: ' || name || E'
+
+**Created:** ' || made || E'  
+**Updated:** ' || updated || E'  
+**Version:** ' || version ||
+  E'  
+**Description:** ' || description || E'
+
+## 🔍 Investigation Context
+
+**Focus:** errors of ' || p || E'  
+**Current Phase:** ' || ['discovery', 'analysis'][s % 2 + 1] || E'  
+' ||
+  CASE WHEN len(goals) > 0 THEN E'
+### Goals
+' || array_to_string(list_transform(range(1, len(goals) + 1), lambda i: i || '. ' || goals[i] || E'
+'), '') ELSE '' END ||
+  CASE WHEN len(questions) > 0 THEN E'
+## ❓ Questions
+
+' || array_to_string(list_transform(questions, lambda q:
+    '### ' || CASE q.status WHEN 'answered' THEN '✅' WHEN 'investigating' THEN '🔍' ELSE '🔓' END || ' ' || q.question || E'
+- **Priority:** ' || q.priority ||
+    E'
+- **Source:** ' || q.source || E'
+- **Created:** ' || minute || E'
+' || CASE WHEN q.answer <> '' THEN '- **Answer:** ' || q.answer || E'
+' ELSE '' END || E'
+'), '') ELSE '' END ||
+  CASE WHEN len(hypotheses) > 0 THEN E'
+## 💡 Hypotheses
+
+' || array_to_string(list_transform(hypotheses, lambda h:
+    '### ' || CASE h.status WHEN 'confirmed' THEN '✅' WHEN 'refuted' THEN '❌' ELSE '🔬' END || ' ' || h.statement || E'
+- **Confidence:** ' || printf('%.2f', h.confidence) ||
+    E'
+- **Status:** ' || h.status || E'
+- **Created:** ' || minute || E'
+' || CASE WHEN len(h.evidence) > 0 THEN E'- **Evidence:**
+' ||
+    array_to_string(list_transform(h.evidence, lambda e: '  - ' || e || E'
+'), '') ELSE '' END || E'
+'), '') ELSE '' END ||
+  CASE WHEN len(findings) > 0 THEN E'
+## 🎯 Findings
+
+' || array_to_string(list_transform(findings, lambda f:
+    '### ' || CASE WHEN f.verified THEN '✅' ELSE '⏳' END || ' ' || f.title || E'
+**Description:** ' || f.description || E'
+
+- **Impact:** ' || f.impact ||
+    E'
+- **Category:** ' || f.category || E'
+- **Created:** ' || minute || E'
+
+'), '') ELSE '' END ||
+  CASE WHEN len(blockers) > 0 THEN E'
+## 🚧 Blockers
+
+' || array_to_string(list_transform(blockers, lambda b:
+    '### ' || CASE b.status WHEN 'resolved' THEN '✅' WHEN 'investigating' THEN '🔍' ELSE '🔴' END || ' ' || b.title || E'
+**Description:** ' || b.description || E'
+
+- **Severity:** ' ||
+    b.severity || E'
+- **Type:** ' || b.type || E'
+- **Created:** ' || minute || E'
+' || CASE WHEN b.resolution <> '' THEN '- **Resolution:** ' || b.resolution || E'
+' ELSE '' END || E'
+'), '') ELSE '' END ||
+  CASE WHEN len(next_steps) > 0 THEN E'
+## 📋 Next Steps
+
+' || array_to_string(list_transform(range(1, len(next_steps) + 1), lambda i: i || '. ' || next_steps[i] || E'
+'), '') || E'
+' ELSE '' END ||
+  E'
+## 🤝 Collaboration Summary
+
+- **Session ID:** session_' || p || E'
+- **Interactions:** ' || s % 40 || E'
+- **Last Interaction:** ' || minute ||
+  E'
+- **AI Recommendations:** ' || len(recommendations) || E'
+- **Human Decisions:** ' || len(decisions) || E'
+' ||
+  CASE WHEN s % 5 > 0 THEN E'
+## 📊 Project State
+
+- **Health Score:** ' || s % 101 || E'/100
+- **Total Files:** ' || s % 500 || E'
+- **Active Errors:** ' || s % 9 ||
+    E'
+- **Languages:** ' || s % 4 || E'
+' ELSE '' END ||
+  E'
+---
+*Generated on ' || updated || E'*
+' AS markdown FROM parts""")
+
+
+@query("snk_export_md", duckdb_with(["snapshots"], [D_DOCS, D_PARTS, D_MD]) + "SELECT id AS snapshot_id, markdown FROM md")
+def snk_export_md(spark, sf_dir):
+    """SNK_EXPORT_MD: each snapshot's Markdown document, every section that has entries."""
+    return SK.export_markdown(snapshot_docs(spark, sf_dir), F.col("updated_at")).withColumnRenamed("id", "snapshot_id")
+
+
+@query("snk_export_html", duckdb_with(["snapshots"], [D_DOCS, D_PARTS, D_MD]) + r"""
+SELECT id AS snapshot_id, E'<!DOCTYPE html>
+<html lang="en">
+<head>
+<meta charset="UTF-8">
+<meta name="viewport" content="width=device-width, initial-scale=1.0">
+<title>Investigation Snapshot: ' ||
+  replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || E'</title>
+</head>
+<body>
+<pre>
+' ||
+  replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || E'</pre>
+</body>
+</html>
+' AS html FROM md""")
+def snk_export_html(spark, sf_dir):
+    """SNK_EXPORT_HTML: the Markdown document, escaped, in a page."""
+    return SK.export_html(snapshot_docs(spark, sf_dir), F.col("updated_at")).withColumnRenamed("id", "snapshot_id")
 
 
 @query("join_snapshot_diff", duckdb_with(["snapshots", "snapshot_files"], D_WALK[:1], recursive=False) + """
@@ -191,21 +397,3 @@ FROM snapshots""")
 def prj_format_size(spark, sf_dir):
     s = _snap(spark, sf_dir)
     return s.select("snapshot_id", "size", S.format_size(F.col("size")).alias("size_text"))
-
-
-@query("snk_export_json", duckdb_with(["snapshots", "snapshot_files"]) + f"""
-SELECT s.snapshot_id, substr({D_JSON}, 1, length({D_JSON}) - 1) ||
-  CASE WHEN f.n IS NULL THEN '' ELSE ',"project_state":{{"files":' || CAST(f.n AS VARCHAR) || ',"lines":' || CAST(f.l AS VARCHAR) || '}}' END
-  || '}}' AS json
-FROM snapshots s LEFT JOIN (SELECT snapshot_id, count(*) AS n, sum(line_count) AS l FROM snapshot_files GROUP BY snapshot_id) f
-USING (snapshot_id)""")
-def snk_export_json(spark, sf_dir):
-    """SNK_EXPORT_JSON: snapshot JSON with the optional project_state object (present when it has files)."""
-    from codelens.sinks.snapshots import snapshot_json as sj
-    files = Views(spark, sf_dir)("snapshot_files").groupBy("snapshot_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("line_count").alias("l"))
-    s = _snap(spark, sf_dir).join(files, "snapshot_id", "left")
-    state = F.concat(F.lit('{"files":'), F.col("n").cast("string"), F.lit(',"lines":'), F.col("l").cast("string"), F.lit("}"))
-    base = sj()
-    with_state = sj([("project_state", state)])
-    return s.select("snapshot_id", F.when(F.col("n").isNull(), base).otherwise(with_state).alias("json"))

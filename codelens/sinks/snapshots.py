@@ -1,8 +1,8 @@
-"""Snapshot sinks: store, JSON / Markdown / HTML exports, project export.
+"""Snapshot sinks: the store, and JSON / Markdown / HTML exports.
 
-Exports are built as rows (one JSON text per snapshot; Markdown and HTML as
-ordered lines per snapshot), so no document is assembled by collecting a
-group: writers sort the lines of each snapshot and write them as text files.
+A stored snapshot is one nested row (``sources.files.SNAPSHOT_SCHEMA``), so an
+export is an expression over that row: no shuffle, and no document is put
+together from rows of a group.
 """
 
 from __future__ import annotations
@@ -10,106 +10,155 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelens.operators.investigation import entity_state
+TIME = "yyyy-MM-dd HH:mm:ss"
+_JSON = {"timestampFormat": TIME, "timestampNTZFormat": TIME}
 
 
-def snapshot_json(extra: list[tuple[str, Column]] = ()) -> Column:
-    """Stable JSON text of a snapshot row: fixed field order, no metadata fields; optional extra objects."""
-    parts = [F.lit('{"snapshot_id":'), F.col("snapshot_id").cast("string"),
-             F.lit(',"parent_id":'), F.coalesce(F.col("parent_id").cast("string"), F.lit("null")),
-             F.lit(',"created_at":"'), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"),
-             F.lit('","project_id":'), F.col("project_id").cast("string"),
-             F.lit(',"size":'), F.col("size").cast("string")]
-    for name, value in extra:
-        parts += [F.lit(f',"{name}":'), value]
-    return F.concat(*parts, F.lit("}"))
+def content_json() -> Column:
+    """The snapshot's content as JSON (its checksum covers this text): no time of saving, size or checksum."""
+    metadata = F.col("metadata").dropFields("size", "checksum")
+    return F.to_json(F.struct(
+        "id", "name", "description", "created_at", "version", "parent_snapshot_id", "project_state", "investigation",
+        "collaboration", metadata.alias("metadata")), _JSON)
 
 
-def with_metadata(snapshots: DataFrame) -> DataFrame:
-    """SNK_SNAP_SAVE / SNP_CHECKSUM: json text, its byte size and SHA-256 (content only, reproducible)."""
-    j = snapshot_json()
-    return (snapshots.withColumn("json", j)
-            .withColumn("json_bytes", F.octet_length("json").cast("bigint"))
-            .withColumn("checksum", F.sha2("json", 256)))
+def with_metadata(snapshots: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """SNK_SNAP_SAVE / SNP_CHECKSUM: size and SHA-256 of the content in the metadata, and the time of saving."""
+    body = content_json()
+    metadata = F.col("metadata").withField("size", F.octet_length(body).cast("bigint")).withField("checksum", F.sha2(body, 256))
+    return snapshots.withColumns({"metadata": metadata, "updated_at": updated_at if updated_at is not None else F.current_timestamp()})
 
 
 def save_snapshots(snapshots: DataFrame, folder: str, updated_at: Column | None = None) -> None:
-    """SNK_SNAP_SAVE: write snapshots as JSON, partitioned by project, with refreshed updated_at/size/checksum."""
-    m = with_metadata(snapshots).withColumn("updated_at", updated_at if updated_at is not None else F.current_timestamp())
-    (m.select("project_id", F.col("snapshot_id").cast("string").alias("snapshot_id"),
-              F.col("parent_id").cast("string").alias("parent_id"), "created_at", "updated_at",
-              F.col("json_bytes").alias("size"), "checksum")
-     .write.mode("overwrite").partitionBy("project_id").json(folder))
-
-
-ICONS = {
-    "question": ("CASE", {"answered": "✅", "investigating": "🔍"}, "🔓"),
-    "hypothesis": ("CASE", {"confirmed": "✅", "refuted": "❌"}, "🔬"),
-    "finding": ("CASE", {"verified": "✅"}, "⏳"),
-    "blocker": ("CASE", {"resolved": "✅"}, "🚧"),
-}
-SECTIONS = [("question", "## ❓ Questions"), ("hypothesis", "## 💡 Hypotheses"),
-            ("finding", "## 🎯 Findings"), ("blocker", "## 🚧 Blockers")]
-
-
-def _icon(kind: str) -> Column:
-    _, m, default = ICONS[kind]
-    out = F.lit(default)
-    for status, icon in m.items():
-        out = F.when(F.col("status") == status, F.lit(icon)).otherwise(out)
-    return out
+    """SNK_SNAP_SAVE: store the snapshots; one whose id is stored already gets its new state, all others stay.
 
+    States are appended and the reader takes each id's last one, so a save
+    rewrites nothing, and a save that is repeated changes nothing.
+    """
+    saved = with_metadata(snapshots, updated_at).withColumn("saved_at", F.unix_micros(F.current_timestamp()))
+    saved.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
 
-def markdown_lines(events: DataFrame) -> DataFrame:
-    """SNK_EXPORT_MD: per investigation snapshot, ordered Markdown lines; a section only when it has entries.
 
-    Columns: snapshot_id, section (0 = header), ord (entry order), line.
-    """
-    st = entity_state(events)
-    conf = (events.where(F.col("kind") == "hypothesis").groupBy("entity_id")
-            .agg(F.max_by(F.when(F.col("confidence").between(0, 1), F.col("confidence")),
-                          F.when(F.col("confidence").between(0, 1), F.col("seq"))).alias("confidence")))
-    st = st.join(conf, "entity_id", "left")
-    head = (st.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("c"),
-                                          F.max("updated_at").alias("u")))
-    header = head.select("snapshot_id", F.lit(0).alias("section"), F.explode(F.array(
-        F.struct(F.lit(0).alias("ord"), F.concat(F.lit("# Investigation Snapshot: "), F.col("snapshot_id").cast("string")).alias("line")),
-        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("**Created:** "), F.date_format("c", "yyyy-MM-dd HH:mm:ss")).alias("line")),
-        F.struct(F.lit(2).alias("ord"), F.concat(F.lit("**Updated:** "), F.date_format("u", "yyyy-MM-dd HH:mm:ss")).alias("line")),
-        F.struct(F.lit(3).alias("ord"), F.concat(F.lit("**Entries:** "), F.col("n").cast("string")).alias("line")),
-    )).alias("x")).select("snapshot_id", "section", "x.ord", "x.line")
-    parts = [header]
-    for i, (kind, title) in enumerate(SECTIONS, start=1):
-        k = st.where(F.col("kind") == kind)
-        detail = F.concat(F.lit(" ("), F.coalesce(F.col("status"), F.lit("")), F.lit(")"))
-        if kind == "hypothesis":
-            # round half up first, then print two decimals (the same text on every engine)
-            detail = F.concat(detail, F.lit(" confidence "),
-                              F.format_string("%.2f", F.round(F.coalesce("confidence", F.lit(0.0)), 2)))
-        entry = k.select("snapshot_id", F.lit(i).alias("section"),
-                         F.lit(1).alias("ord"),
-                         F.concat(F.lit("- "), _icon(kind), F.lit(" "), F.col("entity_id"), detail).alias("line"))
-        titled = k.select("snapshot_id").distinct().select("snapshot_id", F.lit(i).alias("section"),
-                                                           F.lit(0).alias("ord"), F.lit(title).alias("line"))
-        parts += [titled, entry]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def delete_from_store(ids: DataFrame, folder: str) -> None:
+    """SNP_DELETE on the store: the ids (column id) are gone from the next read on."""
+    gone = ids.select(F.col("id").cast("string").alias("id"), F.unix_micros(F.current_timestamp()).alias("saved_at"), F.lit(True).alias("deleted"))
+    gone.write.mode("append").json(folder)
+
+
+def export_json(snapshots: DataFrame, project_state: bool = True, collaboration: bool = True) -> DataFrame:
+    """SNK_EXPORT_JSON: (id, json) with the investigation and metadata, and on request the project's state and the collaboration."""
+    parts = [F.col("id").alias("snapshot_id"), "name", "description", "created_at", "updated_at", "version", "investigation", "metadata"]
+    parts += ["project_state"] * project_state + ["collaboration"] * collaboration
+    return snapshots.select("id", F.to_json(F.struct(*parts), _JSON).alias("json"))
+
+
+def _text(*parts: str | Column) -> Column:
+    """The parts as one string; a missing value is empty."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def html_lines(md: DataFrame) -> DataFrame:
-    """SNK_EXPORT_HTML: the Markdown lines wrapped in a page (head before, tail after)."""
-    snaps = md.select("snapshot_id").distinct()
-    head = snaps.select("snapshot_id", F.lit(-1).alias("section"), F.lit(0).alias("ord"),
-                        F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Snapshot</title></head><body><pre>").alias("line"))
-    tail = snaps.select("snapshot_id", F.lit(99).alias("section"), F.lit(0).alias("ord"),
-                        F.lit("</pre></body></html>").alias("line"))
-    esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    return head.unionByName(md.withColumn("line", esc)).unionByName(tail)
+def _minute(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm")
+
+
+def _section(title: str, entries: Column, one, end: str = "") -> Column:
+    """A section of the entries, or nothing where there are none."""
+    body = F.array_join(F.transform(entries, one), "")
+    return F.when(F.size(entries) > 0, F.concat(F.lit(title), body, F.lit(end))).otherwise(F.lit(""))
+
+
+def _numbered(title: str, entries: Column, end: str) -> Column:
+    return _section(title, entries, lambda x, i: _text(i + 1, ". ", x, "\n"), end)
+
+
+def _icon(status: Column, icons: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for value, icon in icons.items():
+        out = F.when(status == value, F.lit(icon)).otherwise(out)
+    return out
 
 
-def write_documents(lines: DataFrame, folder: str) -> None:
-    """Write each snapshot's lines, in order, as one text file per snapshot folder."""
-    (lines.repartition("snapshot_id").sortWithinPartitions("snapshot_id", "section", "ord", "line")
-     .select("snapshot_id", "line").write.mode("overwrite").partitionBy("snapshot_id").text(folder))
+def _question(q: Column) -> Column:
+    answer = F.when(F.coalesce(q["answer"], F.lit("")) != "", _text("- **Answer:** ", q["answer"], "\n"))
+    # FIXED VALUES: status icons
+    icon = _icon(q["status"], {"answered": "✅", "investigating": "🔍"}, "🔓")
+    return _text("### ", icon, " ", q["question"], "\n- **Priority:** ", q["priority"], "\n- **Source:** ", q["source"],
+                 "\n- **Created:** ", _minute(q["created_at"]), "\n", answer, "\n")
+
+
+def _hypothesis(h: Column) -> Column:
+    evidence = _section("- **Evidence:**\n", h["evidence"], lambda e: _text("  - ", e, "\n"))
+    # FIXED VALUES: status icons
+    icon = _icon(h["status"], {"confirmed": "✅", "refuted": "❌"}, "🔬")
+    return _text("### ", icon, " ", h["statement"], "\n- **Confidence:** ", F.format_string("%.2f", h["confidence"]), "\n- **Status:** ", h["status"],
+                 "\n- **Created:** ", _minute(h["created_at"]), "\n", evidence, "\n")
+
+
+def _finding(f: Column) -> Column:
+    # FIXED VALUES: status icons
+    icon = F.when(f["verified"], F.lit("✅")).otherwise(F.lit("⏳"))
+    return _text("### ", icon, " ", f["title"], "\n**Description:** ", f["description"], "\n\n- **Impact:** ", f["impact"],
+                 "\n- **Category:** ", f["category"], "\n- **Created:** ", _minute(f["created_at"]), "\n\n")
+
+
+def _blocker(b: Column) -> Column:
+    resolution = F.when(F.coalesce(b["resolution"], F.lit("")) != "", _text("- **Resolution:** ", b["resolution"], "\n"))
+    # FIXED VALUES: status icons
+    icon = _icon(b["status"], {"resolved": "✅", "investigating": "🔍"}, "🔴")
+    return _text("### ", icon, " ", b["title"], "\n**Description:** ", b["description"], "\n\n- **Severity:** ", b["severity"],
+                 "\n- **Type:** ", b["type"], "\n- **Created:** ", _minute(b["created_at"]), "\n", resolution, "\n")
+
+
+def markdown(generated_at: Column, project_state: bool = True, collaboration: bool = True) -> Column:
+    """SNK_EXPORT_MD: the Markdown text of a snapshot row."""
+    inv, col, state = F.col("investigation"), F.col("collaboration"), F.col("project_state")
+    out = [
+        _text("# Investigation Snapshot: ", F.col("name"), "\n\n**Created:** ", F.date_format("created_at", TIME), "  \n**Updated:** ",
+              F.date_format("updated_at", TIME), "  \n**Version:** ", F.col("version"), "  \n**Description:** ", F.col("description"), "\n\n"),
+        _text("## 🔍 Investigation Context\n\n**Focus:** ", inv["focus"], "  \n**Current Phase:** ", inv["current_phase"], "  \n"),
+        _numbered("\n### Goals\n", inv["goals"], ""),
+        _section("\n## ❓ Questions\n\n", inv["questions"], _question),
+        _section("\n## 💡 Hypotheses\n\n", inv["hypotheses"], _hypothesis),
+        _section("\n## 🎯 Findings\n\n", inv["findings"], _finding),
+        _section("\n## 🚧 Blockers\n\n", inv["blockers"], _blocker),
+        _numbered("\n## 📋 Next Steps\n\n", inv["next_steps"], "\n"),
+    ]
+    if collaboration:
+        count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))
+        out.append(_text("\n## 🤝 Collaboration Summary\n\n- **Session ID:** ", col["session_id"], "\n- **Interactions:** ", col["interaction_count"],
+                         "\n- **Last Interaction:** ", _minute(col["last_interaction"]), "\n- **AI Recommendations:** ", count(col["ai_recommendations"]),
+                         "\n- **Human Decisions:** ", count(col["human_decisions"]), "\n"))
+    if project_state:
+        out.append(F.when(state.isNotNull(), _text(
+            "\n## 📊 Project State\n\n- **Health Score:** ", state["health_score"], "/100\n- **Total Files:** ", state["total_files"],
+            "\n- **Active Errors:** ", state["active_errors"], "\n- **Languages:** ", state["languages"], "\n")).otherwise(F.lit("")))
+    out.append(_text("\n---\n*Generated on ", F.date_format(generated_at, TIME), "*\n"))
+    return F.concat(*out)
+
+
+def export_markdown(snapshots: DataFrame, generated_at: Column | None = None, project_state: bool = True, collaboration: bool = True) -> DataFrame:
+    """SNK_EXPORT_MD: (id, markdown)."""
+    when = generated_at if generated_at is not None else F.current_timestamp()
+    return snapshots.select("id", markdown(when, project_state, collaboration).alias("markdown"))
+
+
+_HEAD = ('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n'
+         '<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>Investigation Snapshot: ')
+_MIDDLE = "</title>\n</head>\n<body>\n<pre>\n"
+_TAIL = "</pre>\n</body>\n</html>\n"
+
+
+def escape_html(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def export_html(snapshots: DataFrame, generated_at: Column | None = None) -> DataFrame:
+    """SNK_EXPORT_HTML: (id, html): the Markdown text, escaped, in a page of its own."""
+    when = generated_at if generated_at is not None else F.current_timestamp()
+    return snapshots.select("id", F.concat(
+        F.lit(_HEAD), escape_html(F.coalesce("name", F.lit(""))), F.lit(_MIDDLE), escape_html(markdown(when)), F.lit(_TAIL)).alias("html"))
+
+
+def write_documents(documents: DataFrame, text: str, folder: str) -> None:
+    """Write (id, text) documents as text files, one folder for each id."""
+    documents.select("id", F.col(text).alias("value")).write.mode("overwrite").partitionBy("id").text(folder)

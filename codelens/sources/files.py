@@ -16,10 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+_QUESTION = "struct<id:string,question:string,priority:string,status:string,created_at:timestamp,answered_at:timestamp,answer:string,source:string>"
+_HYPOTHESIS = "struct<id:string,statement:string,confidence:double,evidence:array<string>,status:string,created_at:timestamp,tested_at:timestamp>"
+_EVIDENCE = "struct<type:string,source:string,content:string,timestamp:timestamp>"
+_FINDING = ("struct<id:string,title:string,description:string,impact:string,category:string,"
+            f"evidence:array<{_EVIDENCE}>,created_at:timestamp,verified:boolean>")
+_BLOCKER = ("struct<id:string,title:string,description:string,severity:string,type:string,status:string,"
+            "created_at:timestamp,resolved_at:timestamp,resolution:string>")
+_RECOMMENDATION = ("struct<id:string,type:string,title:string,description:string,confidence:double,priority:string,"
+                   "status:string,created_at:timestamp,responded_at:timestamp,response:string>")
+_DECISION = "struct<id:string,decision:string,rationale:string,impact:string,category:string,created_at:timestamp,outcome:string>"
+_MESSAGE = "struct<id:string,source:string,type:string,content:string,timestamp:timestamp,references:array<string>>"
+#: A snapshot as it is stored: one JSON object with the investigation, the collaboration and the project's state.
 SNAPSHOT_SCHEMA = (
-    "snapshot_id string, parent_id string, name string, description string, project_id string, "
-    "created_at timestamp, updated_at timestamp, version int, tags array<string>, "
-    "size bigint, checksum string"
+    "id string, name string, description string, created_at timestamp, updated_at timestamp, version int, "
+    "parent_snapshot_id string, "
+    "project_state struct<health_score:int,total_files:bigint,active_errors:bigint,languages:bigint>, "
+    f"investigation struct<focus:string,goals:array<string>,current_phase:string,questions:array<{_QUESTION}>,"
+    f"hypotheses:array<{_HYPOTHESIS}>,findings:array<{_FINDING}>,next_steps:array<string>,blockers:array<{_BLOCKER}>>, "
+    "collaboration struct<session_id:string,interaction_count:int,last_interaction:timestamp,"
+    f"ai_recommendations:array<{_RECOMMENDATION}>,human_decisions:array<{_DECISION}>,shared_context:map<string,string>,"
+    f"communication_log:array<{_MESSAGE}>,tool_usage:map<string,int>>, "
+    "metadata struct<tags:array<string>,project_path:string,git_commit:string,git_branch:string,"
+    "environment:map<string,string>,size:bigint,checksum:string,related_snapshots:array<string>,export_formats:array<string>>"
 )
 
 
@@ -142,10 +161,20 @@ def read_tool_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC_SNAP_STORE: every ``snapshot-*.json`` in the store; unreadable files are skipped."""
-    return (spark.read.schema(SNAPSHOT_SCHEMA).option("pathGlobFilter", "snapshot-*.json")
-            .option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").option("multiLine", "true")
-            .json(folder))
+    """SRC_SNAP_STORE: the newest state of every snapshot in the store; unreadable files and lines are skipped.
+
+    Reads what ``save_snapshots`` appends (lines of ``part-*.json``) and single
+    ``snapshot-*.json`` documents; of the states of one id the last one saved
+    counts, and an id that was deleted last is gone.
+    """
+    reader = spark.read.schema(f"{SNAPSHOT_SCHEMA}, saved_at long, deleted boolean").option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED")
+    saved = reader.option("pathGlobFilter", "part-*.json").option("multiLine", "false").json(folder)
+    single = reader.option("pathGlobFilter", "snapshot-*.json").option("multiLine", "true").json(folder)
+    states = saved.unionByName(single).where("id IS NOT NULL")
+    columns = [c for c in states.columns if c not in ("id", "saved_at", "deleted")]
+    order = F.coalesce("saved_at", F.unix_micros("updated_at"), F.lit(0))
+    last = states.groupBy("id").agg(F.max_by(F.struct(*columns, F.coalesce("deleted", F.lit(False)).alias("deleted")), order).alias("s"))
+    return last.where("NOT s.deleted").select("id", *[f"s.{c}" for c in columns])
 
 
 def read_process_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet",

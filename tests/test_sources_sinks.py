@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from codelens.plans.fixtures import register
+from codelens.plans.q_snapshots import snapshot_docs
 from codelens.sinks import snapshots as SK
 from codelens.sources import files as SF
 from tests.conftest import SF_SMALL
@@ -64,16 +65,35 @@ def test_read_logs_globs(spark, scratch):
     assert js.where(F.col("line") == "npm ERR! code 1").count() == 1
 
 
-def test_snapshot_store_roundtrip(spark, scratch):
-    register(spark, SF_SMALL)
-    snaps = spark.table("snapshots")
+def test_snapshot_store(spark, scratch):
+    """Save three, save one of them again and one more, delete one: the reader gives each one's last state, whole."""
+    docs = snapshot_docs(spark, SF_SMALL).where("cast(id AS int) <= 4")
     out = os.path.join(scratch, "store")
-    SK.save_snapshots(snaps, out, updated_at=F.col("created_at"))
-    back = spark.read.json(out)
-    assert back.count() == snaps.count()
-    meta = SK.with_metadata(snaps).select("snapshot_id", "checksum").collect()
-    store = {int(r.snapshot_id): r.checksum for r in back.select("snapshot_id", "checksum").collect()}
-    assert all(store[r.snapshot_id] == r.checksum for r in meta)
+    SK.save_snapshots(docs.where("id <> '4'"), out)
+    SK.save_snapshots(docs.where("id = '4'"), out)
+    assert sorted(r.id for r in SF.read_snapshots(spark, out).collect()) == ["1", "2", "3", "4"]
+    SK.save_snapshots(docs.where("id = '2'").withColumn("name", F.lit('renamed "2"')), out)
+    back = {r.id: r for r in SF.read_snapshots(spark, out).collect()}
+    assert len(back) == 4 and back["2"].name == 'renamed "2"'
+    for r in docs.collect():
+        got = back[r.id]
+        assert (got.investigation, got.collaboration, got.project_state, got.created_at) == (r.investigation, r.collaboration, r.project_state, r.created_at)
+        assert got.metadata.size > 0 and len(got.metadata.checksum) == 64 and got.updated_at is not None
+    # the checksum covers the content, not the time of saving
+    want = {r.id: r.metadata.checksum for r in SK.with_metadata(docs).collect()}
+    assert {i: r.metadata.checksum for i, r in back.items() if i != "2"} == {i: c for i, c in want.items() if i != "2"}
+    SK.delete_from_store(spark.createDataFrame([("3",)], "id string"), out)
+    assert sorted(r.id for r in SF.read_snapshots(spark, out).collect()) == ["1", "2", "4"]
+    SK.save_snapshots(docs.where("id = '3'"), out)
+    assert sorted(r.id for r in SF.read_snapshots(spark, out).collect()) == ["1", "2", "3", "4"]
+
+
+def test_json_export_parses(spark):
+    docs = snapshot_docs(spark, SF_SMALL)
+    for r in SK.export_json(SK.with_metadata(docs)).limit(50).collect():
+        got = json.loads(r.json)
+        assert got["snapshot_id"] == r.id and got["name"].startswith('Case "') and "questions" in got["investigation"]
+    assert "collaboration" not in json.loads(SK.export_json(docs, collaboration=False).first().json)
 
 
 def test_read_snapshot_files_skips_bad(spark, scratch):
@@ -81,22 +101,22 @@ def test_read_snapshot_files_skips_bad(spark, scratch):
     os.makedirs(d)
     for i in range(3):
         with open(os.path.join(d, f"snapshot-{i}.json"), "w") as fh:
-            json.dump({"snapshot_id": str(i), "name": f"s{i}", "version": 1, "tags": ["initial"]}, fh)
+            json.dump({"id": str(i), "name": f"s{i}", "version": 1, "metadata": {"tags": ["initial"]}}, fh)
     with open(os.path.join(d, "snapshot-bad.json"), "w") as fh:
         fh.write("{not json")
     with open(os.path.join(d, "other.json"), "w") as fh:
-        json.dump({"snapshot_id": "x"}, fh)
+        json.dump({"id": "x"}, fh)
     df = SF.read_snapshots(spark, d)
-    assert sorted(r.snapshot_id for r in df.collect() if r.snapshot_id) == ["0", "1", "2"]
+    assert sorted(r.id for r in df.collect()) == ["0", "1", "2"]
 
 
-def test_markdown_documents_written_in_order(spark, scratch):
-    register(spark, SF_SMALL)
-    md = SK.markdown_lines(spark.table("investigation_events"))
+def test_markdown_documents(spark, scratch):
     out = os.path.join(scratch, "md")
-    SK.write_documents(md, out)
-    some = sorted(os.listdir(out))
-    first = [p for p in some if p.startswith("snapshot_id=")][0]
-    text = "".join(open(os.path.join(out, first, f)).read() for f in sorted(os.listdir(os.path.join(out, first)))
-                   if f.endswith(".txt"))
-    assert text.startswith("# Investigation Snapshot:")
+    docs = SK.export_markdown(snapshot_docs(spark, SF_SMALL).where("cast(id AS int) < 8"))
+    SK.write_documents(docs, "markdown", out)
+    for i in range(1, 8):
+        folder = os.path.join(out, f"id={i}")
+        text = "".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder)) if f.endswith(".txt"))
+        assert text.startswith("# Investigation Snapshot: Case") and text.rstrip().endswith("*")
+    whole = " ".join(r.markdown for r in docs.collect())
+    assert all(x in whole for x in ("### 🔴 missing", "### 🔍 missing", "### ✅ missing", "## 📋 Next Steps", "## 🤝", "## 📊", "- **Resolution:** granted"))
