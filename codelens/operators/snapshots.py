@@ -1,15 +1,20 @@
 """Snapshot version forest: lineage, descendants, branches, statistics.
 
-Lineage uses pointer doubling: each node keeps a jump pointer and the path
-segment below it; one join per round doubles the covered depth, so a forest
-of depth D needs about log2(D) rounds (a root-down walk needs D). Each round
-is written as a table into the session's shared checkpoint folder
-(``spark.checkpoint.dir``) and read back, which cuts the plan and makes a lost
-executor recompute one round, not all of them.
+Lineage uses pointer doubling: each node knows an ancestor and how far it is;
+a join with all nodes doubles that distance, so a forest of depth D needs about
+log2(D) joins (a root-down walk needs D). Each written round does two of them.
+A round is a table in the session's shared checkpoint folder
+(``spark.checkpoint.dir``), so the plan stays short, a lost executor recomputes
+one round, and the rounds of a finished lineage are removed when they are no
+longer read (the last one stays, the result reads it).
+
+A node on a cycle of parents, or below one, has no root: it is given out with
+``cyclic`` true and without depth, root and path.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,8 +22,6 @@ from pyspark.sql import functions as F
 
 from codelens.session import ensure_checkpoint_dir
 
-MAX_ROUNDS = 64  # 2**64 levels: more than any forest
-
 
 def forest_edges(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
     """(node, parent) with a parent that is not a known node set to NULL (a missing parent ends a path)."""
@@ -28,45 +31,64 @@ def forest_edges(snapshots: DataFrame, node: str = "snapshot_id", parent: str =
             .select("node", F.when(F.col("_p").isNotNull(), F.col("parent")).alias("parent")))
 
 
-def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id",
-            checkpoint: bool = True) -> DataFrame:
-    """JOIN_LINEAGE: per node its root-to-node path (array of ids), depth and root."""
-    spark = snapshots.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid.uuid4().hex}" if checkpoint else None
-
-    def materialize(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, bool]:
-        """Write a round once (partitioned into finished / still-active rows) in the shared
-        checkpoint folder and read it back: one job, a short plan for the next round, a lost
-        executor recomputes one round only. Whether active rows remain is read from the
-        partition folders (a listing), not from another job."""
-        df = df.withColumn("_d", F.col("jump").isNull().cast("int"))  # 1 = path finished
-        if base is None:
-            act = df.where(F.col("_d") == 0).drop("_d")
-            return df.where(F.col("_d") == 1).drop("_d"), act, not act.isEmpty()
-        path = f"{base}/{name}"
-        df.write.mode("overwrite").partitionBy("_d").parquet(path)
-        back = spark.read.parquet(path)
-        more = any("_d=0" in f for f in back.inputFiles())
-        return (back.where(F.col("_d") == 1).drop("_d"),
-                back.where(F.col("_d") == 0).drop("_d") if more else None, more)
-
-    done, active, more = materialize(snapshots.select(
-        F.col(node).alias("node"), F.col(parent).alias("jump"), F.array(F.col(node)).alias("seg")), "r0")
-    for k in range(1, MAX_ROUNDS + 1):
-        if not more:
-            break
-        table = done.unionByName(active).select(F.col("node").alias("_u"), F.col("jump").alias("_uj"),
-                                                F.col("seg").alias("_us"))
-        # left join: a jump to an unknown node (a missing parent; only possible in the first
-        # round) ends the path where it is
-        step = (active.join(table, F.col("jump") == F.col("_u"), "left")
-                .select("node", F.when(F.col("_u").isNotNull(), F.col("_uj")).alias("jump"),
-                        F.when(F.col("_u").isNotNull(), F.concat("_us", "seg")).otherwise(F.col("seg")).alias("seg")))
-        finished, active, more = materialize(step, f"r{k}")
-        # ``done`` is a union of written rounds: its plan stays short
-        done = done.unionByName(finished)
-    return done.select(F.col("node").alias(node), F.col("seg").alias("path"),
-                       F.size("seg").cast("bigint").alias("depth"), F.col("seg")[0].alias("root_id"))
+class _Rounds:
+    """Written rounds of one lineage; each replaces the one before."""
+
+    def __init__(self, like: DataFrame):
+        self.spark = like.sparkSession
+        self.folder = f"{ensure_checkpoint_dir(self.spark)}/lineage-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.n - 1}")
+        if self.n:
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.n += 1
+        return self.spark.read.parquet(path)
+
+
+def _doubled(nodes: DataFrame, with_path: bool) -> DataFrame:
+    """Every unfinished node's ancestor replaced by that one's own ancestor."""
+    there = nodes.select(F.col("node").alias("_n"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"),
+                         F.col("top").alias("_top"), F.col("cyclic").alias("_cyclic"), *([F.col("seg").alias("_seg")] if with_path else []))
+    joined = nodes.join(there, F.when(~F.col("cyclic"), F.col("jump")) == F.col("_n"), "left")
+    met = F.col("_n").isNotNull()
+    # the parent of a finished jump is missing from the table: the path ends at the node itself
+    jump = F.when(met, F.col("_jump")).when(F.col("cyclic"), F.col("jump"))
+    steps = F.when(met, F.col("steps") + F.col("_steps")).otherwise(F.col("steps"))
+    top = F.when(met, F.col("_top")).otherwise(F.col("top"))
+    if not with_path:
+        return joined.select("node", jump.alias("jump"), steps.alias("steps"), top.alias("top"),
+                             (F.col("cyclic") | F.coalesce("_cyclic", F.lit(False))).alias("cyclic"))
+    seg = F.when(met & ~F.col("_cyclic"), F.concat("_seg", "seg")).otherwise(F.col("seg"))
+    out = joined.select("node", jump.alias("jump"), steps.alias("steps"), top.alias("top"), seg.alias("seg"),
+                        (F.col("cyclic") | F.coalesce("_cyclic", F.lit(False))).alias("cyclic"))
+    # an ancestor that the path holds already closes a cycle, which keeps every path under twice the cycle's length
+    return out.withColumn("cyclic", F.col("cyclic") | F.coalesce(F.array_contains("seg", F.col("jump")), F.lit(False)))
+
+
+def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id", with_path: bool = True) -> DataFrame:
+    """JOIN_LINEAGE: per node depth, root and cyclic, and with ``with_path`` its root-to-node path (array of ids).
+
+    ``with_path=False`` moves four numbers for each node and round, whatever the depth.
+    """
+    start = snapshots.select(
+        F.col(node).alias("node"), F.col(parent).alias("jump"), F.lit(1).cast("bigint").alias("steps"), F.col(node).alias("top"),
+        *([F.array(F.col(node)).alias("seg")] if with_path else []), (F.col(node) == F.col(parent)).alias("cyclic"))
+    rounds = _Rounds(snapshots)
+    nodes = rounds.write(start.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
+    total = nodes.count()
+    limit = math.ceil(math.log2(max(2, total))) + 1  # doublings that reach the root of any path
+    done = 0
+    while done < limit and not nodes.where(F.col("jump").isNotNull() & ~F.col("cyclic")).isEmpty():
+        nodes = rounds.write(_doubled(_doubled(nodes, with_path), with_path))
+        done += 2
+    cyclic = F.col("cyclic") | F.col("jump").isNotNull()
+    own = lambda c: F.when(~cyclic, c)
+    path = [own(F.col("seg")).alias("path")] if with_path else []
+    return nodes.select(F.col("node").alias(node), *path, own(F.col("steps")).alias("depth"), own(F.col("top")).alias("root_id"), cyclic.alias("cyclic"))
 
 
 def descendants(lineage_df: DataFrame, node: str = "snapshot_id") -> DataFrame:

@@ -33,8 +33,8 @@ def _snap(spark, sf_dir):
     return Views(spark, sf_dir)("snapshots")
 
 
-def _lineage(spark, sf_dir):
-    return S.lineage(_snap(spark, sf_dir))
+def _lineage(spark, sf_dir, with_path=True):
+    return S.lineage(_snap(spark, sf_dir), with_path=with_path)
 
 
 @query("join_lineage", d_forest("""
@@ -72,7 +72,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_snapshots, CAST(count_if(len(w.path) =
 FROM walk w JOIN kids k USING (snapshot_id)"""))
 def agg_version_stats(spark, sf_dir):
     snaps = _snap(spark, sf_dir)
-    lin = S.lineage(snaps)
+    lin = S.lineage(snaps, with_path=False)
     return (S.version_stats(lin.select("snapshot_id", "depth"), S.branches(snaps))
             .withColumn("average_depth", F.round("average_depth", 6)))
 
@@ -97,7 +97,7 @@ def srt_timeline(spark, sf_dir):
 
 def snapshot_versions(spark, sf_dir):
     """SNP_FORK over the forest: version = depth, tags = v<version> .. v2 then 'initial', parent in related."""
-    lin = _lineage(spark, sf_dir)
+    lin = _lineage(spark, sf_dir, with_path=False)
     snaps = _snap(spark, sf_dir)
     tags = F.concat(F.transform(F.sequence(F.col("depth"), F.lit(2).cast("bigint"), F.lit(-1).cast("bigint")),
                                 lambda v: F.concat(F.lit("v"), v.cast("string"))),

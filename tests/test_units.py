@@ -165,3 +165,24 @@ def test_snapshot_update_and_delete(spark):
     from codelens.sinks.store import delete_snapshots, update_snapshots
     out = {r.snapshot_id: (r.name, r.description) for r in delete_snapshots(update_snapshots(snaps, upd), tomb).collect()}
     assert out == {1: ("a", "d1"), 2: ("B", "d2")}
+
+
+def test_lineage_cycles_and_missing_parents(spark):
+    from codelens.operators import snapshots as S
+    rows = [(1, 2), (2, 1), (3, None), (4, 3), (5, 1), (6, 6), (7, 99), (8, 7), (9, 6), (10, 4)]
+    df = spark.createDataFrame(rows, "snapshot_id long, parent_id long")
+    want = {1: None, 2: None, 3: [3], 4: [3, 4], 5: None, 6: None, 7: [7], 8: [7, 8], 9: None, 10: [3, 4, 10]}
+    got = {r.snapshot_id: r for r in S.lineage(df).collect()}
+    assert {k: r.path for k, r in got.items()} == want
+    flat = {r.snapshot_id: r for r in S.lineage(df, with_path=False).collect()}
+    for k, p in want.items():
+        for r in (got[k], flat[k]):
+            assert (r.cyclic, r.depth, r.root_id) == ((True, None, None) if p is None else (False, len(p), p[0]))
+
+
+def test_lineage_of_a_long_chain(spark):
+    from codelens.operators import snapshots as S
+    n = 100_000
+    df = spark.range(1, n + 1).select(F.col("id").alias("snapshot_id"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
+    got = S.lineage(df, with_path=False).agg(F.sum((F.col("depth") == F.col("snapshot_id")).cast("int")), F.max("root_id"), F.max("depth")).first()
+    assert tuple(got) == (n, 1, n)
