@@ -1,9 +1,10 @@
 """Code analysis: per-file issue counts and scores, project reports.
 
-Plan: ``file_lines`` -> one projection of line flags -> ``groupBy(file_id)``
-(partial aggregation) -> file scores -> ``groupBy(project_id)``. The neighbour
-rules and Go function complexity are separate narrow frames of hits, reduced
-to per-file counts and joined on ``file_id``.
+Plan: ``file_lines`` -> one projection that turns each line into a few numbers
+and flags -> one exchange of these marks (never of text) by file and block of
+lines -> windows inside a block for the neighbour rules and Go functions ->
+file counts -> file scores -> ``groupBy(project_id)``. The texts are scanned
+once; a huge file is many blocks.
 
 FIXED VALUES: score weights, band limits and the recommendation texts in this
 module are the source tool's values, kept verbatim.
@@ -11,52 +12,75 @@ module are the source tool's values, kept verbatim.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
 from codelens.operators import rules as R
 
 
+#: Lines of a file that one window sorts.
+BLOCK_LINES = 1 << 16
+
+
+def line_marks(lines: DataFrame) -> DataFrame:
+    """What the rules need of each line (lines carry ``language``), by block; no text.
+
+    The first lines of a block are also in the block before it (``halo``), where
+    only lines near its end look at them.
+    """
+    line, no = F.col("line"), F.col("line_no").cast("bigint")
+    go = F.col("language") == F.lit("go")
+    smells = R.go_smell_flags(line)
+    block = F.floor((no - 1) / BLOCK_LINES)
+    into = F.array(F.struct(block.alias("block"), F.lit(False).alias("halo")), F.when(
+        (block > 0) & ((no - 1) % BLOCK_LINES < C.NESTED_LOOP_LOOKAHEAD), F.struct((block - 1).alias("block"), F.lit(True).alias("halo"))))
+    marks = lines.select(
+        "file_id", no.alias("line_no"), R.long_line(line).alias("long_line"), R.todo_smell(line).alias("todo_comment"),
+        (go & smells["panic_usage"]).alias("panic_usage"), (go & smells["debugging_print"]).alias("debugging_print"),
+        F.size(R.security_hits(line)).alias("security"), R.string_concat(line).alias("string_concat"),
+        line.contains("for ").alias("loop"), (go & line.contains("if err != nil {")).alias("opens"),
+        (go & (R.trim_ws(line) == F.lit("}"))).alias("closes"), R.go_function_mark(go, line, no).alias("mark"),
+        F.when(go, R.branch_keywords(line)).otherwise(0).alias("branches"), F.explode(F.filter(into, lambda x: x.isNotNull())).alias("at"))
+    return marks.select("*", "at.block", "at.halo").drop("at")
+
+
+def analysed_lines(marks: DataFrame) -> DataFrame:
+    """Marks with what their neighbours say: nested_loop, empty_error and the start line of the Go function around them."""
+    blocks = marks.repartition("file_id", "block")  # one exchange for both uses
+    last = blocks.where(~F.col("halo")).groupBy("file_id", "block").agg(
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("last"))
+    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file_id", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    ordered = Window.partitionBy("file_id", "block").orderBy("line_no")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    near, following = ordered.rangeBetween(1, C.NESTED_LOOP_LOOKAHEAD), ordered.rangeBetween(1, 1)
+    open_function = F.coalesce(F.last("mark", ignorenulls=True).over(earlier), F.col("carried"))
+    return (blocks.join(carried, ["file_id", "block"])
+            .withColumns({
+                "nested_loop": F.col("loop") & F.coalesce(F.max("loop").over(near), F.lit(False)),
+                "empty_error": F.col("opens") & F.coalesce(F.max("closes").over(following), F.lit(False)),
+                "func_line": F.when(F.col("mark") > 0, F.col("mark")).otherwise(F.nullif(open_function, F.lit(0)))})
+            .where(~F.col("halo")))
+
+
 def file_issue_counts(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Per analysed file: smells, security and performance issues, Go complexity suggestions, lines."""
     af = R.analyzable_files(files).select("file_id", "project_id", "rel_path", "language")
-    al = R.attach(lines, af, cols=("language",))
-    line = F.col("line")
-    is_go = F.col("language") == F.lit("go")
-    go = R.go_smell_flags(line)
-    per_line = al.select(
-        "file_id",
-        R.long_line(line).alias("long_line"),
-        R.todo_smell(line).alias("todo_comment"),
-        (is_go & go["panic_usage"]).alias("panic_usage"),
-        (is_go & go["debugging_print"]).alias("debugging_print"),
-        F.size(R.security_hits(line)).alias("security"),
-        R.string_concat(line).alias("string_concatenation"),
-    )
-    counts = per_line.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if("long_line").alias("long_lines"),
-        F.count_if("todo_comment").alias("todo_comments"),
-        F.count_if("panic_usage").alias("panic_usages"),
-        F.count_if("debugging_print").alias("debug_prints"),
-        F.sum("security").alias("security_issues"),
-        F.count_if("string_concatenation").alias("string_concats"),
-    )
-    go_lines = al.where(is_go).select("file_id", "line_no", "line")
-    hits = R.neighbour_hits(al.select("file_id", "line_no", "line", "language"), is_go=is_go)
-    neighbours = hits.groupBy("file_id").agg(
-        F.count_if(F.col("rule") == "empty_error_handling").alias("empty_error_blocks"),
-        F.count_if(F.col("rule") == "nested_loops").alias("nested_loops"))
-    complex_fn = (R.cyclomatic(go_lines).where(F.col("complexity") > C.COMPLEXITY_LIMIT)
-                  .groupBy("file_id").agg(F.count(F.lit(1)).alias("complex_functions")))
-    out = (af.join(counts, "file_id", "left")
-           .join(neighbours, "file_id", "left")
-           .join(complex_fn, "file_id", "left"))
-    num = ["lines", "long_lines", "todo_comments", "panic_usages", "debug_prints", "security_issues",
-           "string_concats", "empty_error_blocks", "nested_loops", "complex_functions"]
-    return out.select("file_id", "project_id", "rel_path", "language",
-                      *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in num])
+    seen = analysed_lines(line_marks(R.attach(lines, af, cols=("language",))))
+    # a function may reach over blocks: its lines are summed for each block and function before files are
+    parts = seen.groupBy("file_id", "func_line").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("security").alias("security_issues"), F.sum("branches").alias("branches"),
+        *[F.count_if(c).alias(n) for c, n in (
+            ("long_line", "long_lines"), ("todo_comment", "todo_comments"), ("panic_usage", "panic_usages"), ("debugging_print", "debug_prints"),
+            ("string_concat", "string_concats"), ("empty_error", "empty_error_blocks"), ("nested_loop", "nested_loops"))])
+    num = ["lines", "long_lines", "todo_comments", "panic_usages", "debug_prints", "security_issues", "string_concats",
+           "empty_error_blocks", "nested_loops"]
+    complex_function = F.col("func_line").isNotNull() & (F.col("branches") + 1 > C.COMPLEXITY_LIMIT)
+    counts = parts.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in num], F.count_if(complex_function).alias("complex_functions"))
+    return af.join(counts, "file_id", "left").select(
+        "file_id", "project_id", "rel_path", "language",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in [*num, "complex_functions"]])
 
 
 def file_scores(counts: DataFrame) -> DataFrame:

@@ -104,34 +104,6 @@ def nested_loops(lines: DataFrame, lookahead: int = C.NESTED_LOOP_LOOKAHEAD) ->
     return loops.join(targets, ["file_id", "line_no"], "left_semi")
 
 
-def neighbour_hits(lines: DataFrame, is_go: Column | None = None,
-                   lookahead: int = C.NESTED_LOOP_LOOKAHEAD) -> DataFrame:
-    """Both neighbour rules with one semi-join: (file_id, line_no, rule) for nested loops and
-    (Go only) empty ``if err != nil {`` blocks.
-
-    Anchor lines (``for `` lines; ``if err`` lines) meet the positions named by candidate lines
-    (a ``for `` line names the 9 lines before it; a ``}`` line the line before it) on the unique
-    key (file_id, line_no, rule).
-    """
-    ln = F.col("line")
-    go = is_go if is_go is not None else F.lit(True)
-    has_for = ln.contains("for ")
-    anchors = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.explode(F.filter(F.array(
-        F.when(has_for, F.lit("nested_loops")),
-        F.when(go & ln.contains("if err != nil {"), F.lit("empty_error_handling"))), lambda x: x.isNotNull())).alias("rule"))
-    pos = F.col("line_no").cast("bigint")
-    near = F.sequence(pos - lookahead, pos - 1)
-    cands = lines.where(has_for | (go & (trim_ws(ln) == F.lit("}")))).select(
-        "file_id", F.explode(F.concat(
-            F.when(has_for, F.transform(near, lambda p: F.struct(p.alias("line_no"), F.lit("nested_loops").alias("rule"))))
-            .otherwise(F.array().cast("array<struct<line_no:bigint,rule:string>>")),
-            F.when(go & (trim_ws(ln) == F.lit("}")),
-                   F.array(F.struct((pos - 1).alias("line_no"), F.lit("empty_error_handling").alias("rule"))))
-            .otherwise(F.array().cast("array<struct<line_no:bigint,rule:string>>")))).alias("c"))
-    cands = cands.select("file_id", F.col("c.line_no").alias("line_no"), F.col("c.rule").alias("rule"))
-    return anchors.join(cands, ["file_id", "line_no", "rule"], "left_semi")
-
-
 def string_concat(line: Column) -> Column:
     return line.contains("+=") & line.contains('"')
 
@@ -160,29 +132,33 @@ def code_tokens(line: Column) -> Column:
     return F.split(code, "[^A-Za-z0-9_]+")
 
 
-def go_functions(lines: DataFrame) -> DataFrame:
-    """RUL_CYCLOMATIC segments: each line of a top-level Go function, with its start line.
+def branch_keywords(line: Column) -> Column:
+    """How many if/for/switch/case/default tokens a line of code has."""
+    return F.size(F.filter(code_tokens(line), lambda t: t.isin(_KEYWORDS)))
 
-    A function starts at ``^func `` and ends at the next ``^}``; the open/closed
-    state is forward-filled over line numbers (bucketed, safe for huge files).
-    """
-    is_start = rlike(F.col("line"), r"^func ")
-    is_end = rlike(F.col("line"), r"^}")
-    marked = lines.withColumn("_after", F.when(is_start, F.col("line_no")).when(is_end, F.lit(0)))
-    filled = ffill(marked, ["file_id"], "line_no", "_after", "_prev", inclusive=False)
-    start = F.when(is_start, F.col("line_no")).when(F.col("_prev") > 0, F.col("_prev"))
-    return filled.withColumn("func_line", start).where(F.col("func_line").isNotNull()).drop("_after", "_prev")
+
+def go_function_mark(go: Column, line: Column, no: Column) -> Column:
+    """The line number where a Go function starts (``^func ``), 0 where one ends (``^}``), else null."""
+    return F.when(go & rlike(line, r"^func "), no).when(go & rlike(line, r"^}"), F.lit(0))
 
 
 def cyclomatic(lines: DataFrame) -> DataFrame:
-    """Per Go function: 1 + if/for/switch/case/default tokens in its lines (approximation of the AST walk)."""
-    f = go_functions(lines)
-    kw = F.size(F.filter(code_tokens(F.col("line")), lambda t: t.isin(_KEYWORDS)))
-    name = extract(F.col("line"), r"^func\s+(\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)", 2)
-    return (f.groupBy("file_id", "func_line")
-            .agg((F.lit(1) + F.sum(kw)).cast("bigint").alias("complexity"),
-                 F.max(F.when(F.col("line_no") == F.col("func_line"), name)).alias("func_name"),
-                 F.sum(F.length("line")).cast("bigint").alias("body_chars")))
+    """RUL_CYCLOMATIC, per Go function: 1 + if/for/switch/case/default tokens in its lines (approximation of the AST walk).
+
+    A function starts at ``^func `` and ends at the next ``^}``. Each line is
+    reduced to numbers first; the open function is forward-filled over them
+    (bucketed, safe for huge files), so no text is shuffled.
+    """
+    line, no = F.col("line"), F.col("line_no").cast("bigint")
+    name = extract(line, r"^func\s+(\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)", 2)
+    marked = lines.select("file_id", no.alias("line_no"), go_function_mark(F.lit(True), line, no).alias("_after"), branch_keywords(line).alias("_kw"),
+                          F.when(rlike(line, r"^func "), name).alias("_name"), F.length(line).alias("_chars"))
+    filled = ffill(marked, ["file_id"], "line_no", "_after", "_prev", inclusive=False)
+    start = F.when(F.col("_after") > 0, F.col("_after")).when(F.col("_prev") > 0, F.col("_prev"))
+    return (filled.withColumn("func_line", start).where(F.col("func_line").isNotNull()).groupBy("file_id", "func_line")
+            .agg((F.lit(1) + F.sum("_kw")).cast("bigint").alias("complexity"),
+                 F.max(F.when(F.col("line_no") == F.col("func_line"), F.col("_name"))).alias("func_name"),
+                 F.sum("_chars").cast("bigint").alias("body_chars")))
 
 
 def go_metrics(lines: DataFrame) -> DataFrame:

@@ -37,3 +37,15 @@ def test_line_scans_are_pruned(spark):
     # documents has five columns; the line scan reads doc_id and text, the file-metadata scan doc_id and source
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan or "struct<doc_id:bigint,text:string>" in plan
     assert "n_chars" not in plan and "lang:" not in plan
+
+
+@pytest.mark.parametrize("name", ["agg_analysis", "rul_file_score"])
+def test_line_analysis_scans_texts_once(spark, name):
+    """The line view reads documents twice (own lines, template lines); each is scanned once, and no text is shuffled."""
+    plan = _plan(spark, name)
+    scans = [x for x in plan.split("\n") if "FileScan" in x and "text:string" in x]
+    reused = plan.count("ReusedExchange")
+    assert len(scans) <= 4 + 2 * reused, len(scans)  # two lines views at most before the run finds equal exchanges
+    for x in plan.split("\n"):
+        if "Exchange hashpartitioning(file_id" in x and "block" in x:
+            assert " line#" not in x

@@ -186,3 +186,26 @@ def test_lineage_of_a_long_chain(spark):
     df = spark.range(1, n + 1).select(F.col("id").alias("snapshot_id"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
     got = S.lineage(df, with_path=False).agg(F.sum((F.col("depth") == F.col("snapshot_id")).cast("int")), F.max("root_id"), F.max("depth")).first()
     assert tuple(got) == (n, 1, n)
+
+
+def test_line_analysis_over_blocks(spark, monkeypatch):
+    """Neighbours and Go functions that reach over block borders count as in one block."""
+    import random
+
+    from codelens.operators import analysis as A
+    rng = random.Random(1)
+    pool = ["for i := 0; i < n; i++ {", "if err != nil {", "}", "func Run(a int) error {", "x := 1", "case 1:", 'panic("x")', "// TODO: y", "  }"]
+    rows = [(f, i + 1, rng.choice(pool)) for f in range(6) for i in range(rng.choice([1, 40, 333]))]
+    lines = spark.createDataFrame(rows, "file_id long, line_no int, line string")
+    files = spark.createDataFrame([(f, "p", f"src/a{f}.{'go' if f % 2 else 'py'}") for f in range(7)], "file_id long, project_id string, rel_path string")
+    whole = sorted(map(tuple, A.file_issue_counts(files, lines).collect()))
+    for width in (9, 13, 100):
+        monkeypatch.setattr(A, "BLOCK_LINES", width)
+        assert sorted(map(tuple, A.file_issue_counts(files, lines).collect())) == whole
+    by_file = {f: [l for g, _, l in rows if g == f] for f in range(6)}
+    for row in whole:
+        texts = by_file.get(row[0], [])
+        loops = [i for i, l in enumerate(texts) if "for " in l]
+        assert row[-2] == sum(any(0 < j - i <= 9 for j in loops) for i in loops)
+        go = row[0] % 2 == 1
+        assert row[-3] == go * sum(a == "if err != nil {" and b.strip() == "}" for a, b in zip(texts, texts[1:]))
