@@ -45,6 +45,23 @@ GO_FRAMEWORKS = [
     ("fiber", "Fiber", "go", 3000, "go run main.go", "go build", "go test ./..."),
 ]
 
+# ---- FIXED VALUES: frameworks named in Maven, Composer and Bundler manifests ----
+MAVEN_FRAMEWORKS = [
+    ("spring-boot", "Spring Boot", "java", 8080, "mvn spring-boot:run", "mvn package", "mvn test"),
+    ("quarkus", "Quarkus", "java", 8080, "mvn quarkus:dev", "mvn package", "mvn test"),
+]
+COMPOSER_FRAMEWORKS = [
+    ("laravel", "Laravel", "php", 8000, "php artisan serve", "", "php artisan test"),
+    ("symfony", "Symfony", "php", 8000, "symfony server:start", "", "php bin/phpunit"),
+]
+GEM_FRAMEWORKS = [
+    ("rails", "Ruby on Rails", "ruby", 3000, "rails server", "", "rails test"),
+    ("sinatra", "Sinatra", "ruby", 4567, "ruby app.rb", "", "ruby test.rb"),
+]
+#: The frameworks to look for in each manifest that is read as text.
+TEXT_MANIFESTS = {"requirements.txt": PY_FRAMEWORKS, "go.mod": GO_FRAMEWORKS, "pom.xml": MAVEN_FRAMEWORKS,
+                  "composer.json": COMPOSER_FRAMEWORKS, "Gemfile": GEM_FRAMEWORKS}
+
 MANIFEST_SCHEMA = ("struct<name:string,version:string,scripts:map<string,string>,"
                    "dependencies:map<string,string>,devDependencies:map<string,string>>")
 DEP_COLS = ["name", "version", "type", "source"]
@@ -111,6 +128,17 @@ def substring_frameworks(lines: DataFrame, catalog, config_file: str, keys=()) -
             .select(*keys, "_f.*", F.lit(config_file).alias("config_file")))
 
 
+def manifest_frameworks(lines: DataFrame, keys=("project_id",)) -> DataFrame:
+    """DEP_FRAMEWORKS (text manifests): frameworks whose name is in a lower-cased line of (keys, config_file, line)."""
+    hits = []
+    for config_file, catalog in TEXT_MANIFESTS.items():
+        hits += [F.when((F.col("config_file") == config_file) & F.lower("line").contains(name), F.struct(
+            F.lit(fw).alias("framework"), F.lit(language).alias("language"), F.lit(port).cast("bigint").alias("port"), F.lit(dev).alias("dev_command")))
+            for name, fw, language, port, dev, _, _ in catalog]
+    found = lines.select(*keys, "config_file", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_f"))
+    return found.select(*keys, "_f.*", "config_file").distinct()
+
+
 def gomod_dependencies(lines: DataFrame, keys=(), pos: str = "line_no") -> DataFrame:
     """DEP_GOMOD: ``require name ver`` lines and the entries of ``require ( ... )`` blocks."""
     keys = list(keys)

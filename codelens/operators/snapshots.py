@@ -125,6 +125,35 @@ def with_preorder(desc: DataFrame, lineage_df: DataFrame, snapshots: DataFrame,
             .withColumn("preorder", (F.col("_cd") - F.col("_ca")).cast("bigint")).drop("_ca", "_cd"))
 
 
+def investigation_diff(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """JOIN_SNAPSHOT_DIFF (investigation): entries added, answered, tested and resolved from parent to child, by entry id.
+
+    docs: stored snapshots; edges: (node, parent). Only ids and states are joined.
+    """
+    kinds = {"questions": "answered", "hypotheses": "tested", "findings": None, "blockers": "resolved"}
+
+    def states(k):
+        status = (lambda e: F.lit("")) if k == "findings" else (lambda e: e["status"])
+        return F.transform(F.col(f"investigation.{k}"), lambda e: F.struct(e["id"].alias("id"), status(e).alias("status"))).alias(k)
+
+    slim = docs.select(F.col("id"), *[states(k) for k in kinds])
+    child = slim.select(F.col("id").alias("_c"), *[F.col(k).alias(f"c_{k}") for k in kinds])
+    parent = slim.select(F.col("id").alias("_p"), *[F.col(k).alias(f"p_{k}") for k in kinds])
+    pairs = edges.join(child, F.col("node").cast("string") == F.col("_c")).join(parent, F.col("parent").cast("string") == F.col("_p"))
+    closed = {"questions": ("answered",), "hypotheses": ("confirmed", "refuted"), "blockers": ("resolved",)}
+
+    def added(k):
+        known = F.transform(F.col(f"p_{k}"), lambda e: e["id"])
+        return F.size(F.filter(F.col(f"c_{k}"), lambda e: ~F.array_contains(known, e["id"]))).cast("bigint").alias(f"{k}_added")
+
+    def finished(k, name):
+        still = F.transform(F.filter(F.col(f"p_{k}"), lambda e: ~e["status"].isin(*closed[k])), lambda e: e["id"])
+        now = F.filter(F.col(f"c_{k}"), lambda e: e["status"].isin(*closed[k]) & F.array_contains(still, e["id"]))
+        return F.size(now).cast("bigint").alias(f"{k}_{name}")
+
+    return pairs.select(F.col("node").alias("snapshot_id"), *[added(k) for k in kinds], *[finished(k, n) for k, n in kinds.items() if n])
+
+
 def branches(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
     """AGG_BRANCHES: child count per node, branch point (> 1 child) and leaf flags."""
     edges = forest_edges(snapshots, node, parent)

@@ -114,6 +114,15 @@ SELECT s_suppkey AS project_id, concat('{"name":"svc', cast(s_suppkey AS string)
 FROM supplier JOIN (VALUES (0,'react'),(1,'vue'),(2,'express'),(3,'next'),(4,'leftpad')) AS f(k, fw) ON s_suppkey % 5 = k
 """)
 
+# manifests read as text, of several projects
+_view("framework_manifests", """
+SELECT s_suppkey AS project_id, cfg AS config_file, s_suppkey % 9 AS line_no, line FROM supplier JOIN (VALUES
+ (0,'requirements.txt','Django==4.2'),(1,'requirements.txt','fastapi>=0.1'),(2,'go.mod','require github.com/gin-gonic/gin v1.9.0'),
+ (3,'pom.xml','<artifactId>spring-boot-starter-web</artifactId>'),(4,'pom.xml','<artifactId>quarkus-core</artifactId>'),
+ (5,'composer.json','"laravel/framework": "^10"'),(6,'Gemfile','gem "rails", "~> 7"'),(7,'Gemfile','gem "sinatra"'),
+ (8,'composer.json','"monolog/monolog": "^3"')) AS m(k, cfg, line) ON s_suppkey % 9 = k
+""")
+
 _view("requirement_lines", """
 SELECT p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN '# comment' WHEN p_partkey % 7 = 1 THEN ''
   ELSE concat('pkg', cast(p_partkey AS string), op, CASE WHEN op = '' THEN '' ELSE concat(cast(p_size AS string), '.0') END) END AS line

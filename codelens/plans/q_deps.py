@@ -179,7 +179,21 @@ def _d_fw_map(fws) -> str:
                      f"{sql_str(f[5])}, {sql_str(f[6])})" for f in fws)
 
 
-@query("dep_frameworks", duckdb_with(["manifest_json", "gomod_lines", "pyproject_lines", "requirement_lines"], [D_PKG]) + f"""
+# frameworks in text manifests, written out for the oracle
+D_TEXT_FW = ("text_fw", """SELECT DISTINCT m.project_id, f.framework, f.language, CAST(f.port AS BIGINT) AS port, f.dev_command, m.config_file
+FROM framework_manifests m JOIN (VALUES
+ ('requirements.txt', 'django', 'Django', 'python', 8000, 'python manage.py runserver'), ('requirements.txt', 'flask', 'Flask', 'python', 5000, 'flask run'),
+ ('requirements.txt', 'fastapi', 'FastAPI', 'python', 8000, 'uvicorn main:app --reload'), ('go.mod', 'gin', 'Gin', 'go', 8080, 'go run main.go'),
+ ('go.mod', 'echo', 'Echo', 'go', 8080, 'go run main.go'), ('go.mod', 'fiber', 'Fiber', 'go', 3000, 'go run main.go'),
+ ('pom.xml', 'spring-boot', 'Spring Boot', 'java', 8080, 'mvn spring-boot:run'), ('pom.xml', 'quarkus', 'Quarkus', 'java', 8080, 'mvn quarkus:dev'),
+ ('composer.json', 'laravel', 'Laravel', 'php', 8000, 'php artisan serve'), ('composer.json', 'symfony', 'Symfony', 'php', 8000, 'symfony server:start'),
+ ('Gemfile', 'rails', 'Ruby on Rails', 'ruby', 3000, 'rails server'), ('Gemfile', 'sinatra', 'Sinatra', 'ruby', 4567, 'ruby app.rb'))
+ AS f(config_file, dep, framework, language, port, dev_command) ON m.config_file = f.config_file AND contains(lower(m.line), f.dep)""")
+
+
+@query("dep_frameworks", duckdb_with(["manifest_json", "gomod_lines", "pyproject_lines", "requirement_lines", "framework_manifests"], [D_PKG, D_TEXT_FW]) + f"""
+SELECT project_id, framework, language, port, dev_command, CAST(NULL AS VARCHAR) AS version, config_file FROM text_fw
+UNION ALL
 SELECT m.project_id, f.framework, f.language, CAST(f.port AS BIGINT) AS port, f.dev_command, m.version,
   'package.json' AS config_file
 FROM (SELECT project_id, name, arg_max(version, CASE WHEN type = 'dev' THEN 1 ELSE 0 END) AS version FROM ({D_NPM}) d
@@ -203,5 +217,7 @@ def dep_frameworks(spark, sf_dir):
     go = DP.substring_frameworks(_v(spark, sf_dir, "gomod_lines"), DP.GO_FRAMEWORKS, "go.mod")
     py = DP.substring_frameworks(_v(spark, sf_dir, "requirement_lines"), DP.PY_FRAMEWORKS, "requirements.txt")
     cols = ["framework", "language", "port", "dev_command"]
+    text = DP.manifest_frameworks(_v(spark, sf_dir, "framework_manifests"))
+    npm = npm.unionByName(text.select("project_id", *cols, nov, "config_file"))
     return (npm.unionByName(go.select(none, *cols, nov, "config_file"))
             .unionByName(py.select(none, *cols, nov, "config_file")))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
+from codelens.operators import deps as DP
 from codelens.operators import diagnostics as D
+from codelens.operators import process as P
 from codelens.operators import project as PR
+from codelens.operators.rules import todos
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
-from codelens.plans.q_diagnostics import win_context, win_last_error
+from codelens.plans.q_deps import D_NPM
+from codelens.plans.q_diagnostics import D_ACTIVE, active_errors, win_context, win_last_error
 from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
-from codelens.plans.q_project import D_EXT, D_NAME
-from codelens.plans.q_streams import win_changes
+from codelens.plans.q_project import D_EXT, D_NAME, project_key
+from codelens.plans.q_streams import D_CHANGES, win_changes
 from codelens.plans.registry import REGISTRY, Views, query, sql_list
 
 
@@ -51,22 +57,43 @@ def prj_config_file(spark, sf_dir):
     return _files(spark, sf_dir).select("file_id", "is_config")
 
 
-@query("snk_project_json", duckdb_with(STATE_VIEWS, D_STATE_CTES) + """
-SELECT project_id, '{"project_id":"' || project_id || '","health_score":' || CAST(health_score AS VARCHAR) ||
-  ',"total_files":' || CAST(total_files AS VARCHAR) || ',"languages":' || CAST(languages AS VARCHAR) ||
-  ',"primary_language":"' || primary_language || '","errors":' || CAST(error_count AS VARCHAR) ||
-  ',"todos":' || CAST(todo_count AS VARCHAR) || ',"dependencies":' || CAST(dependency_count AS VARCHAR) ||
-  ',"is_dirty":' || CASE WHEN is_dirty THEN 'true' ELSE 'false' END || '}' AS json FROM st""")
+D_ERR = f"""SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, seq, source, file, line_number, "column", type, message FROM ({D_ACTIVE}) a"""
+
+
+@query("snk_project_json", duckdb_with([*STATE_VIEWS, "file_observations"], [*D_STATE_CTES, D_CHANGES]) + f"""
+SELECT project_id, 'state' AS section, to_json({{'health_score': health_score, 'total_files': total_files, 'total_size': total_size, 'languages': languages,
+  'primary_language': primary_language, 'project_type': project_type, 'error_count': error_count, 'todo_count': todo_count,
+  'dependency_count': dependency_count, 'is_dirty': is_dirty, 'technical_debt': technical_debt}}) AS json FROM st
+UNION ALL SELECT project_id, 'language', to_json({{'language': language, 'files': files, 'lines': lines, 'main_files': main_files, 'config_files': config_files}}) FROM langs
+UNION ALL SELECT project_id, 'error', to_json({{'seq': seq, 'source': source, 'file': coalesce(file, ''), 'line_number': line_number, 'type': type, 'message': message}}) FROM ({D_ERR}) e
+UNION ALL SELECT project_id, 'todo', to_json({{'file': rel_path, 'line_number': CAST(line_no AS BIGINT), 'type': todo_type, 'message': message}}) FROM todos
+UNION ALL SELECT 'src' || CAST(project_id % 20 AS VARCHAR), 'dependency', to_json({{'name': name, 'version': version, 'type': type, 'source': source}}) FROM ({D_NPM}) d
+UNION ALL SELECT 'src' || regexp_extract(path, '^proj([0-9]+)/', 1), 'change', to_json({{'path': path, 'type': change_type, 'seq': seq}}) FROM changes WHERE change_type IS NOT NULL""")
 def snk_project_json(spark, sf_dir):
-    """SNK_PROJECT_JSON: the whole project state as one JSON text per project (field order fixed)."""
-    s = project_state(spark, sf_dir)
-    j = F.concat(F.lit('{"project_id":"'), "project_id", F.lit('","health_score":'), F.col("health_score").cast("string"),
-                 F.lit(',"total_files":'), F.col("total_files").cast("string"), F.lit(',"languages":'),
-                 F.col("languages").cast("string"), F.lit(',"primary_language":"'), "primary_language",
-                 F.lit('","errors":'), F.col("error_count").cast("string"), F.lit(',"todos":'), F.col("todo_count").cast("string"),
-                 F.lit(',"dependencies":'), F.col("dependency_count").cast("string"), F.lit(',"is_dirty":'),
-                 F.when(F.col("is_dirty"), "true").otherwise("false"), F.lit("}"))
-    return s.select("project_id", j.alias("json"))
+    """SNK_PROJECT_JSON: a project's whole state as JSON rows by section (state, languages, errors, todos, dependencies, changes).
+
+    Rows, not one text for each project: a writer partitioned by project and
+    section gives the export, and no project is gathered in one task."""
+    v = Views(spark, sf_dir)
+
+    def rows(df, section, *columns):
+        return df.select("project_id", F.lit(section).alias("section"), F.to_json(F.struct(*columns)).alias("json"))
+
+    col = lambda c, name: F.col(c).alias(name)
+    errors = active_errors(spark, sf_dir).withColumn("project_id", project_key(F.col("project_id")))
+    deps = DP.npm_dependencies(v("manifest_json")).withColumn("project_id", project_key(F.col("project_id")))
+    changes = P.file_changes(v("file_observations")).withColumn("project_id", F.concat(F.lit("src"), F.regexp_extract("path", r"^proj([0-9]+)/", 1)))
+    parts = [
+        rows(project_state(spark, sf_dir), "state", "health_score", "total_files", "total_size", "languages", "primary_language", "project_type",
+             "error_count", "todo_count", "dependency_count", "is_dirty", "technical_debt"),
+        rows(PR.detected_languages(v("files")), "language", "language", "files", "lines", "main_files", "config_files"),
+        rows(errors, "error", "seq", "source", F.coalesce("file", F.lit("")).alias("file"), "line_number", "type", "message"),
+        rows(todos(PR.todo_lines(v("files"), v("file_lines"))), "todo", col("rel_path", "file"), F.col("line_no").cast("bigint").alias("line_number"),
+             col("todo_type", "type"), "message"),
+        rows(deps, "dependency", "name", "version", "type", "source"),
+        rows(changes, "change", "path", col("change_type", "type"), "seq"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ------------------------------------------------------------ ERR_PYLINT_RUFF
@@ -132,7 +159,6 @@ LATEST_SINCE = "24h"  # request text; unparsable text falls back to 5 minutes
 
 def str_latest(spark, sf_dir):
     """STR_LATEST batch twin: newest error per process newer than ``as_of - since`` (since parsed from text)."""
-    from codelens.operators import process as P
     lines = Views(spark, sf_dir)("log_lines")
     errs = D.classify_process_lines(lines).select("pid", "seq", "severity", "error_type", "message", "ts")
     last = P.latest_per_key(errs, ["pid"])

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
 from codelens.functions.text import file_ext, map_lookup
+from codelens.operators import deps as DP
 from codelens.operators import project as PR
 from codelens.operators import rules as R
 from codelens.operators.diagnostics import health
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
+from codelens.plans.q_deps import D_NPM, D_PKG, D_TEXT_FW
 from codelens.plans.q_diagnostics import D_ACTIVE, active_errors
 from codelens.plans.registry import Views, query, sql_list, sql_str
 
@@ -145,6 +147,10 @@ def agg_project_type(spark, sf_dir):
     return PR.project_type(_files(spark, sf_dir))
 
 
+def d_framework_names() -> str:
+    return ", ".join(f"({sql_str(f[0])}, {sql_str(f[1])}, {sql_str(f[2])})" for f in DP.NPM_FRAMEWORKS)
+
+
 D_LANGMAP = d_case(PR.ext_language_map(), D_EXT, None)
 D_TESTS = ("tests", f"""SELECT project_id, bool_or(len(list_filter(string_split(lower(rel_path), '/'),
   lambda s: {' OR '.join(f"contains(s, {sql_str(p)})" for p in PR.TEST_PATTERNS)})) > 0) AS has_tests FROM files GROUP BY project_id""")
@@ -166,10 +172,20 @@ SELECT coalesce(le.project_id, lc.project_id) AS project_id, coalesce(le.languag
 FROM le FULL OUTER JOIN lc ON le.project_id = lc.project_id AND le.language = lc.language""")
 
 
-@query("agg_languages", d_files("""
-SELECT l.*, t.has_tests FROM langs l LEFT JOIN tests t USING (project_id)""", [D_TESTS, D_LANGS]))
+@query("agg_languages", duckdb_with(["files", "manifest_json", "framework_manifests"], [D_TESTS, D_LANGS, D_PKG, D_TEXT_FW]) + f"""
+, fw AS (SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, language, framework FROM text_fw
+  UNION SELECT 'src' || CAST(project_id % 20 AS VARCHAR), f.language, f.framework FROM ({D_NPM}) d
+  JOIN (VALUES {d_framework_names()}) AS f(dep, framework, language) ON d.name = f.dep)
+SELECT l.*, t.has_tests, coalesce(x.frameworks, '') AS frameworks FROM langs l LEFT JOIN tests t USING (project_id)
+LEFT JOIN (SELECT project_id, language, string_agg(framework, ',' ORDER BY framework) AS frameworks FROM fw GROUP BY ALL) x USING (project_id, language)""")
 def agg_languages(spark, sf_dir):
-    return PR.detected_languages(_files(spark, sf_dir))
+    """AGG_LANGUAGES with the names of the frameworks that the project's manifests name (bounded by the catalog)."""
+    v = Views(spark, sf_dir)
+    named = DP.npm_frameworks(v("manifest_json")).select("project_id", "language", "framework").union(
+        DP.manifest_frameworks(v("framework_manifests")).select("project_id", "language", "framework"))
+    by_language = named.groupBy(project_key(F.col("project_id")).alias("project_id"), "language").agg(
+        F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("frameworks"))
+    return PR.detected_languages(_files(spark, sf_dir)).join(by_language, ["project_id", "language"], "left").fillna("", ["frameworks"])
 
 
 @query("join_has_tests", d_files("SELECT project_id, has_tests FROM tests", [D_TESTS]))

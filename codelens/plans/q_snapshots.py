@@ -366,14 +366,25 @@ def snk_export_html(spark, sf_dir):
 @query("join_snapshot_diff", duckdb_with(["snapshots", "snapshot_files"], D_WALK[:1], recursive=False) + """
 , c AS (SELECT n.snapshot_id AS child, n.parent_id AS parent, f.path, f.line_count FROM nodes n JOIN snapshot_files f ON f.snapshot_id = n.snapshot_id WHERE n.parent_id IS NOT NULL),
 p AS (SELECT n.snapshot_id AS child, n.parent_id AS parent, f.path, f.line_count FROM nodes n JOIN snapshot_files f ON f.snapshot_id = n.parent_id),
+-- how many entries of each kind snapshot s has, and which of them are closed, as the documents are made
+ent AS (SELECT snapshot_id AS s, snapshot_id % 4 AS q, (snapshot_id + 1) % 3 AS h, (snapshot_id + 2) % 3 AS f, (snapshot_id + 3) % 4 AS b FROM snapshots),
+inv AS (SELECT c.s AS cs, greatest(c.q - p.q, 0) AS questions_added, greatest(c.h - p.h, 0) AS hypotheses_added,
+    greatest(c.f - p.f, 0) AS findings_added, greatest(c.b - p.b, 0) AS blockers_added,
+    CAST(len(list_filter(range(0, c.q), lambda k: (c.s + k) % 3 = 2 AND (k < p.q AND (p.s + k) % 3 <> 2))) AS BIGINT) AS questions_answered,
+    CAST(len(list_filter(range(0, c.h), lambda k: (c.s + k) % 3 <> 0 AND (k < p.h AND (p.s + k) % 3 = 0))) AS BIGINT) AS hypotheses_tested,
+    CAST(len(list_filter(range(0, c.b), lambda k: (c.s + k) % 3 = 2 AND (k < p.b AND (p.s + k) % 3 <> 2))) AS BIGINT) AS blockers_resolved
+  FROM nodes n JOIN ent c ON c.s = n.snapshot_id JOIN ent p ON p.s = n.parent_id),
 j AS (SELECT coalesce(c.child, p.child) AS child, coalesce(c.parent, p.parent) AS parent, c.line_count AS cl, p.line_count AS pl
       FROM c FULL OUTER JOIN p ON c.child = p.child AND c.path = p.path)
 SELECT child AS snapshot_id, parent AS parent_id, CAST(count_if(pl IS NULL) AS BIGINT) AS files_added,
   CAST(count_if(cl IS NULL) AS BIGINT) AS files_removed, CAST(count_if(cl IS NOT NULL AND pl IS NOT NULL AND cl <> pl) AS BIGINT) AS files_modified,
-  CAST(sum(abs(coalesce(cl, 0) - coalesce(pl, 0))) AS BIGINT) AS lines_changed
-FROM j GROUP BY child, parent""")
+  CAST(sum(abs(coalesce(cl, 0) - coalesce(pl, 0))) AS BIGINT) AS lines_changed,
+  any_value(i.questions_added) AS questions_added, any_value(i.hypotheses_added) AS hypotheses_added, any_value(i.findings_added) AS findings_added,
+  any_value(i.blockers_added) AS blockers_added, any_value(i.questions_answered) AS questions_answered,
+  any_value(i.hypotheses_tested) AS hypotheses_tested, any_value(i.blockers_resolved) AS blockers_resolved
+FROM j JOIN inv i ON i.cs = child GROUP BY child, parent""")
 def join_snapshot_diff(spark, sf_dir):
-    """JOIN_SNAPSHOT_DIFF: files added / removed / modified and lines changed from parent to child."""
+    """JOIN_SNAPSHOT_DIFF: files added / removed / modified, lines changed, and the investigation's progress from parent to child."""
     edges = S.forest_edges(_snap(spark, sf_dir)).where(F.col("parent").isNotNull())
     files = Views(spark, sf_dir)("snapshot_files")
     c = edges.join(files, edges["node"] == files["snapshot_id"]).select(
@@ -381,12 +392,13 @@ def join_snapshot_diff(spark, sf_dir):
     p = edges.join(files, edges["parent"] == files["snapshot_id"]).select(
         F.col("node").alias("child"), F.col("parent"), "path", F.col("line_count").alias("pl"))
     j = c.join(p, ["child", "parent", "path"], "full_outer")
-    return j.groupBy(F.col("child").alias("snapshot_id"), F.col("parent").alias("parent_id")).agg(
+    files_changed = j.groupBy(F.col("child").alias("snapshot_id"), F.col("parent").alias("parent_id")).agg(
         F.count_if(F.col("pl").isNull()).cast("bigint").alias("files_added"),
         F.count_if(F.col("cl").isNull()).cast("bigint").alias("files_removed"),
         F.count_if(F.col("cl").isNotNull() & F.col("pl").isNotNull() & (F.col("cl") != F.col("pl")))
         .cast("bigint").alias("files_modified"),
         F.sum(F.abs(F.coalesce("cl", F.lit(0)) - F.coalesce("pl", F.lit(0)))).cast("bigint").alias("lines_changed"))
+    return files_changed.join(S.investigation_diff(snapshot_docs(spark, sf_dir), edges), "snapshot_id")
 
 
 @query("prj_format_size", duckdb_with(["snapshots"]) + """
