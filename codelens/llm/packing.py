@@ -1,7 +1,7 @@
 """Best-fit decreasing packing of token sequences.
 
-Tokens. Texts are cut at white space where the byte-level BPE's own split
-pattern always cuts; each distinct piece of text is encoded once per worker by
+Tokens. Texts are cut at white space and signs where the byte-level BPE's own
+split pattern always cuts; each distinct piece of text is encoded once per worker by
 ``tokenizers`` and looked up by its hash afterwards. A document that spells a
 special token is encoded whole, so such strings mean what the tokenizer says.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ END_ID = 0
 REMEMBERED = 1_000_000
 
 _PLAIN = byte_set((0x21, 0x7E), (0x80, 0xC1), (0xC3, 0xE0), (0xE4, 0xFF))  # first bytes that surely are no white space
+_LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
+_SIGN = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _SPACE, _LINE = 0x20, 0x0A
 
 
@@ -75,6 +78,7 @@ class Encoder:
             at = np.flatnonzero(blank & _PLAIN[buf[1:]])
             parts[at] = True
             parts[at[buf[at] == _LINE] + 1] = True
+            parts[1:-1] |= _LETTER[buf[:-1]] & _SIGN[buf[1:]]
         for word in self.special:
             raw, found = buf.tobytes(), -1
             while (found := raw.find(word, found + 1)) >= 0:
@@ -99,8 +103,9 @@ class Encoder:
             raw = [texts.buf[a:b].tobytes().decode() for a, b in zip(starts[example[new]], ends[example[new]], strict=True)]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
             place = len(self.first) - 1 + np.arange(len(new))
-            self.ids = np.concatenate([self.ids, *[np.array(m, np.uint32) for m in made]])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(m) for m in made])])
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, sizes.sum())])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             where = np.searchsorted(self.known, distinct[new])
             self.known, self.place = np.insert(self.known, where, distinct[new]), np.insert(self.place, where, place)
         place = self.place[np.searchsorted(self.known, distinct)][which]
