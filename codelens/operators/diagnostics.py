@@ -97,36 +97,39 @@ def log_keyword_errors(lines: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ catalog scan
 
-def first_pattern_match(line: Column, language: str) -> Column:
-    """Struct of the first pattern of ``language`` that matches, NULL if none."""
-    hits = []
-    for pattern, etype, sev, file_re, line_re, col_re in C.LANGUAGE_PATTERNS[language]:
-        hits.append(F.when(rlike(line, pattern), F.struct(
-            F.lit(language).alias("source"),
-            (extract(line, file_re, 1) if file_re else F.lit(None).cast("string")).alias("file"),
-            (_int(extract(line, line_re, 1)) if line_re else F.lit(0).cast("bigint")).alias("line_number"),
-            (_int(extract(line, col_re, 1)) if col_re else F.lit(0).cast("bigint")).alias("column"),
-            F.lit(etype).alias("type"),
-            F.lit(sev).alias("severity"),
-        )))
-    return F.coalesce(*hits)
+def _catalog_scan(lines: DataFrame, languages: list[str], of: Column | None = None, trim_message: bool = False) -> DataFrame:
+    """Lines that a catalog pattern matches, with the fields of the first such pattern.
+
+    A line is tested against the patterns of its language (``of``; else of the
+    one language) for the number of the first hit only; what the hit extracts
+    is looked up by that number, which keeps the generated code small.
+    """
+    ln = F.col("line")
+    rows = [(lang, *row) for lang in languages for row in C.LANGUAGE_PATTERNS[lang]]
+    tested = [F.when(rlike(ln, r[1]) if of is None else (of == r[0]) & rlike(ln, r[1]), F.lit(i + 1)) for i, r in enumerate(rows)]
+    fields = F.array(*[F.struct(
+        F.lit(lang).alias("source"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
+        *[F.lit(java_regex(x) if x else None).cast("string").alias(n) for n, x in (("file", file_re), ("line", line_re), ("column", col_re))])
+        for lang, _, kind, severity, file_re, line_re, col_re in rows])
+    # no hit: the slice is null and gives no row; the tests run once for each line
+    hits = lines.select("*", F.explode(F.slice(fields, F.coalesce(*tested), F.lit(1))).alias("_p"))
+
+    def taken(name):
+        return F.when(F.rlike(ln, F.col(f"_p.{name}")), F.expr(f"regexp_extract(line, _p.`{name}`, 1)"))
+
+    return hits.select(*[F.col(f"`{c}`") for c in lines.columns], F.col("_p.source").alias("source"), taken("file").alias("file"), _int(taken("line")).alias("line_number"),
+                       _int(taken("column")).alias("column"), F.col("_p.type").alias("type"), F.col("_p.severity").alias("severity"),
+                       (trim_ws(ln) if trim_message else ln).alias("message"), F.lit("").alias("code"))
 
 
 def pattern_scan(lines: DataFrame, language: str, trim_message: bool = False) -> DataFrame:
     """ERR_PATTERN_SCAN: first matching catalog pattern per line gives source/type; message = line."""
-    m = first_pattern_match(F.col("line"), language)
-    msg = trim_ws(F.col("line")) if trim_message else F.col("line")
-    return (lines.withColumn("_m", m).where(F.col("_m").isNotNull())
-            .select("*", "_m.*", msg.alias("message"), F.lit("").alias("code")).drop("_m"))
+    return _catalog_scan(lines, [language], trim_message=trim_message)
 
 
 def pattern_scan_by_language(lines: DataFrame, language_col: str = "language") -> DataFrame:
-    """Scan lines whose language column names a catalog (one pass, branch per language)."""
-    m = F.lit(None)
-    for lang in C.LANGUAGE_PATTERNS:
-        m = F.when(F.col(language_col) == lang, first_pattern_match(F.col("line"), lang)).otherwise(m)
-    return (lines.withColumn("_m", m).where(F.col("_m").isNotNull())
-            .select("*", "_m.*", F.col("line").alias("message"), F.lit("").alias("code")).drop("_m"))
+    """Scan lines whose language column names a catalog (one pass)."""
+    return _catalog_scan(lines, list(C.LANGUAGE_PATTERNS), of=F.col(language_col))
 
 
 def build_output_errors(lines: DataFrame, language_col: str = "language") -> DataFrame:

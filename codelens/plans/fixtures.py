@@ -59,7 +59,7 @@ SELECT a.doc_id, a.n_lines + a.j + 1, t.tpl
 FROM (SELECT doc_id, size(split(text, chr(10))) AS n_lines, j FROM documents
       LATERAL VIEW explode(CASE WHEN doc_id % 97 IN (5, 11) THEN sequence(0, 519) WHEN doc_id % 31 = 0 THEN array()
                            ELSE sequence(0, cast(doc_id % 31 AS int) - 1) END) y AS j) a
-JOIN line_templates t ON t.slot = CASE WHEN a.doc_id % 97 <> 11 THEN (a.doc_id * 5 + a.j * a.j) % 22 WHEN a.j = 0 THEN 11 WHEN a.j = 519 THEN 5
+JOIN line_templates t ON t.slot = CASE WHEN a.doc_id % 97 <> 11 THEN (a.doc_id * 5 + a.j * a.j + a.j % 3 * 4) % 22 WHEN a.j = 0 THEN 11 WHEN a.j = 519 THEN 5
   WHEN a.j % 4 = 0 THEN 3 WHEN a.j % 4 = 1 THEN 6 WHEN a.j % 4 = 2 THEN 10 ELSE 21 END
 """, """
 SELECT doc_id AS file_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line
@@ -68,7 +68,7 @@ UNION ALL
 SELECT a.doc_id, a.n_lines + a.j + 1, t.tpl
 FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines,
              unnest(range(0, CASE WHEN doc_id % 97 IN (5, 11) THEN 520 ELSE doc_id % 31 END)) AS j FROM documents) a
-JOIN line_templates t ON t.slot = CASE WHEN a.doc_id % 97 <> 11 THEN (a.doc_id * 5 + a.j * a.j) % 22 WHEN a.j = 0 THEN 11 WHEN a.j = 519 THEN 5
+JOIN line_templates t ON t.slot = CASE WHEN a.doc_id % 97 <> 11 THEN (a.doc_id * 5 + a.j * a.j + a.j % 3 * 4) % 22 WHEN a.j = 0 THEN 11 WHEN a.j = 519 THEN 5
   WHEN a.j % 4 = 0 THEN 3 WHEN a.j % 4 = 1 THEN 6 WHEN a.j % 4 = 2 THEN 10 ELSE 21 END
 """, deps=("line_templates",))
 
