@@ -130,6 +130,20 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
+def rolling_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` bytes from each place on; block by block, as ``span_hashes``."""
+    n = len(buf) - width + 1
+    out = np.empty(max(0, n), np.uint64)
+    for lo in range(0, n, SLICE_BYTES):
+        hi = min(n, lo + SLICE_BYTES)
+        part = buf[lo: hi + width - 1]
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        out[lo:hi] = (sums[width:] - sums[:-width]) * down[: hi - lo]
+    return mix(out)
+
+
 def grams(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of all n-grams of ``width`` words that lie within one text."""
     n = len(hashes) - width + 1

@@ -234,7 +234,14 @@ def test_long_previous():
                 assert got[p] == want
 
 
+def test_segments_of_a_long_text_cover_its_windows(monkeypatch):
+    monkeypatch.setattr(R, "LONG_TEXT", 300)
+    raw = "".join(random.Random(8).choices("abc é", k=1500))
+    flat = R.flat(pa.array([raw]))
+    _, _, start, n = R.segments(flat)
+    assert np.concatenate([np.arange(a, a + k) for a, k in zip(start, n, strict=True)]).tolist() == list(range(len(flat.buf) - R.WIDTH + 1))
+
+
 def test_packed_rows():
     cols = [np.array([1, 2**40, -5], "<i8"), np.array([7, 8, 9], "u1"), np.array([1, 2, 3], "<u2")]
     assert all((a == b).all() for a, b in zip(R.unpack(R.pack(cols), ["<i8", "u1", "<u2"]), cols, strict=True))
-    assert pa.__version__
