@@ -38,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm.common import add_columns, cut, keep_where, table, text_or_empty
+from codelens.llm.common import add_columns, cut, keep_where, parts_for, table, text_or_empty
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Distinct fingerprints of one key that one task compares; more go to the second round in blocks of half as many.
 RUN_LIMIT = 100_000
 #: Runs up to this length are compared pair by pair in one vectorised pass.
 SHORT_RUN = 8
+#: Distinct fingerprints whose keys one task makes.
+FINGERPRINTS_PER_TASK = 20_000
 _BLOCK = 1 << 18
 
 
@@ -250,7 +252,9 @@ def links(fps: DataFrame, bits: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> D
     """(a, b) rows that connect exactly the distinct fingerprints (column fp) within ``bits`` of each other."""
     if bits > MAX_BITS:
         raise ValueError("the keys find up to four differing bits")
-    keyed = fps.mapInArrow(_keyed, "key int, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    # a fingerprint becomes up to 108 rows: many tasks make them, however few hold the fingerprints
+    spread = fps.repartition(parts_for(fps.count(), FINGERPRINTS_PER_TASK, fps.sparkSession.sparkContext.defaultParallelism), "fp")
+    keyed = spread.mapInArrow(_keyed, "key int, fp long").repartition("key").sortWithinPartitions("key", "fp")
     found = cut(keyed.mapInArrow(_links(bits, run_limit), "key int, a long, b long"))
     common = found.filter("key >= 0").select("key", "a")
     near_rows = found.filter("key < 0").select("a", "b")
