@@ -60,6 +60,31 @@ def test_blocks(spark):
     assert got == {i: t for i, (_, t) in enumerate(PAGES)}
 
 
+AROUND_ARTICLES = [
+    ("<div class='layout has-sidebar'><article><p>t</p></article><div class=sidebar>s</div></div>", "t"),
+    ("<div id='page' class='no-sidebar'><article>t</article></div>", "t"),
+    ("<article class='post comments-open'>t</article>", "t"),
+    ("<article class='category-social'>t</article>", "t"),
+    ("<body><form id=f><nav>menu</nav><article>t<form>ask</form></article><p>out</p></form></body>", "t"),
+    ("<body><form><h1>h</h1><p>t</p><nav>menu</nav></form><form>ask</form></body>", "h\n\nt"),
+    ("<article><h2 id='related-work'>Related work</h2><section id='search'>s</section><div class='section' id='menu'>m</div></article>", "Related work\n\ns\n\nm"),
+    ("<div class='search-layout'><article>a</article></div><article>b</article>", "a\n\nb"),
+    ("<div class='sidebar'><article>the only one</article></div><p>skip</p>", "the only one"),
+    ("<div class='sidebar'><article>teaser</article></div><article>t</article><article class='related-post'>r</article>", "t"),
+    ("<div class='sidebar'><article>teaser</article></div><p>the text of a page without marks</p>", "the text of a page without marks"),
+    ("<aside><article>teaser</article></aside><p>t</p>", "t"),
+    ("<article>t</article><div class='comments-area'><article>reader</article></div><article class='comment-body'>reader</article>", "t"),
+    ("<article>t<div class='cookie-notice'>n</div><div id='related'>r</div><div class='ad-slot'>a</div></article>", "t"),
+]
+
+
+def test_containers_do_not_take_the_article_away():
+    for page, text in AROUND_ARTICLES:
+        found = H.blocks(page)
+        zone = H.ARTICLE if any(z == H.ARTICLE for z, _ in found) else H.OPEN
+        assert "\n\n".join(t for z, t in found if z == zone) == text, page
+
+
 def test_repeated_runs_decide_where_no_article_is_marked(spark):
     menu = "<div>home news world sport weather video mail about us</div>"
     foot = "<p>all rights reserved by the publisher of this fine site since ever</p>"
