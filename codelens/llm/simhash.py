@@ -24,7 +24,9 @@ nothing of them reaches the driver but a checksum for each step.
 Defined results: null text counts as empty; a text without words has
 fingerprint 0, linked like any other; equal fingerprints are one component;
 component_id is the smallest doc_id of the component; repeated rows get equal
-results, and ``keep_first`` keeps one row of each component.
+results. ``keep_first`` keeps one row of each component, whatever its doc_id:
+that of the smallest doc_id (a null one counts as the largest), among rows of
+this doc_id that of the smallest text hash.
 """
 
 from __future__ import annotations
@@ -292,24 +294,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _rooted(first: DataFrame, bits: int) -> DataFrame:
+    """``first`` (one row for each fingerprint fp) with the root of its component."""
+    roots = cut(components(links(first.select("fp"), bits)))
+    return first.join(roots, F.col("fp") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """(key, fp, component_id) of every row."""
     slim = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     rows = cut(with_fingerprint(slim, "text", shingle).select("key", "fp"))
     first = cut(rows.groupBy("fp").agg(F.min("key").alias("low")))
-    roots = cut(components(links(first.select("fp"), bits)))
-    placed = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(first, bits)
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(lowest, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest key, with the input's columns; rows that share this key count as one document."""
+    """One row of each component, that of the smallest key, with the input's columns; equal (key, text) rows count as one document."""
     def decide(rows: DataFrame, key: str, text: str) -> DataFrame:
-        found = near_duplicates(rows, key, text)
-        firsts = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("first")).distinct()
-        return rows.join(firsts, F.col(key).eqNullSafe(F.col("first")), "left_semi").dropDuplicates([key])
+        digest = F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
+        slim = rows.select(F.col(key).alias("key"), digest.alias("digest"), text_or_empty(text).alias("text"))
+        one = F.struct(F.col("key").isNull().alias("no_key"), "key", "digest")
+        first = cut(with_fingerprint(slim).groupBy("fp").agg(F.min(one).alias("low")))
+        kept = _rooted(first, MAX_BITS).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("first"), F.col("low.digest").alias("kept"))
+        marked = rows.withColumn("digest", digest)
+        same = F.col(key).eqNullSafe(F.col("first")) & (F.col("digest") == F.col("kept"))
+        return marked.join(kept, same, "left_semi").dropDuplicates([key, "digest"])
 
     return keep_where(docs, decide, key, text)
 

@@ -106,6 +106,17 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_keep_first_takes_one_row_of_each_component_whatever_its_key(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b, *others = (text() for _ in range(10))
+    rows_in = [(5, a), (5, b), (2, b), (5, others[0]), (5, others[0])] + [(None, t) for t in others[1:]] + [(None, a), (None, others[1])]
+    df = docs(spark, [t for _, t in rows_in], [i for i, _ in rows_in], extra=True)
+    got = S.keep_first(df)
+    assert got.columns == df.columns
+    assert rows(got.select("doc_id", "text")) == sorted([(5, a), (2, b), (5, others[0])] + [(None, t) for t in others[1:]], key=repr)
+
+
 def test_golay_words_within_two_bits_share_an_index():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 23, 3000)
