@@ -16,7 +16,8 @@ more blocks, each exact. Nothing is shuffled but the shingle counts (added up
 in each task first).
 
 Defined results: null text has no words; an item without words matches
-nothing; items that repeat an id count once; equal windows of several items
+nothing; items that repeat an id count once; items with a null id hit like any
+other and are listed together as one null id; equal windows of several items
 hit for each of them; repeated documents each get their own row; an item
 longer than a block is a block of its own.
 """
@@ -54,11 +55,11 @@ class Windows:
     text: list[bytes]           # the words, joined by one space
     width: np.ndarray
     hash: np.ndarray
-    items: list[set[str]]
+    items: list[set[str | None]]
     shingles: list[np.ndarray]  # hashes of the window's shingles, by offset
 
 
-def windows_of(items: list[tuple[str, str]]) -> Windows:
+def windows_of(items: list[tuple[str | None, str]]) -> Windows:
     """Windows of (item id, text) pairs; the pairs are one bounded block."""
     at: dict[bytes, int] = {}
     out = Windows([], np.empty(0, np.int64), np.empty(0, np.uint64), [], [])
@@ -178,7 +179,7 @@ def _match(index: Index):
             low, starts, ends, bounds, h = _parsed(part)
             n_words += np.diff(bounds).tolist()
             hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            held: dict[int, set[str]] = defaultdict(set)
+            held: dict[int, set[str | None]] = defaultdict(set)
             for doc, start, win in zip(*(x.tolist() for x in _candidates(index, h, bounds)), strict=True):
                 width = int(index.windows.width[win])
                 spelled = b" ".join(low.buf[a:b].tobytes() for a, b in zip(starts[start: start + width], ends[start: start + width], strict=True))
@@ -188,7 +189,7 @@ def _match(index: Index):
             for doc, found in hits.items():
                 old = [(s["start"], s["end"]) for s in before[lo + doc]]
                 before[lo + doc] = [{"start": a, "end": b} for a, b in union(found + old)]
-                known[lo + doc] = sorted({*known[lo + doc], *held[doc]})
+                known[lo + doc] = sorted({*known[lo + doc], *held[doc]}, key=lambda x: (x is None, x or ""))
         return [pa.array(n_words, pa.int64()), pa.array(before, spans.type), pa.array(known, pa.list_(pa.string()))]
     return run
 
@@ -209,7 +210,7 @@ _FIELDS = [("n_words", "long"), ("spans", "array<struct<start:long,end:long>>"),
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with n_words, the spans of words that item windows cover, and the ids of their items."""
-    asked = items.select(F.col(item).cast("string").alias("item"), text_or_empty(item_text).alias("text")).filter("item is not null").distinct()
+    asked = items.select(F.col(item).cast("string").alias("item"), text_or_empty(item_text).alias("text")).distinct()
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     out = docs.withColumns({name: F.array().cast(kind) for name, kind in _FIELDS[1:]})

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -210,6 +211,26 @@ def test_decontamination(spark, monkeypatch, block_bytes):
     assert rows(kept) == rows(df.filter(F.col("doc_id").isin([i for i, w in want.items() if not w[1]])))
 
 
+@pytest.mark.parametrize("block_bytes", [20, 2_000_000])
+def test_decontamination_by_items_without_an_id(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(D, "BLOCK_BYTES", block_bytes)
+    df = docs(spark, ["so the first passage is here", "the second passage and the first passage", "the third passage", "clean"])
+    bench = spark.createDataFrame([(None, "The first passage"), (None, "the second passage"), (7, "the third passage"), (8, "the first passage")], "item_id long, text string")
+    got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), r["item_ids"]) for r in D.contamination(df, bench).collect()}
+    assert got == {0: (3, ["8", None]), 1: (6, ["8", None]), 2: (3, ["7"]), 3: (0, [])}
+    assert rows(D.keep_clean(df, bench)) == rows(df.filter("doc_id = 3"))
+
+
+def test_op7_and_its_sql_agree_on_items_without_an_id(spark, scratch):
+    docs(spark, ["so the first passage is here", "the second passage and the first passage", "the third passage", "clean", None]).write.parquet(f"{scratch}/documents.parquet")
+    items = [(None, "The first passage"), (None, "the second passage"), (None, None), (7, "the third passage"), (8, "the first passage")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{scratch}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{scratch}/{name}.parquet/*.parquet')")
+    assert rows(D.op7_decontamination(spark, scratch)) == sorted(con.execute(D.OP7_SQL).fetchall(), key=repr)
+
+
 def test_decontamination_without_items(spark):
     df = docs(spark, ["a b", None])
     none = spark.createDataFrame([], "item_id long, text string")
