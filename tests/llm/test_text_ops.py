@@ -52,6 +52,9 @@ PAGES = [
     ("<ul><li>one<li>two</ul>three", "one\n\ntwo\n\nthree"),
     (None, ""), ("", ""), ("   ", ""), ("no markup", "no markup"), ("<article></article>rest", "rest"),
     ("<article>" + "word " * 50_000 + "</article>", ("word " * 50_000).strip()),
+    ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p></article>", "if x=2 then"),
+    ("<article><math><semantics><mrow><mi>a</mi><mrow><mo>+</mo></mrow></mrow><annotation encoding='application/x-tex'>a+</annotation>"
+     "<annotation-xml><ci>a</ci></annotation-xml></semantics></math> is <math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math></article>", "a+ is 1 2"),
 ]
 
 
