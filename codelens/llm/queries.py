@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from codelens.llm import chat, decontam, exact_dedup, html_extract, packing, quality, sharding, simhash, suffix_dedup, url_filter
+from codelens.llm import (
+    chat, decontam, exact_dedup, filter_audit, html_extract, mixing, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, url_filter)
 
 QUERIES = {
     "op1_packing": (packing.op1_packing, None),
@@ -15,4 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, suffix_dedup.OP8_SQL),
     "op9_sharding": (sharding.op9_sharding, None),
     "op10_chat": (chat.op10_chat, chat.OP10_SQL),
+    "op11_filter_audit": (filter_audit.op11_filter_audit, filter_audit.OP11_SQL),
+    "op12_runs": (periodic_runs.op12_runs, None),
+    "op13_mixing": (mixing.op13_mixing, None),
 }

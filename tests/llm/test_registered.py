@@ -34,7 +34,7 @@ def test_against_sql(spark, name):
 def test_one_query_for_each_operator():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
 
 
@@ -51,6 +51,11 @@ def test_columns(spark):
         "op8_": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
         "op9_": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
         "op10_": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+        "op11_": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, "
+                 "good_lost bigint, toxic_lost bigint, shapley bigint",
+        "op12_": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+                 "runs_sha256 string, collapsed_sha256 string",
+        "op13_": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     }
     for name, (fn, _) in QUERIES.items():
         got = ", ".join(f"{c} {t}" for c, t in fn(spark, SF_SMALL).dtypes)
