@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens.llm.bytetext import Flat, byte_set, flat, mix, slices, words
@@ -317,22 +317,24 @@ def with_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(docs, [text], _find, [("runs", RUNS_TYPE), ("collapsed", "string")])
 
 
-def planted(text: Column, key: Column) -> Column:
-    """The text, or for a tenth of the keys one whose words repeat a stretch of it, as the query's input asks for."""
-    h = F.crc32(key.cast("string").cast("binary"))
-    g = F.floor(h / 10).cast("long")
-    found = split_words(text)
-    n = F.size(found)
-    a = (g % n).cast("int")
-    p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(found, F.when(i < a, i).otherwise(a + (i - a) % p)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the ids get a text whose words repeat a stretch of it, as the query's input asks for.
+
+    The words are a column of their own, so they are split once for each text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), h.alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, split_words(F.col("text"))))
+    g, n = F.floor(F.col("h") / 10).cast("long"), F.size("words")
+    rows = rows.withColumn("a", (g % F.greatest(n, F.lit(1))).cast("int")).withColumn("p", (F.floor((n - F.col("a")) / (g % 8 + 3)) + 1).cast("int"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("words"), place(i)))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, with the stretches that the query plants in a tenth of them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", planted(text_or_empty(), F.col("doc_id")).alias("text"))
-    found = with_runs(docs).drop("text")
+    found = with_runs(planted(table(spark, sf_dir, "documents"))).drop("text")
     better = lambda best, r: best["length"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
     nothing = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
     best = F.aggregate("runs", nothing, lambda best, r: F.when(better(best, r), r).otherwise(best))
