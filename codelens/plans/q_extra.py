@@ -1,7 +1,8 @@
-"""File-kind flags, project JSON export, Python linter JSON, and the batch twins of the stream operators."""
+"""File-kind flags, project JSON export, Python linter JSON, and the output of the stream operators."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ from codelens.operators.rules import todos
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
 from codelens.plans.q_deps import D_NPM
-from codelens.plans.q_diagnostics import D_ACTIVE, active_errors, win_context, win_last_error
+from codelens.plans.q_diagnostics import D_ACTIVE, active_errors
 from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
 from codelens.plans.q_project import D_EXT, D_NAME, project_key
-from codelens.plans.q_streams import D_CHANGES, win_changes
+from codelens.plans.q_streams import D_CHANGES
 from codelens.plans.registry import REGISTRY, Views, query, sql_list
+from codelens.session import ensure_checkpoint_dir
+from codelens.streaming import watchers as W
 
 
 def _files(spark, sf_dir):
@@ -141,34 +144,53 @@ def err_pylint_ruff(spark, sf_dir):
     return python_lint_errors(Views(spark, sf_dir)("python_lint_json"))
 
 
-# ------------------------------------------------------------ batch twins of the stream operators
+# ------------------------------------------------------------ the stream operators' own output
 
-def _twin(name: str, of: str, doc: str):
-    fn, sql = REGISTRY[of]
+LOG_COLUMNS = ["seq", "pid", "source", "ts", "line"]
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
-    def twin(spark, sf_dir):
-        return fn(spark, sf_dir)
 
-    twin.__doc__ = doc
-    REGISTRY[name] = (twin, sql)
+def _streamed(spark, rows, build, mode="append"):
+    """What the operator writes when the rows come as several micro-batches."""
+    return W.run_through(rows, "seq", build, f"{ensure_checkpoint_dir(spark)}/streams-{uuid.uuid4().hex}", mode)
+
+
+@query("str_errors", REGISTRY["win_context"][1])
+def str_errors(spark, sf_dir):
+    """STR_ERRORS: the errors, with context, that the keyed stream writes."""
+    out = _streamed(spark, Views(spark, sf_dir)("log_lines").select(*LOG_COLUMNS), W.error_stream)
+    return out.select("seq", "pid", "source", "severity", "error_type", "context", "context_lines")
 
 
-_twin("str_errors", "win_context", "STR_ERRORS batch twin: equals the stream's output (see codelens.streaming.watchers).")
 LATEST_SINCE = "24h"  # request text; unparsable text falls back to 5 minutes
 
 
+@query("str_latest", REGISTRY["win_last_error"][1])  # same rows as the 1440-minute window
 def str_latest(spark, sf_dir):
-    """STR_LATEST batch twin: newest error per process newer than ``as_of - since`` (since parsed from text)."""
-    lines = Views(spark, sf_dir)("log_lines")
-    errs = D.classify_process_lines(lines).select("pid", "seq", "severity", "error_type", "message", "ts")
-    last = P.latest_per_key(errs, ["pid"])
+    """STR_LATEST: the last row that the stream gave out for each process, where newer than ``as_of - since`` (parsed from text)."""
+    lines = Views(spark, sf_dir)("log_lines").select(*LOG_COLUMNS)
+    last = P.latest_per_key(_streamed(spark, lines, W.latest_errors, "update").drop("epoch"), ["pid"])
     minutes = P.parse_duration_minutes(F.lit(LATEST_SINCE))
     cutoff = lines.select(F.max("ts")).scalar() - F.make_dt_interval(secs=minutes * 60)
-    return (last.where(F.col("ts") > cutoff)
-            .select("pid", "seq", "severity", "error_type", "message",
-                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")))
-
-
-REGISTRY["str_latest"] = (str_latest, REGISTRY["win_last_error"][1])  # same rows as the 1440-minute window
-_twin("str_changes", "win_changes", "STR_CHANGES batch twin: created / modified per path.")
-assert win_context and win_last_error and win_changes
+    return last.where(F.col("ts") > cutoff).select("pid", "seq", "severity", "error_type", "message", F.date_format("ts", TS_FORMAT).alias("ts"))
+
+
+@query("str_changes", REGISTRY["win_changes"][1])
+def str_changes(spark, sf_dir):
+    """STR_CHANGES: created / modified as the keyed stream writes them."""
+    out = _streamed(spark, Views(spark, sf_dir)("file_observations"), W.change_stream)
+    return out.select("seq", "path", "change_type", F.date_format("mtime", TS_FORMAT).alias("mtime"))
+
+
+@query("str_process_state", duckdb_with(["log_lines"]) + f"""
+SELECT a.pid, a.lines, a.errors, a.last_error, a.last_seq, sha256(t.tail) AS tail_sha256 FROM (
+  SELECT pid, CAST(count(*) AS BIGINT) AS lines, CAST(count_if(err) AS BIGINT) AS errors,
+    arg_max(line, seq) FILTER (WHERE err) AS last_error, max(seq) AS last_seq
+  FROM (SELECT *, {duck.process_gate()} AS err FROM log_lines) x GROUP BY pid) a
+JOIN (SELECT pid, string_agg(line, chr(10) ORDER BY seq) AS tail FROM (
+  SELECT *, row_number() OVER (PARTITION BY pid ORDER BY seq DESC) AS r FROM log_lines) y WHERE r <= {C.MAX_OUTPUT_LINES} GROUP BY pid) t USING (pid)""")
+def str_process_state(spark, sf_dir):
+    """STR_PROCESS_STATE: the last row that the stream gave out for each process, with the digest of the kept lines."""
+    out = _streamed(spark, Views(spark, sf_dir)("log_lines").select(*LOG_COLUMNS), W.process_state, "update")
+    last = P.latest_per_key(out.drop("epoch"), ["pid"], "lines")  # a process's line count only grows
+    return last.select("pid", "lines", "errors", "last_error", "last_seq", F.sha2("tail", 256).alias("tail_sha256"))

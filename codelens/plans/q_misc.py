@@ -1,5 +1,5 @@
 """Remaining catalog queries: imports, relative time, bands, manifests, package managers, config joins,
-top lists, unions, plug-in registry, process-state twin, snapshot creation."""
+top lists, unions, plug-in registry, snapshot creation."""
 
 from __future__ import annotations
 
@@ -20,7 +20,6 @@ from codelens.plans.q_overview import D_STATE_CTES, STATE_VIEWS, project_state
 from codelens.plans.q_project import D_DIRS, D_EXT, D_PLUGSCOPE, D_TODOS, d_case
 from codelens.plans.q_streams import D_CHANGES
 from codelens.plans.registry import Views, query, sql_list, sql_str
-from codelens.streaming import watchers as W
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -229,27 +228,7 @@ def udx_plugin(spark, sf_dir):
                                                "has_dependencies", "has_tests").distinct())
 
 
-# ------------------------------------------------------------ STR_PROCESS_STATE (batch twin), SNP_CREATE
-
-@query("str_process_state", duckdb_with(["log_lines"]) + f"""
-SELECT a.pid, a.lines, a.errors, a.last_error, a.last_seq, sha256(t.tail) AS tail_sha256 FROM (
-  SELECT pid, CAST(count(*) AS BIGINT) AS lines, CAST(count_if(err) AS BIGINT) AS errors,
-    arg_max(line, seq) FILTER (WHERE err) AS last_error, max(seq) AS last_seq
-  FROM (SELECT *, {duck.process_gate()} AS err FROM log_lines) x GROUP BY pid) a
-JOIN (SELECT pid, string_agg(line, chr(10) ORDER BY seq) AS tail FROM (
-  SELECT *, row_number() OVER (PARTITION BY pid ORDER BY seq DESC) AS r FROM log_lines) y WHERE r <= {C.MAX_OUTPUT_LINES} GROUP BY pid) t USING (pid)""")
-def str_process_state(spark, sf_dir):
-    """STR_PROCESS_STATE (batch twin): per process line and error counts, last error and the digest of the kept lines."""
-    lines = Views(spark, sf_dir)("log_lines")
-    j = W.classify_columns(lines).withColumnRenamed("is_error", "err")
-    a = j.groupBy("pid").agg(F.count(F.lit(1)).alias("lines"), F.count_if("err").cast("bigint").alias("errors"),
-                             F.max_by(F.when(F.col("err"), F.col("line")), F.when(F.col("err"), F.col("seq"))).alias("last_error"),
-                             F.max("seq").alias("last_seq"))
-    # a process's kept lines are bounded by the limit
-    kept = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n")
-    tail = P.tail(lines, ["pid"], n=C.MAX_OUTPUT_LINES).groupBy("pid").agg(F.sha2(kept, 256).alias("tail_sha256"))
-    return a.join(tail, "pid")
-
+# ------------------------------------------------------------ SNP_CREATE
 
 @query("snp_create", duckdb_with(STATE_VIEWS, D_STATE_CTES) + """
 SELECT project_id, 'Snapshot of ' || project_id AS name, 'discovery' AS phase, 'initial' AS tags, CAST(1 AS BIGINT) AS version,

@@ -178,9 +178,6 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_process_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet",
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC_PROC_STREAM: process output lines as they arrive in a folder (file source)."""
-    r = spark.readStream.schema(schema).format(fmt)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(folder)
+                        max_files_per_trigger: int = 1000) -> DataFrame:
+    """SRC_PROC_STREAM over finished files that arrive in a folder; ``codelens.sources.growing`` follows files that grow."""
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", str(max_files_per_trigger)).load(folder)

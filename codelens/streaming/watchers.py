@@ -1,33 +1,39 @@
 """Structured Streaming forms of the watchers.
 
 * ``error_stream``      STR_ERRORS: classify each process line (JVM expressions) and attach the last
-                        5 lines of its (pid, source) stream; keyed state holds only the last 4 lines.
-* ``change_stream``     STR_CHANGES: created / modified per path; keyed state holds the last mtime.
+                        5 lines of its (pid, source) stream; list state holds only the last 4 lines.
+* ``change_stream``     STR_CHANGES: created / modified per path; value state holds the last mtime.
 * ``latest_errors``     STR_LATEST: newest error per process.
 * ``process_state``     STR_PROCESS_STATE: status, last error and bounded tail per process.
 * ``counters``          STR_COUNTERS: running counters per process.
 * ``retain_recent``     STR_RECENT: a ``foreachBatch`` sink keeping each workspace's newest changes in a table.
 * ``fan_out``           SNK_ERROR_FANOUT: ``foreachBatch`` writing each error as JSON for every subscriber.
 
-All keyed state expires on event time (a watermark on the lines' own clock):
-a process or path not seen for the time to live loses its state, so a stream
-over ever-new keys keeps bounded state. A key's rows of a micro-batch may come
-in several Arrow chunks; they are put in order together before the state step,
-so results do not depend on chunk sizes (their memory is bounded by what a
-trigger reads). The per-key Python (``applyInPandasWithState``) only slices
-small lists: classification, parsing and regexes run in the JVM before it.
-Spark backpressure replaces the source tool's drop-on-full channel: no error
-is dropped.
+Keyed state lives in ``transformWithStateInPandas`` processors. There is no
+watermark: processes have clocks of their own, and a clock that all of them
+shared would throw away the lines of those that lag behind. Instead each state
+variable has a time to live that starts anew whenever its key is seen (by the
+time lines arrive, not by what they say), so a stream over ever-new keys keeps
+bounded state and no line is dropped for its time. The operators need the
+RocksDB state store (``use_state_store``).
+
+A key's rows of a micro-batch may come in several Arrow chunks; they are put in
+order together before the state step, so results do not depend on chunk sizes
+(their memory is bounded by what a trigger reads). The per-key Python only
+slices small lists: classification, parsing and regexes run in the JVM before
+it. A source that reads a bounded amount per trigger takes the place of the
+source tool's drop-on-full channel.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from codelens.functions import catalogs as C
 from codelens.functions.text import any_of, java_regex
@@ -35,12 +41,32 @@ from codelens.operators.diagnostics import error_severity, error_type
 from codelens.operators.process import change_project, top_k
 
 DAY_MS = 24 * 3600 * 1000
-WATERMARK = "10 minutes"
 
 ERROR_OUT = ("seq long, pid long, source string, severity string, error_type string, message string, "
              "context string, context_lines long")
 
 
+@contextmanager
+def use_state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside this block keep their state in RocksDB, as keyed processors need.
+
+    They make no batches without data either: a state's time to live would ask
+    for another empty batch for ever, so an ``availableNow`` run never ended.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def classify_columns(lines: DataFrame, custom_patterns=()) -> DataFrame:
     ln = F.col("line")
     gate = java_regex(any_of(list(C.PROCESS_ERROR_PATTERNS) + list(custom_patterns)))
@@ -53,134 +79,210 @@ def _ordered(pdfs) -> pd.DataFrame:
     return pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
 
 
-def _latest_ms(pdf: pd.DataFrame) -> int:
-    return int(pd.to_datetime(pdf["event_time"]).astype("datetime64[ms]").astype("int64").max())
+class _Keyed(StatefulProcessor):
+    """Base of the processors: opens the state with its time to live, puts a key's rows in order."""
+
+    #: Schema of the value that a key keeps, and of the lines it keeps (None: no lines).
+    VALUE: str | None = None
+    LINES: str | None = None
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        if self.VALUE:
+            self.value = handle.getValueState("value", self.VALUE, self.ttl_ms)
+        if self.LINES:
+            self.lines = handle.getListState("lines", self.LINES, self.ttl_ms)
 
+    def kept_lines(self) -> list[str]:
+        return [row[0] for row in self.lines.get()] if self.lines.exists() else []
 
-def _keyed(df: DataFrame, ts: str, keys: list[str], fn, out: str, state: str, mode: str, ttl_ms: int | None, watermark: str) -> DataFrame:
-    """``fn(key, rows, old state) -> (new state, output rows)`` for each key, its state dropped ``ttl_ms`` after its last row."""
-    def step(key, pdfs, held):
-        if held.hasTimedOut:
-            held.remove()
-            return
-        pdf = _ordered(pdfs)
-        new, rows = fn(key, pdf, held.get if held.exists else None)
-        held.update(new)
-        if ttl_ms:
-            held.setTimeoutTimestamp(max(_latest_ms(pdf), held.getCurrentWatermarkMs()) + ttl_ms)
-        if rows is not None and len(rows):
-            yield rows
+    def keep_lines(self, lines: list[str]) -> None:
+        if lines:
+            self.lines.put([(x,) for x in lines])
 
-    df = df.withColumn("event_time", F.col(ts).cast("timestamp"))
-    if ttl_ms:
-        df = df.withWatermark("event_time", watermark)
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(step, out, state, mode, timeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = self.step(key, _ordered(rows))
+        if out is not None and len(out):
+            yield out
 
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        raise NotImplementedError
 
-def _context_fn(n: int):
-    keep = n - 1
+    def close(self) -> None:
+        pass
 
-    def fn(key, pdf, state):
-        tail = json.loads(state[0]) if state else []
-        lines = tail + pdf["line"].tolist()
-        off = len(tail)
-        idx = pdf.index[pdf["is_error"]]
-        e = pdf.loc[idx, ["seq", "pid", "source", "severity", "error_type", "line"]].copy()
-        context = [lines[max(0, off + i - keep): off + i + 1] for i in idx]
-        e["context"] = ["\n".join(c) for c in context]
-        e["context_lines"] = [len(c) for c in context]
-        return (json.dumps(lines[-keep:] if keep else []),), e.rename(columns={"line": "message"})
 
-    return fn
+def _keyed(df: DataFrame, keys: list[str], processor: _Keyed, out: str, mode: str) -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(
+        processor, out, mode, "ProcessingTime" if processor.ttl_ms else "None")
 
 
-def error_stream(lines: DataFrame, n: int = C.CONTEXT_LINES, custom_patterns=(), ttl_ms: int | None = DAY_MS,
-                 watermark: str = WATERMARK) -> DataFrame:
+class ErrorContext(_Keyed):
+    LINES = "line string"
+
+    def __init__(self, ttl_ms: int | None, n: int):
+        super().__init__(ttl_ms)
+        self.keep = n - 1
+
+    def step(self, key, rows):
+        before = self.kept_lines()
+        lines = before + rows["line"].tolist()
+        at = rows.index[rows["is_error"]]
+        out = rows.loc[at, ["seq", "pid", "source", "severity", "error_type", "line"]].rename(columns={"line": "message"})
+        context = [lines[max(0, len(before) + i - self.keep): len(before) + i + 1] for i in at]
+        self.keep_lines(lines[-self.keep:] if self.keep else [])
+        return out.assign(context=["\n".join(map(_text, c)) for c in context], context_lines=[len(c) for c in context])
+
+
+def _text(line: str | None) -> str:
+    return line or ""
+
+
+def error_stream(lines: DataFrame, n: int = C.CONTEXT_LINES, custom_patterns=(), ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STR_ERRORS over a streaming frame of (seq, pid, source, ts, line)."""
-    c = classify_columns(lines, custom_patterns).select("seq", "pid", "source", "ts", "line", "is_error", "severity",
-                                                        "error_type")
-    return _keyed(c, "ts", ["pid", "source"], _context_fn(n), ERROR_OUT, "tail string", "append", ttl_ms, watermark)
+    c = classify_columns(lines, custom_patterns).select("seq", "pid", "source", "line", F.coalesce("is_error", F.lit(False)).alias("is_error"),
+                                                        "severity", "error_type")
+    return _keyed(c, ["pid", "source"], ErrorContext(ttl_ms, n), ERROR_OUT, "append")
 
 
 CHANGE_OUT = "seq long, path string, change_type string, mtime timestamp_ntz, observed_at timestamp_ntz"
 
 
-def _changes(key, pdf, state):
-    last = int(state[0]) if state else None  # microseconds
-    out = []
-    us = pd.to_datetime(pdf["mtime"]).astype("datetime64[us]").astype("int64").tolist()
-    for row, m in zip(pdf.itertuples(index=False), us, strict=True):
-        if last is None:
-            out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
-        elif m > last:
-            out.append((row.seq, row.path, "modified", row.mtime, row.observed_at))
-        last = m
-    return (last,), pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
+class Changes(_Keyed):
+    VALUE = "mtime_us long"
+
+    def step(self, key, rows):
+        held = self.value.get()
+        last = held[0] if held else None
+        out = []
+        us = pd.to_datetime(rows["mtime"]).astype("datetime64[us]").astype("int64").tolist()
+        for row, m in zip(rows.itertuples(index=False), us, strict=True):
+            if last is None:
+                out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
+            elif m > last:
+                out.append((row.seq, row.path, "modified", row.mtime, row.observed_at))
+            last = m
+        self.value.update((last,))
+        return pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
 
 
-def change_stream(observations: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+def change_stream(observations: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STR_CHANGES over a streaming frame of (seq, path, observed_at, mtime); state per path: the last mtime."""
     obs = observations.select("seq", "path", "observed_at", "mtime")
-    return _keyed(obs, "observed_at", ["path"], _changes, CHANGE_OUT, "last_mtime_us long", "append", ttl_ms, watermark)
+    return _keyed(obs, ["path"], Changes(ttl_ms), CHANGE_OUT, "append")
 
 
-LATEST_OUT = "pid long, seq long, ts timestamp, severity string, error_type string, message string"
+LATEST_OUT = "pid long, seq long, ts timestamp_ntz, severity string, error_type string, message string"
 
 
-def _latest(key, pdf, state):
-    seq = int(state[0]) if state else -1
-    errors = pdf[pdf["is_error"] & (pdf["seq"] > seq)]
-    if not len(errors):
-        return (seq,), None
-    last = errors.iloc[-1]
-    out = pd.DataFrame([(key[0], last["seq"], last["event_time"], last["severity"], last["error_type"], last["line"])],
-                       columns=["pid", "seq", "ts", "severity", "error_type", "message"])
-    return (int(last["seq"]),), out
+class Latest(_Keyed):
+    VALUE = "seq long"
 
+    def step(self, key, rows):
+        held = self.value.get()
+        seq = held[0] if held else -1
+        errors = rows[rows["is_error"] & (rows["seq"] > seq)]
+        if not len(errors):
+            if held:
+                self.value.update((seq,))  # seen: its time to live starts anew
+            return None
+        last = errors.iloc[-1]
+        self.value.update((int(last["seq"]),))
+        return pd.DataFrame([(key[0], last["seq"], last["ts"], last["severity"], last["error_type"], last["line"])],
+                            columns=["pid", "seq", "ts", "severity", "error_type", "message"])
 
-def latest_errors(lines: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+
+def latest_errors(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STR_LATEST: newest error per process, given out when it changes (update mode). Filter by a duration at read time."""
-    c = classify_columns(lines).select("seq", "pid", "ts", "line", "is_error", "severity", "error_type")
-    return _keyed(c, "ts", ["pid"], _latest, LATEST_OUT, "seq long", "update", ttl_ms, watermark)
+    c = classify_columns(lines).select("seq", "pid", F.col("ts").cast("timestamp_ntz").alias("ts"), "line",
+                                       F.coalesce("is_error", F.lit(False)).alias("is_error"), "severity", "error_type")
+    return _keyed(c, ["pid"], Latest(ttl_ms), LATEST_OUT, "update")
 
 
 PROCESS_OUT = "pid long, lines long, errors long, last_error string, last_seq long, tail string"
 
 
-def _process_fn(tail_n: int):
-    def fn(key, pdf, state):
-        n_lines, n_err, last_error, last_seq, tail = state if state else (0, 0, None, -1, "[]")
-        errors = pdf[pdf["is_error"]]
-        n_lines, n_err = n_lines + len(pdf), n_err + len(errors)
+class ProcessState(_Keyed):
+    VALUE = "lines long, errors long, last_error string, last_seq long"
+    LINES = "line string"
+
+    def __init__(self, ttl_ms: int | None, tail_n: int):
+        super().__init__(ttl_ms)
+        self.tail_n = tail_n
+
+    def step(self, key, rows):
+        lines, n_errors, last_error, last_seq = self.value.get() or (0, 0, None, -1)
+        errors = rows[rows["is_error"]]
+        lines, n_errors = lines + len(rows), n_errors + len(errors)
         if len(errors):
             last_error = errors["line"].iloc[-1]
-        last_seq = max(last_seq, int(pdf["seq"].iloc[-1]))
-        tail = (json.loads(tail) + pdf["line"].tolist())[-tail_n:]
-        out = pd.DataFrame([(key[0], n_lines, n_err, last_error, last_seq, "\n".join(tail))],
-                           columns=["pid", "lines", "errors", "last_error", "last_seq", "tail"])
-        return (n_lines, n_err, last_error, last_seq, json.dumps(tail)), out
-
-    return fn
+        last_seq = max(last_seq, int(rows["seq"].iloc[-1]))
+        tail = (self.kept_lines() + rows["line"].tolist())[-self.tail_n:]
+        self.value.update((lines, n_errors, last_error, last_seq))
+        self.keep_lines(tail)
+        return pd.DataFrame([(key[0], lines, n_errors, last_error, last_seq, "\n".join(map(_text, tail)))],
+                            columns=["pid", "lines", "errors", "last_error", "last_seq", "tail"])
 
 
-def process_state(lines: DataFrame, tail_n: int = C.MAX_OUTPUT_LINES, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+def process_state(lines: DataFrame, tail_n: int = C.MAX_OUTPUT_LINES, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STR_PROCESS_STATE: per process counts, last error and the last ``tail_n`` lines (update mode)."""
-    c = classify_columns(lines).select("seq", "pid", "ts", "line", "is_error")
-    return _keyed(c, "ts", ["pid"], _process_fn(tail_n), PROCESS_OUT,
-                  "lines long, errors long, last_error string, last_seq long, tail string", "update", ttl_ms, watermark)
+    c = classify_columns(lines).select("seq", "pid", "line", F.coalesce("is_error", F.lit(False)).alias("is_error"))
+    return _keyed(c, ["pid"], ProcessState(ttl_ms, tail_n), PROCESS_OUT, "update")
 
 
-def _count(key, pdf, state):
-    lines, errors = state if state else (0, 0)
-    lines, errors = lines + len(pdf), errors + int(pdf["is_error"].sum())
-    return (lines, errors), pd.DataFrame([(key[0], lines, errors)], columns=["pid", "lines", "errors"])
+class Counters(_Keyed):
+    VALUE = "lines long, errors long"
 
+    def step(self, key, rows):
+        lines, errors = self.value.get() or (0, 0)
+        lines, errors = lines + len(rows), errors + int(rows["is_error"].sum())
+        self.value.update((lines, errors))
+        return pd.DataFrame([(key[0], lines, errors)], columns=["pid", "lines", "errors"])
 
-def counters(lines: DataFrame, ttl_ms: int | None = DAY_MS, watermark: str = WATERMARK) -> DataFrame:
+
+def counters(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STR_COUNTERS: running error and line counters per process (update mode)."""
-    c = classify_columns(lines).select("seq", "pid", "ts", "is_error")
-    return _keyed(c, "ts", ["pid"], _count, "pid long, lines long, errors long", "lines long, errors long", "update", ttl_ms, watermark)
+    c = classify_columns(lines).select("seq", "pid", F.coalesce("is_error", F.lit(False)).alias("is_error"))
+    return _keyed(c, ["pid"], Counters(ttl_ms), "pid long, lines long, errors long", "update")
+
+
+def keep_output(out_dir: str):
+    """``foreachBatch`` sink that keeps every micro-batch's rows under ``epoch=<n>``; a replayed epoch replaces itself."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+
+    return write
+
+
+def run_through(rows: DataFrame, order: str, build, folder: str, mode: str = "append", arrivals: int = 3) -> DataFrame:
+    """What a stream operator writes when ``rows`` arrive in ``arrivals`` parts, in the order of the number ``order``.
+
+    Each part is put in place by a rename and taken by an ``availableNow`` run
+    that starts from the checkpoint of the one before; ``build`` makes the
+    operator's stream from the stream that reads the parts.
+    """
+    spark = rows.sparkSession
+    bounds = rows.approxQuantile(order, [k / arrivals for k in range(1, arrivals)], 0.01)
+    part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    rows.withColumn("arrival", part).write.partitionBy("arrival").parquet(f"{folder}/staged")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{folder}/in"))
+    out_schema = None
+    for k in range(arrivals):
+        if fs.exists(path(f"{folder}/staged/arrival={k}")):
+            fs.rename(path(f"{folder}/staged/arrival={k}"), path(f"{folder}/in/part-{k}"))
+            out = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"))
+            out_schema = out.schema
+            with use_state_store(spark):
+                query = (out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+                         .foreachBatch(keep_output(f"{folder}/out")).trigger(availableNow=True).start())
+            query.awaitTermination()
+    if out_schema is None:  # nothing arrived
+        return spark.createDataFrame([], build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).schema).withColumn("epoch", F.lit(0))
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/epoch=*")
 
 
 def _versions(spark: SparkSession, table_dir: str) -> list[int]:

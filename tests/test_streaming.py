@@ -1,9 +1,13 @@
 """Streaming watchers equal their batch twins (file source, several micro-batches, availableNow)."""
 
+import datetime as dt
 import os
+import random
+import time
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from codelens.operators import process as P
@@ -24,16 +28,25 @@ def _stage(spark, name, df, parts, scratch):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
-def _run(spark, sdf, mode="append"):
+def _run(spark, sdf, mode="append", ckpt=None):
     rows = []
-    ckpt = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(lambda b, e: rows.extend(r.asDict() for r in b.collect()))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    ckpt = ckpt or f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    _finish(spark, sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+            .foreachBatch(lambda b, e: rows.extend(r.asDict() for r in b.collect())))
     return rows
 
 
+def _finish(spark, writer):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # a state store each
+    try:
+        with W.use_state_store(spark):
+            q = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert q.awaitTermination(120) or q.stop()
+
+
 def test_error_stream_matches_batch_context(spark, scratch):
     register(spark, SF_SMALL)
     lines = spark.table("log_lines").select("seq", "pid", "source", "ts", "line")
@@ -54,29 +67,56 @@ def test_change_stream_matches_batch(spark, scratch):
     assert {(r.seq, r.change_type) for r in batch} == {(r["seq"], r["change_type"]) for r in rows}
 
 
-def test_change_state_expires_on_event_time(spark, scratch):
-    """A path not seen for longer than the TTL loses its state: seen again, it is 'created' again."""
-    import datetime as dt
+def _put(src, name, rows, columns):
+    os.makedirs(src, exist_ok=True)
+    pd.DataFrame(rows, columns=columns).to_parquet(os.path.join(src, name), index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+
 
-    import pandas as pd
+def test_idle_keys_lose_their_state(spark, scratch):
+    """A path not seen for longer than its time to live is 'created' again; one that is seen stays known, whatever its clock says."""
     t0 = dt.datetime(2024, 1, 1)
-    batches = [
-        [(1, "a.go", t0, t0)],
-        [(2, "b.go", t0 + dt.timedelta(days=3), t0)],            # moves the watermark past a.go's TTL
-        [(3, "b.go", t0 + dt.timedelta(days=3, minutes=1), t0)],  # one more batch so the timeout fires
-        [(4, "a.go", t0 + dt.timedelta(days=3, minutes=2), t0)],  # same mtime as before
-    ]
-    src = os.path.join(scratch, "ttl-src")
-    os.makedirs(src)
-    for i, rows in enumerate(batches):
-        pd.DataFrame(rows, columns=["seq", "path", "observed_at", "mtime"]).to_parquet(
-            os.path.join(src, f"part-{i:03d}.parquet"), index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
-        os.utime(os.path.join(src, f"part-{i:03d}.parquet"), (1_000_000 + i, 1_000_000 + i))
+    src, ckpt = os.path.join(scratch, "ttl-src"), os.path.join(scratch, "ttl-ckpt")
     schema = "seq long, path string, observed_at timestamp_ntz, mtime timestamp_ntz"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    rows = _run(spark, W.change_stream(stream, ttl_ms=24 * 3600 * 1000))
-    got = sorted((r["seq"], r["path"], r["change_type"]) for r in rows)
-    assert got == [(1, "a.go", "created"), (2, "b.go", "created"), (4, "a.go", "created")]
+    columns = ["seq", "path", "observed_at", "mtime"]
+
+    def run(seq, path, days):
+        _put(src, f"part-{seq}.parquet", [(seq, path, t0 + dt.timedelta(days=days), t0)], columns)
+        return [r["change_type"] for r in _run(spark, W.change_stream(spark.readStream.schema(schema).parquet(src), ttl_ms=20_000), ckpt=ckpt)]
+
+    assert run(1, "a.go", 0) == ["created"]
+    assert run(2, "a.go", 30) == []  # soon after, though its own clock says a month
+    time.sleep(21)
+    assert run(3, "b.go", 0) == ["created"]
+    assert run(4, "a.go", 30) == ["created"]
+    assert run(5, "b.go", -30) == []
+
+
+def test_clocks_hours_apart_lose_no_line(spark, scratch):
+    """Two processes whose clocks differ by hours, shuffled rows, a restart after each of four triggers: all errors come out."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 + i % 2, "stdout", t0 + dt.timedelta(hours=-9 * (i % 2), seconds=i), f"Error: {i}" if i % 3 == 0 else f"line {i}") for i in range(80)]
+    schema, columns = "seq long, pid long, source string, ts timestamp_ntz, line string", ["seq", "pid", "source", "ts", "line"]
+    src, out = os.path.join(scratch, "clocks"), {name: [] for name in ("errors", "state")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for k in range(4):
+            part = rows[20 * k: 20 * k + 20]
+            random.Random(k).shuffle(part)
+            _put(src, f"part-{k}.parquet", part, columns)
+            stream = spark.readStream.schema(schema).parquet(src)
+            for name, sdf in (("errors", W.error_stream(stream)), ("state", W.process_state(stream, tail_n=3))):
+                out[name] += _run(spark, sdf, "append" if name == "errors" else "update", os.path.join(scratch, f"ckpt-{name}"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    batch = spark.createDataFrame(rows, schema)
+    want = {(r.seq, r.pid, r.message, "\n".join(r.context)) for r in P.with_context(batch).collect()}
+    assert len(want) == 27 and {(r["seq"], r["pid"], r["message"], r["context"]) for r in out["errors"]} == want and len(out["errors"]) == 27
+    last = {r["pid"]: r for r in out["state"]}
+    for pid in (1, 2):
+        mine = [r for r in rows if r[1] == pid]
+        errors = [r for r in mine if r[4].startswith("Error")]
+        state = last[pid]
+        assert (state["lines"], state["errors"], state["last_error"], state["tail"]) == (40, len(errors), errors[-1][4], "\n".join(r[4] for r in mine[-3:]))
 
 
 def test_process_state_and_counters(spark, scratch):
@@ -137,39 +177,20 @@ def test_streams_do_not_depend_on_chunks(spark, scratch):
     assert {(r["seq"], r["change_type"]) for r in changes} == {(r.seq, r.change_type) for r in P.file_changes(obs).collect()}
 
 
-def test_process_state_expires(spark, scratch):
-    import datetime as dt
-
-    import pandas as pd
-    t0 = dt.datetime(2024, 1, 1)
-    src = os.path.join(scratch, "ttl")
-    os.makedirs(src)
-    for i, (seq, pid, days) in enumerate([(1, 1, 0), (2, 2, 3), (3, 2, 3.01), (4, 1, 3.02)]):
-        pd.DataFrame([(seq, pid, "stdout", t0 + dt.timedelta(days=days), "Error: x")], columns=["seq", "pid", "source", "ts", "line"]).to_parquet(
-            os.path.join(src, f"part-{i}.parquet"), index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
-        os.utime(os.path.join(src, f"part-{i}.parquet"), (1_000_000 + i, 1_000_000 + i))
-    stream = spark.readStream.schema("seq long, pid long, source string, ts timestamp_ntz, line string").option("maxFilesPerTrigger", 1).parquet(src)
-    rows = _run(spark, W.counters(stream), mode="update")
-    assert sorted((r["pid"], r["lines"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (2, 2)]
-
-
 def test_fan_out_and_retain(spark, scratch):
     register(spark, SF_SMALL)
     obs = spark.table("file_observations")
     changes = W.change_stream(_stage(spark, "fo", obs, 2, scratch))
     out = os.path.join(scratch, "pub")
     ckpt = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    q = (changes.writeStream.option("checkpointLocation", ckpt).foreachBatch(W.fan_out(out))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(spark, changes.writeStream.option("checkpointLocation", ckpt).foreachBatch(W.fan_out(out)))
     published = spark.read.text(out).count()
     from codelens.plans.registry import load_all
     assert published == load_all()["win_changes"][0](spark, SF_SMALL).count()  # every change published once
     keep_dir = os.path.join(scratch, "recent")
     ckpt2 = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    q2 = (W.change_stream(_stage(spark, "fo2", obs, 4, scratch)).writeStream.option("checkpointLocation", ckpt2)
-          .foreachBatch(W.retain_recent(keep_dir, keep=3)).trigger(availableNow=True).start())
-    q2.awaitTermination()
+    _finish(spark, W.change_stream(_stage(spark, "fo2", obs, 4, scratch)).writeStream.option("checkpointLocation", ckpt2)
+            .foreachBatch(W.retain_recent(keep_dir, keep=3)))
     ch = P.file_changes(obs).withColumn("project", P.change_project(F.col("path")))
     want = {(r.project, r.seq) for r in P.top_k(ch, ["project"], [F.col("observed_at").desc(), F.col("seq").desc()], 3).collect()}
     got = W.read_recent(spark, keep_dir).collect()
