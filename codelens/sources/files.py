@@ -1,20 +1,18 @@
 """File-system sources: source trees, log files, captured tool output, snapshot store.
 
-All of them are Spark readers (a Python data source, ``text``, ``json``) over a
-folder; files are listed and read by tasks. Ignore rules are predicates on path
+All of them are Spark jobs over a folder (``text`` and ``json`` readers, tasks
+that list and read trees). Ignore rules are predicates on path
 elements (see ``codelens.operators.project``), so they prune rows, not directories.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import os
-import re
-from collections.abc import Iterator
-
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from codelens.sources.lines import RANGE_BYTES, numbered_lines
+from codelens.sources.tree import Opener, qualified, read_files
 
 _QUESTION = "struct<id:string,question:string,priority:string,status:string,created_at:timestamp,answered_at:timestamp,answer:string,source:string>"
 _HYPOTHESIS = "struct<id:string,statement:string,confidence:double,evidence:array<string>,status:string,created_at:timestamp,tested_at:timestamp>"
@@ -42,80 +40,19 @@ SNAPSHOT_SCHEMA = (
 )
 
 
-def _rel(path_col, root: str):
-    root = root.rstrip("/")
-    # binaryFile paths are URIs (file:/...); strip everything up to the root folder
-    return F.regexp_replace(path_col, r"^.*?" + re.escape(root) + "/", "")
-
-
-class TreeSource(DataSource):
-    """Files below a folder that every executor mounts, hidden and empty ones included.
-
-    Spark's own file listing leaves out names that start with ``.`` or ``_``
-    and gives no row for an empty file; both are part of a source tree. One
-    partition lists and reads one of the folders next to the root.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "rel_path string, size long, mod_time timestamp, content binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options["path"])
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root.removeprefix("file://").removeprefix("file:").rstrip("/")
-
-    def partitions(self) -> list[InputPartition]:
-        """The root's own files, and the trees two levels down (one each)."""
-        out: list[InputPartition] = [InputPartition((self.root, False))]
-        for top in _folders(self.root):
-            below = _folders(top)
-            out += [InputPartition((top, not below))] + [InputPartition((x, True)) for x in below]
-        return out
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        folder, deep = partition.value
-        for here, folders, names in os.walk(folder):
-            if not deep:
-                folders.clear()
-            for name in sorted(names):
-                path = f"{here}/{name}"
-                if os.path.islink(path) and not os.path.exists(path):
-                    continue
-                with open(path, "rb") as f:
-                    content = f.read()
-                changed = dt.datetime.fromtimestamp(os.stat(path).st_mtime, dt.timezone.utc)
-                yield path[len(self.root) + 1:], len(content), changed, content
-
-
-def _folders(path: str) -> list[str]:
-    with os.scandir(path) as found:
-        return sorted(x.path for x in found if x.is_dir(follow_symlinks=False))
-
-
-def read_tree(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
-    """SRC_FILES: one row per file of a tree: rel_path, size, mod_time, content (UTF-8 text).
+def read_tree(spark: SparkSession, root: str, project_id: str | None = None, open_root: Opener = pafs.FileSystem.from_uri) -> DataFrame:
+    """SRC_FILES: one row per file of a tree: rel_path, size, mod_time, content (text), is_text.
 
-    A mounted folder is read whole by ``TreeSource``. Other stores (a URI with
-    a scheme of its own) go through ``binaryFile``, whose listing hides names
-    that start with ``.`` or ``_`` and empty files.
+    ``root`` is a path or URI on any file system that ``open_root`` opens (see
+    ``codelens.sources.tree``); hidden and empty files have rows, what cannot be
+    read has none. Bytes that are no UTF-8 are replaced in content, and is_text
+    tells such files and those with zero bytes.
     """
-    if re.match(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*://", root):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-            _rel(F.col("path"), root).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content")
-    else:
-        spark.dataSource.register(TreeSource)
-        found = spark.read.format("source_tree").load(root)
+    found = read_files(spark, root, open_root)
     return found.select(
         F.lit(project_id).alias("project_id"),
-        F.xxhash64(F.lit(root.rstrip("/")), "rel_path").alias("file_id"),
-        "rel_path", "size", "mod_time", F.decode(F.col("content"), "UTF-8").alias("content"),
+        F.xxhash64(F.lit(root.rstrip("/")), "path").alias("file_id"),
+        F.col("path").alias("rel_path"), "size", "mod_time", "content", "is_text",
     )
 
 
@@ -131,33 +68,26 @@ PY_LOG_GLOBS = LOG_GLOBS + ["django.log", "app.log", "error.log"]
 JS_LOG_GLOBS = LOG_GLOBS + [".next/*.log", "npm-debug.log*", "yarn-debug.log*", "yarn-error.log*"]
 
 
-def read_logs(spark: SparkSession, root: str, globs=LOG_GLOBS) -> DataFrame:
-    """SRC_LOGS: log files by non-recursive globs, each file once, as numbered lines."""
-    paths = _existing(spark, [f"{root.rstrip('/')}/{g}" for g in globs])
-    if not paths:
-        return spark.createDataFrame([], "file string, line_no int, line string")
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return (whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-            .select("file", (F.col("pos") + 1).alias("line_no"), "line"))
+def read_logs(spark: SparkSession, root: str, globs=LOG_GLOBS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """SRC_LOGS: log files by non-recursive globs, each file once, as numbered lines; empty files have none."""
+    return numbered_lines(spark, _existing(spark, [f"{root.rstrip('/')}/{g}" for g in globs]), range_bytes)
 
 
-def _existing(spark: SparkSession, globs: list[str]) -> list[str]:
-    """The files that non-recursive globs name, each once, found through the globs' own file system."""
-    found: dict[str, None] = {}
+def _existing(spark: SparkSession, globs: list[str]) -> list[tuple[str, int]]:
+    """The files (URI, size) that non-recursive globs name, each once, found through the globs' own file system."""
+    found: dict[str, int] = {}
     for g in globs:
         path = spark._jvm.org.apache.hadoop.fs.Path(g)
         for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
             if status.isFile() and status.getLen() > 0:
-                found[status.getPath().toString()] = None
-    return list(found)
+                found[qualified(spark, status.getPath().toString())] = status.getLen()
+    return sorted(found.items())
 
 
-def read_tool_output(spark: SparkSession, folder: str) -> DataFrame:
+def read_tool_output(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC_TOOL_OUTPUT: captured stdout+stderr files, one row per line, with the file as the run."""
-    whole = spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("run"), "value")
-    return (whole.select("run", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-            .select("run", (F.col("pos") + 1).alias("seq"), "line"))
+    lines = numbered_lines(spark, _existing(spark, [f"{folder.rstrip('/')}/*"]), range_bytes)
+    return lines.select(F.col("file").alias("run"), F.col("line_no").alias("seq"), "line")
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,13 +2,20 @@
 
 import json
 import os
+import random
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pytest
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from codelens.plans.fixtures import register
 from codelens.plans.q_snapshots import snapshot_docs
 from codelens.sinks import snapshots as SK
 from codelens.sources import files as SF
+from codelens.sources import lines as L
+from codelens.sources import tree as T
 from tests.conftest import SF_SMALL
 
 
@@ -42,6 +49,67 @@ def test_read_tree_and_lines(spark, scratch):
     assert lines.count() == want
 
 
+class Vault:
+    """Opens roots of a second scheme: vault:///x is the folder /x."""
+
+    def __call__(self, uri):
+        return pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), unquote(uri.removeprefix("vault://"))
+
+
+def test_read_tree_takes_any_file(spark, scratch, monkeypatch):
+    """Binary, empty, hidden, linked and deep files have rows, pipes and broken links none; the form of the path does not matter."""
+    root = os.path.join(scratch, "odd tree")
+    files = {"a.png": b"\x89PNG\r\n\xff\x00", "empty": b"", ".env": b"A=1", "_x/__init__.py": b"", "zero.bin": b"a\0b", "d/e/f/g/h/i.txt": "é\n".encode(),
+             **{f"many/{i}/x.txt": b"%d" % i for i in range(40)}}
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "wb") as fh:
+            fh.write(data)
+    os.mkfifo(os.path.join(root, "pipe"))
+    os.symlink("empty", os.path.join(root, "link"))
+    os.symlink("nowhere", os.path.join(root, "broken"))
+    os.symlink("..", os.path.join(root, "d", "up"))
+    monkeypatch.setattr(T, "ENTRIES", 7)  # several rounds
+    want = {n: (len(d), not (n in ("a.png", "zero.bin"))) for n, d in (files | {"link": b""}).items()}
+    for form, opener in ((root, None), ("file://" + root, None), ("vault://" + root, Vault())):
+        tree = SF.read_tree(spark, form, **({"open_root": opener} if opener else {})).collect()
+        assert {r.rel_path: (r.size, r.is_text) for r in tree} == want and len(tree) == len(want)
+        assert {r.rel_path: r.content for r in tree}["d/e/f/g/h/i.txt"] == "é\n"
+    assert T.read_file(pafs.LocalFileSystem(), root + "/gone") is None and T._list_folder(pafs.LocalFileSystem(), root + "/gone") == []
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 7, 64, 1 << 20])
+def test_lines_by_ranges_equal_the_whole_file(spark, scratch, range_bytes, monkeypatch):
+    rng = random.Random(range_bytes)
+    texts = ["", "\n", "a", "a\n", "\n\n", "one\ntwo\r\n\n" + "x" * 40 + "\nlast", "é" * 30 + "\n日本\n", "\ufeffmark\nb\n"]
+    texts += ["".join(rng.choices("ab\n", k=rng.randint(0, 60))) for _ in range(6)]
+    files = []
+    for i, t in enumerate(texts):
+        path = os.path.join(scratch, f"t{i}.txt")
+        with open(path, "wb") as fh:
+            fh.write(t.encode())
+        files.append(("file://" + path, len(t.encode())))
+        with open(path, "ab") as fh:
+            fh.write(b"grown\nsince\n")  # a file counts as long as it was when it was listed
+    monkeypatch.setattr(L, "BLOCK", 5)
+    opener, seen = pafs.FileSystem.from_uri, {}
+    for uri, size in files:  # the passes themselves, without a job for each case
+        starts = range(0, size + 1, range_bytes)
+        ranges = pa.record_batch([[uri] * len(starts), list(starts), [min(s + range_bytes, size + 1) for s in starts], [size] * len(starts)], names=list("abcd"))
+        (counted,) = L._count(opener)([ranges])
+        n = counted.column(4).to_pylist()
+        first = [1 + sum(n[:k]) for k in range(len(n))]
+        whole = pa.record_batch([*ranges.columns, pa.array(first), pa.array(n)], names=list("abcdef"))
+        seen[uri] = [(x["line_no"], x["line"]) for b in L._read(opener)([whole]) for x in b.to_pylist()]
+    for (uri, _), t in zip(files, texts, strict=True):
+        assert seen[uri] == list(enumerate(t.split("\n"), 1)), (t, range_bytes)
+    if range_bytes == 64:
+        got = {}
+        for r in L.numbered_lines(spark, [*files, ("file:///no/such/file", 100)], 16).collect():
+            got.setdefault(r.file, []).append((r.line_no, r.line))
+        assert {f: sorted(x) for f, x in got.items()} == seen
+
+
 def test_read_logs_globs(spark, scratch):
     root = os.path.join(scratch, "ws")
     os.makedirs(os.path.join(root, "logs"))
