@@ -17,9 +17,10 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelens.functions.windows import dense_index
 from codelens.session import ensure_checkpoint_dir
 
 
@@ -91,38 +92,85 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
     return nodes.select(F.col("node").alias(node), *path, own(F.col("steps")).alias("depth"), own(F.col("top")).alias("root_id"), cyclic.alias("cyclic"))
 
 
-def descendants(lineage_df: DataFrame, node: str = "snapshot_id") -> DataFrame:
-    """JOIN_DESCENDANTS: (ancestor, descendant, levels below); order by the descendant's path for pre-order."""
-    return (lineage_df.select(node, "path", "depth", F.posexplode("path").alias("_pos", "ancestor_id"))
-            .where(F.col("ancestor_id") != F.col(node))
-            .select("ancestor_id", F.col(node).alias("descendant_id"),
-                    (F.col("depth") - F.col("_pos") - 1).cast("bigint").alias("levels_below"), "path"))
+def euler_tour(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
+    """(node, root_id, after, within, depth, cyclic): every subtree as an interval of places, without paths.
 
-
-def with_preorder(desc: DataFrame, lineage_df: DataFrame, snapshots: DataFrame,
-                  node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
-    """Pre-order position of each descendant under its ancestor (children by id), without a window per ancestor.
-
-    size(v) = 1 + descendants of v; offset(v) = 1 + sizes of v's smaller siblings (bucketed
-    prefix sum per parent); cum(v) = offsets summed along v's path below the root; and the
-    position of d under a is cum(d) - cum(a). A root with a third of all nodes below it
-    is never one window partition.
+    The tour enters a node, tours its children by id and leaves it. Each of the
+    two elements of a node knows the next one; list ranking by pointer doubling
+    counts the nodes entered and left from an element to the end of its tour.
+    ``after`` nodes are entered after the subtree of a node is left, and
+    ``within`` more in it (itself included), so d lies below a where both have
+    one root and ``a.after < d.after + d.within < a.after + a.within``. Ids are
+    integers; a node on a cycle of parents or below one is ``cyclic``, without
+    root and places.
     """
-    from codelens.functions.windows import prefix_sum
     edges = forest_edges(snapshots, node, parent)
-    counts = desc.groupBy(F.col("ancestor_id").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = (edges.join(counts, "node", "left")
-             .select("node", "parent", (F.coalesce("_n", F.lit(0)) + 1).cast("bigint").alias("_size")))
-    kids = sizes.where(F.col("parent").isNotNull())
-    offs = (prefix_sum(kids, ["parent"], "node", "_size", "_before", inclusive=False)
-            .select("node", (F.col("_before") + 1).alias("_off")))
-    steps = lineage_df.select(F.col(node).alias("_v"), F.posexplode("path").alias("_p", "node")).where(F.col("_p") > 0)
-    cum = steps.join(offs, "node").groupBy("_v").agg(F.sum("_off").cast("bigint").alias("_cum"))
-    roots = lineage_df.select(F.col(node).alias("_v")).join(cum, "_v", "left").fillna(0, ["_cum"])
-    a = roots.select(F.col("_v").alias("ancestor_id"), F.col("_cum").alias("_ca"))
-    d = roots.select(F.col("_v").alias("descendant_id"), F.col("_cum").alias("_cd"))
-    return (desc.join(a, "ancestor_id").join(d, "descendant_id")
-            .withColumn("preorder", (F.col("_cd") - F.col("_ca")).cast("bigint")).drop("_ca", "_cd"))
+    kids = dense_index(edges.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))), ["parent"], "node", out="nth")
+    follow = kids.select(F.col("parent").alias("_p"), (F.col("nth") - 1).alias("_nth"), F.col("node").alias("_next"))
+    placed = edges.join(kids.select("node", "nth"), "node", "left")
+    first = follow.where("_nth = 0").select(F.col("_p").alias("node"), F.col("_next").alias("first_child"))
+    known = (placed.join(first, "node", "left")
+             .join(follow, (F.col("parent") == F.col("_p")) & (F.col("nth") == F.col("_nth")), "left"))
+    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1  # the elements of a node
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    elements = known.select(F.explode(F.array(
+        F.struct(enter.alias("e"), F.coalesce(F.col("first_child") * 2, leave).alias("jump"), one.alias("entered"), zero.alias("left"), enter.alias("last")),
+        F.struct(leave.alias("e"), F.coalesce(F.col("_next") * 2, F.col("parent") * 2 + 1).alias("jump"), zero.alias("entered"), one.alias("left"), leave.alias("last")),
+    )).alias("x")).select("x.*")
+    rounds = _Rounds(snapshots)
+    ranked = rounds.write(elements)
+    limit = math.ceil(math.log2(max(2, ranked.count()))) + 1
+    done = 0
+    while done < limit and not ranked.where(F.col("jump").isNotNull()).isEmpty():
+        ranked = rounds.write(_ranked(_ranked(ranked)))
+        done += 2
+    own = ranked.withColumn("node", F.floor(F.col("e") / 2).cast("long")).withColumn("entering", F.col("e") % 2 == 0)
+    whole = own.groupBy("node").agg(  # two rows each
+        F.max(F.col("jump").isNotNull()).alias("cyclic"), F.max(F.floor(F.col("last") / 2).cast("long")).alias("root_id"),
+        F.max(F.when(F.col("entering"), F.col("entered"))).alias("from_enter"), F.max(F.when(F.col("entering"), F.col("left"))).alias("left_after"),
+        F.max(F.when(~F.col("entering"), F.col("entered"))).alias("after"))
+    sure = lambda c: F.when(~F.col("cyclic"), c)
+    return whole.select(
+        F.col("node").alias(node), sure(F.col("root_id")).alias("root_id"), sure(F.col("after")).alias("after"),
+        sure(F.col("from_enter") - F.col("after")).alias("within"), sure(F.col("left_after") - F.col("from_enter") + 1).alias("depth"), "cyclic")
+
+
+def _ranked(elements: DataFrame) -> DataFrame:
+    """Each element's jump and counts doubled."""
+    there = elements.select(F.col("e").alias("_e"), F.col("jump").alias("_jump"), F.col("entered").alias("_entered"), F.col("left").alias("_left"), F.col("last").alias("_last"))
+    joined = elements.join(there, F.col("jump") == F.col("_e"), "left")
+    more = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    return joined.select("e", F.col("_jump").alias("jump"), more("entered"), more("left"), F.coalesce("_last", "last").alias("last"))
+
+
+def descendants(tour: DataFrame, chosen: DataFrame | None = None, node: str = "snapshot_id") -> DataFrame:
+    """JOIN_DESCENDANTS: (ancestor_id, descendant_id, levels_below, preorder) for the ``chosen`` ids (all without them).
+
+    An interval join on equal keys: an ancestor's interval of places is cut into
+    blocks whose sizes are powers of two, at most two of each size, and every
+    node names the block of each size that its place lies in, so each pair meets
+    once and no others are compared. ``preorder`` counts from 1, children by id.
+    """
+    known = tour.where("NOT cyclic").withColumn("place", F.col("after") + F.col("within"))
+    ancestors = known if chosen is None else known.join(chosen.select(node).distinct(), node, "left_semi")
+    most = ancestors.where("within > 1").agg(F.max("within")).first()[0] or 1
+    sizes = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
+    lo, hi = F.col("after") + 1, F.col("place")  # places of the nodes below: lo .. hi - 1
+
+    def blocks(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        first, end = F.ceil(lo / width).cast("long"), F.floor(hi / width).cast("long")
+        cut = F.array(F.when((first < end) & (first % 2 == 1), F.struct(k.alias("size"), first.alias("block"))),
+                      F.when((first < end) & (end % 2 == 1), F.struct(k.alias("size"), (end - 1).alias("block"))))
+        return F.filter(cut, lambda x: x.isNotNull())
+
+    a = ancestors.where("within > 1").select(
+        "root_id", F.col(node).alias("ancestor_id"), F.col("depth").alias("_depth"), F.col("place").alias("_place"),
+        F.explode(F.flatten(F.transform(sizes, blocks))).alias("b")).select("root_id", "ancestor_id", "_depth", "_place", "b.*")
+    d = known.where("depth > 1").select("root_id", F.col(node).alias("descendant_id"), "depth", "place", F.explode(sizes).alias("size"))
+    d = d.withColumn("block", F.floor(F.col("place") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size"))).cast("long"))
+    return a.join(d, ["root_id", "size", "block"]).select(
+        "ancestor_id", "descendant_id", (F.col("depth") - F.col("_depth")).alias("levels_below"), (F.col("_place") - F.col("place")).alias("preorder"))
 
 
 def investigation_diff(docs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -53,10 +53,7 @@ SELECT ancestor_id, descendant_id, levels_below,
   WHERE a.ancestor_id <> w.snapshot_id) x"""))
 def join_descendants(spark, sf_dir):
     """JOIN_DESCENDANTS: every (ancestor, descendant) pair with depth below and pre-order position (children by id)."""
-    snaps = _snap(spark, sf_dir)
-    lin = S.lineage(snaps)
-    return (S.with_preorder(S.descendants(lin), lin, snaps)
-            .select("ancestor_id", "descendant_id", "levels_below", "preorder"))
+    return S.descendants(S.euler_tour(_snap(spark, sf_dir)))
 
 
 @query("agg_branches", d_forest("""
