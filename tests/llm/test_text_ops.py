@@ -289,3 +289,18 @@ def test_escapes():
     for t in filter(None, NASTY):
         assert C.unescape(C.escape(t)) == t and "<|" not in C.escape(t)
         assert C.role_of(C.role_header(t)) == t and "\n" not in C.role_header(t)
+
+
+def test_broken_pages_take_linear_time():
+    """Tags without an end, deep nesting and end tags of nothing: 1 MB each, all in seconds."""
+    import time
+
+    from codelens.llm import html_extract
+
+    pages = ["<a" * 500_000, "<" + "a" * 1_000_000, "<!" * 500_000, "<div>" * 100_000 + "</span>" * 70_000, "<b>" * 150_000 + "</i>" * 100_000,
+             '<a href="' * 110_000, "<svg" * 250_000, "<![CDATA[" * 110_000, "<a " + " " * 1_000_000, "<script>" + "</script " * 110_000]
+    for page in pages:
+        began = time.time()
+        html_extract.blocks(page)
+        assert time.time() - began < 10, page[:10]
+    assert html_extract.blocks("<p>a<p>b <!x c") == [(html_extract.OPEN, "a"), (html_extract.OPEN, "b")]
