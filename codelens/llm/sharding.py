@@ -8,17 +8,19 @@ expected share is its weight over the sum of weights.
 
 Defined results: a null key counts as the empty string; equal keys always
 share a shard (also when a third of all rows carry one key); an empty table
-gives an empty table; other columns of the input pass through.
+gives an empty table; other columns of the input pass through, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelens.llm.common import parts_for, table, text_or_empty
+from codelens.llm.common import cut, parts_for, table, text_or_empty
 
 SHARDS = 16
 #: Rows that one slot bucket holds on average (a window of the numbering sorts one bucket of one shard).
@@ -48,27 +50,34 @@ def rendezvous_shard(df: DataFrame, key: str, weights: Sequence[float], out: str
     return df.withColumn(out, argmax(scores(F.col(key), weights)))
 
 
-def with_slots(df: DataFrame, shard: str, order: Sequence[str], n_rows: int, out: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, a shard never being sorted in one task.
+def dealt(rows: DataFrame, order: Sequence[str], n_rows: int) -> DataFrame:
+    """``rows`` with a column bucket: a hash of ``order`` and the row's place in the input, each in as many ways."""
+    ways = math.ceil(math.sqrt(parts_for(n_rows, ROWS_PER_BUCKET)))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(ways)) * ways + F.pmod(F.monotonically_increasing_id(), F.lit(ways)))
+
 
-    Rows are dealt to hashed buckets; a bucket's first number is the sum of the
-    counts of the shard's earlier buckets (pre-aggregated), and only the rows of
-    one bucket of one shard are sorted together.
+def with_slots(df: DataFrame, shard: str, order: Sequence[str], n_rows: int, out: str = "slot") -> DataFrame:
+    """Number the rows of each shard from 0 without gaps, a shard or a key never being sorted in one task.
+
+    Rows are dealt twice, by a hash of ``order`` and by their place in the input,
+    so rows equal in ``order`` spread over as many groups as there are hashes
+    (the square root of what the rows need). The dealt rows are cut off once, so
+    all that follows sees the same groups. A group's first number is the sum of
+    the counts of the shard's earlier groups (pre-aggregated), and only the rows
+    of one group of one shard are sorted together. All columns of ``df`` stay,
+    whatever their names; a column named ``out`` is replaced.
     """
-    buckets = parts_for(n_rows, ROWS_PER_BUCKET)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = dealt.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(
-        F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
-    )
-    inside = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    return (
-        dealt.withColumn("_row", F.row_number().over(inside))
-        .join(first, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn(out, (F.col("_first") + F.col("_row") - 1).cast("long"))
-        .drop("_bucket", "_row", "_shard", "_b", "_first")
-    )
+    at = {c: f"k{i}" for i, c in enumerate(df.columns)}
+    rows = df.toDF(*at.values())
+    key, by = at[shard], [at[c] for c in order]
+    groups = cut(dealt(rows, by, n_rows))
+    counts = groups.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col(key).alias("of"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(key, "bucket").orderBy(*by)
+    placed = groups.withColumn("row", F.row_number().over(inside)).join(first, F.col(key).eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    kept = [c for c in df.columns if c != out]
+    return placed.select(*[F.col(at[c]) for c in kept], (F.col("first") + F.col("row") - 1).cast("long")).toDF(*kept, out)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

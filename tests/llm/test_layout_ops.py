@@ -207,3 +207,41 @@ def test_pipeline_cases(spark, tmp_path):
         assert empty.collect() == []
 
 
+
+
+def test_slots_keep_all_columns(spark):
+    names = ["id", "_bucket", "_row", "_n", "_b", "_shard", "_first", "bucket", "row", "of", "b", "k0", "first", "shard"]
+    df = spark.range(50).select(*[F.col("id").alias(n) for n in names[:-1]], F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("shard"))
+    got = H.with_slots(df, "shard", ["id"], 50)
+    assert got.columns == [*names, "slot"]
+    by = {}
+    for r in got.collect():
+        assert all(r[n] == r["id"] for n in names[:-1])
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert set(by) == {None, 1, 2, 3} and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_slots_of_one_key_spread(spark):
+    """Rows that are equal in their order are no single group: 300,000 of one id give several."""
+    df = spark.range(300_000).select(F.lit(7).cast("long").alias("id"), F.lit(1).alias("shard"))
+    got = H.with_slots(df, "shard", ["id"], 300_000)
+    assert got.agg(F.min("slot"), F.max("slot"), F.count_distinct("slot")).first()[:] == (0, 299_999, 300_000)
+    sizes = [r["count"] for r in H.dealt(df, ["id"], 300_000).groupBy("bucket").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 100_000
+
+
+def test_shards_by_digest(spark):
+    """Every score recomputed from its MD5: the largest one has the shard, weighted or not."""
+    import hashlib
+    import math
+
+    def score(key, shard, weight):
+        u = (int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -weight / math.log(u) if weight else -1.0
+
+    keys = [*range(400), None]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for weights in ([1.0] * 17, [1.0] * 16, [3.0, 0.0, 1.0, 0.5]):
+        for r in H.rendezvous_shard(df, "doc_id", weights).collect():
+            found = [score("" if r.doc_id is None else r.doc_id, s, w) for s, w in enumerate(weights)]
+            assert r.shard == found.index(max(found))
