@@ -36,6 +36,15 @@ PROCESS_ERROR_PATTERNS = [
     r"(?i)fatal.*",
 ]
 
+# ---- FIXED VALUES: error patterns that a dev server is started with, by its type ----
+DEV_SERVER_PATTERNS = {
+    "npm": ["Error:", "Failed to compile", "Module not found"],
+    "go": ["panic:", "fatal error:", "cannot find package"],
+    "python": ["Traceback", "ImportError:", "SyntaxError:"],
+    "next": ["Error:", "Failed to compile", "Module not found"],
+    "vite": ["Error:", "Failed to compile", "Module not found"],
+}
+
 # ---- FIXED VALUES: severity and error type of a process error line ----
 WARNING_PATTERN = r"(?i)(warn|warning)"
 ERROR_TYPE_PATTERNS = [

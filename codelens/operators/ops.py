@@ -66,6 +66,28 @@ def dev_server_type(command: Column, args: Column) -> Column:
             .when(command == "go", "go").when(command == "python", "python").otherwise("unknown"))
 
 
+def dev_server_patterns(servers: DataFrame, pid: str = "pid", kind: str = "kind") -> DataFrame:
+    """UDX_PATTERNS defaults: (pid, pattern) for each process of a known dev-server type (npm, go, python, next, vite)."""
+    sets = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in C.DEV_SERVER_PATTERNS.items() for x in pair])
+    return servers.select(F.col(pid).alias("pid"), F.explode(F.try_element_at(sets, F.col(kind))).alias("pattern"))
+
+
+def dev_servers(requests: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """AGG_DEV_SERVERS: a row for each accepted process that was started: name, type, status, start time, uptime in seconds.
+
+    requests: (pid, command, args); events: (pid, seq, ts, event). The start is
+    the last one; a process whose last start or exit is an exit is stopped.
+    """
+    event = F.col("event")
+    last = events.where(event.isin("started", "exited")).groupBy("pid").agg(
+        F.max_by("event", "seq").alias("last"), F.max_by(F.when(event == "started", F.col("ts")), F.when(event == "started", F.col("seq"))).alias("start_time"))
+    accepted = request_validation(requests).where("accepted").select("pid", "command", "args", dev_server_type(F.col("command"), F.col("args")).alias("server_type"))
+    uptime = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("start_time").cast("timestamp"))
+    return accepted.join(last.where("start_time IS NOT NULL"), "pid").select(
+        F.concat_ws("_", "server_type", F.col("pid").cast("string")).alias("name"), "server_type", "pid", "command", "args",
+        F.when(F.col("last") == "started", "running").otherwise("stopped").alias("status"), "start_time", uptime.alias("uptime_seconds"))
+
+
 def process_metrics(events: DataFrame, keys=()) -> DataFrame:
     """AGG_PROCESS_METRICS: start attempts, failures, active (started - exited), error lines."""
     e = F.col("event")

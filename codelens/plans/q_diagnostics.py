@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelens.functions import catalogs as C
 from codelens.functions.text import map_lookup
 from codelens.operators import diagnostics as D
+from codelens.operators import ops as O
 from codelens.operators import process as P
 from codelens.plans import duck
 from codelens.plans.fixtures import duckdb_with
@@ -411,3 +412,19 @@ def udx_patterns(spark, sf_dir):
         lambda p: p.isNotNull())).alias("pattern"))
     return (D.classify_with_user_patterns(lines, user)
             .select("seq", "pid", "source", "severity", "error_type", "message"))
+
+
+def _server_hits() -> str:
+    """A line that a process's default patterns find: the process's command names the set."""
+    sets = [f"command = {sql_str(k)} AND ({' OR '.join(f'contains(line, {sql_str(p)})' for p in C.DEV_SERVER_PATTERNS[k])})" for k in ("npm", "go", "python")]
+    return " OR ".join(f"({x})" for x in sets)
+
+
+@query("udx_dev_server_patterns", duckdb_with(["log_lines", "process_requests"]) + f"""
+SELECT seq, pid, source, {duck.severity_expr()} AS severity, {duck.error_type_expr()} AS error_type, line AS message
+FROM log_lines l LEFT JOIN process_requests r ON r.req_id = l.pid WHERE {duck.process_gate()} OR {_server_hits()}""")
+def udx_dev_server_patterns(spark, sf_dir):
+    """Error lines by the default patterns and by those of the dev server that the process was started as."""
+    servers = Views(spark, sf_dir)("process_requests").select(F.col("req_id").alias("pid"), F.col("command").alias("kind"))
+    hits = D.classify_with_user_patterns(_log(spark, sf_dir), O.dev_server_patterns(servers))
+    return hits.select("seq", "pid", "source", "severity", "error_type", "message")

@@ -92,11 +92,30 @@ D_DEV = """CASE WHEN command = 'npm' AND len(string_split(coalesce(args, ''), '
   ELSE 'unknown' END"""
 
 
-@query("agg_dev_servers", duckdb_with(["process_requests"]) + f"""
+D_STARTED = ("started", """SELECT pid, arg_max(event, seq) AS last, arg_max(ts, seq) FILTER (WHERE event = 'started') AS start_time
+FROM process_events WHERE event IN ('started', 'exited') GROUP BY pid""")
+
+
+@query("agg_dev_servers", duckdb_with(["process_requests", "process_events"], [D_STARTED]) + f"""
+SELECT server_type || '_' || pid AS name, server_type, pid, command, args, CASE WHEN last = 'started' THEN 'running' ELSE 'stopped' END AS status,
+  {duck.ts_text('start_time')} AS start_time,
+  CAST(epoch(date_trunc('second', (SELECT max(ts) FROM process_events))) - epoch(date_trunc('second', start_time)) AS BIGINT) AS uptime_seconds
+FROM (SELECT req_id AS pid, command, args, {D_DEV} AS server_type FROM process_requests WHERE command IN ({sql_list(C.ALLOWED_COMMANDS)})) r
+JOIN started USING (pid) WHERE start_time IS NOT NULL""")
+def agg_dev_servers(spark, sf_dir):
+    """Monitored (accepted and started) processes with type, status, start time and uptime as of the newest event."""
+    v = Views(spark, sf_dir)
+    requests = v("process_requests").select(F.col("req_id").alias("pid"), "command", "args")
+    events = v("process_events")
+    out = O.dev_servers(requests, events, events.select(F.max("ts")).scalar())
+    return out.withColumn("start_time", F.date_format("start_time", TS_FMT))
+
+
+@query("agg_dev_server_types", duckdb_with(["process_requests"]) + f"""
 SELECT server_type, CAST(count(*) AS BIGINT) AS servers FROM (SELECT {D_DEV} AS server_type FROM process_requests
   WHERE command IN ({sql_list(C.ALLOWED_COMMANDS)})) s GROUP BY server_type""")
-def agg_dev_servers(spark, sf_dir):
-    """Monitored (accepted) processes grouped by dev-server type."""
+def agg_dev_server_types(spark, sf_dir):
+    """Accepted process requests by dev-server type."""
     r = O.request_validation(Views(spark, sf_dir)("process_requests")).where("accepted")
     return (r.select(O.dev_server_type(F.col("command"), F.col("args")).alias("server_type"))
             .groupBy("server_type").agg(F.count(F.lit(1)).alias("servers")))

@@ -209,3 +209,20 @@ def test_line_analysis_over_blocks(spark, monkeypatch):
         assert row[-2] == sum(any(0 < j - i <= 9 for j in loops) for i in loops)
         go = row[0] % 2 == 1
         assert row[-3] == go * sum(a == "if err != nil {" and b.strip() == "}" for a, b in zip(texts, texts[1:]))
+
+
+def test_dev_servers(spark):
+    """The last start counts; processes that never started or were refused are not listed; sets of patterns by type."""
+    import datetime as dt
+
+    from codelens.operators import ops as O
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    requests = spark.createDataFrame([(1, "npm", "run dev"), (2, "go", "run main.go"), (3, "rm", "x"), (4, "python", "app.py"), (5, "npm", None)], "pid long, command string, args string")
+    events = spark.createDataFrame([(1, 1, at(0), "started"), (1, 2, at(5), "exited"), (1, 3, at(9), "started"), (1, 4, at(20), "error_line"), (2, 5, at(1), "started"),
+                                    (2, 6, at(2), "exited"), (3, 7, at(0), "started"), (4, 8, at(3), "exited"), (5, 9, at(30), "started")], "pid long, seq long, ts timestamp, event string")
+    got = {r.name: (r.status, r.start_time, r.uptime_seconds) for r in O.dev_servers(requests, events, events.select(F.max("ts")).scalar()).collect()}
+    assert got == {"npm/next/vite_1": ("running", at(9), 21), "go_2": ("stopped", at(1), 29), "unknown_5": ("running", at(30), 0)}
+    kinds = spark.createDataFrame([(1, "vite"), (2, "go"), (3, "other"), (4, None)], "pid long, kind string")
+    pats = sorted(map(tuple, O.dev_server_patterns(kinds).collect()))
+    assert pats == [(1, "Error:"), (1, "Failed to compile"), (1, "Module not found"), (2, "cannot find package"), (2, "fatal error:"), (2, "panic:")]
