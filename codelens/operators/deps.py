@@ -3,7 +3,8 @@
 JSON manifests are parsed with ``from_json`` into typed maps and exploded;
 line-oriented manifests (go.mod, requirements.txt, pyproject.toml, Pipfile)
 are projections over their lines, with section state forward-filled over
-line numbers (bucketed, so one huge manifest is still parallel).
+line numbers (bucketed, so one huge manifest is still parallel). ``keys`` name
+the manifest a line belongs to; an open section ends with its manifest.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions.text import extract, fields, map_lookup, trim_ws
-from codelens.functions.windows import ffill
+from codelens.functions.windows import LINE_SPAN, ffill
 
 # ---- FIXED VALUES: manifest name -> language (others: unknown) ----
 SOURCE_LANGUAGE = {
@@ -117,7 +118,7 @@ def npm_frameworks(manifests: DataFrame, keys=("project_id",)) -> DataFrame:
             .select(*keys, "_f.*", "version"))
 
 
-def substring_frameworks(lines: DataFrame, catalog, config_file: str, keys=()) -> DataFrame:
+def substring_frameworks(lines: DataFrame, catalog, config_file: str, keys=("project_id",)) -> DataFrame:
     """DEP_FRAMEWORKS (pip/go): a framework is present when its name is a substring of the lower-cased manifest."""
     low = F.lower(F.col("line"))
     present = lines.groupBy(*keys).agg(*[F.max(low.contains(fw[0])).alias(f"_{i}") for i, fw in enumerate(catalog)])
@@ -139,13 +140,13 @@ def manifest_frameworks(lines: DataFrame, keys=("project_id",)) -> DataFrame:
     return found.select(*keys, "_f.*", "config_file").distinct()
 
 
-def gomod_dependencies(lines: DataFrame, keys=(), pos: str = "line_no") -> DataFrame:
+def gomod_dependencies(lines: DataFrame, keys=("project_id",), pos: str = "line_no") -> DataFrame:
     """DEP_GOMOD: ``require name ver`` lines and the entries of ``require ( ... )`` blocks."""
     keys = list(keys)
     t = trim_ws(F.col("line"))
     marked = lines.withColumn("_t", t).withColumn(
         "_m", F.when(F.col("_t") == "require (", 1).when(F.col("_t") == ")", 0))
-    filled = ffill(marked, keys, pos, "_m", "_in", inclusive=False)
+    filled = ffill(marked, keys, pos, "_m", "_in", inclusive=False, span=LINE_SPAN)
     f = fields(F.col("_t"))
     single = F.col("_t").startswith("require ") & (F.col("_t") != "require (") & (F.size(f) >= 3)
     in_block = ((F.col("_in") == 1) & (F.col("_t") != "") & ~F.col("_t").startswith("//")
@@ -169,14 +170,14 @@ def requirements_dependencies(lines: DataFrame) -> DataFrame:
             .drop("_t"))
 
 
-def section_headers(lines: DataFrame, keys=(), pos: str = "line_no") -> DataFrame:
+def section_headers(lines: DataFrame, keys=("project_id",), pos: str = "line_no") -> DataFrame:
     """Each line with its trimmed text ``_t`` and the last ``[...]`` header strictly before it (``_sec``)."""
     marked = (lines.withColumn("_t", trim_ws(F.col("line")))
               .withColumn("_h", F.when(F.col("_t").startswith("["), F.col("_t"))))
-    return ffill(marked, list(keys), pos, "_h", "_sec", inclusive=False)
+    return ffill(marked, list(keys), pos, "_h", "_sec", inclusive=False, span=LINE_SPAN)
 
 
-def section_dependencies(lines: DataFrame, headers: list[str], source: str, keys=(), pos: str = "line_no") -> DataFrame:
+def section_dependencies(lines: DataFrame, headers: list[str], source: str, keys=("project_id",), pos: str = "line_no") -> DataFrame:
     """DEP_PYPROJECT / DEP_PIPFILE: ``k = v`` lines inside the given TOML sections.
 
     A line is inside a section when the last ``[...]`` line before it is one of

@@ -114,9 +114,7 @@ def link_accesses(links: DataFrame, accesses: DataFrame) -> DataFrame:
     """JOIN_LINK_ACCESS: each access numbered per link by time; granted while unexpired and under the limit."""
     # microseconds since the epoch of a local (NTZ) time, independent of the session time zone
     timed = accesses.withColumn("_us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    # one-second buckets of the access time
-    numbered = dense_index(timed, ["link_id"], "_us", out="access_no", width=1_000_000,
-                           tiebreak=("event_id",)).drop("_us")
+    numbered = dense_index(timed, ["link_id"], "_us", out="access_no", tiebreak=("event_id",)).drop("_us")
     opts = link_options(links)
     j = numbered.join(opts, "link_id", "left")
     found = F.col("created_at").isNotNull()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from codelens.functions import catalogs as C
 from codelens.functions.joins import broadcast_if_small
 from codelens.functions.text import extract, file_ext, map_lookup, rlike, trim_ws
-from codelens.functions.windows import ffill
+from codelens.functions.windows import LINE_SPAN, ffill
 
 
 def analyzable_files(files: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def cyclomatic(lines: DataFrame) -> DataFrame:
     name = extract(line, r"^func\s+(\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)", 2)
     marked = lines.select("file_id", no.alias("line_no"), go_function_mark(F.lit(True), line, no).alias("_after"), branch_keywords(line).alias("_kw"),
                           F.when(rlike(line, r"^func "), name).alias("_name"), F.length(line).alias("_chars"))
-    filled = ffill(marked, ["file_id"], "line_no", "_after", "_prev", inclusive=False)
+    filled = ffill(marked, ["file_id"], "line_no", "_after", "_prev", inclusive=False, span=LINE_SPAN)
     start = F.when(F.col("_after") > 0, F.col("_after")).when(F.col("_prev") > 0, F.col("_prev"))
     return (filled.withColumn("func_line", start).where(F.col("func_line").isNotNull()).groupBy("file_id", "func_line")
             .agg((F.lit(1) + F.sum("_kw")).cast("bigint").alias("complexity"),

@@ -124,7 +124,7 @@ SELECT s_suppkey AS project_id, cfg AS config_file, s_suppkey % 9 AS line_no, li
 """)
 
 _view("requirement_lines", """
-SELECT p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN '# comment' WHEN p_partkey % 7 = 1 THEN ''
+SELECT cast(floor(p_partkey / 100) AS bigint) % 20 AS project_id, p_partkey AS line_no, CASE WHEN p_partkey % 7 = 0 THEN '# comment' WHEN p_partkey % 7 = 1 THEN ''
   ELSE concat('pkg', cast(p_partkey AS string), op, CASE WHEN op = '' THEN '' ELSE concat(cast(p_size AS string), '.0') END) END AS line
 FROM part JOIN (VALUES (0,'=='),(1,'>='),(2,'<'),(3,'')) AS o(k, op) ON p_partkey % 4 = k
 """)
@@ -169,14 +169,14 @@ FROM orders
 _view("link_access", "SELECT event_id, user_id * 7 AS link_id, ts FROM events")
 
 _view("gomod_lines", """
-SELECT p_partkey AS line_no, CASE p_partkey % 6 WHEN 0 THEN 'require (' WHEN 1 THEN concat('  github.com/a/b', cast(p_partkey AS string), ' v1.', cast(p_size AS string), '.0')
+SELECT cast(floor(p_partkey / 100) AS bigint) % 20 AS project_id, p_partkey AS line_no, CASE p_partkey % 6 WHEN 0 THEN 'require (' WHEN 1 THEN concat('  github.com/a/b', cast(p_partkey AS string), ' v1.', cast(p_size AS string), '.0')
   WHEN 2 THEN concat('require github.com/x/y', cast(p_partkey AS string), ' v2.0.', cast(p_size AS string)) WHEN 3 THEN '// pinned v1' WHEN 4 THEN 'module example.com/m'
   ELSE concat('  vitess.io/v', cast(p_partkey AS string), ' v0.', cast(p_size AS string), '.1') END AS line
 FROM part
 """)
 
 _view("pyproject_lines", """
-SELECT p_partkey AS line_no, CASE p_partkey % 50 WHEN 0 THEN '[tool.poetry.dependencies]' WHEN 15 THEN '[tool.black]' WHEN 25 THEN '[packages]' WHEN 40 THEN '[dev-packages]'
+SELECT cast(floor(p_partkey / 100) AS bigint) % 20 AS project_id, p_partkey AS line_no, CASE p_partkey % 50 WHEN 0 THEN '[tool.poetry.dependencies]' WHEN 15 THEN '[tool.black]' WHEN 25 THEN '[packages]' WHEN 40 THEN '[dev-packages]'
   ELSE concat('pkg', cast(p_partkey AS string), ' = "^', cast(p_size AS string), '.0"') END AS line
 FROM part
 """)

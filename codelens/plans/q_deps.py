@@ -23,19 +23,19 @@ FROM (SELECT project_id, unnest(map_entries(p.devDependencies)) AS e FROM pkg) b
 
 T = duck.trim("line")
 D_GOMOD = f"""
-SELECT line_no, CASE WHEN single THEN f[2] ELSE f[1] END AS name, CASE WHEN single THEN f[3] ELSE f[2] END AS version,
+SELECT project_id, line_no, CASE WHEN single THEN f[2] ELSE f[1] END AS name, CASE WHEN single THEN f[3] ELSE f[2] END AS version,
   'direct' AS type, 'go.mod' AS source
 FROM (SELECT *, starts_with(t, 'require ') AND t <> 'require (' AND len(f) >= 3 AS single,
         coalesce(st, 0) = 1 AND t <> '' AND NOT starts_with(t, '//') AND t <> ')' AND t <> 'require (' AND len(f) >= 2 AS blk
       FROM (SELECT *, string_split_regex(t, '{duck.WS}+') AS f,
               last_value(CASE WHEN t = 'require (' THEN 1 WHEN t = ')' THEN 0 END IGNORE NULLS)
-                OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st
+                OVER (PARTITION BY project_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st
             FROM (SELECT *, {T} AS t FROM gomod_lines) a) b) c
 WHERE single OR blk"""
 
 REQ = r"([^=<>!]+)[=<>!]+(.+)"
 D_REQ = f"""
-SELECT line_no, CASE WHEN {duck.matches('t', REQ)} THEN {duck.trim(duck.extract('t', REQ, 1))} ELSE t END AS name,
+SELECT project_id, line_no, CASE WHEN {duck.matches('t', REQ)} THEN {duck.trim(duck.extract('t', REQ, 1))} ELSE t END AS name,
   CASE WHEN {duck.matches('t', REQ)} THEN {duck.trim(duck.extract('t', REQ, 2))} ELSE 'latest' END AS version,
   'direct' AS type, 'requirements.txt' AS source
 FROM (SELECT *, {T} AS t FROM requirement_lines) a WHERE t <> '' AND NOT starts_with(t, '#')"""
@@ -44,10 +44,10 @@ FROM (SELECT *, {T} AS t FROM requirement_lines) a WHERE t <> '' AND NOT starts_
 def d_section(headers: list[str], source: str) -> str:
     hl = ", ".join(sql_str(h) for h in headers)
     return f"""
-SELECT line_no, {duck.trim("split_part(t, '=', 1)")} AS name,
+SELECT project_id, line_no, {duck.trim("split_part(t, '=', 1)")} AS name,
   trim({duck.trim("split_part(t, '=', 2)")}, '"''') AS version, 'direct' AS type, {sql_str(source)} AS source
 FROM (SELECT *, last_value(CASE WHEN t IN ({hl}) THEN 1 WHEN starts_with(t, '[') THEN 0 END IGNORE NULLS)
-        OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st
+        OVER (PARTITION BY project_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st
       FROM (SELECT *, {T} AS t FROM pyproject_lines) a) b
 WHERE st = 1 AND NOT starts_with(t, '[') AND contains(t, '=')"""
 
@@ -91,26 +91,26 @@ def join_missing_types(spark, sf_dir):
 
 @query("dep_gomod", duckdb_with(["gomod_lines"]) + D_GOMOD)
 def dep_gomod(spark, sf_dir):
-    return DP.gomod_dependencies(_v(spark, sf_dir, "gomod_lines")).select("line_no", "name", "version", "type", "source")
+    return DP.gomod_dependencies(_v(spark, sf_dir, "gomod_lines")).select("project_id", "line_no", "name", "version", "type", "source")
 
 
 @query("dep_requirements", duckdb_with(["requirement_lines"]) + D_REQ)
 def dep_requirements(spark, sf_dir):
     return (DP.requirements_dependencies(_v(spark, sf_dir, "requirement_lines"))
-            .select("line_no", "name", "version", "type", "source"))
+            .select("project_id", "line_no", "name", "version", "type", "source"))
 
 
 @query("dep_pyproject", duckdb_with(["pyproject_lines"]) + D_PYPROJECT)
 def dep_pyproject(spark, sf_dir):
     return (DP.section_dependencies(_v(spark, sf_dir, "pyproject_lines"),
                                     ["[tool.poetry.dependencies]", "[project.dependencies]"], "pyproject.toml")
-            .select("line_no", "name", "version", "type", "source"))
+            .select("project_id", "line_no", "name", "version", "type", "source"))
 
 
 @query("dep_pipfile", duckdb_with(["pyproject_lines"]) + D_PIPFILE)
 def dep_pipfile(spark, sf_dir):
     return (DP.section_dependencies(_v(spark, sf_dir, "pyproject_lines"), ["[packages]"], "Pipfile")
-            .select("line_no", "name", "version", "type", "source"))
+            .select("project_id", "line_no", "name", "version", "type", "source"))
 
 
 @query("dep_pm_output", duckdb_with(["pm_output"]) + f"""
@@ -129,17 +129,16 @@ def dep_pm_output(spark, sf_dir):
 
 
 def all_dependencies(spark, sf_dir) -> DataFrame:
-    """DEP_ALL: every manifest's dependencies, one frame (project_id NULL for the single-file fixtures)."""
-    none = F.lit(None).cast("bigint").alias("project_id")
+    """DEP_ALL: every manifest's dependencies, one frame."""
     npm = DP.npm_dependencies(_v(spark, sf_dir, "manifest_json")).select(*DEP_OUT)
     parts = [npm,
-             DP.gomod_dependencies(_v(spark, sf_dir, "gomod_lines")).select(none, *DEP_OUT[1:]),
-             DP.requirements_dependencies(_v(spark, sf_dir, "requirement_lines")).select(none, *DEP_OUT[1:]),
+             DP.gomod_dependencies(_v(spark, sf_dir, "gomod_lines")).select(*DEP_OUT),
+             DP.requirements_dependencies(_v(spark, sf_dir, "requirement_lines")).select(*DEP_OUT),
              DP.section_dependencies(_v(spark, sf_dir, "pyproject_lines"),
                                      ["[tool.poetry.dependencies]", "[project.dependencies]"],
-                                     "pyproject.toml").select(none, *DEP_OUT[1:]),
+                                     "pyproject.toml").select(*DEP_OUT),
              DP.section_dependencies(_v(spark, sf_dir, "pyproject_lines"), ["[packages]"],
-                                     "Pipfile").select(none, *DEP_OUT[1:])]
+                                     "Pipfile").select(*DEP_OUT)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -148,10 +147,10 @@ def all_dependencies(spark, sf_dir) -> DataFrame:
 
 D_ALL = f"""
 SELECT project_id, name, version, type, source FROM ({D_NPM}) a
-UNION ALL SELECT CAST(NULL AS BIGINT), name, version, type, source FROM ({D_GOMOD}) b
-UNION ALL SELECT CAST(NULL AS BIGINT), name, version, type, source FROM ({D_REQ}) c
-UNION ALL SELECT CAST(NULL AS BIGINT), name, version, type, source FROM ({D_PYPROJECT}) d
-UNION ALL SELECT CAST(NULL AS BIGINT), name, version, type, source FROM ({D_PIPFILE}) e"""
+UNION ALL SELECT project_id, name, version, type, source FROM ({D_GOMOD}) b
+UNION ALL SELECT project_id, name, version, type, source FROM ({D_REQ}) c
+UNION ALL SELECT project_id, name, version, type, source FROM ({D_PYPROJECT}) d
+UNION ALL SELECT project_id, name, version, type, source FROM ({D_PIPFILE}) e"""
 ALL_VIEWS = ["manifest_json", "gomod_lines", "requirement_lines", "pyproject_lines"]
 
 
@@ -201,23 +200,22 @@ FROM (SELECT project_id, name, arg_max(version, CASE WHEN type = 'dev' THEN 1 EL
 JOIN (VALUES {_d_fw_map(DP.NPM_FRAMEWORKS)}) AS f(dep, framework, language, port, dev_command, build_command, test_command)
   ON m.name = f.dep
 UNION ALL
-SELECT CAST(NULL AS BIGINT), f.framework, f.language, CAST(f.port AS BIGINT), f.dev_command, CAST(NULL AS VARCHAR), 'go.mod'
-FROM (VALUES {_d_fw_map(DP.GO_FRAMEWORKS)}) AS f(dep, framework, language, port, dev_command, build_command, test_command)
-WHERE EXISTS (SELECT 1 FROM gomod_lines WHERE contains(lower(line), f.dep))
+SELECT DISTINCT m.project_id, f.framework, f.language, CAST(f.port AS BIGINT), f.dev_command, CAST(NULL AS VARCHAR), 'go.mod'
+FROM gomod_lines m JOIN (VALUES {_d_fw_map(DP.GO_FRAMEWORKS)}) AS f(dep, framework, language, port, dev_command, build_command, test_command)
+  ON contains(lower(m.line), f.dep)
 UNION ALL
-SELECT CAST(NULL AS BIGINT), f.framework, f.language, CAST(f.port AS BIGINT), f.dev_command, CAST(NULL AS VARCHAR), 'requirements.txt'
-FROM (VALUES {_d_fw_map(DP.PY_FRAMEWORKS)}) AS f(dep, framework, language, port, dev_command, build_command, test_command)
-WHERE EXISTS (SELECT 1 FROM requirement_lines WHERE contains(lower(line), f.dep))""")
+SELECT DISTINCT m.project_id, f.framework, f.language, CAST(f.port AS BIGINT), f.dev_command, CAST(NULL AS VARCHAR), 'requirements.txt'
+FROM requirement_lines m JOIN (VALUES {_d_fw_map(DP.PY_FRAMEWORKS)}) AS f(dep, framework, language, port, dev_command, build_command, test_command)
+  ON contains(lower(m.line), f.dep)""")
 def dep_frameworks(spark, sf_dir):
     npm = (DP.npm_frameworks(_v(spark, sf_dir, "manifest_json"))
            .select("project_id", "framework", "language", "port", "dev_command", "version",
                    F.lit("package.json").alias("config_file")))
-    none = F.lit(None).cast("bigint").alias("project_id")
     nov = F.lit(None).cast("string").alias("version")
     go = DP.substring_frameworks(_v(spark, sf_dir, "gomod_lines"), DP.GO_FRAMEWORKS, "go.mod")
     py = DP.substring_frameworks(_v(spark, sf_dir, "requirement_lines"), DP.PY_FRAMEWORKS, "requirements.txt")
     cols = ["framework", "language", "port", "dev_command"]
     text = DP.manifest_frameworks(_v(spark, sf_dir, "framework_manifests"))
     npm = npm.unionByName(text.select("project_id", *cols, nov, "config_file"))
-    return (npm.unionByName(go.select(none, *cols, nov, "config_file"))
-            .unionByName(py.select(none, *cols, nov, "config_file")))
+    return (npm.unionByName(go.select("project_id", *cols, nov, "config_file"))
+            .unionByName(py.select("project_id", *cols, nov, "config_file")))

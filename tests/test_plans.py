@@ -49,3 +49,9 @@ def test_line_analysis_scans_texts_once(spark, name):
     for x in plan.split("\n"):
         if "Exchange hashpartitioning(file_id" in x and "block" in x:
             assert " line#" not in x
+
+
+def test_manifest_lines_are_grouped_by_project(spark):
+    """No section state of the manifests is filled in one partition for all projects."""
+    for name in ("dep_gomod", "dep_pyproject", "dep_pipfile", "dep_all"):
+        assert "SinglePartition" not in _plan(spark, name), name

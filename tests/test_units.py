@@ -52,6 +52,42 @@ def test_prefix_sum_small_buckets(spark):
                 run += v
 
 
+def test_sparse_positions_go_through_levels_of_nodes(spark):
+    """Positions far apart: several levels of nodes (small fan-out) give what one ordered pass gives."""
+    from codelens.functions.windows import prefix_sum
+    rng = random.Random(5)
+    rows = [(k, p, rng.randint(1, 9), rng.choice([None, None, "x", "y"]))
+            for k, n in (("hot", 400), ("cold", 5)) for p in rng.sample(range(-1000, 1 << 40), n)]
+    rows += [("hot", -(1 << 39), 3, None), ("hot", (1 << 40) + 7, 4, "z")]
+    df = spark.createDataFrame(rows, "k string, p long, v long, t string").cache()
+    shape = {"width": 1 << 8, "span": 1 << 41, "fanout": 1 << 7}
+    index = {(r.k, r.p): r.idx for r in dense_index(df, ["k"], "p", **shape).collect()}
+    sums = {(r.k, r.p): r.s for r in prefix_sum(df, ["k"], "p", "v", "s", **shape).collect()}
+    last = {(r.k, r.p): r.o for r in ffill(df, ["k"], "p", "t", "o", inclusive=False, **shape).collect()}
+    for k in ("hot", "cold"):
+        run, seen = 0, None
+        for n, (_, p, v, t) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1]), 1):
+            run += v
+            assert (index[k, p], sums[k, p], last[k, p]) == (n, run, seen)
+            seen = t or seen
+    df.unpersist()
+
+
+def test_a_million_sparse_positions_of_one_key(spark):
+    """No window partition of the plan above the rows holds more than its share of a key's summaries."""
+    n = 1_000_000
+    df = spark.range(n).select(F.when(F.col("id") >= 0, "hot").alias("k"), (F.col("id") * 4_194_301).alias("p"))  # each in a bucket of its own
+    out = dense_index(df, ["k"], "p")
+    wrong, rows = out.select(F.count_if(F.col("idx") != F.col("p") / 4_194_301 + 1), F.count(F.lit(1))).first()
+    assert (wrong, rows) == (0, n)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    buckets = df.select(F.floor(F.col("p") / (1 << 16)).alias("b"))
+    largest = buckets.groupBy(F.floor(F.col("b") / (1 << 18)).alias("up")).count().agg(F.max("count")).first()[0]
+    tops = buckets.select(F.floor(F.col("b") / (1 << 18))).distinct().count()
+    assert largest <= 1 << 18 and tops <= 1 << 18 and largest < n // 200
+
+
 def test_parse_duration_minutes(spark):
     df = spark.createDataFrame([("90s",), ("5m",), ("2h",), ("soon",), ("",)], "t string")
     got = [r.m for r in df.select(P.parse_duration_minutes(F.col("t")).alias("m")).collect()]
