@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
+from codelens.functions.joins import BROADCAST_MAX_ROWS, is_small
 from codelens.functions.text import count_substr, file_ext, map_lookup, rlike, trim_ws
 from codelens.operators.project import SUGGESTION_LANGUAGES
 
@@ -153,20 +154,60 @@ def block_scores(facts: DataFrame, lines: DataFrame) -> DataFrame:
                     (100 - F.least(F.lit(80), (q + s + p) * 10)).cast("bigint").alias("overall_score"))
 
 
-def error_overlap(lines: DataFrame, errors: DataFrame, first_n: int = 3) -> DataFrame:
+GRAM = 4  # characters; every word of an error that counts has at least one
+
+
+def _grams(text: Column) -> Column:
+    """The distinct ``GRAM``-character substrings of a text that has at least ``GRAM`` characters."""
+    def of(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(chars) - GRAM)
+        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
+
+    # the characters are bound once as a lambda's argument: linear in the length of the text
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, "")), of)))
+
+
+def lines_with_words(lines: DataFrame, words: DataFrame, keys: list[str], text: str = "_l", word: str = "word") -> DataFrame:
+    """(keys, id columns of ``lines``, word) of the lines that contain a word of their ``keys``, as a q-gram join.
+
+    ``lines`` are (keys, ids that are unique together, text), ``words`` distinct
+    (keys, word) of at least ``GRAM`` characters. Each word is looked up by the
+    one of its grams that the fewest lines have; a word with a gram that no line
+    has is in none. Only ids and grams of lines are shuffled until the candidates
+    are verified against the text. Null keys, texts and words match nothing; texts
+    shorter than a gram contain no word.
+    """
+    ids = [c for c in lines.columns if c not in (*keys, text)]
+    parts = words.where(F.length(word) >= GRAM).select(*keys, word, F.explode(_grams(F.col(word))).alias("_g"))
+    has = (lines.where(F.length(text) >= GRAM).select(*keys, *ids, F.explode(_grams(F.col(text))).alias("_g"))
+           .join(parts.select(*keys, "_g").distinct(), [*keys, "_g"], "left_semi"))
+    spread = has.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (parts.join(spread, [*keys, "_g"], "left").groupBy(*keys, word)
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r"))
+              .where("_r.n > 0").select(*keys, word, F.col("_r._g").alias("_g")))
+    candidates = has.join(rarest, [*keys, "_g"]).select(*keys, *ids, word)
+    return (candidates.join(lines, [*keys, *ids]).where(F.col(text).contains(F.col(word)))
+            .select(*keys, *ids, word))
+
+
+def error_overlap(lines: DataFrame, errors: DataFrame, first_n: int = 3, small: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """RUL_ERROR_OVERLAP: files containing a word (> 3 chars) of one of the project's first ``first_n`` errors.
 
-    Lines carry ``project_id``; the word list per project is bounded (first_n
-    messages), so the equi-join on project fans each line out to few words.
+    ``lines`` are (file_id, project_id, line_no, line). The words of a project
+    are few (``first_n`` messages). At most ``small`` words of all projects
+    (counted) are sent to the lines; more are joined by grams, so that no line
+    is shuffled on its project.
     """
     from codelens.operators.process import top_k
     first = top_k(errors, ["project_id"], [F.col("seq")], first_n)
-    from codelens.functions.joins import broadcast_if_small
-    words = broadcast_if_small(first.select("project_id", F.explode(F.split(F.lower("message"), " ")).alias("word"))
-                               .where(F.length("word") > 3).distinct())
-    return (lines.select("file_id", "project_id", F.lower("line").alias("_l"))
-            .join(words, "project_id").where(F.col("_l").contains(F.col("word")))
-            .select("file_id", "project_id").distinct()
+    words = (first.select("project_id", F.explode(F.split(F.lower("message"), " ")).alias("word"))
+             .where(F.length("word") > 3).distinct())
+    low = lines.select("file_id", "project_id", "line_no", F.lower("line").alias("_l"))
+    if is_small(words, small):
+        found = low.join(F.broadcast(words), "project_id").where(F.col("_l").contains(F.col("word")))
+    else:
+        found = lines_with_words(low, words, ["project_id"])
+    return (found.select("file_id", "project_id").distinct()
             .withColumn("insight", F.lit("This code may relate to active error - verify carefully")))
 
 

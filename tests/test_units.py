@@ -262,3 +262,29 @@ def test_dev_servers(spark):
     kinds = spark.createDataFrame([(1, "vite"), (2, "go"), (3, "other"), (4, None)], "pid long, kind string")
     pats = sorted(map(tuple, O.dev_server_patterns(kinds).collect()))
     assert pats == [(1, "Error:"), (1, "Failed to compile"), (1, "Module not found"), (2, "cannot find package"), (2, "fatal error:"), (2, "panic:")]
+
+
+def test_error_overlap_by_grams_equals_broadcast(spark):
+    """Words joined by their rarest gram give the files that a broadcast of the words gives, and those of a plain test."""
+    from codelens.operators import suggest as SG
+    rng = random.Random(17)
+    letters = "abcd\u00e9\U0001f600"
+    piece = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    lines = [(i % 40, f"p{i % 3}", i, " ".join(piece(rng.randint(1, 7)) for _ in range(rng.randint(0, 6)))) for i in range(400)]
+    lines += [(90, "p0", 900, None), (91, None, 901, "abcdabcd"), (92, "p0", 902, "x" * 50_000 + "aaaa" + "NULL"), (93, "p9", 903, "abcd")]
+    errors = [("p0", 1, "aaaa nullx " + piece(5)), ("p0", 2, " ".join(piece(4) for _ in range(5))), ("p1", 1, "abc " + piece(4) + " " + piece(9)),
+              ("p2", 4, None), ("p2", 5, piece(4)), ("p2", 6, ""), ("p2", 7, "abcd"), (None, 1, "abcdabcd")]
+    ldf = spark.createDataFrame(lines, "file_id long, project_id string, line_no long, line string")
+    edf = spark.createDataFrame(errors, "project_id string, seq long, message string")
+    first = {}
+    for p, _, m in sorted((e for e in errors if e[0] is not None), key=lambda e: e[:2]):
+        first.setdefault(p, []).append(m)
+    want = {(f, p) for f, p, _, text in lines for m in first.get(p, [])[:3] if m and text for w in m.lower().split(" ") if len(w) > 3 and w in text.lower()}
+    assert len(want) > 5
+    for small in (1000, 0):
+        got = SG.error_overlap(ldf, edf, small=small)
+        assert {(r.file_id, r.project_id) for r in got.collect()} == want, small
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+    none = SG.error_overlap(ldf.limit(0), edf.limit(0), small=0)
+    assert none.collect() == []
