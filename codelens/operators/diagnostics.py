@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions import catalogs as C
+from codelens.functions.grams import GRAM, lines_with_words
 from codelens.functions.text import any_of, basename, extract, java_regex, rlike, trim_ws
 
 ERROR_COLS = ["source", "file", "line", "column", "type", "message", "code"]
+FEW_PATTERNS = 16  # patterns of one process that are simply tested on its lines
 
 
 def _int(c: Column) -> Column:
@@ -247,25 +249,71 @@ def error_type(ln: Column) -> Column:
     return etype
 
 
+def _best(sets: list[list[str]]) -> list[str]:
+    """Of several sets of which a match contains a member each, the one whose shortest member is longest."""
+    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=[])
+
+
+def _needed(tree) -> list[str]:
+    """Strings of which every match of a parsed regex contains one ([]: nothing is known); ASCII letters of any case."""
+    sets, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if op is re._constants.LITERAL and 32 <= arg < 127:
+            run += chr(arg).lower()
+            continue
+        if run:
+            sets.append([run])
+            run = ""
+        if op is re._constants.SUBPATTERN:
+            sets.append(_needed(arg[-1]))
+        elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT) and arg[0] > 0:
+            sets.append(_needed(arg[-1]))
+        elif op is re._constants.BRANCH:
+            members = [_needed(b) for b in arg[1]]
+            sets.append(sorted({x for m in members for x in m}) if all(members) else [])
+    return _best([s for s in sets if s])
+
+
+def needed_strings(pattern: str) -> list[str]:
+    """Strings of at least ``GRAM`` characters of which every match of a valid pattern contains one, folded; [] if unknown.
+
+    Nested classes, class intersections and the verbose flag mean other things to other engines: nothing is known.
+    """
+    if re.search(r"\[[^\]]*\[|&&|\(\?[a-z]*x", pattern):
+        return []
+    found = _needed(re._parser.parse(pattern))
+    return found if found and min(map(len, found)) >= GRAM else []
+
+
+def folded(text: Column) -> Column:
+    """Text in which an ASCII string is found by its lower-case form whenever a regex finds it, with or without ``(?i)``."""
+    # the four other characters that Unicode folds to an ASCII letter
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def _checked(patterns: pd.Series) -> pd.DataFrame:
-    """The JVM form of each user pattern, or why it is none (checked by an equivalent parser, outside the line path)."""
+    """The JVM form of each user pattern and what its matches contain, or why it is no pattern (checked by an equivalent parser, outside the line path)."""
     out = []
     for p in patterns:
         try:
             re.compile(p)
             # possessive and recursive forms that only one of the two engines knows are not RE2 either
-            out.append((java_regex(p), None) if not re.search(r"\(\?[<P!=]|\\[1-9]|[*+?}]\+", p) else (None, "not supported"))
+            known = not re.search(r"\(\?[<P!=]|\\[1-9]|[*+?}]\+", p)
+            out.append((java_regex(p), needed_strings(p), None) if known else (None, [], "not supported"))
         except (re.error, TypeError) as e:
-            out.append((None, str(e)))
-    return pd.DataFrame(out, columns=["regex", "error"])
+            out.append((None, [], str(e)))
+    return pd.DataFrame(out, columns=["regex", "needed", "error"])
 
 
 def check_patterns(user_patterns: DataFrame) -> DataFrame:
-    """(pid, pattern, regex, error): each distinct user pattern compiled once; a bad one has an error and no regex."""
+    """(pid, pattern, regex, needed, error): each distinct user pattern compiled once; a bad one has an error and no regex.
+
+    ``needed`` are strings of which a matching line, ``folded``, contains one (empty: any line may match).
+    """
     distinct = user_patterns.select("pattern").distinct()
-    check = F.pandas_udf(_checked, "regex string, error string")
-    checked = distinct.withColumn("_c", check("pattern")).select("pattern", "_c.regex", "_c.error")
-    return user_patterns.join(checked, "pattern").select("pid", "pattern", "regex", "error")
+    check = F.pandas_udf(_checked, "regex string, needed array<string>, error string")
+    checked = distinct.withColumn("_c", check("pattern")).select("pattern", "_c.regex", "_c.needed", "_c.error")
+    return user_patterns.join(checked, "pattern").select("pid", "pattern", "regex", "needed", "error")
 
 
 def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
@@ -273,21 +321,39 @@ def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
     return check_patterns(user_patterns).where("error IS NOT NULL").select("pid", "pattern", "error")
 
 
-def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame) -> DataFrame:
+def _searched_lines(lines: DataFrame, searched: DataFrame) -> DataFrame:
+    """Distinct (pid, _h) of the lines (pid, _h, line) that a pattern (pid, regex, needed) of their process matches: strings first, then regexes."""
+    words = searched.select("pid", "regex", F.explode("needed").alias("word"))
+    texts = lines.select("pid", "_h", "line").dropDuplicates(["pid", "_h"]).withColumn("_l", folded(F.col("line")))
+    found = lines_with_words(texts, words.select("pid", "word").distinct(), ["pid"], carry=("line",))
+    return found.join(words, ["pid", "word"]).where("rlike(line, regex)").select("pid", "_h").distinct()
+
+
+def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:
     """UDX_PATTERNS: per-process user patterns (pid, pattern) added to the defaults.
 
-    The patterns of a process come together as one array, so each line is
-    joined and tested once: it is a hit by the default patterns or by any of
-    its process's own. Patterns that are no valid regex are left out, as
-    ``rejected_patterns`` tells.
+    A line is a hit by the default patterns or by any of its process's own. Up
+    to ``few`` patterns of a process come to its lines as one array and are
+    tested one by one. Of more, those whose matches must contain a string are
+    looked up by that string's rarest q-gram, once for each different line that
+    is no hit yet, and tested on the lines that contain it; only the others stay
+    in the array. Patterns that are no valid regex are left out, as
+    ``rejected_patterns`` tells. Null lines and lines of no process are no hits
+    of user patterns; other columns of ``lines`` stay (``_patterns``, ``_many``
+    and ``_h`` are names of this function).
     """
     ln = F.col("line")
     default_hit = ln.rlike(java_regex(any_of(C.PROCESS_ERROR_PATTERNS)))
     own = (check_patterns(user_patterns).where("error IS NULL")
-           .groupBy("pid").agg(F.collect_set("regex").alias("_patterns")))
-    tested = lines.join(own, "pid", "left")
-    custom = F.exists(F.coalesce("_patterns", F.array().cast("array<string>")), lambda p: F.rlike(ln, p))
-    hits = tested.where(default_hit | custom).drop("_patterns")
+           .groupBy("pid").agg(F.collect_set(F.struct("regex", "needed")).alias("_own")))
+    apart = lambda p: (F.size("_own") > few) & (F.size(p["needed"]) > 0)
+    direct = own.select("pid", F.transform(F.filter("_own", lambda p: ~apart(p)), lambda p: p["regex"]).alias("_patterns"), F.exists("_own", apart).alias("_many"))
+    tested = lines.join(direct, "pid", "left")
+    hit = default_hit | F.exists(F.coalesce("_patterns", F.array().cast("array<string>")), lambda p: F.rlike(ln, p))
+    rest = tested.where(F.col("_many") & ~F.coalesce(hit, F.lit(False))).withColumn("_h", F.sha2("line", 256))
+    found = _searched_lines(rest, own.select("pid", F.inline(F.filter("_own", apart))))
+    columns = [F.col(f"`{c}`") for c in lines.columns]
+    hits = tested.where(hit).select(*columns).unionByName(rest.join(found, ["pid", "_h"], "left_semi").select(*columns))
     return (hits.withColumn("severity", error_severity(ln)).withColumn("error_type", error_type(ln))
             .withColumn("message", ln))
 

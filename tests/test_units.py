@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codelens.functions import catalogs as C
 from codelens.functions.text import any_of, java_regex
 from codelens.functions.windows import dense_index, ffill
 from codelens.operators import ops as O
@@ -108,6 +109,41 @@ def test_user_patterns(spark):
     assert sorted(r.pattern for r in D.rejected_patterns(own).collect()) == ["a++", "broken("]
 
 
+def test_needed_strings():
+    from codelens.operators.diagnostics import needed_strings
+    cases = {"heartbeat|cache warm": ["cache warm", "heartbeat"], "(?i)HEART": ["heart"], r"GET\s/index": ["/index"], "abc(?:lost|gone away)+z": ["gone away", "lost"],
+             "a.*b": [], "(?:long word)?end": [], "(?:long word)*ended": ["ended"], "[[:alpha:]]abcd": [], "(?x)ab cd ef": [], "abcd&&efgh": [], "x{3}four\\.": ["four."],
+             "caf\u00e9 open": [" open"], "": [], "one|(?:two)": [], "ab(cdef){0,2}ghij": ["ghij"]}
+    for pattern, want in cases.items():
+        assert needed_strings(pattern) == want, pattern
+
+
+def test_many_user_patterns_equal_plain_tests(spark):
+    """5,000 patterns of one process, searched by strings, give the rows that testing each pattern on each line gives."""
+    import re
+    from codelens.operators import diagnostics as D
+    rng = random.Random(23)
+    some = ["disk", "quota", "retry", "SOCKET", "\u017fhort", "\u0131nput", "caf\u00e9", "\U0001f600ok", "cache", "warm", "tick"]
+    rows = [(i, rng.choice([1, 1, 2, 3]), " ".join(rng.choice(some) for _ in range(rng.randint(0, 5))) + f" v{rng.randint(0, 60)}00") for i in range(300)]
+    rows += [(i, 1, "disk quota v700") for i in range(300, 340)] + [(400, 1, None), (401, None, "disk quota"), (402, 1, "x" * 30_000 + " needle77"), (403, 4, "needle77")]
+    lines = spark.createDataFrame(rows, "seq long, pid long, line string")
+    kinds = ["disk quota", "(?i)socket v", "retry (?:warm|tick) v", "(?i)short", "(?i)input (disk|cache)", "v1[0-9]00$", "^tick", "needle77", "caf\u00e9 v2", "broken("]
+    own = [(1, p) for p in kinds] + [(1, f"unseen {i} thing") for i in range(5000)] + [(2, "tick v"), (2, "cache disk"), (4, "(?:needle)?77"), (None, "disk")]
+    udf = spark.createDataFrame(own, "pid long, pattern string")
+    got = sorted(r.seq for r in D.classify_with_user_patterns(lines, udf).collect())
+    # the characters that fold to ASCII letters are taken by the JVM's rule, which Python's re shares for these
+    gate = [re.compile(p) for p in C.PROCESS_ERROR_PATTERNS]
+    mine = {}
+    for pid, p in own:
+        if pid is not None and p != "broken(":
+            mine.setdefault(pid, []).append(re.compile(p))
+    want = sorted(s for s, pid, t in rows if t is not None and any(g.search(t) for g in [*gate, *mine.get(pid, [])]))
+    assert len(want) > 100 and got == want
+    few = sorted(r.seq for r in D.classify_with_user_patterns(lines, udf.where("pattern NOT LIKE 'unseen%'"), few=1000).collect())
+    assert few == got
+    assert D.classify_with_user_patterns(lines, udf.limit(0)).count() == sum(any(g.search(t) for g in gate) for _, _, t in rows if t is not None)
+
+
 def test_recent_changes_keep_each_workspace(spark):
     import datetime as dt
     t0 = dt.datetime(2024, 1, 1)
