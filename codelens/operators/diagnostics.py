@@ -322,11 +322,17 @@ def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
 
 
 def _searched_lines(lines: DataFrame, searched: DataFrame) -> DataFrame:
-    """Distinct (pid, _h) of the lines (pid, _h, line) that a pattern (pid, regex, needed) of their process matches: strings first, then regexes."""
-    words = searched.select("pid", "regex", F.explode("needed").alias("word"))
-    texts = lines.select("pid", "_h", "line").dropDuplicates(["pid", "_h"]).withColumn("_l", folded(F.col("line")))
-    found = lines_with_words(texts, words.select("pid", "word").distinct(), ["pid"], carry=("line",))
-    return found.join(words, ["pid", "word"]).where("rlike(line, regex)").select("pid", "_h").distinct()
+    """Distinct (pid, _h) of the lines (pid, _h, line) that a pattern (pid, regex, needed) of their process matches.
+
+    Each different text meets each different pattern once, however many
+    processes share them: strings first, then regexes, then the processes.
+    """
+    words = searched.select("regex", "needed").distinct().select("regex", F.explode("needed").alias("word"))
+    texts = lines.select("_h", "line").dropDuplicates(["_h"]).withColumn("_l", folded(F.col("line")))
+    found = lines_with_words(texts, words.select("word").distinct(), [], carry=("line",))
+    matched = found.join(words, "word").where("rlike(line, regex)").select("_h", "regex").distinct()
+    return (lines.select("pid", "_h").distinct().join(matched, "_h")
+            .join(searched.select("pid", "regex"), ["pid", "regex"]).select("pid", "_h").distinct())
 
 
 def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:

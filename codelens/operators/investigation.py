@@ -99,6 +99,17 @@ def collaboration(log: DataFrame) -> DataFrame:
     )
 
 
+def tool_usage(uses: DataFrame, session: str = "session_id") -> DataFrame:
+    """AGG_COLLABORATION tool usage: (session, uses, tool_usage), a map from each tool to how often the session used it.
+
+    ``uses`` are (session, tool), one row a use; uses without a tool are not
+    counted. A map has one entry a tool, in the tools' order, not one a use.
+    """
+    counted = uses.where(F.col("tool").isNotNull()).groupBy(session, "tool").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(session).agg(F.sum("n").cast("bigint").alias("uses"),
+                                        F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool", "n")))).alias("tool_usage"))
+
+
 # ------------------------------------------------------------ share links
 
 def link_options(links: DataFrame) -> DataFrame:

@@ -167,6 +167,18 @@ def structure(files: DataFrame) -> DataFrame:
     )
 
 
+def structure_lists(files: DataFrame) -> DataFrame:
+    """AGG_STRUCTURE with its lists: a row for each main or config file beside its project's totals.
+
+    A project without such files has one row with null ``list`` and ``path``.
+    The lists stay rows, so no project's files are gathered.
+    """
+    listed = with_file_attrs(files).where(structure_scope(F.col("rel_path")))
+    kinds = F.filter(F.array(F.when(F.col("is_main"), F.lit("main")), F.when(F.col("is_config"), F.lit("config"))), lambda k: k.isNotNull())
+    rows = listed.select("project_id", F.explode(kinds).alias("list"), F.col("rel_path").alias("path"))
+    return structure(files).select("project_id", "total_files", "total_size").join(rows, "project_id", "left")
+
+
 def project_type(files: DataFrame) -> DataFrame:
     """AGG_PROJECT_TYPE: type of the lexically first root config file among six (lower-cased base name)."""
     tmap = dict(C.PROJECT_TYPES)

@@ -8,6 +8,8 @@ projections, and the page variant keeps only links whose two ends exist
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +120,49 @@ def graph_nodes(health: DataFrame, languages: DataFrame, services: DataFrame, er
     return proj.unionByName(lang).unionByName(svc).unionByName(err).unionByName(deps)
 
 
+def _entries(rows: DataFrame, node_id: Column, fields: list[str]) -> DataFrame:
+    """One metadata row per non-null field (place 0) of each node."""
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(0).cast("bigint").alias("place"), F.col(f).cast("string").alias("value")) for f in fields])
+    return (rows.select("project_id", node_id.alias("node_id"), F.inline(entries)).where(F.col("value").isNotNull()))
+
+
+def _listed(rows: DataFrame, node_id: Column, field: str, place: Column, value: Column) -> DataFrame:
+    return rows.select("project_id", node_id.alias("node_id"), F.lit(field).alias("field"), place.cast("bigint").alias("place"), value.alias("value"))
+
+
+def graph_node_metadata(projects: DataFrame, languages: DataFrame, services: DataFrame, errors: DataFrame, dependencies: DataFrame,
+                        extensions: dict[str, list[str]], first_errors: int = 5, first_dependencies: int = 10, more_than: int = 5) -> DataFrame:
+    """JOIN_GRAPH_NODES metadata as rows (project_id, node_id, field, place, value): place 0 for a single value, 1.. in a list.
+
+    ``projects`` carry health_score, total_files and total_size; ``languages``
+    files, lines and an array of ``frameworks``; ``errors`` are (project_id, file,
+    seq, message), of which a node lists the first; ``dependencies`` are
+    (project_id, language, name). Rows without a value are left out, so no
+    project's metadata is gathered into one row.
+    """
+    from codelens.operators.process import top_k
+    lang, err, dep = (F.concat(F.lit(p), F.col(c)) for p, c in (("lang-", "language"), ("error-", "file"), ("deps-", "language")))
+    suffixes = F.create_map(*[x for name, exts in extensions.items() for x in (F.lit(name), F.array(*[F.lit(e) for e in exts]))])
+    spoken = languages.withColumn("file_count", F.col("files")).withColumn("line_count", F.col("lines"))
+    per_file = errors.groupBy("project_id", "file").agg(F.count(F.lit(1)).alias("error_count"))
+    shown = (dependencies.groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("dependency_count"))
+             .where(F.col("dependency_count") > more_than))
+    firsts = top_k(dependencies.join(shown.select("project_id", "language"), ["project_id", "language"], "left_semi"),
+                   ["project_id", "language"], [F.col("name")], first_dependencies)
+    parts = [
+        _entries(projects, F.lit("project"), ["health_score", "total_files", "total_size"]),
+        _entries(spoken, lang, ["file_count", "line_count"]),
+        *[_listed(spoken.select("project_id", "language", F.posexplode(items).alias("_at", "_item")), lang, field, F.col("_at") + 1, F.col("_item"))
+          for field, items in (("frameworks", F.col("frameworks")), ("extensions", F.try_element_at(suffixes, F.col("language"))))],
+        _entries(services, F.concat(F.lit("service-"), "service_id"), ["language", "framework", "port", "status", "start_command"]),
+        _entries(per_file, err, ["file", "error_count"]),
+        _listed(top_k(errors, ["project_id", "file"], [F.col("seq"), F.col("message")], first_errors), err, "errors", F.col("rank"), F.col("message")),
+        _entries(shown, dep, ["language", "dependency_count"]),
+        _listed(firsts, dep, "dependencies", F.col("rank"), F.col("name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def graph_links(languages: DataFrame, services: DataFrame, error_files: DataFrame, dep_groups: DataFrame,
                 file_language: Column) -> DataFrame:
     """All links of the AI view (hierarchy 1.0, association 0.8, error 0.6, dependency 0.7)."""

@@ -414,6 +414,25 @@ def udx_patterns(spark, sf_dir):
             .select("seq", "pid", "source", "severity", "error_type", "message"))
 
 
+@query("udx_many_patterns", duckdb_with(["log_lines"]) + f"""
+, lists AS (SELECT DISTINCT pid, n FROM (SELECT DISTINCT pid FROM log_lines) p JOIN (SELECT p_partkey AS n FROM part) s ON s.n % 7 = p.pid % 7)
+SELECT seq, pid, source, {duck.severity_expr()} AS severity, {duck.error_type_expr()} AS error_type, line AS message
+FROM log_lines l WHERE {duck.process_gate()} OR EXISTS (SELECT 1 FROM lists n WHERE n.pid = l.pid AND (
+  n.n % 11 = 0 AND contains(line, 'listening on port ' || CAST(n.n * 8 % 4000 AS VARCHAR)) OR n.n % 11 = 1 AND contains(line, 'GET /index ' || CAST(n.n AS VARCHAR))
+  OR n.n % 11 = 2 AND regexp_matches(line, 'done in [0-9]s') AND n.n % 3 = 0))""")
+def udx_many_patterns(spark, sf_dir):
+    """Processes with as many patterns of their own as a seventh of ``part`` has rows, most of which no line matches."""
+    views, n = Views(spark, sf_dir), F.col("p_partkey")
+    pattern = (F.when(n % 11 == 0, F.concat(F.lit("listening on port "), (n * 8 % 4000).cast("string")))
+               .when(n % 11 == 1, F.concat(F.lit(r"GET\s/index "), n.cast("string")))
+               .when((n % 11 == 2) & (n % 3 == 0), F.lit("done in [0-9]s"))
+               .otherwise(F.concat(F.lit("no such line "), n.cast("string"))))
+    lines = _log(spark, sf_dir)
+    own = (lines.select("pid").distinct().withColumn("k", F.col("pid") % 7)
+           .join(views("part").select((n % 7).alias("k"), pattern.alias("pattern")).distinct(), "k").select("pid", "pattern"))
+    return D.classify_with_user_patterns(lines, own).select("seq", "pid", "source", "severity", "error_type", "message")
+
+
 def _server_hits() -> str:
     """A line that a process's default patterns find: the process's command names the set."""
     sets = [f"command = {sql_str(k)} AND ({' OR '.join(f'contains(line, {sql_str(p)})' for p in C.DEV_SERVER_PATTERNS[k])})" for k in ("npm", "go", "python")]

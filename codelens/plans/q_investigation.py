@@ -111,6 +111,15 @@ def agg_collaboration(spark, sf_dir):
     return I.collaboration(I.communication_log(Views(spark, sf_dir)("conversations")))
 
 
+@query("agg_tool_usage", duckdb_with(["tool_output"]) + """
+SELECT session_id, CAST(sum(n) AS BIGINT) AS uses, '{' || string_agg('"' || tool || '":' || CAST(n AS VARCHAR), ',' ORDER BY tool) || '}' AS tool_usage
+FROM (SELECT project_id AS session_id, tool, count(*) AS n FROM tool_output WHERE tool IS NOT NULL GROUP BY ALL) t GROUP BY session_id""")
+def agg_tool_usage(spark, sf_dir):
+    """Tools of each session by use; the sessions are the projects whose captured output names the tools."""
+    uses = Views(spark, sf_dir)("tool_output").select(F.col("project_id").alias("session_id"), "tool")
+    return I.tool_usage(uses).withColumn("tool_usage", F.to_json("tool_usage"))
+
+
 # ------------------------------------------------------------ share links
 
 D_OPTS = ("opts", """SELECT link_id, snapshot_id, created_at, CASE WHEN max_accesses > 0 THEN max_accesses END AS max_accesses,

@@ -138,6 +138,17 @@ def agg_structure(spark, sf_dir):
     return PR.structure(_files(spark, sf_dir))
 
 
+@query("agg_structure_lists", d_files(f"""
+SELECT s.*, l.list, l.path
+FROM (SELECT project_id, CAST(count(*) AS BIGINT) AS total_files, CAST(sum(strlen(content)) AS BIGINT) AS total_size
+      FROM files WHERE {D_STRUCT} GROUP BY project_id) s
+LEFT JOIN (SELECT project_id, 'main' AS list, rel_path AS path FROM files WHERE {D_STRUCT} AND {D_NAME} IN ({sql_list(C.MAIN_FILES)})
+  UNION ALL SELECT project_id, 'config', rel_path FROM files WHERE {D_STRUCT} AND {D_NAME} IN ({sql_list(C.CONFIG_FILES)})) l
+ON l.project_id = s.project_id"""))
+def agg_structure_lists(spark, sf_dir):
+    return PR.structure_lists(_files(spark, sf_dir))
+
+
 @query("agg_project_type", d_files(f"""
 SELECT p.project_id, coalesce(t.t, 'unknown') AS project_type FROM (SELECT DISTINCT project_id FROM files) p
 LEFT JOIN (SELECT project_id, arg_min({d_case(dict(C.PROJECT_TYPES), D_NAME, None)}, rel_path) AS t FROM files

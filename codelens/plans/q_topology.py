@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from codelens.functions.text import file_ext, map_lookup
 from codelens.operators import deps as DP
+from codelens.operators import diagnostics as D
 from codelens.operators import project as PR
 from codelens.operators import topology as T
 from codelens.plans.fixtures import duckdb_with
-from codelens.plans.q_deps import D_PKG
+from codelens.plans.q_deps import D_NPM, D_PKG, D_TEXT_FW
 from codelens.plans.q_diagnostics import D_ACTIVE, active_errors
-from codelens.plans.q_project import D_LANGS, D_TESTS, d_case, project_key
+from codelens.plans.q_project import D_LANGS, D_STRUCT, D_TESTS, d_case, d_framework_names, project_key
 from codelens.plans.registry import Views, query, sql_str
 
 VIEWS = ["files", "manifest_json", "listening_ports", "tool_output"]
@@ -65,20 +66,33 @@ class Graph:
     def __init__(self, spark, sf_dir):
         v = Views(spark, sf_dir)
         files = v("files")
+        self.v = v
         self.files = files
         self.languages = PR.detected_languages(files)
         self.services = T.package_services(v("manifest_json"), v("listening_ports"), project_key(F.col("project_id")))
-        errs = active_errors(spark, sf_dir).withColumn("project_id", project_key(F.col("project_id")))
+        self.errors = errs = active_errors(spark, sf_dir).withColumn("project_id", project_key(F.col("project_id")))
         self.error_files = (errs.groupBy("project_id", F.coalesce(F.nullif(F.col("file"), F.lit("")), F.lit("unknown"))
                                          .alias("file")).agg(F.count(F.lit(1)).alias("errors")))
         deps = DP.npm_dependencies(v("manifest_json")).withColumn("project_id", project_key(F.col("project_id")))
-        self.dep_groups = (deps.withColumn("language", DP.dependency_language(F.col("source")))
+        self.deps = deps.withColumn("language", DP.dependency_language(F.col("source")))
+        self.dep_groups = (self.deps
                            .groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("dependencies")))
 
     def nodes(self):
         projects = self.files.select("project_id").distinct()
         return T.graph_nodes(projects, self.languages, self.services, self.error_files, self.dep_groups)
 
+    def metadata(self):
+        size = PR.structure(self.files).select("project_id", "total_files", "total_size")
+        health = D.health(self.errors, self.files.select("project_id").distinct()).select("project_id", F.col("score").alias("health_score"))
+        named = (DP.npm_frameworks(self.v("manifest_json")).select("project_id", "language", "framework")
+                 .union(DP.manifest_frameworks(self.v("framework_manifests")).select("project_id", "language", "framework"))
+                 .groupBy(project_key(F.col("project_id")).alias("project_id"), "language")  # at most the catalog's names
+                 .agg(F.sort_array(F.collect_set("framework")).alias("frameworks")))
+        errors = self.errors.select("project_id", F.coalesce(F.nullif(F.col("file"), F.lit("")), F.lit("unknown")).alias("file"), "seq", "message")
+        return T.graph_node_metadata(health.join(size, "project_id", "left"), self.languages.join(named, ["project_id", "language"], "left"), self.services,
+                                     errors, self.deps.select("project_id", "language", "name"), {k: exts for k, _, exts, _, _ in PR.LANGUAGES})
+
     def links(self):
         lang = map_lookup(PR.GRAPH_LANGUAGES, file_ext(F.col("file")), "unknown")
         return T.graph_links(self.languages, self.services, self.error_files, self.dep_groups, lang)
@@ -132,6 +146,43 @@ def join_graph_nodes(spark, sf_dir):
     return Graph(spark, sf_dir).nodes()
 
 
+D_FW = ("fw", f"""SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, language, framework FROM text_fw
+  UNION SELECT 'src' || CAST(project_id % 20 AS VARCHAR), f.language, f.framework FROM ({D_NPM}) d
+  JOIN (VALUES {d_framework_names()}) AS f(dep, framework, language) ON d.name = f.dep""")
+D_ERRROW = ("errrow", f"""SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, coalesce(nullif(file, ''), 'unknown') AS file, seq, message
+FROM ({D_ACTIVE}) a""")
+D_DEPROW = ("deprow", f"""SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, 'javascript' AS language, name FROM ({D_NPM}) d""")
+D_EXTS = ", ".join(f"({sql_str(k)}, {i + 1}, {sql_str(e)})" for k, _, exts, _, _ in PR.LANGUAGES for i, e in enumerate(exts))
+
+
+@query("join_graph_node_metadata", duckdb_with([*VIEWS, "framework_manifests"], [*GRAPH_CTES, D_TEXT_FW, D_FW, D_ERRROW, D_DEPROW]) + f"""
+SELECT project_id, node_id, field, CAST(place AS BIGINT) AS place, value FROM (
+SELECT p.project_id, 'project' AS node_id, 'health_score' AS field, 0 AS place,
+  CAST(greatest(0, 100 - 10 * coalesce(h.e, 0) - 3 * coalesce(h.w, 0)) AS VARCHAR) AS value FROM (SELECT DISTINCT project_id FROM files) p
+  LEFT JOIN (SELECT 'src' || CAST(project_id % 20 AS VARCHAR) AS project_id, count_if(type = 'error') AS e, count_if(type = 'warning') AS w
+             FROM ({D_ACTIVE}) a GROUP BY 1) h USING (project_id)
+UNION ALL SELECT project_id, 'project', 'total_files', 0, CAST(count(*) AS VARCHAR) FROM files WHERE {D_STRUCT} GROUP BY 1
+UNION ALL SELECT project_id, 'project', 'total_size', 0, CAST(CAST(sum(strlen(content)) AS BIGINT) AS VARCHAR) FROM files WHERE {D_STRUCT} GROUP BY 1
+UNION ALL SELECT project_id, 'lang-' || language, 'file_count', 0, CAST(files AS VARCHAR) FROM langs
+UNION ALL SELECT project_id, 'lang-' || language, 'line_count', 0, CAST(lines AS VARCHAR) FROM langs
+UNION ALL SELECT l.project_id, 'lang-' || l.language, 'frameworks', row_number() OVER (PARTITION BY l.project_id, l.language ORDER BY framework), framework
+  FROM langs l JOIN fw USING (project_id, language)
+UNION ALL SELECT l.project_id, 'lang-' || l.language, 'extensions', x.i, x.ext FROM langs l JOIN (VALUES {D_EXTS}) AS x(language, i, ext) USING (language)
+UNION ALL SELECT project_id, 'service-' || service_id, unnest(['language', 'framework', 'port', 'status', 'start_command']), 0,
+  unnest([language, framework, CAST(port AS VARCHAR), status, start_command]) FROM svc
+UNION ALL SELECT project_id, 'error-' || file, unnest(['file', 'error_count']), 0, unnest([file, CAST(errors AS VARCHAR)]) FROM errf
+UNION ALL SELECT project_id, 'error-' || file, 'errors', r, message FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, file ORDER BY seq, message) AS r FROM errrow) e WHERE r <= 5
+UNION ALL SELECT project_id, 'deps-' || language, unnest(['language', 'dependency_count']), 0, unnest([language, CAST(dependencies AS VARCHAR)])
+  FROM depg WHERE dependencies > 5
+UNION ALL SELECT project_id, 'deps-' || language, 'dependencies', r, name FROM (
+  SELECT d.*, row_number() OVER (PARTITION BY d.project_id, d.language ORDER BY name) AS r FROM deprow d JOIN depg g
+  ON g.project_id = d.project_id AND g.language = d.language AND g.dependencies > 5) e WHERE r <= 10
+) m WHERE value IS NOT NULL""")
+def join_graph_node_metadata(spark, sf_dir):
+    return Graph(spark, sf_dir).metadata()
+
+
 @query("join_graph_links", d_graph("""
 SELECT l.* FROM links l WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.project_id = l.project_id AND n.node_id = l.source)
   AND EXISTS (SELECT 1 FROM nodes n WHERE n.project_id = l.project_id AND n.node_id = l.target)"""))

@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 
 REG = load_all()
 # Python outside the line path: user patterns are checked once for each distinct pattern
-PATTERN_CHECK = {"udx_patterns", "udx_dev_server_patterns"}
+PATTERN_CHECK = {"udx_patterns", "udx_many_patterns", "udx_dev_server_patterns"}
 # theta joins against a fixed literal table of lint tools (bounded by the catalog, broadcast)
 NESTED_LOOP_OK = {"join_lint_setup"}
 
