@@ -194,9 +194,9 @@ def contamination_brute(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [300, 2_000_000])
-def test_decontamination(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(D, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_decontamination(spark, monkeypatch, hot):
+    monkeypatch.setattr(D, "HOT", hot)
     rng = random.Random(1)
     vocabulary = ["a", "b", "c", "dé", "the", "x1", "日本"]
     sentence = lambda n: " ".join(rng.choices(vocabulary, k=n))
@@ -214,9 +214,9 @@ def test_decontamination(spark, monkeypatch, block_bytes):
     assert rows(kept) == rows(df.filter(F.col("doc_id").isin([i for i, w in want.items() if not w[1]])))
 
 
-@pytest.mark.parametrize("block_bytes", [20, 2_000_000])
-def test_decontamination_by_items_without_an_id(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(D, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_decontamination_by_items_without_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(D, "HOT", hot)
     df = docs(spark, ["so the first passage is here", "the second passage and the first passage", "the third passage", "clean"])
     bench = spark.createDataFrame([(None, "The first passage"), (None, "the second passage"), (7, "the third passage"), (8, "the first passage")], "item_id long, text string")
     got = {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), r["item_ids"]) for r in D.contamination(df, bench).collect()}
