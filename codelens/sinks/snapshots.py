@@ -7,9 +7,12 @@ together from rows of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelens.sinks.commits import COMPACT_AT, KEEP_MS, Commits
+from codelens.sources.files import committed_states, last_states
+
 TIME = "yyyy-MM-dd HH:mm:ss"
 _JSON = {"timestampFormat": TIME, "timestampNTZFormat": TIME}
 
@@ -29,20 +32,48 @@ def with_metadata(snapshots: DataFrame, updated_at: Column | None = None) -> Dat
     return snapshots.withColumns({"metadata": metadata, "updated_at": updated_at if updated_at is not None else F.current_timestamp()})
 
 
-def save_snapshots(snapshots: DataFrame, folder: str, updated_at: Column | None = None) -> None:
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
+def save_snapshots(snapshots: DataFrame, folder: str, updated_at: Column | None = None, compact_at: int = COMPACT_AT) -> int:
     """SNK_SNAP_SAVE: store the snapshots; one whose id is stored already gets its new state, all others stay.
 
-    States are appended and the reader takes each id's last one, so a save
-    rewrites nothing, and a save that is repeated changes nothing.
+    One save is one commit of the folder's log (``codelens.sinks.commits``) and
+    gives its number: states count in the order of commits, several writers may
+    save at a time, and a save that fails leaves nothing that readers see. A
+    save that is repeated changes nothing but the time of saving. Of rows with
+    one id in one save the last updated counts. Every ``compact_at`` commits
+    the writer folds the store.
     """
-    saved = with_metadata(snapshots, updated_at).withColumn("saved_at", F.unix_micros(F.current_timestamp()))
-    saved.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    commits = Commits(snapshots.sparkSession, folder)
+    number = commits.commit(with_metadata(snapshots, updated_at), _write)
+    if len(commits.version().live) >= compact_at:
+        compact_store(snapshots.sparkSession, folder)
+    return number
+
 
+def delete_from_store(ids: DataFrame, folder: str) -> int:
+    """SNP_DELETE on the store: the ids (column id) are gone from the next read on; gives the commit's number."""
+    gone = ids.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("deleted"))
+    return Commits(ids.sparkSession, folder).commit(gone, _write)
 
-def delete_from_store(ids: DataFrame, folder: str) -> None:
-    """SNP_DELETE on the store: the ids (column id) are gone from the next read on."""
-    gone = ids.select(F.col("id").cast("string").alias("id"), F.unix_micros(F.current_timestamp()).alias("saved_at"), F.lit(True).alias("deleted"))
-    gone.write.mode("append").json(folder)
+
+def compact_store(spark: SparkSession, folder: str, keep_ms: int = KEEP_MS) -> int:
+    """Fold all commits of the store into one with each id's last state (or the mark that it is deleted).
+
+    Writers and readers go on meanwhile: what is saved after the version that
+    is folded stays live. Files that earlier compactions replaced go once they
+    are older than ``keep_ms``. Gives the number of the compaction.
+    """
+    commits = Commits(spark, folder)
+    version = commits.version()
+    if len(version.live) > 1:
+        number = commits.commit(last_states(committed_states(spark, commits, version)), _write, through=version.live[-1][0])
+    else:
+        number = version.number
+    commits.remove_replaced(keep_ms)
+    return number
 
 
 def export_json(snapshots: DataFrame, project_state: bool = True, collaboration: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelens.sinks.commits import Commits, Version
 from codelens.sources.lines import RANGE_BYTES, numbered_lines
 from codelens.sources.tree import Opener, qualified, read_files
 
@@ -90,21 +91,44 @@ def read_tool_output(spark: SparkSession, folder: str, range_bytes: int = RANGE_
     return lines.select(F.col("file").alias("run"), F.col("line_no").alias("seq"), "line")
 
 
-def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+_STATE = f"{SNAPSHOT_SCHEMA}, saved_at long, deleted boolean"
+
+
+def committed_states(spark: SparkSession, commits: Commits, version: Version) -> DataFrame:
+    """All states that a version of the store is made of, with the number of their commit (column commit)."""
+    if not version.live:
+        return spark.createDataFrame([], _STATE).withColumn("commit", F.lit(0).cast("long"))
+    reader = spark.read.schema(_STATE).option("mode", "DROPMALFORMED")
+    numbers = {name: n for n, name in version.live}  # a commit that was tried again has two, the last one counts
+    states = reader.json([commits.path_of(name) for name in numbers]).select("*", "_metadata.file_path")
+    number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return states.withColumn("commit", number[F.element_at(F.split("file_path", "/"), -2)].cast("long")).drop("file_path")
+
+
+def last_states(states: DataFrame) -> DataFrame:
+    """Each id's state of the highest commit; within one commit the one updated last, then by its checksum."""
+    columns = [c for c in states.columns if c not in ("id", "commit")]
+    order = F.struct("commit", F.coalesce("saved_at", F.unix_micros("updated_at"), F.lit(0)), F.col("metadata.checksum"))
+    last = states.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("s"))
+    return last.select("id", *[f"s.{c}" for c in columns])
+
+
+def read_snapshots(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """SRC_SNAP_STORE: the newest state of every snapshot in the store; unreadable files and lines are skipped.
 
-    Reads what ``save_snapshots`` appends (lines of ``part-*.json``) and single
-    ``snapshot-*.json`` documents; of the states of one id the last one saved
-    counts, and an id that was deleted last is gone.
+    Reads one version of the store's log (the newest, or the one of the number
+    ``version`` while its files are kept), and files beside it: single
+    ``snapshot-*.json`` documents and lines of ``part-*.json``, whose states are
+    older than all commits. Of the states of one id the last one counts, and an
+    id that was deleted last is gone.
     """
-    reader = spark.read.schema(f"{SNAPSHOT_SCHEMA}, saved_at long, deleted boolean").option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED")
-    saved = reader.option("pathGlobFilter", "part-*.json").option("multiLine", "false").json(folder)
+    commits = Commits(spark, folder)
+    reader = spark.read.schema(_STATE).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED")
+    lines = reader.option("pathGlobFilter", "part-*.json").option("multiLine", "false").json(folder)
     single = reader.option("pathGlobFilter", "snapshot-*.json").option("multiLine", "true").json(folder)
-    states = saved.unionByName(single).where("id IS NOT NULL")
-    columns = [c for c in states.columns if c not in ("id", "saved_at", "deleted")]
-    order = F.coalesce("saved_at", F.unix_micros("updated_at"), F.lit(0))
-    last = states.groupBy("id").agg(F.max_by(F.struct(*columns, F.coalesce("deleted", F.lit(False)).alias("deleted")), order).alias("s"))
-    return last.where("NOT s.deleted").select("id", *[f"s.{c}" for c in columns])
+    beside = lines.unionByName(single).withColumn("commit", F.lit(0).cast("long"))
+    states = beside.unionByName(committed_states(spark, commits, commits.version(version))).where("id IS NOT NULL")
+    return last_states(states).where("NOT coalesce(deleted, false)").drop("saved_at", "deleted")
 
 
 def read_process_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet",

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codelens.plans.fixtures import register
 from codelens.plans.q_snapshots import snapshot_docs
+from codelens.sinks import commits as CL
 from codelens.sinks import snapshots as SK
 from codelens.sources import files as SF
 from codelens.sources import lines as L
@@ -156,6 +158,63 @@ def test_snapshot_store(spark, scratch):
     assert sorted(r.id for r in SF.read_snapshots(spark, out).collect()) == ["1", "2", "3", "4"]
 
 
+def _named(docs, i, name):
+    return docs.where(F.col("id") == i).withColumn("name", F.lit(name))
+
+
+def test_store_keeps_concurrent_saves_and_their_order(spark, scratch):
+    """Writers that start together each get a number of their own; the higher one counts, whatever time they give."""
+    docs = snapshot_docs(spark, SF_SMALL).where("cast(id AS int) <= 6").cache()
+    out = os.path.join(scratch, "store")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: SK.save_snapshots(_named(docs, str(i), f"by {i}"), out), range(1, 7)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert {r.id: r.name for r in SF.read_snapshots(spark, out).collect()} == {str(i): f"by {i}" for i in range(1, 7)}
+    late, early = (F.to_timestamp(F.lit(t)) for t in ("2031-01-01 00:00:00", "2001-01-01 00:00:00"))
+    SK.save_snapshots(_named(docs, "1", "clock ahead"), out, late)
+    SK.save_snapshots(_named(docs, "1", "clock behind"), out, early)
+    assert SF.read_snapshots(spark, out).where("id = '1'").first().name == "clock behind"
+    assert SF.read_snapshots(spark, out, version=7).where("id = '1'").first().name == "clock ahead"
+    # a number is taken once, and rows without a manifest are not read
+    commits = CL.Commits(spark, out)
+    assert not commits._put(3, {"add": "x"}) and commits._put(9, {"add": commits.version().live[0][1]})
+    SK._write(_named(docs, "2", "never committed"), commits.path_of("orphan"))
+    assert SF.read_snapshots(spark, out).where("id = '2'").first().name == "by 2"
+    assert [x for x in os.listdir(f"{out}/_log") if x.startswith(".") and not x.endswith(".crc")] == []
+
+
+def test_store_compacts_beside_readers_and_writers(spark, scratch, monkeypatch):
+    """A reader of the version before, a save during the compaction and deleted ids are all as without it; files stay few."""
+    docs = snapshot_docs(spark, SF_SMALL).where("cast(id AS int) <= 3").cache()
+    out = os.path.join(scratch, "store")
+    SK.save_snapshots(docs, out)
+    SK.delete_from_store(spark.createDataFrame([("3",)], "id string"), out)
+    SK.save_snapshots(_named(docs, "1", "one"), out)
+    before = SF.read_snapshots(spark, out)  # planned on the version before
+    states = SK.last_states
+
+    def meanwhile(rows):
+        SK.save_snapshots(_named(docs, "2", "during"), out, compact_at=99)
+        return states(rows)
+
+    monkeypatch.setattr(SK, "last_states", meanwhile)
+    SK.compact_store(spark, out)
+    monkeypatch.undo()
+    names = lambda df: {r.id: r.name for r in df.collect()}
+    old = {r.id: r.name for r in docs.collect()}
+    assert names(before) == {"1": "one", "2": old["2"]}
+    assert names(SF.read_snapshots(spark, out)) == {"1": "one", "2": "during"}
+    assert [n for n, _ in CL.Commits(spark, out).version().live] == [3, 4]
+    for k in range(15):
+        SK.save_snapshots(_named(docs, "1", f"save {k}"), out, compact_at=5)
+        assert len(CL.Commits(spark, out).version().live) < 5
+    SK.compact_store(spark, out, keep_ms=-1000)
+    assert names(SF.read_snapshots(spark, out)) == {"1": "save 14", "2": "during"}
+    assert len([x for x in os.listdir(f"{out}/_log") if x.endswith(".json")]) <= 5 and len(os.listdir(f"{out}/_states")) <= 5
+    assert SK.save_snapshots(docs.where("id = '3'"), out) > 19  # numbers go on
+    assert set(names(SF.read_snapshots(spark, out))) == {"1", "2", "3"}
+
+
 def test_json_export_parses(spark):
     docs = snapshot_docs(spark, SF_SMALL)
     for r in SK.export_json(SK.with_metadata(docs)).limit(50).collect():
