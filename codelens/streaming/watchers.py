@@ -1,7 +1,7 @@
 """Structured Streaming forms of the watchers.
 
 * ``error_stream``      STR_ERRORS: classify each process line (JVM expressions) and attach the last
-                        5 lines of its (pid, source) stream; list state holds only the last 4 lines.
+                        5 lines of its (pid, source) stream; state holds only the last 4 lines.
 * ``change_stream``     STR_CHANGES: created / modified per path; value state holds the last mtime.
 * ``latest_errors``     STR_LATEST: newest error per process.
 * ``process_state``     STR_PROCESS_STATE: status, last error and bounded tail per process.
@@ -17,16 +17,18 @@ time lines arrive, not by what they say), so a stream over ever-new keys keeps
 bounded state and no line is dropped for its time. The operators need the
 RocksDB state store (``use_state_store``).
 
-A key's rows of a micro-batch may come in several Arrow chunks; they are put in
-order together before the state step, so results do not depend on chunk sizes
-(their memory is bounded by what a trigger reads). The per-key Python only
-slices small lists: classification, parsing and regexes run in the JVM before
-it. A source that reads a bounded amount per trigger takes the place of the
+Keys are dealt to ``GROUPS`` groups and a step takes all keys of a group, each
+with its own entry of the group's map state. A group's rows of a micro-batch
+may come in several Arrow chunks; they are put in order together before the
+state step, so results do not depend on chunk sizes (their memory is bounded by
+what a trigger reads). The per-key Python only slices small lists:
+classification, parsing and regexes run in the JVM before it. A source that reads a bounded amount per trigger takes the place of the
 source tool's drop-on-full channel.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -41,6 +43,8 @@ from codelens.operators.diagnostics import error_severity, error_type
 from codelens.operators.process import change_project, top_k
 
 DAY_MS = 24 * 3600 * 1000
+#: Groups that the keys of a stream are dealt to by a hash; a checkpoint keeps its number.
+GROUPS = 1024
 
 ERROR_OUT = ("seq long, pid long, source string, severity string, error_type string, message string, "
              "context string, context_lines long")
@@ -74,40 +78,47 @@ def classify_columns(lines: DataFrame, custom_patterns=()) -> DataFrame:
             .withColumn("severity", error_severity(ln)).withColumn("error_type", error_type(ln)))
 
 
-def _ordered(pdfs) -> pd.DataFrame:
-    """All rows of a key in the micro-batch, by ``seq``."""
-    return pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-
-
 class _Keyed(StatefulProcessor):
-    """Base of the processors: opens the state with its time to live, puts a key's rows in order."""
+    """Base of the processors: a step takes the rows and the states of a group of keys, key after key.
+
+    Calls between Python and the state store and frames for each key cost far more
+    than a key's few rows, so keys share a frame (``GROUPS``) and each has an entry
+    of its own, with its own time to live, in a map that its group keeps.
+    """
 
-    #: Schema of the value that a key keeps, and of the lines it keeps (None: no lines).
-    VALUE: str | None = None
-    LINES: str | None = None
+    #: Schema of the value that a key keeps.
+    VALUE: str
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        if self.VALUE:
-            self.value = handle.getValueState("value", self.VALUE, self.ttl_ms)
-        if self.LINES:
-            self.lines = handle.getListState("lines", self.LINES, self.ttl_ms)
-
-    def kept_lines(self) -> list[str]:
-        return [row[0] for row in self.lines.get()] if self.lines.exists() else []
-
-    def keep_lines(self, lines: list[str]) -> None:
-        if lines:
-            self.lines.put([(x,) for x in lines])
+        self.state = handle.getMapState("state", "key string", self.VALUE, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = self.step(key, _ordered(rows))
-        if out is not None and len(out):
-            yield out
+        # all rows of the group in the micro-batch, those of a key together and by seq
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["stream_key", "seq"], kind="stable", ignore_index=True)
+        columns = self.columns(frame)
+        keys = frame["stream_key"].tolist()
+        starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+        found: list[tuple] = []
+        for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            value, out = self.step(self.state.getValue((keys[start],)), range(start, end), columns)
+            if value is not None:  # seen: its time to live starts anew
+                self.state.updateValue((keys[start],), value)
+            found += out
+        if found:
+            yield self.output(frame, found)
+
+    def columns(self, frame: pd.DataFrame) -> dict[str, list]:
+        """What the steps read of a group's rows."""
+        return {c: frame[c].tolist() for c in ("seq", "line", "is_error") if c in frame}
+
+    def step(self, held: tuple | None, at: range, columns: dict[str, list]) -> tuple[tuple | None, list[tuple]]:
+        """The value that a key keeps (None: leave it) and what is given out for it, from the value held and its rows ``at``."""
+        raise NotImplementedError
 
-    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+    def output(self, frame: pd.DataFrame, found: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -115,25 +126,36 @@ class _Keyed(StatefulProcessor):
 
 
 def _keyed(df: DataFrame, keys: list[str], processor: _Keyed, out: str, mode: str) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(
-        processor, out, mode, "ProcessingTime" if processor.ttl_ms else "None")
+    """The processor's stream over groups of keys; ``out`` names the keys, whose values go through Python as text (longs with nulls stay exact)."""
+    types = dict(df.select(*keys).dtypes)
+    rows = df.withColumn("stream_key", F.to_json(F.struct(*keys))).withColumns({k: F.col(k).cast("string") for k in keys})
+    schema = ", ".join(f"{f.split()[0]} string" if f.split()[0] in types else f for f in out.split(", "))
+    given = (rows.withColumn("stream_group", F.pmod(F.xxhash64("stream_key"), F.lit(GROUPS))).groupBy("stream_group")
+             .transformWithStateInPandas(processor, schema, mode, "ProcessingTime" if processor.ttl_ms else "None"))
+    return given.withColumns({k: F.col(k).cast(t) for k, t in types.items()})
 
 
 class ErrorContext(_Keyed):
-    LINES = "line string"
+    VALUE = "lines string"  # JSON
 
     def __init__(self, ttl_ms: int | None, n: int):
         super().__init__(ttl_ms)
         self.keep = n - 1
 
-    def step(self, key, rows):
-        before = self.kept_lines()
-        lines = before + rows["line"].tolist()
-        at = rows.index[rows["is_error"]]
-        out = rows.loc[at, ["seq", "pid", "source", "severity", "error_type", "line"]].rename(columns={"line": "message"})
-        context = [lines[max(0, len(before) + i - self.keep): len(before) + i + 1] for i in at]
-        self.keep_lines(lines[-self.keep:] if self.keep else [])
-        return out.assign(context=["\n".join(map(_text, c)) for c in context], context_lines=[len(c) for c in context])
+    def step(self, held, at, columns):
+        before = json.loads(held[0]) if held else []
+        lines = before + columns["line"][at.start: at.stop]
+        out = []
+        for k, i in enumerate(at, len(before)):
+            if columns["is_error"][i]:
+                context = lines[max(0, k - self.keep): k + 1]
+                out.append((i, "\n".join(map(_text, context)), len(context)))
+        return (json.dumps(lines[-self.keep:]),) if self.keep else None, out
+
+    def output(self, frame, found):
+        at, context, n = zip(*found, strict=True)
+        out = frame.loc[list(at), ["seq", "pid", "source", "severity", "error_type", "line"]].rename(columns={"line": "message"})
+        return out.assign(context=list(context), context_lines=list(n))
 
 
 def _text(line: str | None) -> str:
@@ -153,19 +175,24 @@ CHANGE_OUT = "seq long, path string, change_type string, mtime timestamp_ntz, ob
 class Changes(_Keyed):
     VALUE = "mtime_us long"
 
-    def step(self, key, rows):
-        held = self.value.get()
+    def columns(self, frame):
+        return {"us": pd.to_datetime(frame["mtime"]).astype("datetime64[us]").astype("int64").tolist()}
+
+    def step(self, held, at, columns):
         last = held[0] if held else None
         out = []
-        us = pd.to_datetime(rows["mtime"]).astype("datetime64[us]").astype("int64").tolist()
-        for row, m in zip(rows.itertuples(index=False), us, strict=True):
+        for i in at:
+            m = columns["us"][i]
             if last is None:
-                out.append((row.seq, row.path, "created", row.mtime, row.observed_at))
+                out.append((i, "created"))
             elif m > last:
-                out.append((row.seq, row.path, "modified", row.mtime, row.observed_at))
+                out.append((i, "modified"))
             last = m
-        self.value.update((last,))
-        return pd.DataFrame(out, columns=["seq", "path", "change_type", "mtime", "observed_at"])
+        return (last,), out
+
+    def output(self, frame, found):
+        at, change = zip(*found, strict=True)
+        return frame.loc[list(at), ["seq", "path", "mtime", "observed_at"]].assign(change_type=list(change))
 
 
 def change_stream(observations: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
@@ -180,18 +207,16 @@ LATEST_OUT = "pid long, seq long, ts timestamp_ntz, severity string, error_type
 class Latest(_Keyed):
     VALUE = "seq long"
 
-    def step(self, key, rows):
-        held = self.value.get()
-        seq = held[0] if held else -1
-        errors = rows[rows["is_error"] & (rows["seq"] > seq)]
-        if not len(errors):
-            if held:
-                self.value.update((seq,))  # seen: its time to live starts anew
-            return None
-        last = errors.iloc[-1]
-        self.value.update((int(last["seq"]),))
-        return pd.DataFrame([(key[0], last["seq"], last["ts"], last["severity"], last["error_type"], last["line"])],
-                            columns=["pid", "seq", "ts", "severity", "error_type", "message"])
+    def step(self, held, at, columns):
+        for i in reversed(at):
+            if columns["is_error"][i]:
+                if held is None or columns["seq"][i] > held[0]:
+                    return (columns["seq"][i],), [(i,)]
+                break
+        return (held[0],) if held else None, []
+
+    def output(self, frame, found):
+        return frame.loc[[i for i, in found], ["pid", "seq", "ts", "severity", "error_type", "line"]].rename(columns={"line": "message"})
 
 
 def latest_errors(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
@@ -205,25 +230,25 @@ PROCESS_OUT = "pid long, lines long, errors long, last_error string, last_seq lo
 
 
 class ProcessState(_Keyed):
-    VALUE = "lines long, errors long, last_error string, last_seq long"
-    LINES = "line string"
+    VALUE = "lines long, errors long, last_error string, last_seq long, tail string"  # tail: JSON
 
     def __init__(self, ttl_ms: int | None, tail_n: int):
         super().__init__(ttl_ms)
         self.tail_n = tail_n
 
-    def step(self, key, rows):
-        lines, n_errors, last_error, last_seq = self.value.get() or (0, 0, None, -1)
-        errors = rows[rows["is_error"]]
-        lines, n_errors = lines + len(rows), n_errors + len(errors)
-        if len(errors):
-            last_error = errors["line"].iloc[-1]
-        last_seq = max(last_seq, int(rows["seq"].iloc[-1]))
-        tail = (self.kept_lines() + rows["line"].tolist())[-self.tail_n:]
-        self.value.update((lines, n_errors, last_error, last_seq))
-        self.keep_lines(tail)
-        return pd.DataFrame([(key[0], lines, n_errors, last_error, last_seq, "\n".join(map(_text, tail)))],
-                            columns=["pid", "lines", "errors", "last_error", "last_seq", "tail"])
+    def step(self, held, at, columns):
+        lines, n_errors, last_error, last_seq, kept = held or (0, 0, None, -1, "[]")
+        for i in at:
+            if columns["is_error"][i]:
+                n_errors, last_error = n_errors + 1, columns["line"][i]
+        lines, last_seq = lines + len(at), max(last_seq, columns["seq"][at[-1]])
+        tail = (json.loads(kept) + columns["line"][at.start: at.stop])[-self.tail_n:]
+        out = (at.start, lines, n_errors, last_error, last_seq, "\n".join(map(_text, tail)))
+        return (lines, n_errors, last_error, last_seq, json.dumps(tail)), [out]
+
+    def output(self, frame, found):
+        out = pd.DataFrame(found, columns=["at", "lines", "errors", "last_error", "last_seq", "tail"])
+        return out.assign(pid=frame.loc[out.pop("at"), "pid"].tolist())
 
 
 def process_state(lines: DataFrame, tail_n: int = C.MAX_OUTPUT_LINES, ttl_ms: int | None = DAY_MS) -> DataFrame:
@@ -235,11 +260,17 @@ def process_state(lines: DataFrame, tail_n: int = C.MAX_OUTPUT_LINES, ttl_ms: in
 class Counters(_Keyed):
     VALUE = "lines long, errors long"
 
-    def step(self, key, rows):
-        lines, errors = self.value.get() or (0, 0)
-        lines, errors = lines + len(rows), errors + int(rows["is_error"].sum())
-        self.value.update((lines, errors))
-        return pd.DataFrame([(key[0], lines, errors)], columns=["pid", "lines", "errors"])
+    def columns(self, frame):
+        return {"is_error": frame["is_error"].tolist()}
+
+    def step(self, held, at, columns):
+        lines, errors = held or (0, 0)
+        value = (lines + len(at), errors + sum(columns["is_error"][at.start: at.stop]))
+        return value, [(at.start, *value)]
+
+    def output(self, frame, found):
+        out = pd.DataFrame(found, columns=["at", "lines", "errors"])
+        return out.assign(pid=frame.loc[out.pop("at"), "pid"].tolist())
 
 
 def counters(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:

@@ -201,3 +201,40 @@ def test_fan_out_and_retain(spark, scratch):
     W.retain_recent(keep_dir, keep=3)(ch.limit(0), versions[-1] + 1)
     W.retain_recent(keep_dir, keep=3)(ch.limit(0), versions[-1] + 1)
     assert {(r.project, r.seq) for r in W.read_recent(spark, keep_dir).collect()} == want
+
+
+class _Map:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.held = {}
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+
+class _Handle:
+    def getMapState(self, name, key, value, ttl):
+        return _Map()
+
+
+def test_many_keys_share_a_frame():
+    """A group's 300 keys, whose rows come mixed and in chunks, give one frame for each micro-batch, as 300 steps of their own would."""
+    rows = [(f"k{i % 300}", i, str(i % 300), None, f"line {i}", i % 4 == 0, "error", "runtime") for i in range(1500)]
+    frame = pd.DataFrame(rows, columns=["stream_key", "seq", "pid", "source", "line", "is_error", "severity", "error_type"])
+    for processor, given in ((W.ErrorContext(None, 3), 375), (W.ProcessState(None, 2), 600), (W.Latest(None), 150), (W.Counters(None), 600)):
+        processor.init(_Handle())
+        out = []
+        for part in (frame[:750], frame[750:]):
+            part = part.assign(ts=pd.Timestamp(2024, 1, 1)).sample(frac=1, random_state=1)
+            out += [list(processor.handleInputRows((0,), iter([part[:400], part[400:]]), None))]
+        assert [len(x) for x in out] == [1, 1]
+        assert sum(len(x) for (x,) in out) == given
+        last = out[1][0].set_index("pid")
+        if isinstance(processor, W.ErrorContext):
+            assert set(last[last.seq == 900].context) == {"line 300\nline 600\nline 900"}
+        elif isinstance(processor, W.ProcessState):
+            assert list(last.loc["8"][["lines", "errors", "last_error", "last_seq", "tail"]]) == [5, 5, "line 1208", 1208, "line 908\nline 1208"]
