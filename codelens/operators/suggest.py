@@ -2,7 +2,7 @@
 
 Line checks are columns of one projection over ``file_lines``; whole-file
 checks are aggregates of line facts (``file_facts``), so no file text is
-rebuilt. Scores are per-file aggregates joined on ``file_id``.
+rebuilt. Scores are counted on the file's row of facts.
 
 FIXED VALUES: the checked substrings, thresholds and issue texts in this
 module are the source tool's values, kept verbatim.
@@ -31,19 +31,23 @@ FACT_SUBSTRINGS = ["except:", "import *", "panic(", "fmt.Print", "main(", "==",
 COUNT_SUBSTRINGS = [";", "func ", '"""', "/*"]
 
 
-def file_facts(lines: DataFrame) -> DataFrame:
-    """Whole-file facts as aggregates over the file's lines (no file text is rebuilt).
+def file_facts(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Whole-file facts of the ``files`` (file_id, language) as aggregates over their lines (no file text is rebuilt).
 
     ``contains(file, s)`` is ``any(line contains s)`` and ``count(file, s)`` is
     ``sum(count(line, s))`` for strings without a newline; newlines = lines - 1.
-    Partial aggregation keeps a huge file spread over many tasks.
+    Partial aggregation into numbers and flags (no text is a buffer, which would
+    sort the lines) keeps a huge file spread over many tasks; only a file's row
+    meets its attributes. A file that comes ``n_files`` times has its lines as often.
     """
     ln, low = F.col("line"), F.lower(F.col("line"))
-    aggs = [F.first("language").alias("language"), F.count(F.lit(1)).alias("n_lines")]
+    aggs = [F.count(F.lit(1)).alias("n_lines")]
     aggs += [F.max(ln.contains(x)).alias(f"has_{i}") for i, x in enumerate(FACT_SUBSTRINGS)]
     aggs += [F.max(low.contains(k.lower())).alias(f"kw_{i}") for i, (k, _) in enumerate(C.SECURITY_KEYWORDS)]
     aggs += [F.sum(count_substr(ln, x)).alias(f"cnt_{i}") for i, x in enumerate(COUNT_SUBSTRINGS)]
-    return lines.groupBy("file_id").agg(*aggs)
+    meta = files.groupBy("file_id").agg(F.first("language").alias("language"), F.count(F.lit(1)).alias("n_files"))
+    facts = lines.groupBy("file_id").agg(*aggs).join(meta, "file_id")
+    return facts.withColumns({c: F.col(c) * F.col("n_files") for c in facts.columns if c == "n_lines" or c.startswith("cnt_")})
 
 
 def _has(s: str) -> Column:
@@ -54,34 +58,43 @@ def _cnt(s: str) -> Column:
     return F.col(f"cnt_{COUNT_SUBSTRINGS.index(s)}")
 
 
+def _found(hits: list[Column]) -> Column:
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
+def _keyword_issues() -> Column:
+    return _found([F.when(F.col(f"kw_{i}"), F.lit(f"Security: {msg}")) for i, (_, msg) in enumerate(C.SECURITY_KEYWORDS)])
+
+
 def security_keywords(facts: DataFrame) -> DataFrame:
     """RUL_SECURITY_KEYWORDS: each of 9 keywords found in the lower-cased file, at most once per file."""
-    hits = F.array(*[F.when(F.col(f"kw_{i}"), F.lit(f"Security: {msg}")) for i, (_, msg) in enumerate(C.SECURITY_KEYWORDS)])
-    return facts.select("file_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("issue"))
+    return facts.select("file_id", F.explode(_keyword_issues()).alias("issue"))
 
 
-def debug_prints(lines: DataFrame) -> DataFrame:
-    """RUL_DEBUG_PRINT: one row per debug call found on a line not starting with // or #."""
+def _debug_calls() -> Column:
+    """The debug calls found on a line not starting with // or #."""
     t = trim_ws(F.col("line"))
     commented = t.startswith("//") | t.startswith("#")
-    hits = F.array(*[F.when(F.col("line").contains(p) & ~commented, F.lit(p)) for p in C.DEBUG_CALLS])
-    return lines.select("file_id", "line_no", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern"))
+    return _found([F.when(F.col("line").contains(p) & ~commented, F.lit(p)) for p in C.DEBUG_CALLS])
+
+
+def debug_prints(lines: DataFrame) -> DataFrame:
+    """RUL_DEBUG_PRINT: one row per debug call found on a line not starting with // or #."""
+    return lines.select("file_id", "line_no", F.explode(_debug_calls()).alias("pattern"))
 
 
 def line_quality(lines: DataFrame) -> DataFrame:
-    """Line quality issues: > 120 code points, TODO/FIXME (case-sensitive), debug calls."""
+    """Line quality issues in one pass: > 120 code points, TODO/FIXME (case-sensitive), debug calls."""
     ln = F.col("line")
-    long_ = lines.where(F.length(ln) > C.LONG_LINE).select("file_id", "line_no", F.lit("long_line").alias("issue"))
-    todo = lines.where(ln.contains("TODO") | ln.contains("FIXME")).select(
-        "file_id", "line_no", F.lit("todo").alias("issue"))
-    dbg = debug_prints(lines).select("file_id", "line_no", F.concat(F.lit("debug:"), "pattern").alias("issue"))
-    return long_.unionByName(todo).unionByName(dbg)
+    own = _found([F.when(F.length(ln) > C.LONG_LINE, F.lit("long_line")),
+                  F.when(ln.contains("TODO") | ln.contains("FIXME"), F.lit("todo"))])
+    debug = F.transform(_debug_calls(), lambda p: F.concat(F.lit("debug:"), p))
+    return lines.select("file_id", "line_no", F.explode(F.concat(own, debug)).alias("issue"))
 
 
-def language_quality(facts: DataFrame) -> DataFrame:
-    """RUL_LANG_QUALITY: file-level checks by language."""
+def _language_issues() -> Column:
     lang = F.col("language")
-    hits = F.array(
+    return _found([
         F.when((lang == "python") & _has("except:"), F.lit("Python: Avoid bare except clauses - specify exception types")),
         F.when((lang == "python") & _has("import *"), F.lit("Python: Avoid wildcard imports - import specific items")),
         F.when((lang == "go") & _has("panic("), F.lit("Go: Consider returning errors instead of using panic")),
@@ -91,8 +104,12 @@ def language_quality(facts: DataFrame) -> DataFrame:
                F.lit("JS: Use strict equality (===) instead of loose equality (==)")),
         F.when(lang.isin("javascript", "typescript") & _has("var "),
                F.lit("JS: Consider using 'let' or 'const' instead of 'var'")),
-    )
-    return facts.select("file_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("issue"))
+    ])
+
+
+def language_quality(facts: DataFrame) -> DataFrame:
+    """RUL_LANG_QUALITY: file-level checks by language."""
+    return facts.select("file_id", F.explode(_language_issues()).alias("issue"))
 
 
 def language_style(facts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -117,14 +134,17 @@ def nested_loops_short(lines: DataFrame) -> DataFrame:
     return nested_loops(lines, lookahead=PY_LOOKAHEAD)
 
 
+def _loop_growth_issue() -> Column:
+    lang = F.col("language")
+    return (F.when((lang == "python") & _has("+=") & _has("for "),
+                   F.lit("Performance: Consider using list comprehension instead of += in loops"))
+            .when((lang == "go") & _has("append(") & _has("for "),
+                  F.lit("Performance: Pre-allocate slices when size is known")))
+
+
 def loop_growth(facts: DataFrame) -> DataFrame:
     """RUL_LOOP_GROWTH: Python ``+=`` with ``for ``; Go ``append(`` with ``for `` (file level)."""
-    lang = F.col("language")
-    msg = (F.when((lang == "python") & _has("+=") & _has("for "),
-                  F.lit("Performance: Consider using list comprehension instead of += in loops"))
-           .when((lang == "go") & _has("append(") & _has("for "),
-                 F.lit("Performance: Pre-allocate slices when size is known")))
-    return facts.select("file_id", msg.alias("issue")).where(F.col("issue").isNotNull())
+    return facts.select("file_id", _loop_growth_issue().alias("issue")).where(F.col("issue").isNotNull())
 
 
 def file_level(facts: DataFrame) -> DataFrame:
@@ -139,17 +159,19 @@ def file_level(facts: DataFrame) -> DataFrame:
 
 
 def block_scores(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """RUL_BLOCK_SCORE: 100 - min(80, 10 x (quality + security + performance issues)) per file."""
-    lq = line_quality(lines).groupBy("file_id").agg(F.count(F.lit(1)).alias("lq"))
-    fq = language_quality(facts).groupBy("file_id").agg(F.count(F.lit(1)).alias("fq"))
-    sec = security_keywords(facts).groupBy("file_id").agg(F.count(F.lit(1)).alias("sec"))
-    nl = nested_loops_short(lines).groupBy("file_id").agg(F.count(F.lit(1)).alias("nl"))
-    lg = loop_growth(facts).groupBy("file_id").agg(F.count(F.lit(1)).alias("lg"))
-    j = facts.select("file_id", "language")
-    for d in (lq, fq, sec, nl, lg):
-        j = j.join(d, "file_id", "left")
-    j = j.fillna(0, ["lq", "fq", "sec", "nl", "lg"])
-    q, s, p = F.col("lq") + F.col("fq"), F.col("sec"), F.col("nl") + F.col("lg")
+    """RUL_BLOCK_SCORE: 100 - min(80, 10 x (quality + security + performance issues)) per file.
+
+    ``lines`` are (file_id, line_no, line) as ``file_facts`` took them. File-level
+    issues are counted on the file's row of ``facts``; those of lines are counted
+    in one aggregation and join it once.
+    """
+    found = (line_quality(lines).select("file_id", F.lit(1).alias("lq"), F.lit(0).alias("nl"))
+             .unionByName(nested_loops_short(lines).select("file_id", F.lit(0).alias("lq"), F.lit(1).alias("nl")))
+             .groupBy("file_id").agg(F.sum("lq").alias("lq"), F.sum("nl").alias("nl")))
+    own = facts.select("file_id", "language", "n_files", F.size(_language_issues()).alias("fq"), F.size(_keyword_issues()).alias("sec"),
+                       F.when(_loop_growth_issue().isNotNull(), 1).otherwise(0).alias("lg"))
+    j = own.join(found, "file_id", "left").fillna(0, ["lq", "nl"])
+    q, s, p = F.col("lq") * F.col("n_files") + F.col("fq"), F.col("sec"), F.col("nl") * F.col("n_files") + F.col("lg")
     return j.select("file_id", "language", q.cast("bigint").alias("quality_issues"), s.cast("bigint").alias("security_concerns"),
                     p.cast("bigint").alias("performance_hints"),
                     (100 - F.least(F.lit(80), (q + s + p) * 10)).cast("bigint").alias("overall_score"))

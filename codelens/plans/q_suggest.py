@@ -60,7 +60,7 @@ def _slines(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    return SG.file_facts(_slines(spark, sf_dir))
+    return SG.file_facts(Views(spark, sf_dir)("file_lines"), _sfiles(spark, sf_dir).select("file_id", "language"))
 
 
 D_KEYWORDS = " UNION ALL ".join(
@@ -158,7 +158,7 @@ LEFT JOIN (SELECT file_id, count(*) AS n FROM ({D_LOOPG}) v WHERE issue IS NOT N
 SELECT *, CAST(100 - least(80, (quality_issues + security_concerns + performance_hints) * 10) AS BIGINT) AS overall_score FROM blk""",
                                [D_BLOCK]))
 def rul_block_score(spark, sf_dir):
-    return SG.block_scores(_facts(spark, sf_dir), _slines(spark, sf_dir))
+    return SG.block_scores(_facts(spark, sf_dir), Views(spark, sf_dir)("file_lines"))
 
 
 @query("rul_error_overlap", duckdb_with(["files", "file_lines", "tool_output"], [D_SF, D_SL]) + f"""
