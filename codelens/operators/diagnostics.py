@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from codelens.functions import catalogs as C
 from codelens.functions.grams import GRAM, lines_with_words
 from codelens.functions.text import any_of, basename, extract, java_regex, rlike, trim_ws
+from codelens.session import ensure_checkpoint_dir
 
 ERROR_COLS = ["source", "file", "line", "column", "type", "message", "code"]
 FEW_PATTERNS = 16  # patterns of one process that are simply tested on its lines
@@ -305,15 +306,18 @@ def _checked(patterns: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["regex", "needed", "error"])
 
 
-def check_patterns(user_patterns: DataFrame) -> DataFrame:
-    """(pid, pattern, regex, needed, error): each distinct user pattern compiled once; a bad one has an error and no regex.
+def check_patterns(user_patterns: DataFrame, owner: str = "pid") -> DataFrame:
+    """(owner, pattern, regex, needed, error): each distinct user pattern compiled once; a bad one has an error and no regex.
 
     ``needed`` are strings of which a matching line, ``folded``, contains one (empty: any line may match).
     """
-    distinct = user_patterns.select("pattern").distinct()
-    check = F.pandas_udf(_checked, "regex string, needed array<string>, error string")
+    spark = user_patterns.sparkSession
+    # a fixed number of partitions: patterns are short, but each takes Python a while
+    distinct = user_patterns.select("pattern").distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pattern")
+    # not deterministic as the optimizer sees it: filters on what it finds stay behind the shuffle, so that it runs once for each pattern
+    check = F.pandas_udf(_checked, "regex string, needed array<string>, error string").asNondeterministic()
     checked = distinct.withColumn("_c", check("pattern")).select("pattern", "_c.regex", "_c.needed", "_c.error")
-    return user_patterns.join(checked, "pattern").select("pid", "pattern", "regex", "needed", "error")
+    return user_patterns.join(checked, "pattern").select(owner, "pattern", "regex", "needed", "error")
 
 
 def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
@@ -321,43 +325,63 @@ def rejected_patterns(user_patterns: DataFrame) -> DataFrame:
     return check_patterns(user_patterns).where("error IS NOT NULL").select("pid", "pattern", "error")
 
 
-def _searched_lines(lines: DataFrame, searched: DataFrame) -> DataFrame:
-    """Distinct (pid, _h) of the lines (pid, _h, line) that a pattern (pid, regex, needed) of their process matches.
+def _searched_lines(lines: DataFrame, members: DataFrame | None, searched: DataFrame) -> DataFrame:
+    """Distinct (pid, _h) of the lines (pid, _h, line) that a pattern (_list, regex, needed) of a list of their process matches.
 
     Each different text meets each different pattern once, however many
-    processes share them: strings first, then regexes, then the processes.
+    processes share them: strings first, then regexes, then the lists, then the
+    processes.
     """
     words = searched.select("regex", "needed").distinct().select("regex", F.explode("needed").alias("word"))
     texts = lines.select("_h", "line").dropDuplicates(["_h"]).withColumn("_l", folded(F.col("line")))
     found = lines_with_words(texts, words.select("word").distinct(), [], carry=("line",))
     matched = found.join(words, "word").where("rlike(line, regex)").select("_h", "regex").distinct()
-    return (lines.select("pid", "_h").distinct().join(matched, "_h")
-            .join(searched.select("pid", "regex"), ["pid", "regex"]).select("pid", "_h").distinct())
+    own = lines.select("pid", "_h").distinct()
+    own = own.withColumn("_list", F.col("pid")) if members is None else own.join(members, "pid")
+    hits = (own.select("_list", "_h").distinct().join(matched, "_h")
+            .join(searched.select("_list", "regex"), ["_list", "regex"], "left_semi").select("_list", "_h").distinct())
+    return own.join(hits, ["_list", "_h"], "left_semi").select("pid", "_h").distinct()
 
 
-def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:
+def classify_with_user_patterns(lines: DataFrame, user_patterns: DataFrame, few: int = FEW_PATTERNS, members: DataFrame | None = None) -> DataFrame:
     """UDX_PATTERNS: per-process user patterns (pid, pattern) added to the defaults.
 
+    Processes may share lists of patterns: ``user_patterns`` are (list, pattern)
+    then and ``members`` (pid, list) names the lists of each process; a list's
+    patterns are never repeated for its processes.
+
     A line is a hit by the default patterns or by any of its process's own. Up
-    to ``few`` patterns of a process come to its lines as one array and are
+    to ``few`` patterns of a list come to the lines as one array and are
     tested one by one. Of more, those whose matches must contain a string are
     looked up by that string's rarest q-gram, once for each different line that
     is no hit yet, and tested on the lines that contain it; only the others stay
     in the array. Patterns that are no valid regex are left out, as
     ``rejected_patterns`` tells. Null lines and lines of no process are no hits
     of user patterns; other columns of ``lines`` stay (``_patterns``, ``_many``
-    and ``_h`` are names of this function).
+    and ``_h`` are names of this function). The patterns are checked by a job
+    when the frame is built and stay in the checkpoint folder.
     """
     ln = F.col("line")
     default_hit = ln.rlike(java_regex(any_of(C.PROCESS_ERROR_PATTERNS)))
-    own = (check_patterns(user_patterns).where("error IS NULL")
-           .groupBy("pid").agg(F.collect_set(F.struct("regex", "needed")).alias("_own")))
-    apart = lambda p: (F.size("_own") > few) & (F.size(p["needed"]) > 0)
-    direct = own.select("pid", F.transform(F.filter("_own", lambda p: ~apart(p)), lambda p: p["regex"]).alias("_patterns"), F.exists("_own", apart).alias("_many"))
+    if members is not None:
+        members = members.select("pid", F.col("list").alias("_list")).where(F.col("_list").isNotNull()).distinct()
+    own = (check_patterns(user_patterns.withColumnRenamed("pid" if members is None else "list", "_list"), "_list")
+           .where("error IS NULL").select("_list", "regex", "needed").distinct())
+    ensure_checkpoint_dir(lines.sparkSession)
+    own = own.checkpoint()  # read by several branches, checked once
+    # a list's patterns stay rows; only those that are tested one by one are put into an array
+    sizes = own.groupBy("_list").agg((F.count(F.lit(1)) > few).alias("_large"))
+    own = own.join(sizes, "_list").withColumn("_apart", F.col("_large") & (F.size("needed") > 0))
+    direct = own.groupBy("_list").agg(F.collect_set(F.when(~F.col("_apart"), F.col("regex"))).alias("_patterns"), F.max("_apart").alias("_many"))
+    if members is None:
+        direct = direct.withColumnRenamed("_list", "pid")
+    else:
+        direct = (members.join(direct, "_list").groupBy("pid")
+                  .agg(F.flatten(F.collect_list("_patterns")).alias("_patterns"), F.max("_many").alias("_many")))
     tested = lines.join(direct, "pid", "left")
     hit = default_hit | F.exists(F.coalesce("_patterns", F.array().cast("array<string>")), lambda p: F.rlike(ln, p))
     rest = tested.where(F.col("_many") & ~F.coalesce(hit, F.lit(False))).withColumn("_h", F.sha2("line", 256))
-    found = _searched_lines(rest, own.select("pid", F.inline(F.filter("_own", apart))))
+    found = _searched_lines(rest, members, own.where("_apart").select("_list", "regex", "needed"))
     columns = [F.col(f"`{c}`") for c in lines.columns]
     hits = tested.where(hit).select(*columns).unionByName(rest.join(found, ["pid", "_h"], "left_semi").select(*columns))
     return (hits.withColumn("severity", error_severity(ln)).withColumn("error_type", error_type(ln))

@@ -428,9 +428,9 @@ def udx_many_patterns(spark, sf_dir):
                .when((n % 11 == 2) & (n % 3 == 0), F.lit("done in [0-9]s"))
                .otherwise(F.concat(F.lit("no such line "), n.cast("string"))))
     lines = _log(spark, sf_dir)
-    own = (lines.select("pid").distinct().withColumn("k", F.col("pid") % 7)
-           .join(views("part").select((n % 7).alias("k"), pattern.alias("pattern")).distinct(), "k").select("pid", "pattern"))
-    return D.classify_with_user_patterns(lines, own).select("seq", "pid", "source", "severity", "error_type", "message")
+    members = lines.select("pid").distinct().select("pid", (F.col("pid") % 7).alias("list"))
+    own = views("part").select((n % 7).alias("list"), pattern.alias("pattern")).distinct()
+    return D.classify_with_user_patterns(lines, own, members=members).select("seq", "pid", "source", "severity", "error_type", "message")
 
 
 def _server_hits() -> str:

@@ -324,3 +324,30 @@ def test_error_overlap_by_grams_equals_broadcast(spark):
     assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
     none = SG.error_overlap(ldf.limit(0), edf.limit(0), small=0)
     assert none.collect() == []
+
+
+def test_shared_pattern_lists(spark):
+    """Lists of patterns that processes share give what each process's own patterns give, and stay as many rows as the lists have."""
+    from codelens.operators import diagnostics as D
+    lines = spark.createDataFrame([(i, i % 40, f"heartbeat {i % 90} of node {i % 7}" if i % 5 else None) for i in range(600)], "seq long, pid long, line string")
+    lists = [(k, p) for k in range(3) for p in [*(f"beat {k}{j} of" for j in range(9)), *(f"unseen {k} {j}" for j in range(20)), "node 6", "broken("]]
+    lists += [(7, "beat 8")]  # of a process that has two lists
+    members = [(p, p % 4) for p in range(40)] + [(3, 7), (0, 7), (None, 0)]
+    shared = spark.createDataFrame(lists, "list long, pattern string"), spark.createDataFrame(members, "pid long, list long")
+    own = shared[1].join(shared[0], "list").select("pid", "pattern").distinct()
+    want = sorted(r.seq for r in D.classify_with_user_patterns(lines, own).collect())
+    got = D.classify_with_user_patterns(lines, shared[0], members=shared[1])
+    assert want and sorted(r.seq for r in got.collect()) == want
+
+
+def test_file_facts_sort_no_text(spark):
+    """Lines are hash-aggregated without their files' attributes, a file that comes twice counts its lines twice, and no line is shuffled or sorted."""
+    from codelens.operators import suggest as SG
+    lines = spark.createDataFrame([(1, 1, "for x in y:"), (1, 2, "  for z in x: print(z)  # TODO"), (1, 3, "except:"), (2, 1, "x" * 121)], "file_id long, line_no long, line string")
+    files = spark.createDataFrame([(1, "python"), (2, "go"), (2, "go"), (3, "go")], "file_id long, language string")
+    facts = SG.file_facts(lines, files)
+    scores = SG.block_scores(facts, lines)
+    assert {r.file_id: tuple(r)[1:] for r in scores.collect()} == {1: ("python", 3, 0, 1, 60), 2: ("go", 2, 0, 0, 80)}
+    assert {r.file_id: r.n_lines for r in facts.collect()} == {1: 3, 2: 2}
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert not any("line#" in x for x in plan.split("\n") if "Sort [" in x or "Exchange hash" in x)
