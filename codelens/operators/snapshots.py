@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelens.functions.windows import dense_index
+from codelens.functions.windows import prefix_sum
 from codelens.session import ensure_checkpoint_dir
 
 
@@ -49,6 +50,12 @@ class _Rounds:
         self.n += 1
         return self.spark.read.parquet(path)
 
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """A table beside the rounds that stays, in folders by the columns ``by``."""
+        path = f"{self.folder}/kept-{uuid.uuid4().hex}"
+        df.write.partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 def _doubled(nodes: DataFrame, with_path: bool) -> DataFrame:
     """Every unfinished node's ancestor replaced by that one's own ancestor."""
@@ -92,83 +99,135 @@ def lineage(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "pare
     return nodes.select(F.col("node").alias(node), *path, own(F.col("steps")).alias("depth"), own(F.col("top")).alias("root_id"), cyclic.alias("cyclic"))
 
 
-def euler_tour(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
-    """(node, root_id, after, within, depth, cyclic): every subtree as an interval of places, without paths.
-
-    The tour enters a node, tours its children by id and leaves it. Each of the
-    two elements of a node knows the next one; list ranking by pointer doubling
-    counts the nodes entered and left from an element to the end of its tour.
-    ``after`` nodes are entered after the subtree of a node is left, and
-    ``within`` more in it (itself included), so d lies below a where both have
-    one root and ``a.after < d.after + d.within < a.after + a.within``. Ids are
-    integers; a node on a cycle of parents or below one is ``cyclic``, without
-    root and places.
-    """
-    edges = forest_edges(snapshots, node, parent)
-    kids = dense_index(edges.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))), ["parent"], "node", out="nth")
-    follow = kids.select(F.col("parent").alias("_p"), (F.col("nth") - 1).alias("_nth"), F.col("node").alias("_next"))
-    placed = edges.join(kids.select("node", "nth"), "node", "left")
-    first = follow.where("_nth = 0").select(F.col("_p").alias("node"), F.col("_next").alias("first_child"))
-    known = (placed.join(first, "node", "left")
-             .join(follow, (F.col("parent") == F.col("_p")) & (F.col("nth") == F.col("_nth")), "left"))
-    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1  # the elements of a node
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    elements = known.select(F.explode(F.array(
-        F.struct(enter.alias("e"), F.coalesce(F.col("first_child") * 2, leave).alias("jump"), one.alias("entered"), zero.alias("left"), enter.alias("last")),
-        F.struct(leave.alias("e"), F.coalesce(F.col("_next") * 2, F.col("parent") * 2 + 1).alias("jump"), zero.alias("entered"), one.alias("left"), leave.alias("last")),
-    )).alias("x")).select("x.*")
-    rounds = _Rounds(snapshots)
-    ranked = rounds.write(elements)
-    limit = math.ceil(math.log2(max(2, ranked.count()))) + 1
+def _climbed(core: DataFrame) -> DataFrame:
+    """One doubling of (node, jump, steps, top, size): jumps twice as long, ``size`` with the nodes below that jump to the node."""
+    reach = F.col("jump").isNotNull()
+    there = core.select(F.col("node").alias("_n"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"), F.col("top").alias("_top"))
+    below = core.where(reach).groupBy(F.col("jump").alias("_b")).agg(F.sum("size").alias("_more"))
+    joined = core.join(there, F.col("jump") == F.col("_n"), "left").join(below, F.col("node") == F.col("_b"), "left")
+    return joined.select("node", F.col("_jump").alias("jump"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+                         F.coalesce("_top", "top").alias("top"), (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+
+
+def _summed(core: DataFrame) -> DataFrame:
+    """One doubling of (node, jump, after): the sum of ``after`` over twice as many ancestors."""
+    there = core.select(F.col("node").alias("_n"), F.col("jump").alias("_jump"), F.col("after").alias("_after"))
+    return core.join(there, F.col("jump") == F.col("_n"), "left").select(
+        "node", F.col("_jump").alias("jump"), (F.col("after") + F.coalesce("_after", F.lit(0))).alias("after"))
+
+
+def _doubled_until_done(start: DataFrame, step, total: int) -> DataFrame:
+    rounds = _Rounds(start)
+    ranked = rounds.write(start)
+    limit = math.ceil(math.log2(max(2, total))) + 1
     done = 0
     while done < limit and not ranked.where(F.col("jump").isNotNull()).isEmpty():
-        ranked = rounds.write(_ranked(_ranked(ranked)))
+        ranked = rounds.write(step(step(ranked)))
         done += 2
-    own = ranked.withColumn("node", F.floor(F.col("e") / 2).cast("long")).withColumn("entering", F.col("e") % 2 == 0)
-    whole = own.groupBy("node").agg(  # two rows each
-        F.max(F.col("jump").isNotNull()).alias("cyclic"), F.max(F.floor(F.col("last") / 2).cast("long")).alias("root_id"),
-        F.max(F.when(F.col("entering"), F.col("entered"))).alias("from_enter"), F.max(F.when(F.col("entering"), F.col("left"))).alias("left_after"),
-        F.max(F.when(~F.col("entering"), F.col("entered"))).alias("after"))
-    sure = lambda c: F.when(~F.col("cyclic"), c)
-    return whole.select(
-        F.col("node").alias(node), sure(F.col("root_id")).alias("root_id"), sure(F.col("after")).alias("after"),
-        sure(F.col("from_enter") - F.col("after")).alias("within"), sure(F.col("left_after") - F.col("from_enter") + 1).alias("depth"), "cyclic")
+    return ranked
 
 
-def _ranked(elements: DataFrame) -> DataFrame:
-    """Each element's jump and counts doubled."""
-    there = elements.select(F.col("e").alias("_e"), F.col("jump").alias("_jump"), F.col("entered").alias("_entered"), F.col("left").alias("_left"), F.col("last").alias("_last"))
-    joined = elements.join(there, F.col("jump") == F.col("_e"), "left")
-    more = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
-    return joined.select("e", F.col("_jump").alias("jump"), more("entered"), more("left"), F.coalesce("_last", "last").alias("last"))
+#: Layers of leaves are taken off while each takes at least this share of the nodes.
+LAYER_SHARE = 0.25
+
+
+def _layers(edges: DataFrame, folder: _Rounds) -> tuple[list[DataFrame], DataFrame, int]:
+    """The leaves of (node, parent, size), then those of what is left and so on, and the core that stays, with its number of nodes.
+
+    A leaf's ``size`` is added to its parent's, so sizes of leaves are those of
+    their subtrees. Each layer is a table and costs what the layers above left.
+    """
+    layers, left = [], folder.keep(edges)
+    n = left.count()
+    while n:
+        own = F.col("parent") != F.col("node")
+        inner = left.where("parent IS NOT NULL").groupBy(F.col("parent").alias("_p")).agg(F.count(F.lit(1)).alias("_kids"))
+        flagged = folder.keep(left.join(inner, F.col("node") == F.col("_p"), "left").select("node", "parent", "size", F.col("_p").isNull().alias("leaf")))
+        leaves = flagged.where("leaf").count()
+        if leaves < LAYER_SHARE * n:
+            break
+        layers.append(flagged.where("leaf").drop("leaf"))
+        more = layers[-1].where(F.col("parent").isNotNull() & own).groupBy(F.col("parent").alias("_p")).agg(F.sum("size").alias("_more"))
+        left = folder.keep(flagged.where("NOT leaf").join(more, F.col("node") == F.col("_p"), "left")
+                           .select("node", "parent", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
+        n -= leaves
+    return layers, left, n
+
+
+def euler_tour(snapshots: DataFrame, node: str = "snapshot_id", parent: str = "parent_id") -> DataFrame:
+    """(node, root_id, after, within, depth, cyclic): every subtree as an interval of places of a tour, without paths.
+
+    The tour enters a node, tours its children by id and leaves it. ``after``
+    nodes are entered after the subtree of a node is left, and ``within`` more in
+    it (itself included), so d lies below a where both have one root and
+    ``a.after < d.after + d.within < a.after + a.within``.
+
+    ``within`` is counted upwards and ``after`` downwards (its parent's, and the
+    subtrees of its later siblings). Layers of leaves go first, so that bushy
+    trees shrink by a factor with each; what is left, long chains, is done by
+    pointer doubling, and the layers then take their parents' values. Ids are
+    unique integers; a node on a cycle of parents or below one is ``cyclic``,
+    without root and places.
+    """
+    folder = _Rounds(snapshots)
+    one = F.lit(1).cast("long")
+    edges = forest_edges(snapshots, node, parent).select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), one.alias("size"))
+    layers, core, n = _layers(edges, folder)
+    climbed = _doubled_until_done(core.select("node", F.col("parent").alias("jump"), one.alias("steps"), F.col("node").alias("top"), "size"), _climbed, n)
+    sized = [folder.keep(core.select("node", "parent").join(climbed.select("node", "size"), "node")), *layers]
+    # the subtrees of later siblings: a prefix by falling id
+    sizes = reduce(DataFrame.unionByName, [x.select("node", "parent", "size", F.lit(k).alias("layer")) for k, x in enumerate(sized)])
+    sibling = sizes.where(F.col("parent").isNotNull()).withColumn("_at", -F.col("node"))
+    later = folder.keep(prefix_sum(sibling, ["parent"], "_at", "size", "after", inclusive=False).select("node", "after", "layer"), "layer")
+    follow = lambda k, x: x.join(later.where(F.col("layer") == k).select("node", "after"), "node", "left").fillna(0, ["after"])
+    placed = _doubled_until_done(follow(0, sized[0]).select("node", F.col("parent").alias("jump"), "after"), _summed, n)
+    known = folder.keep(climbed.select("node", F.col("top").alias("root_id"), F.col("size").alias("within"), F.col("steps").alias("depth"), F.col("jump").isNotNull().alias("cyclic"))
+                        .join(placed.select("node", "after"), "node"))
+    done = [known]
+    for k in range(len(layers), 0, -1):
+        above = reduce(DataFrame.unionByName, done).select(
+            F.col("node").alias("parent"), "root_id", "depth", "cyclic", F.col("after").alias("_after"))
+        leaf = follow(k, layers[k - 1]).join(above, "parent", "left")
+        done.append(folder.keep(leaf.select(
+            "node", F.coalesce("root_id", "node").alias("root_id"), F.col("size").alias("within"), (F.coalesce("depth", F.lit(0)) + 1).alias("depth"),
+            F.coalesce("cyclic", F.lit(False)).alias("cyclic"), (F.col("after") + F.coalesce("_after", F.lit(0))).alias("after"))))
+    sure = lambda c: F.when(~F.col("cyclic"), F.col(c)).alias(c)
+    return reduce(DataFrame.unionByName, done).select(F.col("node").alias(node), sure("root_id"), sure("after"), sure("within"), sure("depth"), "cyclic")
+
+
+#: Each size of block is so many of the size before, as a power of two.
+BLOCK_BITS = 4
 
 
 def descendants(tour: DataFrame, chosen: DataFrame | None = None, node: str = "snapshot_id") -> DataFrame:
     """JOIN_DESCENDANTS: (ancestor_id, descendant_id, levels_below, preorder) for the ``chosen`` ids (all without them).
 
     An interval join on equal keys: an ancestor's interval of places is cut into
-    blocks whose sizes are powers of two, at most two of each size, and every
-    node names the block of each size that its place lies in, so each pair meets
+    blocks whose sizes are powers of 16, at most 30 of each size, and every node
+    names the block of each size that its place lies in, so each pair meets
     once and no others are compared. ``preorder`` counts from 1, children by id.
     """
     known = tour.where("NOT cyclic").withColumn("place", F.col("after") + F.col("within"))
     ancestors = known if chosen is None else known.join(chosen.select(node).distinct(), node, "left_semi")
     most = ancestors.where("within > 1").agg(F.max("within")).first()[0] or 1
-    sizes = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
+    sizes = F.sequence(F.lit(0), F.lit(int(most).bit_length() // BLOCK_BITS))
     lo, hi = F.col("after") + 1, F.col("place")  # places of the nodes below: lo .. hi - 1
+    width = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k * BLOCK_BITS)
+    none = F.array().cast("array<bigint>")
 
     def blocks(k: Column) -> Column:
-        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        first, end = F.ceil(lo / width).cast("long"), F.floor(hi / width).cast("long")
-        cut = F.array(F.when((first < end) & (first % 2 == 1), F.struct(k.alias("size"), first.alias("block"))),
-                      F.when((first < end) & (end % 2 == 1), F.struct(k.alias("size"), (end - 1).alias("block"))))
-        return F.filter(cut, lambda x: x.isNotNull())
+        first, end = F.ceil(lo / width(k)).cast("long"), F.floor(hi / width(k)).cast("long")
+        # what blocks of the next size hold is theirs
+        upper, until = (F.ceil(lo / width(k + 1)) * (1 << BLOCK_BITS)).cast("long"), (F.floor(hi / width(k + 1)) * (1 << BLOCK_BITS)).cast("long")
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+        cut = F.when(upper < until, F.concat(run(first, upper), run(until, end))).otherwise(run(first, end))
+        return F.transform(cut, lambda x: F.struct(k.alias("size"), x.alias("block")))
 
     a = ancestors.where("within > 1").select(
         "root_id", F.col(node).alias("ancestor_id"), F.col("depth").alias("_depth"), F.col("place").alias("_place"),
         F.explode(F.flatten(F.transform(sizes, blocks))).alias("b")).select("root_id", "ancestor_id", "_depth", "_place", "b.*")
     d = known.where("depth > 1").select("root_id", F.col(node).alias("descendant_id"), "depth", "place", F.explode(sizes).alias("size"))
-    d = d.withColumn("block", F.floor(F.col("place") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size"))).cast("long"))
+    d = d.withColumn("block", F.floor(F.col("place") / width(F.col("size"))).cast("long"))
     return a.join(d, ["root_id", "size", "block"]).select(
         "ancestor_id", "descendant_id", (F.col("depth") - F.col("_depth")).alias("levels_below"), (F.col("_place") - F.col("place")).alias("preorder"))
 
