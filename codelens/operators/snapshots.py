@@ -127,19 +127,19 @@ def _doubled_until_done(start: DataFrame, step, total: int) -> DataFrame:
     return ranked
 
 
-#: Layers of leaves are taken off while each takes at least this share of the nodes.
-LAYER_SHARE = 0.25
+#: So many layers of leaves are taken off at most, while each takes at least this share of the nodes.
+LAYERS, LAYER_SHARE = 3, 0.25
 
 
 def _layers(edges: DataFrame, folder: _Rounds) -> tuple[list[DataFrame], DataFrame, int]:
-    """The leaves of (node, parent, size), then those of what is left and so on, and the core that stays, with its number of nodes.
+    """The leaves of (node, parent, size), then those of what is left (``LAYERS`` times), and the core that stays, with its number of nodes.
 
     A leaf's ``size`` is added to its parent's, so sizes of leaves are those of
     their subtrees. Each layer is a table and costs what the layers above left.
     """
     layers, left = [], folder.keep(edges)
     n = left.count()
-    while n:
+    while n and len(layers) < LAYERS:
         own = F.col("parent") != F.col("node")
         inner = left.where("parent IS NOT NULL").groupBy(F.col("parent").alias("_p")).agg(F.count(F.lit(1)).alias("_kids"))
         flagged = folder.keep(left.join(inner, F.col("node") == F.col("_p"), "left").select("node", "parent", "size", F.col("_p").isNull().alias("leaf")))

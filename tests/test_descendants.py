@@ -61,3 +61,15 @@ def test_long_chain_and_hot_parent(spark):
 
 def test_no_nodes(spark):
     assert S.descendants(S.euler_tour(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_bushy_trees_are_ranked_by_their_core(spark, monkeypatch):
+    """Of a tree of three children a node only the core is doubled: far fewer rows than two elements for each node."""
+    doubled = []
+    whole = S._doubled_until_done
+    monkeypatch.setattr(S, "_doubled_until_done", lambda start, step, total: doubled.append(start.count()) or whole(start, step, total))
+    n = 1093  # 1 + 3 + ... + 729
+    edges = [(i, (i + 1) // 3 if i > 1 else None) for i in range(1, n + 1)]
+    tour = S.euler_tour(spark.createDataFrame(edges, SCHEMA))
+    assert doubled == [40, 40] or max(doubled) <= n // 20
+    assert sorted(map(tuple, S.descendants(tour).collect())) == brute(edges)
