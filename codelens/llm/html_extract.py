@@ -1,11 +1,10 @@
-"""Main text of web pages: page structure, and a suffix array for each host for what structure leaves open.
+"""Main text of web pages: blocks of the page, judged by its structure and by a suffix array for each host.
 
-A page is cut into blocks (text between block-level tags). Structure settles
-most: what stands in menus, headers, footers, sidebars, notices, adverts,
-forms or comments (by element, role, class or id) is dropped, and if the page
-marks its article (``article``, ``main``, ``role=main``), the text is the
-article's blocks, all of them: an article that a host prints twice is still an
-article, so repetition alone never removes marked text.
+A page is cut into blocks (text between block-level tags). What stands in
+menus, headers, footers, sidebars, notices, adverts, forms or comments (by
+element, role, class or id) is dropped. The other blocks of every page are
+judged by repetition on the host: those of its article, if the page marks one
+(``article``, ``main``, ``role=main``), else all that structure leaves open.
 
 A container around the article does not take it away. State classes
 (``has-sidebar``, ``comments-open``, ``category-social``) and ids that are only
@@ -17,40 +16,57 @@ article and its open blocks hold less text. Articles in comments, ``nav``,
 ``aside`` or ``footer`` are no main text. A form that holds landmarks or the
 page's heading is the page, and its blocks are as open as those around it.
 
-Blocks that structure leaves open (no article is marked) are decided by
-repetition on the host. The token streams of a host's pages (all blocks
-outside articles, in page order) are concatenated into one suffix array: each
-suffix is a row, dealt by its host and first MIN_RUN tokens and sorted there.
-Neighbours that agree in MIN_RUN tokens and come from distinct pages are a
-repeated substring; longer ones are unions of such windows, so this depth is
-enough, no host has to fit into one task and a run of equal suffixes streams
-by. Of each block the covered runs of MIN_RUN tokens or of the whole block are
-removed; the unique runs stay.
+The token streams of a host's pages are concatenated into one suffix array:
+each suffix is a row, dealt by its host and first tokens and sorted there, so
+no host has to fit into one task and a run of equal suffixes streams by.
+
+* Outside articles every token starts a suffix. Neighbours that agree in
+  MIN_RUN tokens and come from distinct pages are a repeated substring; longer
+  ones are unions of such windows, so this depth is enough. Of each open block
+  the covered runs of MIN_RUN tokens or of the whole block are removed; the
+  unique runs stay.
+* What an article does not want is a block of its own, so in articles every
+  block starts a suffix, compared in all its tokens (at least MIN_RUN). A block
+  that more than half of the host's articles share, MIN_ARTICLES at least, is
+  the host's and no part of the article; copies of an article count once.
+  Fewer share what articles cite or repeat, and an article that a host prints
+  twice or in versions is still an article: if shared blocks are more than half
+  of it, all of it stays.
 
 Defined results: null or empty html gives the empty text; broken markup (open
 quotes, unclosed elements, cut pages) is read as far as it goes; identical
 rows count as one page for repetition and each gets its result; pages with a
-null URL or none with ``://`` share the empty host.
+null URL or none with ``://`` share the empty host. The places that repetition
+covers are written to the checkpoint folder when the DataFrame is built.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import groupby
+from hashlib import blake2b
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm.common import add_columns, table
+from codelens.llm.common import add_columns, shuffles_removed, table
 from codelens.llm.url_filter import url_parts
+from codelens.session import ensure_checkpoint_dir
 
 #: Tokens that a substring must have to count as repeated.
 MIN_RUN = 8
+#: Articles of a host that must share a block before it can be the host's.
+MIN_ARTICLES = 8
+#: Groups that count the articles of one host, so that no task gets all its pages.
+COUNTERS = 256
 SEPARATOR = "\n\n"
 
 #: Quantifiers that never give back (``*+``): a tag without an end costs one pass, not one for each length of its name.
@@ -278,88 +294,171 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return _settled(out, forms)
 
 
-_PARSED = [("main", "string"), ("rest", "array<struct<open:boolean,text:string>>")]
+#: Kinds of suffixes: outside articles, blocks of articles, and no suffixes but what counts the articles of a host.
+TOKEN, BLOCK, COUNT = 0, 1, 2
+_SUFFIX = [("host", pa.string()), ("kind", pa.int8()), ("lead", pa.string()), ("article", pa.int64()), ("uid", pa.int64()), ("pos", pa.int32()),
+           ("asks", pa.bool_())]
+_FOUND = [("host", pa.string()), ("lead", pa.int64()), ("articles", pa.int64()), ("uid", pa.int64()), ("pos", pa.int64())]
+#: Rows of one batch of places.
+_BATCH = 10_000
 
 
-def _parse(column: pa.Array) -> list[pa.Array]:
-    """main: the marked article (null: none is marked, or it is empty); rest: the blocks outside it."""
-    main, rest = [], []
-    for page in column.to_pylist():
-        found = blocks(page or "")
-        article = [t for z, t in found if z == ARTICLE]
-        main.append(SEPARATOR.join(article) if article else None)
-        rest.append([{"open": z == OPEN, "text": t} for z, t in found if z != ARTICLE])
-    return [pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())])))]
+def _hash64(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _parse(page: str | None) -> tuple[list[str], list[tuple[bool, str]]]:
+    """The blocks of the marked article (none: no article is marked, or it is empty) and those outside it, each with whether it is open."""
+    found = blocks(page or "")
+    return [t for z, t in found if z == ARTICLE], [(z == OPEN, t) for z, t in found if z != ARTICLE]
+
+
+def _block_leads(article: list[str]) -> Iterator[tuple[int, str]]:
+    """(block, what its suffix is compared by): the first MIN_RUN tokens from its start on, and a digest of the block if it is longer."""
+    words = [t.split() for t in article]
+    tokens = [w for own in words for w in own]
+    at = 0
+    for i, own in enumerate(words):
+        lead = tokens[at: at + MIN_RUN]
+        if len(lead) == MIN_RUN:
+            yield i, " ".join(lead) + ("\n" + blake2b(article[i].encode(), digest_size=16).hexdigest() if len(own) > MIN_RUN else "")
+        at += len(own)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix of a page's token stream: its first MIN_RUN tokens and where it starts."""
+    """The suffixes of each page, at every token outside its article and every block of it, and where they start; a row that counts the article."""
     for batch in batches:
-        host, uid, lead, pos, asks = [], [], [], [], []
-        for h, u, ask, rest in zip(*(batch.column(c).to_pylist() for c in ("host", "uid", "asks", "rest")), strict=True):
-            tokens = " ".join(b["text"] for b in rest).split()
-            n = len(tokens) - MIN_RUN + 1
-            if n > 0:
-                host += [h] * n
-                uid += [u] * n
-                asks += [ask] * n
-                pos += range(n)
-                lead += [" ".join(tokens[i: i + MIN_RUN]) for i in range(n)]
-        yield pa.RecordBatch.from_pydict({
-            "host": pa.array(host, pa.string()), "lead": pa.array(lead, pa.string()), "uid": pa.array(uid, pa.int64()),
-            "pos": pa.array(pos, pa.int32()), "asks": pa.array(asks, pa.bool_())})
+        out: list[list] = [[] for _ in _SUFFIX]
+        for host, uid, page in zip(*(batch.column(c).to_pylist() for c in ("host", "uid", "html")), strict=True):
+            article, rest = _parse(page)
+            tokens = " ".join(t for _, t in rest).split()
+            starts = [(TOKEN, " ".join(tokens[i: i + MIN_RUN]), i) for i in range(len(tokens) - MIN_RUN + 1)]
+            outside, own = len(starts), None
+            if article:
+                own = _hash64(SEPARATOR.join(article))
+                starts += [(BLOCK, lead, i) for i, lead in _block_leads(article)]
+                starts.append((COUNT, str(own % COUNTERS), 0))
+            if starts:
+                kinds, leads, places = zip(*starts, strict=True)
+                n = len(starts)
+                ids = [None] * outside + [own] * (n - outside)
+                for column, values in zip(out, ([host] * n, kinds, leads, ids, [uid] * n, places, [not article] * n), strict=True):
+                    column += values
+        yield _batch(_SUFFIX, out)
+
+
+def _batch(fields: list[tuple[str, pa.DataType]], columns: Iterable[Iterable]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _shared_tokens(run: Iterator[tuple]) -> Iterator[tuple]:
+    """The places (of pages that ask) of one suffix outside articles, if a neighbour of another page agrees."""
+    first, waiting, shared = None, [], False
+    for *_, uid, pos, asks in run:
+        first = uid if first is None else first
+        if not shared and uid != first:
+            shared = True
+            yield from waiting
+        if asks and shared:
+            yield None, None, None, uid, pos
+        elif asks:
+            waiting.append((None, None, None, uid, pos))
+
+
+def _shared_block(host: str, lead: str, run: Iterator[tuple]) -> Iterator[tuple]:
+    """The places of one block that MIN_ARTICLES articles share, and how many articles do."""
+    last, articles, mark = None, 0, _hash64(lead)
+    waiting = array("q")
+    for *_, article, uid, pos, _asks in run:
+        if article != last:
+            articles, last = articles + 1, article
+        waiting.extend((uid, pos))
+        if articles >= MIN_ARTICLES:
+            yield from ((host, mark, None, u, p) for u, p in zip(waiting[::2], waiting[1::2], strict=True))
+            del waiting[:]
+    if articles >= MIN_ARTICLES:
+        yield host, mark, articles, None, None
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order: the places (of pages that ask) where a neighbour of another page agrees."""
-    run, first, waiting, shared = None, None, [], False
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for host, lead, uid, pos, ask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if run != (host, lead):
-                run, first, waiting, shared = (host, lead), uid, [], False
-            if not shared and uid != first:
-                shared = True
-                out += waiting
-                waiting = []
-            if ask:
-                (out if shared else waiting).append((uid, pos))
-        yield pa.RecordBatch.from_pydict({"uid": pa.array([x for x, _ in out], pa.int64()), "pos": pa.array([x for _, x in out], pa.int32())})
-
-
-def _unique_runs(rest: pa.Array, places: pa.Array) -> list[pa.Array]:
-    """The text of the open blocks without the tokens that repeated substrings cover."""
+    """From suffixes in order what neighbours share: places with the hash of their block (none outside articles), and counts of articles."""
+    def found() -> Iterator[tuple]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (host, kind, lead), run in groupby(rows, itemgetter(0, 1, 2)):
+            if kind == TOKEN:
+                yield from _shared_tokens(run)
+            elif kind == BLOCK:
+                yield from _shared_block(host, lead, run)
+            else:  # rows come ordered by article
+                yield host, None, sum(1 for _ in groupby(run, itemgetter(3))), None, None
+
+    rows = found()
+    while some := list(islice(rows, _BATCH)):
+        yield _batch(_FOUND, zip(*some, strict=True))
+
+
+def _covered(found: DataFrame) -> DataFrame:
+    """(uid, places): the tokens outside an article, or the blocks of it, that are the host's."""
+    total = found.filter("lead is null and articles is not null").groupBy("host").agg(F.sum("articles").alias("total"))
+    common = found.filter("lead is not null and articles is not null").join(total, "host").filter("2 * articles > total").select("host", "lead")
+    inside = found.filter("lead is not null and uid is not null").join(common, ["host", "lead"], "left_semi").select("uid", "pos")
+    outside = found.filter("lead is null and uid is not null").select("uid", "pos")
+    return inside.union(outside).groupBy("uid").agg(F.collect_set("pos").alias("places"))
+
+
+def _own_blocks(article: list[str], covered: set[int]) -> list[str]:
+    """The blocks of an article without the host's; all of them if these are most of it."""
+    size = [len(t.split()) for t in article]
+    if 2 * sum(size[i] for i in covered) > sum(size):
+        return article
+    return [t for i, t in enumerate(article) if i not in covered]
+
+
+def _unique_runs(found: list[tuple[bool, str]], covered: set[int]) -> list[str]:
+    """The open blocks without the tokens that repeated substrings cover."""
+    gone = {i + k for i in covered for k in range(MIN_RUN)}
+    at, kept = 0, []
+    for is_open, text in found:
+        tokens = text.split()
+        if is_open:
+            left: list[str] = []
+            for covered_run, run in groupby(enumerate(tokens, at), lambda x: x[0] in gone):
+                words = [t for _, t in run]
+                # a few words at the edge of a block, covered from the block next to it, are chance
+                left += words if not covered_run or len(words) < min(MIN_RUN, len(tokens)) else []
+            kept += [" ".join(left)] if left else []
+        at += len(tokens)
+    return kept
+
+
+def _texts(pages: pa.Array, places: pa.Array) -> list[pa.Array]:
+    """What repetition leaves of each page: of its article, or of its open blocks if it marks none."""
     out = []
-    for found, covered in zip(rest.to_pylist(), places.to_pylist(), strict=True):
-        gone = {i + k for i in covered or () for k in range(MIN_RUN)}
-        at, kept = 0, []
-        for b in found:
-            tokens = b["text"].split()
-            if b["open"]:
-                left: list[str] = []
-                for covered_run, run in groupby(enumerate(tokens, at), lambda x: x[0] in gone):
-                    words = [t for _, t in run]
-                    # a few words at the edge of a block, covered from the block next to it, are chance
-                    left += words if not covered_run or len(words) < min(MIN_RUN, len(tokens)) else []
-                kept += [" ".join(left)] if left else []
-            at += len(tokens)
-        out.append(SEPARATOR.join(kept))
+    for page, covered in zip(pages.to_pylist(), places.to_pylist(), strict=True):
+        article, rest = _parse(page)
+        out.append(SEPARATOR.join((_own_blocks if article else _unique_runs)(article or rest, set(covered or ()))))
     return [pa.array(out, pa.string())]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: what reads it knows its size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) of every page."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.select("key", "url", "html", url_parts(F.col("url"))[0].alias("host"), F.xxhash64("key", "url", "html").alias("uid"))
-    parsed = add_columns(rows, ["html"], _parse, _PARSED).withColumn("asks", F.col("main").isNull())
-    streams = parsed.select("host", "uid", "asks", "rest")
-    suffixes = streams.mapInArrow(_suffixes, "host string, lead string, uid long, pos int, asks boolean")
-    order = suffixes.repartition("host", "lead").sortWithinPartitions("host", "lead", "uid", "pos")
-    covered = order.mapInArrow(_repeated, "uid long, pos int").groupBy("uid").agg(F.collect_set("pos").alias("places"))
-    settled = parsed.filter("not asks").select("key", "url", F.col("main").alias("text"))
-    asking = parsed.filter("asks").select("key", "url", "uid", "rest").join(covered, "uid", "left")
-    decided = add_columns(asking, ["rest", "places"], _unique_runs, [("text", "string")]).select("key", "url", "text")
-    return settled.union(decided).select(F.col("key").alias(key), F.col("url").alias(url), "text")
+    suffixes = rows.select("host", "uid", "html").mapInArrow(_suffixes, "host string, kind byte, lead string, article long, uid long, pos int, asks boolean")
+    dealt = ["host", "kind", "lead"]
+    order = suffixes.repartition(*dealt).sortWithinPartitions(*dealt, "article", "uid", "pos")
+    found = _written(order.mapInArrow(_repeated, "host string, lead long, articles long, uid long, pos long"), "repeated")
+    covered = _written(_covered(found), "covered")
+    decided = add_columns(rows.select("key", "url", "html", "uid").join(covered, "uid", "left"), ["html", "places"], _texts, [("text", "string")])
+    return decided.select(F.col("key").alias(key), F.col("url").alias(url), "text")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,33 @@ def test_repeated_runs_decide_where_no_article_is_marked(spark):
     assert got == sorted([*own, own[0], (10, "http://alone.example/", whole), (11, None, whole)], key=repr)
 
 
+def test_host_blocks_inside_marked_articles(spark):
+    """The suffix array judges marked articles too: a block that most articles of a host share goes; citations, copies, versions stay."""
+    box, quote = "sign up today and read all of our stories without any limit", "as the old saying of this town goes no news is good news"
+    own = lambda h, i: " ".join(f"{h}{i}w{k}" for k in range(30))
+    pages, want = [], {}
+
+    def page(host, blocks, kept):
+        i = len(pages)
+        pages.append((i, f"http://{host}.example/{i}", "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+        want[i] = "\n\n".join(kept)
+
+    for i in range(10):
+        cited = [quote] if i < 5 else []
+        # the box is the host's; five of ten articles are not most of them; short blocks alone are chance
+        page("box", [own("a", i), box, "More", own("b", i), *cited], [own("a", i), "More", own("b", i), *cited])
+        page("few", [own("a", i), box], [own("a", i), box]) if i < H.MIN_ARTICLES - 1 else None
+        page("copies", [own("c", 0), box], [own("c", 0), box])
+        versions = [own("v", 0), f"version {i} of it", own("w", 0)]
+        page("versions", versions, versions)
+        # longer blocks that start alike are not the same
+        page("starts", [own("s", i), f"{box} {i}"], [own("s", i), f"{box} {i}"])
+    for _ in range(30):  # copies count once and get what the others get
+        page("box", [own("a", 0), box, "More", own("b", 0), quote], [own("a", 0), "More", own("b", 0), quote])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract(df.repartition(3)).collect()} == want
+
+
 def test_page_text_of_the_tables(spark):
     """The pages table against its own regular markup."""
     import html
